@@ -106,7 +106,7 @@ def label_sums(rows: DataFrame) -> DataFrame:
 
 def class_balance(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """class_freq (positives), train_num (rows) and pos_weight = negatives per positive."""
-    keys = keys or ["label"]
+    keys = ["label"] if keys is None else keys
     counts = rows.groupBy(*keys).agg(F.sum("target").alias("class_freq"), F.count("*").alias("train_num"))
     return counts.withColumn("pos_weight", ratio(F.col("train_num") - F.col("class_freq"), F.col("class_freq")))
 

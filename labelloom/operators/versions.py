@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from labelloom.functions import notes, records
 from labelloom.functions.text import normalize_term
 from labelloom.operators import hierarchy
-from labelloom.operators.scale import lookup_join
+from labelloom.operators.scale import materialize
 
 # Names of the provenance types and categories in reports.
 PROVENANCE_TYPES = {
@@ -248,17 +248,21 @@ def host_relations(hosts: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def host_scopes(hosts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(label, scope) and (scope, parent) for the hosts of new labels, found by name among the terms."""
+    """(label, scope) and (scope, parent) for the living hosts of new labels."""
     living = hosts.where("host_ui IS NOT NULL").select(
         F.col("descriptor_ui").alias("label"), F.col("host_ui").alias("parent")
     )
-    return hierarchy.label_scopes(living.distinct())
+    return hierarchy.label_scopes(materialize(living.distinct(), "living-hosts"))
 
 
 def extended_hosts(hosts: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hosts with all their descendants, factored as (label, scope) and (scope, member)."""
+    """Hosts with all their descendants, factored as (label, scope) and (scope, member).
+
+    Both are written once: several counts of articles look them up.
+    """
     label_scope, scope_parents = host_scopes(hosts)
-    return label_scope, hierarchy.scope_members(scope_parents, hierarchy.ancestors(now))
+    members = hierarchy.scope_members(scope_parents, hierarchy.ancestors(now))
+    return materialize(label_scope, "host-scopes"), materialize(members, "scope-members")
 
 
 def concepts_per_record(recs: DataFrame) -> DataFrame:

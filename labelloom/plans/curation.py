@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelloom.operators import articles as art
 from labelloom.operators import hierarchy, stats, versions
+from labelloom.operators.scale import materialize
 
 
 @dataclass
@@ -102,7 +103,7 @@ def describe_introductions(
     The labels below the hosts are counted; the list itself stays in ``versions.extended_hosts``.
     """
     added = versions.new_descriptors(old, new, now)
-    hosts = versions.provenance_hosts(added, old, scrs, now, exceptions)
+    hosts = materialize(versions.provenance_hosts(added, old, scrs, now, exceptions), "hosts")
     types = versions.provenance_codes(versions.provenance_types(hosts, now))
     relations = versions.host_relations(hosts, now)
     host_lists = hosts.where("host_name IS NOT NULL").groupBy("descriptor_ui").agg(
@@ -162,7 +163,9 @@ def select_use_cases(
 
     label_scope, members = versions.extended_hosts(hosts, now)
     own_scope = cases.select(F.col("descriptor_ui").alias("label"), F.col("descriptor_ui").alias("scope"))
-    own = hierarchy.branches(closure, own_scope.select(F.col("scope").alias("head"))).toDF("scope", "member")
+    own = materialize(
+        hierarchy.branches(closure, own_scope.select(F.col("scope").alias("head"))).toDF("scope", "member"), "own-branches"
+    )
 
     def of_label(start, end, name):
         return art.article_counts_of_hosts(golden(start, end), own_scope, own).toDF("descriptor_ui", name)
@@ -203,11 +206,15 @@ def build_retro_dataset(
 
     Labels are the leaf use cases; an article without any of them has one row with a null label.
     """
-    labels = hierarchy.keep_leaves(use_cases.select("descriptor_ui"), now).select(F.col("descriptor_ui").alias("label"))
+    leaf_cases = hierarchy.keep_leaves(use_cases.select("descriptor_ui"), now)
+    labels = materialize(leaf_cases.select(F.col("descriptor_ui").alias("label")), "leaf-labels")
     of_labels = hosts.join(labels.withColumnRenamed("label", "descriptor_ui"), "descriptor_ui", "left_semi")
     host_uis = of_labels.where("host_ui IS NOT NULL").select(F.col("host_ui").alias("label")).distinct()
     found = art.search_articles(articles, host_uis, start, end, hierarchy.ancestors(now))
-    newest = art.latest_revision(found, "date_revised", "row_id")
+    newest = materialize(
+        art.latest_revision(found.select("pmid", "golden", "date_revised", "row_id"), "date_revised", "row_id"),
+        "newest-revisions",
+    )
     golden = art.golden_in_scope(art.golden_pairs(newest), labels).withColumn("_flag", F.lit(1))
     marks = golden
     if with_weak:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from labelloom.functions import notes, numeric, records, text
 from labelloom.operators import articles as art
 from labelloom.operators import evaluate, hierarchy, labels, matching, sampling, stats, versions
+from labelloom.operators.scale import materialize
 from labelloom.plans import curation, relabelling
 from labelloom.sources import tables, writers
 from labelloom.testbed import views
@@ -416,7 +417,7 @@ def noise_ratios(spark, d):
 _CODES = """SELECT ui AS descriptor_ui, category, n_hosts,
               array_to_string(list_sort(list_filter([CASE WHEN emersion>0 THEN category||'.0: Emersion' END, CASE WHEN succession>0 THEN category||'.1: Succession' END,
                 CASE WHEN subdivision>0 THEN category||'.2: Subdivision' END, CASE WHEN submersion>0 THEN category||'.3: Submersion' END,
-                CASE WHEN overtopping>0 THEN category||'.4: Overtopping' END, CASE WHEN detachment>0 THEN category||'.5: Detachment' END], x -> x IS NOT NULL)), '~') AS prov_code FROM types"""
+                CASE WHEN overtopping>0 THEN category||'.4: Overtopping' END, CASE WHEN detachment>0 THEN category||'.5: Detachment' END], lambda x: x IS NOT NULL)), '~') AS prov_code FROM types"""
 
 
 @query(_CODES, THESAURUS)
@@ -525,6 +526,7 @@ def _use_cases(spark, d):
     cases = curation.describe_introductions(old, new, now, views.scrs(spark, d), exceptions)
     _, hosts = _hosts(spark, d)
     annotated = views.part_annotations(spark, d).join(views.dated_articles(spark, d), "pmid")
+    cases = materialize(cases, "use-cases")
     return curation.select_use_cases(
         cases, hosts, now, annotated, _part_occurrence(spark, d), _part_cuis(spark, d),
         old_year=views.OLD_VERSION, new_year=views.NEW_VERSION, now_year=views.NOW_VERSION, first_year=1995,
@@ -676,11 +678,11 @@ def _fuzzy_inputs(spark, d):
 
 
 _FUZZY = """,
-terms AS (SELECT DISTINCT name AS term, lower(regexp_replace(name,'[^a-zA-Z0-9]','','g')) AS t, list_filter(string_split_regex(lower(trim(name)),'[^a-zA-Z0-9]'), x -> x<>'') AS tp FROM added),
-cands AS (SELECT DISTINCT candidate, lower(regexp_replace(candidate,'[^a-zA-Z0-9]','','g')) AS c, list_filter(string_split_regex(lower(trim(candidate)),'[^a-zA-Z0-9]'), x -> x<>'') AS cp
+terms AS (SELECT DISTINCT name AS term, lower(regexp_replace(name,'[^a-zA-Z0-9]','','g')) AS t, list_filter(string_split_regex(lower(trim(name)),'[^a-zA-Z0-9]'), lambda x: x<>'') AS tp FROM added),
+cands AS (SELECT DISTINCT candidate, lower(regexp_replace(candidate,'[^a-zA-Z0-9]','','g')) AS c, list_filter(string_split_regex(lower(trim(candidate)),'[^a-zA-Z0-9]'), lambda x: x<>'') AS cp
           FROM (SELECT p_partkey||', '||regexp_extract(p_name,'([^ ]+)$',1)||' '||regexp_extract(p_name,'^([^ ]+)',1)||(CASE WHEN p_partkey%2=0 THEN ' '||p_type ELSE '' END) AS candidate FROM part WHERE p_partkey%5<>2)),
 crossed AS (SELECT *, levenshtein(t, c) AS distance, len(cp)-len(tp) AS extra,
-                   len(list_filter(list_distinct(tp), p -> len(list_filter(cp, y -> y=p)) < len(list_filter(tp, z -> z=p))))=0 AS contained
+                   len(list_filter(list_distinct(tp), lambda p: len(list_filter(cp, lambda y: y=p)) < len(list_filter(tp, lambda z: z=p))))=0 AS contained
             FROM terms CROSS JOIN cands)"""
 
 
@@ -748,7 +750,8 @@ def attach_label_info(spark, d):
 def _hosts(spark, d):
     old, new, now = views.versions3(spark, d)
     added = versions.new_descriptors(old, new, now)
-    return added, versions.provenance_hosts(added, old, views.scrs(spark, d), now, views.scr_exceptions(spark, d))
+    hosts = versions.provenance_hosts(added, old, views.scrs(spark, d), now, views.scr_exceptions(spark, d))
+    return added, materialize(hosts, "hosts")
 
 
 @query(
@@ -806,7 +809,7 @@ def update_counts(spark, d):
 
 
 @query(
-    """SELECT q.query, t.ui AS descriptor_ui, t.ui IS NOT NULL AS "exists"
+    """SELECT q.query, t.term_ui AS descriptor_ui, t.term_ui IS NOT NULL AS "exists"
        FROM (SELECT DISTINCT unnest([p_name||' '||p_partkey, 'alias '||p_partkey, p_brand, p_type]) AS query FROM part) q LEFT JOIN term t ON t.term=q.query
        UNION ALL SELECT 'ui '||'P'||lpad((p_partkey*2)::VARCHAR,9,'0'), r.ui, r.ui IS NOT NULL FROM part LEFT JOIN rec r ON r.ui='P'||lpad((p_partkey*2)::VARCHAR,9,'0')""",
     THESAURUS,
@@ -1071,9 +1074,9 @@ def duplicate_ids(spark, d):
 
 @query(
     """SELECT lang, max(n)::INTEGER AS max_words, round(avg(n), 8) AS avg_words
-       FROM (SELECT lang, len(list_filter(string_split_regex(text, '\\s+'), x -> x<>'')) AS n FROM documents) GROUP BY lang
+       FROM (SELECT lang, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x<>'')) AS n FROM documents) GROUP BY lang
        UNION ALL SELECT 'all', max(n)::INTEGER, round(avg(n), 8)
-       FROM (SELECT len(list_filter(string_split_regex(text, '\\s+'), x -> x<>'')) AS n FROM documents)"""
+       FROM (SELECT len(list_filter(string_split_regex(text, '\\s+'), lambda x: x<>'')) AS n FROM documents)"""
 )
 def length_stats(spark, d):
     docs = views.table(spark, d, "documents")
@@ -1114,8 +1117,8 @@ _BITS = H.format("'b42|'||label||'|'||pmid")
 @query(
     f"""SELECT label, split, target, count(*) AS n, sum(pmid)::BIGINT AS sum_pmid FROM (
           SELECT *, sum(target) OVER (PARTITION BY label, split) AS pos,
-                 row_number() OVER (PARTITION BY label, split, target ORDER BY {_BITS}, pmid) AS r FROM nwl)
-        WHERE target=1 OR r<=10*pos GROUP BY label, split, target""",
+                 row_number() OVER (PARTITION BY label, split, target ORDER BY {_BITS}, pmid) AS rn FROM nwl)
+        WHERE target=1 OR rn<=10*pos GROUP BY label, split, target""",
     DATASET,
 )
 def balance_negatives(spark, d):
@@ -1473,10 +1476,10 @@ def train_and_score(spark, d):
 @query(
     f"""SELECT run, label, split, target, count(*) AS n, sum(pmid)::BIGINT AS sum_pmid FROM (
           SELECT x.*, sum(target) OVER (PARTITION BY run, label, split) AS pos,
-                 row_number() OVER (PARTITION BY run, label, split, target ORDER BY {H.format("'b'||seed||'|'||label||'|'||pmid")}, pmid) AS r
+                 row_number() OVER (PARTITION BY run, label, split, target ORDER BY {H.format("'b'||seed||'|'||label||'|'||pmid")}, pmid) AS rn
           FROM (SELECT nwl.*, runs.* FROM nwl CROSS JOIN (VALUES ('a', 42, 10), ('b', 27, 2), ('c', 0, 1000000)) runs(run, seed, n)
                 WHERE run<>'b' OR label IN ('DSMALL_Brand#3')) x)
-        WHERE target=1 OR r<=n*pos GROUP BY run, label, split, target""",
+        WHERE target=1 OR rn<=n*pos GROUP BY run, label, split, target""",
     DATASET,
 )
 def run_grid(spark, d):

@@ -101,7 +101,7 @@ par AS (SELECT DISTINCT c.ui AS label, p.ui AS parent FROM pos c JOIN pos p
         ON p.tn||'.' = left(c.tn, length(c.tn) - strpos(reverse(c.tn), '.') + 1) AND contains(c.tn, '.')),
 leaf AS (SELECT ui FROM rec ANTI JOIN (SELECT DISTINCT ancestor AS ui FROM anc) USING (ui)),
 added AS (SELECT rec.*, raw.p_brand, raw.p_type, raw.p_name, raw.bnum FROM rec JOIN raw ON 'P'||raw.pnum = rec.ui WHERE rec.introduced=1999),
-term AS (SELECT name AS term, min(ui) AS ui FROM (SELECT name, ui FROM rec UNION ALL SELECT 'alias '||k, ui FROM rec WHERE k IS NOT NULL) GROUP BY name),
+term AS (SELECT name AS term, min(ui) AS term_ui FROM (SELECT name, ui FROM rec UNION ALL SELECT 'alias '||k, ui FROM rec WHERE k IS NOT NULL) GROUP BY name),
 scr AS (SELECT 'S'||k AS scr_ui, p_name||' '||k AS term, (CASE WHEN k%3=0 THEN 'M' ELSE 'N' END)||k AS concept,
                p_brand, 'B'||bnum AS brand_ui, k FROM raw WHERE k%5=2),
 old_host AS (SELECT a.ui, min(o.ui) AS host_ui, min_by(o.name, o.ui) AS host_name
@@ -127,7 +127,7 @@ host AS (SELECT ui, '1' AS category, host_name, host_ui, 'NRW' AS relation FROM
          UNION ALL
          SELECT f.ui, '2', 'Gone host', NULL, NULL FROM found f JOIN scr s USING (scr_ui) ANTI JOIN old_host USING (ui) WHERE s.k%4=0
          UNION ALL
-         SELECT a.ui, '3', n.name, t.ui, NULL
+         SELECT a.ui, '3', n.name, t.term_ui, NULL
          FROM added a JOIN newest n USING (k) LEFT JOIN term t ON t.term=n.name
          ANTI JOIN old_host USING (ui) ANTI JOIN (SELECT ui FROM found WHERE scr_ui IS NOT NULL) USING (ui)),
 hosts AS (SELECT * FROM host UNION ALL SELECT ui, '4', NULL, NULL, NULL FROM added ANTI JOIN host USING (ui)),

@@ -17,6 +17,7 @@ def new_session(cpus: int | str = 8, memory: str = "12g", **conf) -> SparkSessio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp")))
     )
     for key, value in conf.items():
