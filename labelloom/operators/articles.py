@@ -129,21 +129,18 @@ def cui_list_in_article(articles: DataFrame, occurrence: DataFrame, cuis: DataFr
     )
 
 
-def articles_of_hosts(golden: DataFrame, label_scope: DataFrame, members: DataFrame) -> DataFrame:
-    """Distinct (label, pmid): articles annotated with a host of the label or a descendant of one.
+def articles_of_hosts(golden: DataFrame, members: DataFrame) -> DataFrame:
+    """Distinct (scope, pmid): articles annotated with a host of the scope or a descendant of one.
 
-    Hosts are shared by many labels, so articles are first reduced to (pmid, scope).
+    Labels with the same hosts share a scope, and each article is listed once per scope.
     """
     wanted = members.withColumnRenamed("member", "label")
-    scoped = lookup_join(golden.select("pmid", "label"), wanted, "label").select("pmid", "scope").distinct()
-    return lookup_join(scoped, label_scope, "scope").select("label", "pmid")
+    return lookup_join(golden.select("pmid", "label"), wanted, "label").select("scope", "pmid").distinct()
 
 
 def article_counts_of_hosts(golden: DataFrame, label_scope: DataFrame, members: DataFrame) -> DataFrame:
-    """(label, n_articles) of ``articles_of_hosts``, counted once per shared scope."""
-    wanted = members.withColumnRenamed("member", "label")
-    scoped = lookup_join(golden.select("pmid", "label"), wanted, "label").select("pmid", "scope").distinct()
-    counts = scoped.groupBy("scope").agg(F.count("*").alias("n_articles"))
+    """(label, n_articles): number of articles of each label's hosts."""
+    counts = articles_of_hosts(golden, members).groupBy("scope").agg(F.count("*").alias("n_articles"))
     return label_scope.join(counts, "scope", "left").select(
         "label", F.coalesce("n_articles", F.lit(0).cast("long")).alias("n_articles")
     )
@@ -157,8 +154,7 @@ def weak_counts_of_hosts(
     Starts from the weak pairs, which are few, and keeps those whose article is in the label's scope.
     ``n_weak`` is null for a label without a concept id.
     """
-    wanted = members.withColumnRenamed("member", "label")
-    scoped = lookup_join(golden.select("pmid", "label"), wanted, "label").select("pmid", "scope").distinct()
+    scoped = articles_of_hosts(golden, members)
     weak = lookup_join(weak_labels(occurrence, label_cuis), label_scope, "label")
     counts = (
         weak.join(scoped, ["pmid", "scope"], "left_semi").groupBy("label").agg(F.count("*").alias("_n"))

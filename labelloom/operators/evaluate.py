@@ -7,15 +7,29 @@ from pyspark.sql import DataFrame, functions as F
 from labelloom.functions.numeric import ratio_or_zero, threshold_grid
 
 
-def confusion(predictions: DataFrame, keys: list[str]) -> DataFrame:
-    """tn, fp, fn, tp per key from 0/1 columns gold and pred."""
-    gold, pred = F.col("gold") == 1, F.col("pred") == 1
-    return predictions.groupBy(*keys).agg(
-        F.count_if(~gold & ~pred).alias("tn"),
-        F.count_if(~gold & pred).alias("fp"),
-        F.count_if(gold & ~pred).alias("fn"),
-        F.count_if(gold & pred).alias("tp"),
+def confusion(predictions: DataFrame, keys: list[str], bases: list[str] | None = None) -> DataFrame:
+    """tn, fp, fn, tp per key from a 0/1 column gold and one 0/1 column per prediction method.
+
+    With ``bases`` the result has one row per method, named in column base; otherwise the method is the
+    column pred. All methods are counted in one pass.
+    """
+    gold = F.col("gold") == 1
+
+    def cells(method):
+        no, yes = F.col(method) == 0, F.col(method) == 1
+        return [
+            F.count_if(~gold & no).alias("tn"),
+            F.count_if(~gold & yes).alias("fp"),
+            F.count_if(gold & no).alias("fn"),
+            F.count_if(gold & yes).alias("tp"),
+        ]
+
+    if bases is None:
+        return predictions.groupBy(*keys).agg(*cells("pred"))
+    counts = predictions.groupBy(*keys).agg(
+        *[F.struct(F.lit(b).alias("base"), *cells(b)).alias(f"_{b}") for b in bases]
     )
+    return counts.select(*keys, F.inline(F.array(*[F.col(f"_{b}") for b in bases])))
 
 
 def with_scores(counts: DataFrame) -> DataFrame:
@@ -106,13 +120,13 @@ def validation_summary(counts: DataFrame, keys: list[str], digits: int = 3) -> D
     )
 
 
-def support_columns(base: DataFrame, dataset: DataFrame, keys: list[str]) -> DataFrame:
+def support_columns(base: DataFrame, dataset: DataFrame, keys: list[str], bases: list[str]) -> DataFrame:
     """Per label: valid_docs of the relabelling dataset, positives of each base method, golden support.
 
-    ``base`` (keys, base, label, pmid, gold, pred); returns one row per label and base method.
+    ``base`` is (keys, label, pmid, gold, one column per base method).
     """
-    counts = base.groupBy(*keys, "base", "label").agg(
-        F.sum("pred").alias("base_docs"), F.sum("gold").alias("support")
+    counts = base.groupBy(*keys, "label").agg(
+        *[F.sum(b).alias(f"{b}_docs") for b in bases], F.sum("gold").alias("support")
     )
     valid = dataset.groupBy(*keys, "label").agg(F.count("*").alias("valid_docs"))
     return counts.join(valid, [*keys, "label"], "left").withColumn(
@@ -120,59 +134,70 @@ def support_columns(base: DataFrame, dataset: DataFrame, keys: list[str]) -> Dat
     )
 
 
-def relabel(base: DataFrame, scored: DataFrame, threshold: float, keys: list[str] | None = None) -> DataFrame:
+def relabel(
+    base: DataFrame, scored: DataFrame, threshold: float, bases: list[str], keys: list[str] | None = None
+) -> DataFrame:
     """Base predictions with 1 where a scored article of the label lies above the threshold.
 
-    ``scored`` holds valid articles only; the comparison is strict.
+    ``base`` is (keys, label, pmid, gold, one 0/1 column per base method), ``scored`` holds valid articles
+    only; the comparison is strict.
     """
-    keys = keys or ["label", "pmid"]
-    flips = scored.where(F.col("prob") > F.lit(threshold)).select(*keys).distinct().withColumn("_flip", F.lit(1))
-    return base.join(flips, keys, "left").withColumn(
-        "pred", F.greatest(F.col("pred"), F.coalesce("_flip", F.lit(0)))
-    ).drop("_flip")
+    keys = [*(keys or []), "label", "pmid"]
+    flips = scored.groupBy(*keys).agg((F.max("prob") > F.lit(threshold)).cast("int").alias("_flip"))
+    flip = F.coalesce("_flip", F.lit(0))
+    return base.join(flips, keys, "left").withColumns({b: F.greatest(F.col(b), flip) for b in bases}).drop("_flip")
 
 
 def apply_sweep(
     base: DataFrame,
     scored: DataFrame,
+    bases: list[str],
+    models: list[str],
     thresholds: list[float] | None = None,
     keys: list[str] | None = None,
-    models: list[str] | None = None,
 ) -> DataFrame:
     """Confusion counts after relabelling, for every key, label, base method, model and threshold.
 
-    ``base`` is (keys, base, label, pmid, gold, pred), ``scored`` (keys, model, label, pmid, prob). The
-    rows are read once: each is put into the bucket of the largest threshold below its probability, and
-    the at most ``len(thresholds) + 1`` bucket counts of a key are then summed up per threshold.
+    ``base`` is (keys, label, pmid, gold, one 0/1 column per base method), ``scored`` (keys, model, label,
+    pmid, prob) of valid articles. Base and scores meet once for all models. A row's level is the number
+    of thresholds below its probability; rows are counted per level, and the at most
+    ``len(thresholds) + 1`` counts of a key are then summed up per threshold.
     """
     grid = threshold_grid(thresholds)
     keys = keys or []
-    models = models or ["model"]
-    if "model" not in scored.columns:
-        scored = scored.withColumn("model", F.lit(models[0]))
+    pair = [*keys, "label", "pmid"]
     passed = sum(((F.col("prob") > F.lit(t)).cast("int") for t in grid), F.lit(0))
-    levels = scored.groupBy(*keys, "model", "label", "pmid").agg(F.max(passed).alias("_level"))
-    rows = base.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
-    joined = rows.join(levels, [*keys, "model", "label", "pmid"], "left")
-    level = F.when(F.col("pred") == 1, 0).otherwise(F.coalesce("_level", F.lit(0)))
-    group = [*keys, "label", "base", "model"]
-    gold = F.col("gold") == 1
-    cells = joined.groupBy(*group, level.alias("_level")).agg(
-        F.count_if(gold & (F.col("pred") == 1)).alias("_tp"),
-        F.count_if(~gold & (F.col("pred") == 1)).alias("_fp"),
-        F.count_if(gold & (F.col("pred") == 0)).alias("_open_gold"),
-        F.count_if(~gold & (F.col("pred") == 0)).alias("_open_other"),
+    names = [f"_level{i}" for i in range(len(models))]
+    levels = scored.groupBy(*pair).agg(
+        *[F.max(F.when(F.col("model") == m, passed)).alias(n) for m, n in zip(models, names)]
     )
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("threshold")) for i, t in enumerate(grid)])
-    spread = cells.select("*", F.explode(steps).alias("_step"))
-    flipped = F.col("_level") > F.col("_step.i")
+    per_model = F.array(
+        *[F.struct(F.lit(m).alias("model"), F.coalesce(n, F.lit(0)).alias("_level")) for m, n in zip(models, names)]
+    )
+    rows = base.join(levels, pair, "left").select(
+        *keys, "label", (F.col("gold") == 1).alias("_gold"), *bases, F.inline(per_model)
+    )
+    gold = F.col("_gold")
+    cells = rows.groupBy(*keys, "label", "model", "_level").agg(
+        *[
+            F.struct(
+                F.lit(b).alias("base"),
+                F.count_if(gold & (F.col(b) == 1)).alias("_tp"),
+                F.count_if(~gold & (F.col(b) == 1)).alias("_fp"),
+                F.count_if(gold & (F.col(b) == 0)).alias("_open_gold"),
+                F.count_if(~gold & (F.col(b) == 0)).alias("_open_other"),
+            ).alias(f"_{b}")
+            for b in bases
+        ]
+    )
+    by_base = cells.select(*keys, "label", "model", "_level", F.inline(F.array(*[F.col(f"_{b}") for b in bases])))
+    steps = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(t).alias("threshold")) for i, t in enumerate(grid)])
+    spread = by_base.select("*", F.inline(steps))
+    flipped = F.col("_level") > F.col("_i")
     zero = F.lit(0).cast("long")
-    return (
-        spread.groupBy(*group, F.col("_step.threshold").alias("threshold"))
-        .agg(
-            F.sum(F.when(~flipped, F.col("_open_other")).otherwise(zero)).alias("tn"),
-            F.sum(F.col("_fp") + F.when(flipped, F.col("_open_other")).otherwise(zero)).alias("fp"),
-            F.sum(F.when(~flipped, F.col("_open_gold")).otherwise(zero)).alias("fn"),
-            F.sum(F.col("_tp") + F.when(flipped, F.col("_open_gold")).otherwise(zero)).alias("tp"),
-        )
+    return spread.groupBy(*keys, "label", "base", "model", "threshold").agg(
+        F.sum(F.when(~flipped, F.col("_open_other")).otherwise(zero)).alias("tn"),
+        F.sum(F.col("_fp") + F.when(flipped, F.col("_open_other")).otherwise(zero)).alias("fp"),
+        F.sum(F.when(~flipped, F.col("_open_gold")).otherwise(zero)).alias("fn"),
+        F.sum(F.col("_tp") + F.when(flipped, F.col("_open_gold")).otherwise(zero)).alias("tp"),
     )

@@ -176,6 +176,38 @@ def label_combinations(pairs: DataFrame) -> DataFrame:
     )
 
 
+def marked_scopes(flags: DataFrame, valid: DataFrame, label_scope: DataFrame) -> DataFrame:
+    """(pmid, scope, golden, weak): each valid scope of an article with its labels in that scope.
+
+    One row stands for all labels of the scope, most of which the article does not carry. The pairs are
+    deduplicated, so the two arrays are bounded by the labels of one scope.
+    """
+    scoped = lookup_join(flags, label_scope, "label")
+    marks = scoped.groupBy("pmid", "scope").agg(
+        F.collect_list(F.when(is_gold(), F.col("label"))).alias("golden"),
+        F.collect_list(F.when(is_weak(), F.col("label"))).alias("weak"),
+    )
+    none = F.array().cast("array<string>")
+    return valid.join(marks, ["pmid", "scope"], "left").withColumns(
+        {c: F.coalesce(F.col(c), none) for c in ("golden", "weak")}
+    )
+
+
+def valid_pairs(golden: DataFrame, weak: DataFrame, label_scope: DataFrame, members: DataFrame) -> DataFrame:
+    """(label, pmid, gold, weak) as 0/1 for every label valid for an article.
+
+    Articles and labels meet last, through the label table, so the many rows are never shuffled.
+    """
+    flags = pair_flags(golden, weak)
+    valid = valid_scopes(flags.where(is_gold()), members)
+    rows = lookup_join(marked_scopes(flags, valid, label_scope), label_scope, "scope")
+    return rows.select(
+        "label",
+        "pmid",
+        *[F.array_contains(c, F.col("label")).cast("int").alias(name) for name, c in (("gold", "golden"), ("weak", "weak"))],
+    )
+
+
 def relabel_dataset(
     golden: DataFrame, weak: DataFrame, label_scope: DataFrame, members: DataFrame, kind: str = "NWL"
 ) -> DataFrame:
@@ -184,19 +216,14 @@ def relabel_dataset(
     NWL: valid articles without the weak label, target 1 for a golden one (false negative).
     PWL: valid articles with the weak label, target 1 for one that is not golden (false positive).
     """
-    flags = pair_flags(golden, weak)
-    valid = valid_scopes(flags.where(is_gold()), members)
     if kind == "PWL":
-        pairs = judged_pairs(flags, valid, label_scope)
+        flags = pair_flags(golden, weak)
+        pairs = judged_pairs(flags, valid_scopes(flags.where(is_gold()), members), label_scope)
         return pairs.where("weak").select("label", "pmid", (~F.col("gold")).cast("int").alias("target"))
     if kind != "NWL":
         raise ValueError("kind must be 'NWL' or 'PWL'")
-    candidates = lookup_join(valid, label_scope, "scope").select("label", "pmid")
-    marked = candidates.join(flags, ["pmid", "label"], "left")
-    flag = F.coalesce(F.col("flags"), F.lit(0))
-    return marked.where(flag.bitwiseAND(WEAK) == 0).select(
-        "label", "pmid", (flag.bitwiseAND(GOLD) != 0).cast("int").alias("target")
-    )
+    pairs = valid_pairs(golden, weak, label_scope, members)
+    return pairs.where("weak = 0").select("label", "pmid", F.col("gold").alias("target"))
 
 
 def group_documents(

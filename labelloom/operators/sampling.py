@@ -29,18 +29,22 @@ def balance_negatives(
     """All positives and at most ``per_positive`` times as many random negatives per label and split.
 
     A group without positives keeps no negatives. The number to keep is exact for any group size.
-    ``per_positive`` and ``seed`` may be columns that are part of ``keys``; a null ratio keeps all.
+    ``per_positive`` and ``seed`` may be columns that are part of ``keys``; a negative ratio keeps all.
     """
     if per_positive is None:
         return rows
     keys = keys or ["label", "split"]
     per_positive = per_positive if isinstance(per_positive, Column) else F.lit(per_positive)
     seed = seed if isinstance(seed, Column) else F.lit(seed)
-    limits = rows.groupBy(*keys).agg(F.count_if(F.col("target") == 1).alias("_positives"))
-    limit = F.coalesce(F.col("_positives") * per_positive, F.lit((1 << 63) - 1))
+    positives = F.count_if(F.col("target") == 1)
+    limits = rows.groupBy(*keys).agg(
+        F.count_if(F.col("target") == 0).alias("group_rows"), positives.alias("_positives")
+    )
+    limit = F.when(per_positive < 0, F.col("group_rows")).otherwise(F.col("_positives") * per_positive)
+    limits = limits.select(*keys, "group_rows", limit.cast("long").alias("group_limit"))
     bits = draw_bits(F.lit("b"), seed, F.lit("|"), F.col("label"), F.lit("|"), F.col("pmid"))
     negatives = rows.where("target = 0").withColumn("_bits", bits)
-    kept = first_per_group(negatives, keys, "_bits", ["pmid"], limit, limits).drop("_bits")
+    kept = first_per_group(negatives, keys, "_bits", ["pmid"], limits).drop("_bits")
     return rows.where("target <> 0").unionByName(kept.select(*rows.columns))
 
 
@@ -56,7 +60,7 @@ def grid_rows(rows: DataFrame, runs: list[dict], keys: list[str] | None = None)
             F.struct(
                 F.lit(r["name"]).alias("run"),
                 F.lit(r["seed"]).cast("int").alias("seed"),
-                F.lit(r["per_positive"]).cast("long").alias("per_positive"),
+                F.lit(-1 if r["per_positive"] is None else r["per_positive"]).alias("per_positive"),
                 (F.array(*[F.lit(x) for x in r["labels"]]) if r.get("labels") else F.lit(None))
                 .cast("array<string>")
                 .alias("focus"),

@@ -11,14 +11,14 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from labelloom.functions.numeric import draw_bits
 
 # Rows up to which a narrow vocabulary table is sent to every executor.
 BROADCAST_ROWS = 200_000
 SALTS = 32
-RANK_BUCKETS = 4096
+BUCKET_ROWS = 100_000
 MAX_BROADCAST_ROWS_CONF = "spark.labelloom.lookup.broadcastRows"
 
 
@@ -46,38 +46,43 @@ def lookup_join(
 
 
 def first_per_group(
-    rows: DataFrame,
-    keys: list[str],
-    order_bits: str,
-    tie: list[str],
-    limit: Column,
-    group_limits: DataFrame,
-    buckets: int = RANK_BUCKETS,
+    rows: DataFrame, keys: list[str], order_bits: str, tie: list[str], limits: DataFrame
 ) -> DataFrame:
     """Rows whose rank by (``order_bits``, ``tie``) within ``keys`` is at most the group's limit.
 
-    ``order_bits`` is an evenly spread 32-bit number, so cutting its range into buckets splits even a
-    group that holds most rows. Buckets wholly beyond the limit are
-    dropped before the ranking, which then runs per bucket.
-    ``group_limits`` holds one row per group; ``limit`` is an expression over its columns.
+    ``limits`` is (keys, group_rows, group_limit). ``order_bits`` is an evenly spread 32-bit number: its
+    range is cut into buckets, more of them for larger groups, and counted. Rows before the bucket in
+    which the limit falls are kept as they are, rows after it are dropped, and only that one bucket,
+    of bounded size, is ranked. No group is ever sorted as a whole.
     """
-    width = (1 << 32) // buckets
-    bucketed = rows.withColumn("_bucket", F.floor(F.col(order_bits) / F.lit(width)).cast("int"))
-    sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    limits = materialize(limits, "group-limits")
+    n_buckets = F.least(F.greatest(F.ceil(F.col("group_rows") / BUCKET_ROWS), F.lit(1)), F.lit(1 << 20))
+    bucket = F.floor(F.col(order_bits) * n_buckets / F.lit(1 << 32)).cast("int")
+    sizes = (
+        lookup_join(rows.select(*keys, order_bits), limits, keys)
+        .groupBy(*keys, "group_rows", "group_limit", bucket.alias("_bucket"))
+        .agg(F.count("*").alias("_n"))
+    )
     below = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = (
+    before, limit = F.col("_before"), F.col("group_limit")
+    fits = before + F.col("_n") <= limit
+    is_edge = ~fits & (before < limit)
+    cuts = materialize(
         sizes.withColumn("_before", F.coalesce(F.sum("_n").over(below), F.lit(0)))
-        .join(group_limits.select(*keys, limit.cast("long").alias("_limit")), keys)
-        .where(F.col("_before") < F.col("_limit"))
-        .select(*keys, "_bucket", (F.col("_limit") - F.col("_before")).alias("_left"))
-    )
-    in_bucket = Window.partitionBy(*keys, "_bucket").orderBy(order_bits, *tie)
-    return (
-        bucketed.join(cuts, [*keys, "_bucket"])
-        .withColumn("_rank", F.row_number().over(in_bucket))
-        .where(F.col("_rank") <= F.col("_left"))
-        .drop("_bucket", "_left", "_rank")
+        .groupBy(*keys, "group_rows")
+        .agg(
+            F.coalesce(F.max(F.when(fits, F.col("_bucket"))), F.lit(-1)).alias("_last_whole"),
+            F.coalesce(F.max(F.when(is_edge, F.col("_bucket"))), F.lit(-1)).alias("_edge"),
+            F.max(F.when(is_edge, limit - before)).alias("_left"),
+        ),
+        "group-cuts",
     )
+    cut_rows = lookup_join(rows, cuts, keys).withColumn("_bucket", bucket)
+    whole = cut_rows.where(F.col("_bucket") <= F.col("_last_whole"))
+    in_edge = Window.partitionBy(*keys).orderBy(order_bits, *tie)
+    ranked = cut_rows.where(F.col("_bucket") == F.col("_edge")).withColumn("_rank", F.row_number().over(in_edge))
+    edge = ranked.where(F.col("_rank") <= F.col("_left"))
+    return whole.select(*rows.columns).unionByName(edge.select(*rows.columns))
 
 
 def number_rows(df: DataFrame, key: str, name: str = "position", parts: int = 64) -> DataFrame:

@@ -95,15 +95,12 @@ def diff_versions(
     )
 
 
-def describe_introductions(
-    old: DataFrame, new: DataFrame, now: DataFrame, scrs: DataFrame, exceptions: DataFrame | None = None
-) -> DataFrame:
+def describe_introductions(added: DataFrame, hosts: DataFrame, now: DataFrame) -> DataFrame:
     """Use cases: one row per new label with its origin, hosts and position in the hierarchy.
 
-    The labels below the hosts are counted; the list itself stays in ``versions.extended_hosts``.
+    ``hosts`` are the rows of ``versions.provenance_hosts`` for the labels ``added``. The labels below the
+    hosts are counted; the list itself stays in ``versions.extended_hosts``.
     """
-    added = versions.new_descriptors(old, new, now)
-    hosts = materialize(versions.provenance_hosts(added, old, scrs, now, exceptions), "hosts")
     types = versions.provenance_codes(versions.provenance_types(hosts, now))
     relations = versions.host_relations(hosts, now)
     host_lists = hosts.where("host_name IS NOT NULL").groupBy("descriptor_ui").agg(

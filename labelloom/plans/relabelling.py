@@ -91,14 +91,15 @@ def evaluate_scored(scored: DataFrame, keys: list[str]) -> tuple[DataFrame, Data
 def apply_relabelling(
     base: DataFrame,
     scored: DataFrame,
+    bases: list[str],
+    models: list[str],
     thresholds: list[float] | None = None,
     keys: list[str] | None = None,
-    models: list[str] | None = None,
 ) -> DataFrame:
     """The whole threshold sweep with the scores of the positive class before and after relabelling."""
     keys = keys or []
-    after = evaluate.with_scores(evaluate.apply_sweep(base, scored, thresholds, keys, models))
-    before = evaluate.with_scores(evaluate.confusion(base, [*keys, "label", "base"]))
+    after = evaluate.with_scores(evaluate.apply_sweep(base, scored, bases, models, thresholds, keys))
+    before = evaluate.with_scores(evaluate.confusion(base, [*keys, "label"], bases))
     original = before.select(
         *keys, "label", "base", *[F.col(c).alias(f"base_{c}") for c in ("precision", "recall", "f1")]
     )

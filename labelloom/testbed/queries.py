@@ -145,8 +145,8 @@ def fasttext_lines(spark, d):
 
 
 def _scope_info(spark, d):
-    old, new, now = views.versions3(spark, d)
-    added, hosts = _hosts(spark, d)
+    hosts, now = _hosts(spark, d)
+    added = _added(now)
     year = F.lit(views.NEW_VERSION)
     host_rows = hosts.where("host_ui IS NOT NULL").select(year.alias("year"), F.col("host_ui").alias("host")).distinct()
     members = hierarchy.branches(hierarchy.ancestors(now), host_rows.select(F.col("host").alias("head"))).toDF("host", "member")
@@ -422,8 +422,7 @@ _CODES = """SELECT ui AS descriptor_ui, category, n_hosts,
 
 @query(_CODES, THESAURUS)
 def provenance_strings(spark, d):
-    added, hosts = _hosts(spark, d)
-    _, _, now = views.versions3(spark, d)
+    hosts, now = _hosts(spark, d)
     coded = versions.provenance_codes(versions.provenance_types(hosts, now))
     return coded.select("descriptor_ui", "category", "n_hosts", "prov_code")
 
@@ -451,15 +450,16 @@ def completed_between(spark, d):
     THESAURUS,
 )
 def annotated_with_any(spark, d):
-    closure = hierarchy.ancestors(views.descriptors(spark, d))
-    brands = views.descriptors(spark, d).where(F.col("descriptor_ui").isin("B002", "B013"))
+    now = views.thesaurus(spark, d)
+    closure = hierarchy.ancestors(now)
+    brands = now.where(F.col("descriptor_ui").isin("B002", "B013"))
     wanted = brands.select(F.col("descriptor_ui").alias("label"))
     return art.annotated_pmids(views.part_annotations(spark, d), wanted, closure)
 
 
 @query("SELECT ui AS descriptor_ui FROM rec JOIN leaf USING (ui) WHERE n_concepts=1", THESAURUS)
 def single_concept_leaves(spark, d):
-    return hierarchy.single_concept_leaves(views.descriptors(spark, d)).select("descriptor_ui")
+    return hierarchy.single_concept_leaves(views.thesaurus(spark, d)).select("descriptor_ui")
 
 
 @query("SELECT ui AS descriptor_ui, introduced AS version FROM rec JOIN leaf USING (ui) WHERE introduced<=1998", THESAURUS)
@@ -504,7 +504,7 @@ def select_by_noise(spark, d):
     DATASET,
 )
 def focus_labels(spark, d):
-    rows = views.dataset(spark, d)
+    rows = materialize(views.dataset(spark, d), "dataset")
     known = views.label_parent(spark, d).where(F.col("label").isin("DSMALL_Brand#3", "DPROMO_Brand#1", "Dnone"))
     unknown = views.label_parent(spark, d).select(F.concat(F.lit("no "), "label").alias("label"))
     some = per_label(sampling.focus_labels(rows, known)).withColumn("focus", F.lit("some found"))
@@ -522,9 +522,10 @@ def newest_host_only(spark, d):
 
 def _use_cases(spark, d):
     old, new, now = views.versions3(spark, d)
+    added = versions.new_descriptors(old, new, now)
     exceptions = views.scr_exceptions(spark, d)
-    cases = curation.describe_introductions(old, new, now, views.scrs(spark, d), exceptions)
-    _, hosts = _hosts(spark, d)
+    hosts = materialize(versions.provenance_hosts(added, old, views.scrs(spark, d), now, exceptions), "hosts")
+    cases = curation.describe_introductions(added, hosts, now)
     annotated = views.part_annotations(spark, d).join(views.dated_articles(spark, d), "pmid")
     cases = materialize(cases, "use-cases")
     return curation.select_use_cases(
@@ -609,12 +610,12 @@ def existing_in(spark, d):
 
 @query("SELECT label, parent FROM par", THESAURUS)
 def parents(spark, d):
-    return hierarchy.label_parents(views.descriptors(spark, d))
+    return hierarchy.label_parents(views.thesaurus(spark, d))
 
 
 @query("SELECT ancestor, descendant FROM anc", THESAURUS)
 def descendants(spark, d):
-    return hierarchy.ancestors(views.descriptors(spark, d))
+    return hierarchy.ancestors(views.thesaurus(spark, d))
 
 
 @query(
@@ -625,7 +626,7 @@ def descendants(spark, d):
     THESAURUS,
 )
 def parents_plus(spark, d):
-    label_scope, members = hierarchy.parents_plus(views.descriptors(spark, d))
+    label_scope, members = hierarchy.parents_plus(views.thesaurus(spark, d))
     sizes = members.groupBy("scope").agg(
         F.count("*").alias("n_members"), F.min("member").alias("first_member"), F.max("member").alias("last_member")
     )
@@ -643,9 +644,9 @@ def parents_plus(spark, d):
     THESAURUS,
 )
 def hierarchical_relations(spark, d):
-    _, hosts = _hosts(spark, d)
+    hosts, now = _hosts(spark, d)
     pairs = hosts.where("host_name IS NOT NULL").select("descriptor_ui", "host_ui").distinct()
-    related = hierarchy.hierarchical_relations(pairs, views.descriptors(spark, d))
+    related = hierarchy.hierarchical_relations(pairs, now)
     return related.select("descriptor_ui", "host_ui", F.array_join("relations", ".").alias("relations"))
 
 
@@ -747,11 +748,17 @@ def attach_label_info(spark, d):
     return labels.attach_label_info(views.label_stats(spark, d), info).select("label", "fp", "fn", "parent")
 
 
+def _added(now):
+    old, new = (now.where(F.col("version") <= v) for v in (views.OLD_VERSION, views.NEW_VERSION))
+    return versions.new_descriptors(old, new, now)
+
+
 def _hosts(spark, d):
+    """Former hosts of the new labels, and the thesaurus they are looked up in; both written once."""
     old, new, now = views.versions3(spark, d)
     added = versions.new_descriptors(old, new, now)
     hosts = versions.provenance_hosts(added, old, views.scrs(spark, d), now, views.scr_exceptions(spark, d))
-    return added, materialize(hosts, "hosts")
+    return materialize(hosts, "hosts"), now
 
 
 @query(
@@ -760,8 +767,8 @@ def _hosts(spark, d):
     THESAURUS,
 )
 def extended_hosts(spark, d):
-    _, hosts = _hosts(spark, d)
-    label_scope, members = versions.extended_hosts(hosts, views.descriptors(spark, d))
+    hosts, now = _hosts(spark, d)
+    label_scope, members = versions.extended_hosts(hosts, now)
     sizes = members.groupBy("scope").agg(F.count("*").alias("n_extended"))
     return label_scope.join(sizes, "scope").select(
         F.col("label").alias("descriptor_ui"), F.col("scope").alias("host_uis"), "n_extended"
@@ -774,26 +781,26 @@ def extended_hosts(spark, d):
     THESAURUS,
 )
 def articles_of_hosts(spark, d):
-    _, hosts = _hosts(spark, d)
+    hosts, now = _hosts(spark, d)
     annotated = views.part_annotations(spark, d).join(views.dated_articles(spark, d), "pmid")
-    label_scope, members = versions.extended_hosts(hosts, views.descriptors(spark, d))
-    found = art.completed_between(annotated, 1997, 1998)
-    return per_label(art.articles_of_hosts(found, label_scope, members))
+    label_scope, members = versions.extended_hosts(hosts, now)
+    found = art.articles_of_hosts(art.completed_between(annotated, 1997, 1998), members)
+    per_scope = found.groupBy("scope").agg(F.count("*").alias("n"), F.sum("pmid").alias("sum_pmid"))
+    return label_scope.join(per_scope, "scope").select("label", "n", "sum_pmid")
 
 
 @query(
-    f"""SELECT base, {PER_LABEL}, sum(pred) FILTER (gold=1)::BIGINT AS tp, sum(new_pred)::BIGINT AS predicted FROM (
+    f"""SELECT base, {PER_LABEL}, sum(new_pred*gold)::BIGINT AS tp, sum(new_pred)::BIGINT AS predicted FROM (
           SELECT b.*, greatest(b.pred, CASE WHEN s.prob > 0.8::DOUBLE THEN 1 ELSE 0 END) AS new_pred
           FROM base b LEFT JOIN scored s ON s.pmid=b.pmid AND s.label=b.label) GROUP BY base, label""",
     DATASET,
 )
 def relabel(spark, d):
-    base = views.base_predictions(spark, d).withColumn("old", F.col("pred"))
-    new = evaluate.relabel(base, views.scored(spark, d), 0.8)
-    return new.groupBy("base", "label").agg(
-        F.count("*").alias("n"), F.sum("pmid").alias("sum_pmid"),
-        F.sum(F.when(F.col("gold") == 1, F.col("old"))).alias("tp"), F.sum("pred").alias("predicted"),
-    )
+    base = views.base_predictions(spark, d)
+    new = evaluate.relabel(base, views.scored(spark, d), 0.8, views.BASES)
+    counts = per_label(new, *[F.sum(b).alias(b) for b in views.BASES], *[F.sum(F.col("gold") * F.col(b)).alias(f"tp_{b}") for b in views.BASES])
+    methods = F.array(*[F.struct(F.lit(b).alias("base"), F.col(b).alias("predicted"), F.col(f"tp_{b}").alias("tp")) for b in views.BASES])
+    return counts.select("label", "n", "sum_pmid", F.inline(methods))
 
 
 @query(
@@ -990,7 +997,7 @@ def label_sums(spark, d):
     THESAURUS,
 )
 def concepts_per_record(spark, d):
-    old = views.descriptors(spark, d, views.OLD_VERSION)
+    old = views.descriptors(spark, d).where(F.col("version") <= views.OLD_VERSION)
     averages = [
         versions.concepts_per_record(rows).select(F.lit(kind).alias("kind"), "avg_concepts")
         for kind, rows in (("descriptor", old), ("scr", views.scrs(spark, d)), ("none", old.where("version > 3000")))
@@ -1016,13 +1023,13 @@ def selection_funnel(spark, d):
     THESAURUS,
 )
 def provenance_types(spark, d):
-    _, hosts = _hosts(spark, d)
-    return versions.provenance_types(hosts, views.descriptors(spark, d))
+    hosts, now = _hosts(spark, d)
+    return versions.provenance_types(hosts, now)
 
 
 @query("SELECT ui AS descriptor_ui, category, host_name, host_ui, relation FROM hosts", THESAURUS)
 def provenance_category(spark, d):
-    return _hosts(spark, d)[1]
+    return _hosts(spark, d)[0]
 
 
 @query(
@@ -1037,8 +1044,8 @@ def provenance_category(spark, d):
     THESAURUS,
 )
 def multi_related_hosts(spark, d):
-    _, hosts = _hosts(spark, d)
-    return versions.host_relations(hosts, views.descriptors(spark, d))
+    hosts, now = _hosts(spark, d)
+    return versions.host_relations(hosts, now)
 
 
 @query(
@@ -1058,7 +1065,7 @@ def class_balance(spark, d):
     DATASET,
 )
 def class_weights(spark, d):
-    balance = sampling.class_balance(views.dataset(spark, d).where("split = 'train'"))
+    balance = materialize(sampling.class_balance(views.dataset(spark, d).where("split = 'train'")), "class-balance")
     inv = sampling.class_weights(balance, "inv")
     root = sampling.class_weights(balance, "sqrt_inv").select("label", rounded("weight", "sqrt_inv"))
     cb = sampling.class_weights(balance, "CB", beta=0.9).select("label", rounded("weight", "cb"))
@@ -1122,7 +1129,8 @@ _BITS = H.format("'b42|'||label||'|'||pmid")
     DATASET,
 )
 def balance_negatives(spark, d):
-    kept = sampling.balance_negatives(views.dataset(spark, d), 10, 42)
+    rows = materialize(views.dataset(spark, d), "dataset")
+    kept = sampling.balance_negatives(rows, 10, 42)
     return kept.groupBy("label", "split", "target").agg(F.count("*").alias("n"), F.sum("pmid").alias("sum_pmid"))
 
 
@@ -1225,7 +1233,7 @@ bs AS (SELECT *, coalesce(tp::DOUBLE/nullif(tp+fp,0),0) AS p, coalesce(tp::DOUBL
 @query("SELECT label, base, 'hashed' AS model, threshold, tn, fp, fn, tp FROM conf", DATASET + _GRID)
 def apply_sweep(spark, d):
     scored = views.scored(spark, d).withColumn("model", F.lit("hashed"))
-    swept = evaluate.apply_sweep(views.base_predictions(spark, d), scored, models=["hashed"])
+    swept = evaluate.apply_sweep(views.base_predictions(spark, d), scored, views.BASES, ["hashed"])
     return swept.select("label", "base", "model", "threshold", "tn", "fp", "fn", "tp")
 
 
@@ -1238,7 +1246,8 @@ def apply_sweep(spark, d):
     DATASET + _GRID + _BASE_CONF,
 )
 def apply_relabelling(spark, d):
-    swept = relabelling.apply_relabelling(views.base_predictions(spark, d), views.scored(spark, d), [0.975])
+    scored = views.scored(spark, d).withColumn("model", F.lit("hashed"))
+    swept = relabelling.apply_relabelling(views.base_predictions(spark, d), scored, views.BASES, ["hashed"], [0.975])
     scores = ("precision", "recall", "f1")
     return swept.select(
         "label", "base", "threshold", "tn", "fp", "fn", "tp",
@@ -1248,7 +1257,7 @@ def apply_relabelling(spark, d):
 
 @query("SELECT label, base, tn, fp, fn, tp FROM bc", DATASET + _BASE_CONF)
 def confusion(spark, d):
-    return evaluate.confusion(views.base_predictions(spark, d), ["label", "base"])
+    return evaluate.confusion(views.base_predictions(spark, d), ["label"], views.BASES)
 
 
 _REPORT = """,
@@ -1267,7 +1276,7 @@ cls AS (SELECT label, base, tn, fp, fn, tp, p AS p1, r AS r1, f AS f1,
     DATASET + _BASE_CONF + _REPORT,
 )
 def classification_report(spark, d):
-    counts = evaluate.confusion(views.base_predictions(spark, d), ["label", "base"])
+    counts = evaluate.confusion(views.base_predictions(spark, d), ["label"], views.BASES)
     report = evaluate.classification_report(counts, ["label", "base"])
     return report.select(
         "label", "base", "class", *[rounded(c, c) for c in ("precision", "recall", "f1")], "support", "tn", "fp", "fn", "tp"
@@ -1279,7 +1288,7 @@ def classification_report(spark, d):
     DATASET + _BASE_CONF,
 )
 def micro_macro_f1(spark, d):
-    counts = evaluate.confusion(views.base_predictions(spark, d), ["label", "base"])
+    counts = evaluate.confusion(views.base_predictions(spark, d), ["label"], views.BASES)
     return evaluate.micro_macro_f1(counts, ["base"]).select("base", rounded("micro_f1", "micro_f1"), rounded("macro_f1", "macro_f1"))
 
 
@@ -1292,7 +1301,7 @@ lw AS (SELECT label, target, least(greatest(prob, 1e-12::DOUBLE), 1-1e-12::DOUBL
               (count(*) OVER (PARTITION BY label) - sum(target) OVER (PARTITION BY label))::DOUBLE/sum(target) OVER (PARTITION BY label) AS w FROM scored)""",
 )
 def weighted_log_loss(spark, d):
-    scored = views.scored(spark, d)
+    scored = materialize(views.scored(spark, d), "scored")
     weights = sampling.class_balance(scored).select("label", "pos_weight")
     weighted = scored.join(weights, "label")
     parts = [
@@ -1312,17 +1321,18 @@ def weighted_log_loss(spark, d):
     DATASET + _BASE_CONF,
 )
 def validation_summary(spark, d):
-    counts = evaluate.confusion(views.base_predictions(spark, d), ["base"])
+    counts = evaluate.confusion(views.base_predictions(spark, d), [], views.BASES)
     return evaluate.validation_summary(counts, ["base"])
 
 
 @query(
-    """SELECT base, label, sum(pred)::BIGINT AS base_docs, sum(gold)::BIGINT AS support,
-              (SELECT count(*) FROM nwl WHERE nwl.label=base.label) AS valid_docs FROM base GROUP BY base, label""",
+    """SELECT label, (sum(pred) FILTER (base='weak'))::BIGINT AS weak_docs, (sum(pred) FILTER (base='draw'))::BIGINT AS draw_docs,
+              (sum(gold) FILTER (base='weak'))::BIGINT AS support,
+              (SELECT count(*) FROM nwl WHERE nwl.label=base.label) AS valid_docs FROM base GROUP BY label""",
     DATASET,
 )
 def support_columns(spark, d):
-    return evaluate.support_columns(views.base_predictions(spark, d), views.dataset(spark, d), [])
+    return evaluate.support_columns(views.base_predictions(spark, d), views.dataset(spark, d), [], views.BASES)
 
 
 # --- flows ---------------------------------------------------------------------------------------
@@ -1410,7 +1420,9 @@ def diff_versions(spark, d):
 )
 def describe_introductions(spark, d):
     old, new, now = views.versions3(spark, d)
-    cases = curation.describe_introductions(old, new, now, views.scrs(spark, d), views.scr_exceptions(spark, d))
+    added = versions.new_descriptors(old, new, now)
+    hosts = versions.provenance_hosts(added, old, views.scrs(spark, d), now, views.scr_exceptions(spark, d))
+    cases = curation.describe_introductions(added, materialize(hosts, "hosts"), now)
     titles = ["Descr. UI", "Prov. Code", "PH count", "#Ct", "Parent Ds", "PHs", "PHs UIs", "#PHex", "#Descendant Ds"]
     return writers.use_case_table(cases).select(*[F.col(f"`{t}`") for t in titles])
 
@@ -1428,7 +1440,7 @@ def describe_introductions(spark, d):
     THESAURUS + ", leafcase AS (SELECT ui FROM added JOIN leaf USING (ui))",
 )
 def build_retro_dataset(spark, d):
-    added, hosts = _hosts(spark, d)
+    hosts, now = _hosts(spark, d)
     orders = views.dated_articles(spark, d)
     both = F.array(F.lit(1).alias("r"), F.lit(2))
     # each article in two revisions, of which the older one carries no labels
@@ -1442,7 +1454,7 @@ def build_retro_dataset(spark, d):
         )
     )
     rows = curation.build_retro_dataset(
-        revisions, added, hosts, views.descriptors(spark, d), _part_occurrence(spark, d), _part_cuis(spark, d), 1999, 2001
+        revisions, _added(now), hosts, now, _part_occurrence(spark, d), _part_cuis(spark, d), 1999, 2001
     )
     marked = rows.where("label IS NOT NULL")
     return per_label(marked, F.sum("gold").alias("n_gold"), F.sum("weak").alias("n_weak"))
@@ -1453,7 +1465,8 @@ def build_retro_dataset(spark, d):
     DATASET + _BASE_CONF,
 )
 def evaluate_scored(spark, d):
-    scored = views.base_predictions(spark, d).select("base", "label", "pmid", F.col("gold").alias("target"), "pred")
+    methods = F.array(*[F.struct(F.lit(b).alias("base"), F.col(b).alias("pred")) for b in views.BASES])
+    scored = views.base_predictions(spark, d).select("label", "pmid", F.col("gold").alias("target"), F.inline(methods))
     report, _ = relabelling.evaluate_scored(scored, ["base"])
     positive = report.where(F.col("class") == "1")
     return positive.select("label", "base", *[rounded(c, c) for c in ("precision", "recall", "f1")])
@@ -1488,5 +1501,5 @@ def run_grid(spark, d):
         {"name": "b", "seed": 27, "per_positive": 2, "labels": ["DSMALL_Brand#3", "unknown"]},
         {"name": "c", "seed": 0, "per_positive": 1000000, "labels": ["unknown"]},
     ]
-    rows = sampling.grid_rows(views.dataset(spark, d), runs)
+    rows = sampling.grid_rows(materialize(views.dataset(spark, d), "dataset"), runs)
     return rows.groupBy("run", "label", "split", "target").agg(F.count("*").alias("n"), F.sum("pmid").alias("sum_pmid"))

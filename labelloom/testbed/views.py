@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from labelloom.functions import notes, records
+from labelloom.functions import notes
 from labelloom.functions.numeric import draw
 from labelloom.operators import hierarchy, labels, sampling
+from labelloom.operators.articles import weak_labels
+from labelloom.operators.scale import materialize
+from labelloom.plans.relabelling import build_relabel_datasets
 
 OLD_VERSION, NEW_VERSION, NOW_VERSION = 1998, 1999, 2001
 
@@ -151,9 +154,6 @@ def text_scopes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 def text_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relabelling rows of the documents: (label, pmid, target, split)."""
-    from labelloom.operators.articles import weak_labels
-    from labelloom.plans.relabelling import build_relabel_datasets
-
     weak_pairs = weak_labels(text_occurrence(spark, sf_dir), text_labels(spark, sf_dir))
     label_scope, members = text_scopes(spark, sf_dir)
     return build_relabel_datasets(text_golden(spark, sf_dir), weak_pairs, label_scope, members)
@@ -174,24 +174,14 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("prob", prob)
 
 
+BASES = ["weak", "draw"]
+
+
 def base_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All valid pairs with golden value and two base methods: weak labels and a random draw."""
-    gold, weak_rows, label_scope, members = annotation_inputs(spark, sf_dir)
-    flags = labels.pair_flags(gold, weak_rows)
-    valid = labels.valid_scopes(flags.where(labels.is_gold()), members)
-    pairs = labels.lookup_join(valid, label_scope, "scope").select("pmid", "label")
-    marked = pairs.join(flags, ["pmid", "label"], "left").select(
-        "pmid",
-        "label",
-        F.coalesce(labels.is_gold().cast("int"), F.lit(0)).alias("gold"),
-        F.coalesce(labels.is_weak().cast("int"), F.lit(0)).alias("_weak"),
-    )
-    chance = (draw(F.lit("b|"), F.col("pmid"), F.col("label")) > F.lit(0.8)).cast("int")
-    methods = F.array(
-        F.struct(F.lit("weak").alias("base"), F.col("_weak").alias("pred")),
-        F.struct(F.lit("draw").alias("base"), chance.alias("pred")),
-    )
-    return marked.withColumn("_m", F.explode(methods)).select("pmid", "label", "gold", "_m.base", "_m.pred")
+    pairs = labels.valid_pairs(*annotation_inputs(spark, sf_dir))
+    chance = draw(F.lit("b|"), F.col("pmid"), F.col("label")) > F.lit(0.8)
+    return pairs.withColumn("draw", chance.cast("int"))
 
 
 # --- thesaurus -----------------------------------------------------------------------------------
@@ -257,8 +247,8 @@ def part_note() -> Column:
     )
 
 
-def descriptors(spark: SparkSession, sf_dir: str, version: int = NOW_VERSION) -> DataFrame:
-    """Types, brands and parts as three levels of descriptors, as of a version."""
+def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types, brands and parts as three levels of descriptors; version is the year of introduction."""
     parts = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     base = F.lit(1990)
@@ -293,7 +283,7 @@ def descriptors(spark: SparkSession, sf_dir: str, version: int = NOW_VERSION) ->
     own = _one_concept(F.concat(F.lit("M"), key.cast("string")), name)
     next_ui = F.concat(F.lit("M"), (key + 1).cast("string"))
     second = F.struct(next_ui.alias("ui"), name.alias("name"), F.lit("N").alias("preferred"), F.array(name).alias("terms"))
-    leaves = parts.withColumn("_introduced", (1995 + key % 7).cast("int")).where(F.col("_introduced") <= version).select(
+    leaves = parts.select(
         *_record(
             descriptor_ui=F.concat(F.lit("P"), F.lpad(key.cast("string"), 9, "0")),
             descriptor_name=name,
@@ -307,7 +297,7 @@ def descriptors(spark: SparkSession, sf_dir: str, version: int = NOW_VERSION) ->
             ),
             indexing_texts=_part_entries(),
             terms=F.array(name, F.concat(F.lit("alias "), key.cast("string"))),
-            version=F.col("_introduced"),
+            version=(1995 + key % 7).cast("int"),
         )
     )
     union = types.unionByName(brands).unionByName(leaves)
@@ -316,8 +306,14 @@ def descriptors(spark: SparkSession, sf_dir: str, version: int = NOW_VERSION) ->
     ).drop("indexing_texts")
 
 
+def thesaurus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest version, written once like any parsed thesaurus file."""
+    return materialize(descriptors(spark, sf_dir), "thesaurus")
+
+
 def versions3(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(descriptors(spark, sf_dir, v) for v in (OLD_VERSION, NEW_VERSION, NOW_VERSION))
+    now = thesaurus(spark, sf_dir)
+    return now.where(F.col("version") <= OLD_VERSION), now.where(F.col("version") <= NEW_VERSION), now
 
 
 def scrs(spark: SparkSession, sf_dir: str) -> DataFrame:
