@@ -129,32 +129,41 @@ def cui_list_in_article(articles: DataFrame, occurrence: DataFrame, cuis: DataFr
     )
 
 
-def articles_of_hosts(golden: DataFrame, members: DataFrame) -> DataFrame:
+def articles_of_hosts(golden: DataFrame, scope_hosts: DataFrame, branches: DataFrame) -> DataFrame:
     """Distinct (scope, pmid): articles annotated with a host of the scope or a descendant of one.
 
-    Labels with the same hosts share a scope, and each article is listed once per scope.
+    ``scope_hosts`` is (scope, parent), ``branches`` (parent, member). Labels with the same hosts share a
+    scope. An article is first reduced to its hosts, then each host leads to its scopes.
     """
-    wanted = members.withColumnRenamed("member", "label")
-    return lookup_join(golden.select("pmid", "label"), wanted, "label").select("scope", "pmid").distinct()
+    of_host = lookup_join(golden.select("pmid", "label"), branches.withColumnRenamed("member", "label"), "label")
+    pairs = of_host.select("pmid", "parent").distinct()
+    return lookup_join(pairs, scope_hosts, "parent").select("scope", "pmid").distinct()
 
 
-def article_counts_of_hosts(golden: DataFrame, label_scope: DataFrame, members: DataFrame) -> DataFrame:
+def article_counts_of_hosts(
+    golden: DataFrame, label_scope: DataFrame, scope_hosts: DataFrame, branches: DataFrame
+) -> DataFrame:
     """(label, n_articles): number of articles of each label's hosts."""
-    counts = articles_of_hosts(golden, members).groupBy("scope").agg(F.count("*").alias("n_articles"))
+    counts = articles_of_hosts(golden, scope_hosts, branches).groupBy("scope").agg(F.count("*").alias("n_articles"))
     return label_scope.join(counts, "scope", "left").select(
         "label", F.coalesce("n_articles", F.lit(0).cast("long")).alias("n_articles")
     )
 
 
 def weak_counts_of_hosts(
-    golden: DataFrame, label_scope: DataFrame, members: DataFrame, occurrence: DataFrame, label_cuis: DataFrame
+    golden: DataFrame,
+    label_scope: DataFrame,
+    scope_hosts: DataFrame,
+    branches: DataFrame,
+    occurrence: DataFrame,
+    label_cuis: DataFrame,
 ) -> DataFrame:
     """(label, cui, n_weak): articles of the label's hosts in which its concept occurs.
 
     Starts from the weak pairs, which are few, and keeps those whose article is in the label's scope.
     ``n_weak`` is null for a label without a concept id.
     """
-    scoped = articles_of_hosts(golden, members)
+    scoped = articles_of_hosts(golden, scope_hosts, branches)
     weak = lookup_join(weak_labels(occurrence, label_cuis), label_scope, "label")
     counts = (
         weak.join(scoped, ["pmid", "scope"], "left_semi").groupBy("label").agg(F.count("*").alias("_n"))

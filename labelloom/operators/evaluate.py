@@ -159,7 +159,7 @@ def apply_sweep(
     """Confusion counts after relabelling, for every key, label, base method, model and threshold.
 
     ``base`` is (keys, label, pmid, gold, one 0/1 column per base method), ``scored`` (keys, model, label,
-    pmid, prob) of valid articles. Base and scores meet once for all models. A row's level is the number
+    pmid, prob) of valid articles, one row per pair and model. Base and scores meet once for all models. A row's level is the number
     of thresholds below its probability; rows are counted per level, and the at most
     ``len(thresholds) + 1`` counts of a key are then summed up per threshold.
     """
@@ -168,9 +168,12 @@ def apply_sweep(
     pair = [*keys, "label", "pmid"]
     passed = sum(((F.col("prob") > F.lit(t)).cast("int") for t in grid), F.lit(0))
     names = [f"_level{i}" for i in range(len(models))]
-    levels = scored.groupBy(*pair).agg(
-        *[F.max(F.when(F.col("model") == m, passed)).alias(n) for m, n in zip(models, names)]
-    )
+    if len(models) == 1:
+        levels = scored.where(F.col("model") == models[0]).select(*pair, passed.alias(names[0]))
+    else:
+        levels = scored.groupBy(*pair).agg(
+            *[F.max(F.when(F.col("model") == m, passed)).alias(n) for m, n in zip(models, names)]
+        )
     per_model = F.array(
         *[F.struct(F.lit(m).alias("model"), F.coalesce(n, F.lit(0)).alias("_level")) for m, n in zip(models, names)]
     )

@@ -12,26 +12,44 @@ from pyspark.sql import DataFrame, functions as F
 from labelloom.functions.numeric import draw, ratio
 from labelloom.operators.scale import lookup_join
 
-GOLD, WEAK = 1, 2
 
+def article_scopes(golden: DataFrame, weak: DataFrame, label_scope: DataFrame, members: DataFrame) -> DataFrame:
+    """(pmid, scope, valid, golden, weak): an article's labels within each scope it touches.
 
-def pair_flags(golden: DataFrame, weak: DataFrame) -> DataFrame:
-    """(pmid, label, flags): one row per pair, bit 1 for golden and bit 2 for weak.
-
-    Repeated pairs fold together before the only shuffle, which later steps share.
+    All comparisons of golden and weak labels start here, after a single shuffle by article and scope.
+    ``golden`` and ``weak`` are sets of the article's labels that belong to the scope, so they are
+    bounded by the labels of one scope; repeated pairs fold together before the shuffle.
     """
-    marked = golden.select("pmid", "label", F.lit(GOLD).alias("flag")).unionByName(
-        weak.select("pmid", "label", F.lit(WEAK).alias("flag"))
+    own = label_scope.select("label", "scope", F.lit(True).alias("own"), F.lit(False).alias("member"))
+    member = members.select(F.col("member").alias("label"), "scope", F.lit(False).alias("own"), F.lit(True).alias("member"))
+    roles = own.unionByName(member).groupBy("label", "scope").agg(
+        F.bool_or("own").alias("own"), F.bool_or("member").alias("member")
+    )
+    marked = golden.select("pmid", "label", F.lit(True).alias("gold")).unionByName(
+        weak.select("pmid", "label", F.lit(False).alias("gold"))
+    )
+    rows = lookup_join(marked, roles, "label").where("gold OR own")
+    return rows.groupBy("pmid", "scope").agg(
+        F.bool_or(F.col("gold") & F.col("member")).alias("valid"),
+        F.collect_set(F.when(F.col("gold") & F.col("own"), F.col("label"))).alias("golden"),
+        F.collect_set(F.when(~F.col("gold"), F.col("label"))).alias("weak"),
     )
-    return marked.groupBy("pmid", "label").agg(F.bit_or("flag").alias("flags"))
-
 
-def is_gold(flags=None):
-    return (F.col(flags or "flags").bitwiseAND(GOLD)) != 0
 
+def judged_pairs(scopes: DataFrame) -> DataFrame:
+    """(pmid, label, scope, gold, weak, valid) for every pair that is golden or weak.
 
-def is_weak(flags=None):
-    return (F.col(flags or "flags").bitwiseAND(WEAK)) != 0
+    Weak labels of invalid articles count as not assigned.
+    """
+    exploded = scopes.select("*", F.explode(F.array_union("golden", "weak")).alias("label"))
+    return exploded.select(
+        "pmid",
+        "label",
+        "scope",
+        F.array_contains("golden", F.col("label")).alias("gold"),
+        (F.array_contains("weak", F.col("label")) & F.col("valid")).alias("weak"),
+        "valid",
+    )
 
 
 def valid_scopes(golden: DataFrame, members: DataFrame) -> DataFrame:
@@ -45,34 +63,14 @@ def valid_labels(golden: DataFrame, label_scope: DataFrame, members: DataFrame)
     return lookup_join(valid_scopes(golden, members), label_scope, "scope").select("pmid", "label")
 
 
-def filter_weak(weak: DataFrame, valid: DataFrame, label_scope: DataFrame) -> DataFrame:
-    """Distinct weak pairs of valid articles; ``valid`` is the (pmid, scope) table."""
-    scoped = lookup_join(weak.select("pmid", "label"), label_scope, "label")
-    return scoped.join(valid, ["pmid", "scope"], "left_semi").select("pmid", "label").distinct()
-
-
-def judged_pairs(flags: DataFrame, valid: DataFrame, label_scope: DataFrame) -> DataFrame:
-    """(pmid, label, scope, gold, weak, valid) for every pair that is golden or weak.
-
-    Weak labels of invalid articles count as not assigned.
-    """
-    scoped = lookup_join(flags, label_scope, "label")
-    marked = scoped.join(valid.withColumn("_valid", F.lit(True)), ["pmid", "scope"], "left")
-    is_valid = F.coalesce(F.col("_valid"), F.lit(False))
-    return marked.select(
-        "pmid",
-        "label",
-        "scope",
-        is_gold().alias("gold"),
-        (is_weak() & is_valid).alias("weak"),
-        is_valid.alias("valid"),
-    )
+def filter_weak(golden: DataFrame, weak: DataFrame, label_scope: DataFrame, members: DataFrame) -> DataFrame:
+    """Distinct weak pairs of the articles valid for the label."""
+    return judged_pairs(article_scopes(golden, weak, label_scope, members)).where("weak").select("pmid", "label")
 
 
 def compare_labels(golden: DataFrame, weak: DataFrame, label_scope: DataFrame, members: DataFrame) -> DataFrame:
     """(pmid, label, outcome) with outcome TP, FP or FN."""
-    flags = pair_flags(golden, weak)
-    pairs = judged_pairs(flags, valid_scopes(flags.where(is_gold()), members), label_scope)
+    pairs = judged_pairs(article_scopes(golden, weak, label_scope, members))
     outcome = (
         F.when(F.col("gold") & F.col("weak"), "TP").when(F.col("weak"), "FP").when(F.col("gold"), "FN")
     )
@@ -83,28 +81,31 @@ def label_frequencies(golden: DataFrame, weak: DataFrame, label_scope: DataFrame
     """label, total_weak, fp, fn, total_gold, tn for every label.
 
     True negatives are the valid articles of the label minus those of them that are golden or weak, so
-    no article x label table is built.
+    no article x label table is built. The valid articles of a scope are counted in the same pass, as
+    rows without a label.
     """
-    flags = pair_flags(golden, weak)
-    valid = valid_scopes(flags.where(is_gold()), members)
-    pairs = judged_pairs(flags, valid, label_scope)
-
-    def count(condition, name):
-        return F.count_if(condition).alias(name)
-
-    gold, weak_now = F.col("gold"), F.col("weak")
-    counts = pairs.groupBy("label").agg(
-        count(weak_now, "total_weak"),
-        count(weak_now & ~gold, "fp"),
-        count(gold & ~weak_now, "fn"),
-        count(gold, "total_gold"),
-        count(F.col("valid") & (gold | weak_now), "_marked"),
+    scopes = article_scopes(golden, weak, label_scope, members)
+    labels = F.concat(F.array_union("golden", "weak"), F.array(F.lit(None).cast("string")))
+    exploded = scopes.select("scope", "valid", "golden", "weak", F.explode(labels).alias("label"))
+    of_label = F.col("label").isNotNull()
+    gold = F.coalesce(F.array_contains("golden", F.col("label")), F.lit(False))
+    weak_now = F.coalesce(F.array_contains("weak", F.col("label")), F.lit(False)) & F.col("valid")
+    rows = exploded.select("scope", "label", "valid", gold.alias("gold"), weak_now.alias("weak"))
+    counts = rows.groupBy("scope", "label").agg(
+        F.count_if("weak").alias("total_weak"),
+        F.count_if(F.col("weak") & ~F.col("gold")).alias("fp"),
+        F.count_if(F.col("gold") & ~F.col("weak")).alias("fn"),
+        F.count_if("gold").alias("total_gold"),
+        F.count_if(F.col("valid") & (F.col("gold") | F.col("weak"))).alias("_marked"),
+        F.count_if("valid").alias("_valid"),
     )
-    per_scope = valid.groupBy("scope").agg(F.count("*").alias("_valid"))
+    # one row per label and scope from here on
+    per_scope = counts.where(~of_label).select("scope", "_valid")
+    per_label = counts.where(of_label).drop("_valid")
     zero = F.lit(0).cast("long")
     return (
         label_scope.join(per_scope, "scope", "left")
-        .join(counts, "label", "left")
+        .join(per_label, ["scope", "label"], "left")
         .select(
             "label",
             *[F.coalesce(F.col(c), zero).alias(c) for c in ("total_weak", "fp", "fn", "total_gold")],
@@ -176,32 +177,13 @@ def label_combinations(pairs: DataFrame) -> DataFrame:
     )
 
 
-def marked_scopes(flags: DataFrame, valid: DataFrame, label_scope: DataFrame) -> DataFrame:
-    """(pmid, scope, golden, weak): each valid scope of an article with its labels in that scope.
-
-    One row stands for all labels of the scope, most of which the article does not carry. The pairs are
-    deduplicated, so the two arrays are bounded by the labels of one scope.
-    """
-    scoped = lookup_join(flags, label_scope, "label")
-    marks = scoped.groupBy("pmid", "scope").agg(
-        F.collect_list(F.when(is_gold(), F.col("label"))).alias("golden"),
-        F.collect_list(F.when(is_weak(), F.col("label"))).alias("weak"),
-    )
-    none = F.array().cast("array<string>")
-    return valid.join(marks, ["pmid", "scope"], "left").withColumns(
-        {c: F.coalesce(F.col(c), none) for c in ("golden", "weak")}
-    )
-
-
 def valid_pairs(golden: DataFrame, weak: DataFrame, label_scope: DataFrame, members: DataFrame) -> DataFrame:
     """(label, pmid, gold, weak) as 0/1 for every label valid for an article.
 
     Articles and labels meet last, through the label table, so the many rows are never shuffled.
     """
-    flags = pair_flags(golden, weak)
-    valid = valid_scopes(flags.where(is_gold()), members)
-    rows = lookup_join(marked_scopes(flags, valid, label_scope), label_scope, "scope")
-    return rows.select(
+    scopes = article_scopes(golden, weak, label_scope, members).where("valid")
+    return lookup_join(scopes, label_scope, "scope").select(
         "label",
         "pmid",
         *[F.array_contains(c, F.col("label")).cast("int").alias(name) for name, c in (("gold", "golden"), ("weak", "weak"))],
@@ -217,8 +199,7 @@ def relabel_dataset(
     PWL: valid articles with the weak label, target 1 for one that is not golden (false positive).
     """
     if kind == "PWL":
-        flags = pair_flags(golden, weak)
-        pairs = judged_pairs(flags, valid_scopes(flags.where(is_gold()), members), label_scope)
+        pairs = judged_pairs(article_scopes(golden, weak, label_scope, members))
         return pairs.where("weak").select("label", "pmid", (~F.col("gold")).cast("int").alias("target"))
     if kind != "NWL":
         raise ValueError("kind must be 'NWL' or 'PWL'")
@@ -234,34 +215,27 @@ def group_documents(
     ``groups`` is (label, grp). One row for each article with a golden or weak label of the group, or
     valid for one; articles in no row are invalid and negative for the group.
     """
-    flags = pair_flags(golden, weak)
-    valid = valid_scopes(flags.where(is_gold()), members)
-    pairs = lookup_join(judged_pairs(flags, valid, label_scope), groups, "label")
-    gold, weak_now = F.col("gold"), F.col("weak")
-    nothing = F.lit(0).cast("long")
-    marked = pairs.select(
-        "grp",
-        "pmid",
-        F.lit(False).alias("valid"),
-        gold.alias("gold"),
-        weak_now.alias("weak"),
-        (weak_now & ~gold).alias("fp"),
-        (gold & ~weak_now).alias("fn"),
-        weak_now.cast("long").alias("n_weak_valid"),
-    )
-    scope_groups = label_scope.join(groups, "label").select("scope", "grp").distinct()
-    no = F.lit(False)
-    reachable = lookup_join(valid, scope_groups, "scope").select(
-        "grp", "pmid", F.lit(True).alias("valid"), no.alias("gold"), no.alias("weak"), no.alias("fp"),
-        no.alias("fn"), nothing.alias("n_weak_valid"),
-    )
-    return (
-        marked.unionByName(reachable)
-        .groupBy("grp", "pmid")
-        .agg(
-            *[F.bool_or(c).alias(c) for c in ("valid", "gold", "weak", "fp", "fn")],
-            F.sum("n_weak_valid").alias("n_weak_valid"),
-        )
+    scopes = article_scopes(golden, weak, label_scope, members)
+    no = F.lit(None).cast("string")
+    # the labels of a scope, and one row without a label that stands for the scope itself
+    labels = F.concat(F.array_union("golden", "weak"), F.array(no))
+    exploded = scopes.select("*", F.explode(labels).alias("label"))
+    scope_groups = label_scope.join(groups, "label")
+    own = scope_groups.select("scope", "label", "grp")
+    whole = scope_groups.select("scope", no.alias("label"), "grp").distinct()
+    key = F.coalesce("label", F.lit(""))
+    table = own.unionByName(whole).select("scope", key.alias("_key"), "grp")
+    rows = lookup_join(exploded.withColumn("_key", key), table, ["scope", "_key"])
+    gold = F.coalesce(F.array_contains("golden", F.col("label")), F.lit(False))
+    weak_now = F.coalesce(F.array_contains("weak", F.col("label")), F.lit(False)) & F.col("valid")
+    judged = rows.select("grp", "pmid", "valid", gold.alias("gold"), weak_now.alias("weak"))
+    return judged.groupBy("grp", "pmid").agg(
+        F.bool_or("valid").alias("valid"),
+        F.bool_or("gold").alias("gold"),
+        F.bool_or("weak").alias("weak"),
+        F.bool_or(F.col("weak") & ~F.col("gold")).alias("fp"),
+        F.bool_or(F.col("gold") & ~F.col("weak")).alias("fn"),
+        F.count_if("weak").alias("n_weak_valid"),
     )
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -46,28 +45,29 @@ def with_class_weight(rows: DataFrame, pos_weight: bool = True) -> DataFrame:
     return rows.withColumn("weight", F.when(F.col("target") == 1, F.coalesce(ratio, F.lit(1.0))).otherwise(1.0))
 
 
-def fit_relabeler(
-    train: DataFrame, epochs: int = 20, regularisation: float = 0.01, n_features: int = 1 << 18
-) -> PipelineModel:
-    """Fit on rows (label_name, text, target, weight)."""
-    stages = [
-        HashingTF(inputCol="tokens", outputCol="features", numFeatures=n_features, binary=True),
-        LogisticRegression(
-            featuresCol="features",
-            labelCol="target",
-            weightCol="weight",
-            maxIter=epochs,
-            regParam=regularisation,
-            standardization=False,
-        ),
-    ]
-    return Pipeline(stages=stages).fit(pair_features(train))
+def featurise(rows: DataFrame, n_features: int = 1 << 18) -> DataFrame:
+    """Rows with ``features`` in place of the text: hashed tokens, no dictionary is built."""
+    hashing = HashingTF(inputCol="tokens", outputCol="features", numFeatures=n_features, binary=True)
+    return hashing.transform(pair_features(rows)).drop("tokens", "text")
 
 
-def score(model: PipelineModel, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Rows plus ``prob`` and the 0/1 ``pred``."""
-    scored = model.transform(pair_features(rows)).withColumn("prob", vector_to_array("probability")[1])
-    return scored.select(*rows.columns, "prob", at_threshold(F.col("prob"), threshold).alias("pred"))
+def fit_relabeler(train: DataFrame, epochs: int = 20, regularisation: float = 0.01) -> LogisticRegressionModel:
+    """Fit on rows (features, target, weight)."""
+    return LogisticRegression(
+        featuresCol="features",
+        labelCol="target",
+        weightCol="weight",
+        maxIter=epochs,
+        regParam=regularisation,
+        standardization=False,
+    ).fit(train)
+
+
+def score(model: LogisticRegressionModel, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Rows (with features) plus ``prob`` and the 0/1 ``pred``."""
+    scored = model.transform(rows).withColumn("prob", vector_to_array("probability")[1])
+    kept = [c for c in rows.columns if c != "features"]
+    return scored.select(*kept, "prob", at_threshold(F.col("prob"), threshold).alias("pred"))
 
 
 def score_with(
@@ -86,7 +86,7 @@ def score_with(
 
 def fit_best_epoch(
     train: DataFrame, dev: DataFrame, epochs: list[int], run: str = "run", **options
-) -> tuple[dict[str, PipelineModel], DataFrame]:
+) -> tuple[dict[str, LogisticRegressionModel], DataFrame]:
     """Models of the epoch with the lowest validation loss and of the one before, and the choice made."""
     models = {e: fit_relabeler(train, epochs=e, **options) for e in sorted(epochs)}
     losses = None

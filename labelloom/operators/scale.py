@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from labelloom.functions.numeric import draw_bits
 
 # Rows up to which a narrow vocabulary table is sent to every executor.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 SALTS = 32
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 2_000
 MAX_BROADCAST_ROWS_CONF = "spark.labelloom.lookup.broadcastRows"
 
 
@@ -127,6 +127,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A table that is small but costly to work on, cut into as many pieces as a shuffle would make."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several later steps read, and read it back with its lineage cut."""
     spark = df.sparkSession

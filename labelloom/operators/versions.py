@@ -247,22 +247,34 @@ def host_relations(hosts: DataFrame, now: DataFrame) -> DataFrame:
     )
 
 
-def host_scopes(hosts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(label, scope) and (scope, parent) for the living hosts of new labels."""
+def extended_hosts(hosts: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Living hosts of new labels with all their descendants.
+
+    Factored as (label, scope), (scope, parent) and (parent, member): labels with the same hosts share a
+    scope, and each host's branch is listed once. All are written, since several counts look them up.
+    """
     living = hosts.where("host_ui IS NOT NULL").select(
         F.col("descriptor_ui").alias("label"), F.col("host_ui").alias("parent")
     )
-    return hierarchy.label_scopes(materialize(living.distinct(), "living-hosts"))
+    label_scope, scope_hosts = hierarchy.label_scopes(materialize(living.distinct(), "living-hosts"))
+    heads = living.select(F.col("parent").alias("head")).distinct()
+    branches = hierarchy.branches(hierarchy.ancestors(now), heads).withColumnRenamed("head", "parent")
+    return (
+        materialize(label_scope, "host-scopes"),
+        materialize(scope_hosts, "scope-hosts"),
+        materialize(branches, "host-branches"),
+    )
 
 
-def extended_hosts(hosts: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hosts with all their descendants, factored as (label, scope) and (scope, member).
+def extended_host_counts(hosts: DataFrame, now: DataFrame) -> DataFrame:
+    """(descriptor_ui, scope, n_extended_hosts): number of distinct labels in the branches of the hosts.
 
-    Both are written once: several counts of articles look them up.
+    One host: the size of its branch. Several hosts: their branches are united once per scope.
     """
-    label_scope, scope_parents = host_scopes(hosts)
-    members = hierarchy.scope_members(scope_parents, hierarchy.ancestors(now))
-    return materialize(label_scope, "host-scopes"), materialize(members, "scope-members")
+    label_scope, scope_hosts, branches = extended_hosts(hosts, now)
+    members = scope_hosts.join(branches, "parent").select("scope", "member").distinct()
+    sizes = members.groupBy("scope").agg(F.count("*").alias("n_extended_hosts"))
+    return label_scope.join(sizes, "scope").select(F.col("label").alias("descriptor_ui"), "scope", "n_extended_hosts")
 
 
 def concepts_per_record(recs: DataFrame) -> DataFrame:

@@ -107,9 +107,7 @@ def describe_introductions(added: DataFrame, hosts: DataFrame, now: DataFrame) -
         F.array_join(F.array_sort(F.collect_list("host_name")), "~").alias("hosts"),
         F.array_join(F.array_sort(F.collect_list("host_ui")), "~").alias("host_uis"),
     )
-    label_scope, members = versions.extended_hosts(hosts, now)
-    sizes = members.groupBy("scope").agg(F.count("*").alias("n_extended_hosts"))
-    extended = label_scope.join(sizes, "scope").select(F.col("label").alias("descriptor_ui"), "n_extended_hosts")
+    extended = versions.extended_host_counts(hosts, now).drop("scope")
     parents = hierarchy.label_parents(now).groupBy(F.col("label").alias("descriptor_ui")).agg(
         F.count("*").alias("n_parents"), F.array_join(F.array_sort(F.collect_set("parent")), "~").alias("parents")
     )
@@ -158,20 +156,26 @@ def select_use_cases(
     def golden(start, end):
         return art.completed_between(annotated, start, end)
 
-    label_scope, members = versions.extended_hosts(hosts, now)
-    own_scope = cases.select(F.col("descriptor_ui").alias("label"), F.col("descriptor_ui").alias("scope"))
+    label_scope, scope_hosts, branches = versions.extended_hosts(hosts, now)
+    own_scope = materialize(
+        cases.select(F.col("descriptor_ui").alias("label"), F.col("descriptor_ui").alias("scope")), "own-scopes"
+    )
+    own_hosts = own_scope.select("scope", F.col("scope").alias("parent"))
     own = materialize(
-        hierarchy.branches(closure, own_scope.select(F.col("scope").alias("head"))).toDF("scope", "member"), "own-branches"
+        hierarchy.branches(closure, own_hosts.select(F.col("parent").alias("head"))).withColumnRenamed("head", "parent"),
+        "own-branches",
     )
 
     def of_label(start, end, name):
-        return art.article_counts_of_hosts(golden(start, end), own_scope, own).toDF("descriptor_ui", name)
+        found = art.article_counts_of_hosts(golden(start, end), own_scope, own_hosts, own)
+        return found.toDF("descriptor_ui", name)
 
     def of_hosts(start, end, name):
-        return art.article_counts_of_hosts(golden(start, end), label_scope, members).toDF("descriptor_ui", name)
+        found = art.article_counts_of_hosts(golden(start, end), label_scope, scope_hosts, branches)
+        return found.toDF("descriptor_ui", name)
 
     weak = art.weak_counts_of_hosts(
-        golden(old_year - 1, old_year), label_scope, members, occurrence,
+        golden(old_year - 1, old_year), label_scope, scope_hosts, branches, occurrence,
         label_cuis.join(own_scope.select("label"), "label", "left_semi"),
     ).toDF("descriptor_ui", "cui", "train_weak")
     counted = cases

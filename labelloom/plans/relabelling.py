@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelloom.functions.numeric import remap_unknown
 from labelloom.operators import evaluate, hierarchy, labels, model, sampling
-from labelloom.operators.scale import materialize
+from labelloom.operators.scale import materialize, spread
 from labelloom.sources.tables import clean_input
 from labelloom.sources.writers import attach_text
 
@@ -64,8 +64,10 @@ def train_and_score(
     iteration reads them.
     """
     fitted = sampling.grid_rows(dataset.where("split <> 'test'"), runs)
-    ready = materialize(training_rows(fitted, articles, label_names), "training-rows")
-    test_rows = materialize(training_rows(dataset.where("split = 'test'"), articles, label_names), "test-rows")
+    wanted = fitted.unionByName(dataset.where("split = 'test'"), allowMissingColumns=True)
+    rows = training_rows(wanted, articles, label_names)
+    ready = materialize(spread(model.featurise(rows), "label", "pmid"), "training-rows")
+    test_rows = ready.where("split = 'test'").drop("run", "seed", "per_positive")
     scored, choices = None, None
     for run in runs:
         mine = model.with_class_weight(ready.where(F.col("run") == run["name"]).drop("run", "seed", "per_positive"))

@@ -724,8 +724,7 @@ def valid_labels(spark, d):
 
 @query(f"SELECT {PER_LABEL} FROM weak GROUP BY label", ANNOTATIONS)
 def filter_weak(spark, d):
-    gold, weak_rows, label_scope, members = views.annotation_inputs(spark, d)
-    return per_label(labels.filter_weak(weak_rows, labels.valid_scopes(gold, members), label_scope))
+    return per_label(labels.filter_weak(*views.annotation_inputs(spark, d)))
 
 
 @query(
@@ -768,11 +767,7 @@ def _hosts(spark, d):
 )
 def extended_hosts(spark, d):
     hosts, now = _hosts(spark, d)
-    label_scope, members = versions.extended_hosts(hosts, now)
-    sizes = members.groupBy("scope").agg(F.count("*").alias("n_extended"))
-    return label_scope.join(sizes, "scope").select(
-        F.col("label").alias("descriptor_ui"), F.col("scope").alias("host_uis"), "n_extended"
-    )
+    return versions.extended_host_counts(hosts, now).toDF("descriptor_ui", "host_uis", "n_extended")
 
 
 @query(
@@ -783,8 +778,8 @@ def extended_hosts(spark, d):
 def articles_of_hosts(spark, d):
     hosts, now = _hosts(spark, d)
     annotated = views.part_annotations(spark, d).join(views.dated_articles(spark, d), "pmid")
-    label_scope, members = versions.extended_hosts(hosts, now)
-    found = art.articles_of_hosts(art.completed_between(annotated, 1997, 1998), members)
+    label_scope, scope_hosts, branches = versions.extended_hosts(hosts, now)
+    found = art.articles_of_hosts(art.completed_between(annotated, 1997, 1998), scope_hosts, branches)
     per_scope = found.groupBy("scope").agg(F.count("*").alias("n"), F.sum("pmid").alias("sum_pmid"))
     return label_scope.join(per_scope, "scope").select("label", "n", "sum_pmid")
 
@@ -869,7 +864,9 @@ def below_weak_threshold(spark, d):
     cuis = art.label_cui(
         label_scope.select("label", F.col("label").alias("concept_ui")), views.crosswalk(spark, d), "MAIN"
     )
-    counts = art.weak_counts_of_hosts(gold, label_scope, members, views.occurrence(spark, d), cuis)
+    hosts = label_scope.select("scope", F.col("scope").alias("parent")).distinct()
+    branches = members.withColumnRenamed("scope", "parent")
+    counts = art.weak_counts_of_hosts(gold, label_scope, hosts, branches, views.occurrence(spark, d), cuis)
     return art.below_weak_threshold(counts, 200).select("label", "n_weak", "below")
 
 

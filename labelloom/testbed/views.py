@@ -69,13 +69,11 @@ def label_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scopes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(label, scope) and (scope, member) of the annotation labels."""
+    """(label, scope) and (scope, member) of the annotation labels, each with its type as only parent."""
     parents = label_parent(spark, sf_dir)
-    label_scope, scope_parents = hierarchy.label_scopes(parents)
-    branch = parents.select("parent", F.col("label").alias("member")).unionByName(
-        parents.select("parent", F.col("parent").alias("member")).distinct()
-    )
-    return label_scope, scope_parents.join(branch, "parent").select("scope", "member")
+    heads = table(spark, sf_dir, "part").select(_type_label().alias("scope")).distinct()
+    below = parents.select(F.col("parent").alias("scope"), F.col("label").alias("member"))
+    return parents.withColumnRenamed("parent", "scope"), below.unionByName(heads.withColumn("member", F.col("scope")))
 
 
 def annotation_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
