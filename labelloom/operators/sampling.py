@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelloom.functions.numeric import draw, draw_bits, ratio
-from labelloom.operators.scale import first_per_group, number_rows
+from labelloom.operators.scale import group_cuts, lookup_join, number_rows
 
 
 def split_rows(rows: DataFrame, test: float = 0.2, dev: float = 0.2, seed: int = 10) -> DataFrame:
@@ -43,9 +43,11 @@ def balance_negatives(
     limit = F.when(per_positive < 0, F.col("group_rows")).otherwise(F.col("_positives") * per_positive)
     limits = limits.select(*keys, "group_rows", limit.cast("long").alias("group_limit"))
     bits = draw_bits(F.lit("b"), seed, F.lit("|"), F.col("label"), F.lit("|"), F.col("pmid"))
-    negatives = rows.where("target = 0").withColumn("_bits", bits)
-    kept = first_per_group(negatives, keys, "_bits", ["pmid"], limits).drop("_bits")
-    return rows.where("target <> 0").unionByName(kept.select(*rows.columns))
+    negatives = rows.where("target = 0").select(*dict.fromkeys([*keys, "pmid"]), bits.alias("_bits"))
+    cuts = group_cuts(negatives, keys, "_bits", "pmid", limits)
+    same = F.coalesce((bits == F.col("cut_bits")) & (F.col("pmid") <= F.col("cut_tie")), F.lit(False))
+    kept = (F.col("target") != 0) | (bits < F.col("cut_bits")) | same
+    return lookup_join(rows, cuts, keys).where(kept).select(*rows.columns)
 
 
 def grid_rows(rows: DataFrame, runs: list[dict], keys: list[str] | None = None) -> DataFrame:

@@ -45,44 +45,41 @@ def lookup_join(
     return salted_rows.join(salted_table, [*on, "_salt"], how).drop("_salt")
 
 
-def first_per_group(
-    rows: DataFrame, keys: list[str], order_bits: str, tie: list[str], limits: DataFrame
-) -> DataFrame:
-    """Rows whose rank by (``order_bits``, ``tie``) within ``keys`` is at most the group's limit.
+def group_cuts(rows: DataFrame, keys: list[str], order_bits: str, tie: str, limits: DataFrame) -> DataFrame:
+    """(keys, cut_bits, cut_tie): the last row to keep when each group keeps its first ``group_limit`` rows.
 
-    ``limits`` is (keys, group_rows, group_limit). ``order_bits`` is an evenly spread 32-bit number: its
-    range is cut into buckets, more of them for larger groups, and counted. Rows before the bucket in
-    which the limit falls are kept as they are, rows after it are dropped, and only that one bucket,
-    of bounded size, is ranked. No group is ever sorted as a whole.
+    Rows are ordered by (``order_bits``, ``tie``); ``limits`` is (keys, group_rows, group_limit).
+    ``order_bits`` is an evenly spread 32-bit number: its range is cut into buckets, more of them for
+    larger groups, and counted. Only the bucket in which the limit falls, of bounded size, is ranked, so
+    no group is sorted as a whole. ``cut_bits`` is -1 to keep nothing and above all bits to keep all.
     """
     limits = materialize(limits, "group-limits")
-    n_buckets = F.least(F.greatest(F.ceil(F.col("group_rows") / BUCKET_ROWS), F.lit(1)), F.lit(1 << 20))
+    partial = limits.where((F.col("group_limit") > 0) & (F.col("group_limit") < F.col("group_rows")))
+    n_buckets = F.least(F.ceil(F.col("group_rows") / BUCKET_ROWS), F.lit(1 << 20))
     bucket = F.floor(F.col(order_bits) * n_buckets / F.lit(1 << 32)).cast("int")
+    narrow = rows.select(*keys, order_bits, tie)
     sizes = (
-        lookup_join(rows.select(*keys, order_bits), limits, keys)
+        lookup_join(narrow.drop(tie), partial, keys)
         .groupBy(*keys, "group_rows", "group_limit", bucket.alias("_bucket"))
         .agg(F.count("*").alias("_n"))
     )
     below = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before, limit = F.col("_before"), F.col("group_limit")
-    fits = before + F.col("_n") <= limit
-    is_edge = ~fits & (before < limit)
-    cuts = materialize(
-        sizes.withColumn("_before", F.coalesce(F.sum("_n").over(below), F.lit(0)))
-        .groupBy(*keys, "group_rows")
-        .agg(
-            F.coalesce(F.max(F.when(fits, F.col("_bucket"))), F.lit(-1)).alias("_last_whole"),
-            F.coalesce(F.max(F.when(is_edge, F.col("_bucket"))), F.lit(-1)).alias("_edge"),
-            F.max(F.when(is_edge, limit - before)).alias("_left"),
-        ),
-        "group-cuts",
+    left = F.col("group_limit") - F.coalesce(F.sum("_n").over(below), F.lit(0))
+    edges = (
+        sizes.withColumn("_left", left)
+        .where((F.col("_left") > 0) & (F.col("_left") <= F.col("_n")))
+        .select(*keys, "group_rows", F.col("_bucket").alias("_edge"), "_left")
+    )
+    in_edge = lookup_join(narrow, materialize(edges, "group-edges"), keys).where(bucket == F.col("_edge"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order_bits, tie))
+    found = in_edge.withColumn("_rank", rank).where(F.col("_rank") == F.col("_left"))
+    plain = limits.join(partial, keys, "left_anti").select(
+        *keys,
+        F.when(F.col("group_limit") > 0, F.lit(1 << 32)).otherwise(F.lit(-1)).cast("long").alias("cut_bits"),
+        F.lit(None).cast(rows.schema[tie].dataType).alias("cut_tie"),
     )
-    cut_rows = lookup_join(rows, cuts, keys).withColumn("_bucket", bucket)
-    whole = cut_rows.where(F.col("_bucket") <= F.col("_last_whole"))
-    in_edge = Window.partitionBy(*keys).orderBy(order_bits, *tie)
-    ranked = cut_rows.where(F.col("_bucket") == F.col("_edge")).withColumn("_rank", F.row_number().over(in_edge))
-    edge = ranked.where(F.col("_rank") <= F.col("_left"))
-    return whole.select(*rows.columns).unionByName(edge.select(*rows.columns))
+    cuts = found.select(*keys, F.col(order_bits).alias("cut_bits"), F.col(tie).alias("cut_tie"))
+    return materialize(cuts.unionByName(plain), "group-cuts")
 
 
 def number_rows(df: DataFrame, key: str, name: str = "position", parts: int = 64) -> DataFrame:
@@ -128,7 +125,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """A table that is small but costly to work on, cut into as many pieces as a shuffle would make."""
+    """Rows of a table that is small but costly to work on, spread over as many tasks as a shuffle has."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 

@@ -66,7 +66,7 @@ def train_and_score(
     fitted = sampling.grid_rows(dataset.where("split <> 'test'"), runs)
     wanted = fitted.unionByName(dataset.where("split = 'test'"), allowMissingColumns=True)
     rows = training_rows(wanted, articles, label_names)
-    ready = materialize(spread(model.featurise(rows), "label", "pmid"), "training-rows")
+    ready = spread(materialize(model.featurise(rows), "training-rows"), "label", "pmid")
     test_rows = ready.where("split = 'test'").drop("run", "seed", "per_positive")
     scored, choices = None, None
     for run in runs:
