@@ -100,8 +100,9 @@ def shuffle_rows(rows: DataFrame, seed: int = 0) -> DataFrame:
 def focus_labels(rows: DataFrame, focus: DataFrame) -> DataFrame:
     """Rows of the focus labels that occur; all rows when none of them does."""
     wanted = focus.select("label").distinct().withColumn("_hit", F.lit(True))
-    marked = rows.join(wanted, "label", "left")
-    hits = rows.join(wanted, "label", "left_semi").agg(F.count("*")).scalar()
+    marked = lookup_join(rows, wanted, "label", "left")
+    present = rows.select("label").distinct()
+    hits = present.join(wanted, "label", "left_semi").agg(F.count("*")).scalar()
     return marked.where(F.col("_hit") | (hits == 0)).drop("_hit")
 
 

@@ -7,9 +7,9 @@ with a vocabulary table, keeping the first n rows of a group, and numbering rows
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -115,13 +115,20 @@ def number_rows(df: DataFrame, key: str, name: str = "position", parts: int = 64
     )
 
 
+@cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="labelloom-")
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only on a session without any."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "labelloom-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The shared folder named by the cluster; a temporary one only for a local session without any."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_folder(context.applicationId)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

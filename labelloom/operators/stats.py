@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from labelloom.operators.scale import lookup_join
+
 
 def article_statistics(
     articles: DataFrame, golden: DataFrame, weak: DataFrame, labels: DataFrame, leaves: DataFrame, keys: list[str]
@@ -17,7 +19,7 @@ def article_statistics(
     rows = articles.groupBy(*keys, "pmid").agg(F.count("*").alias("_n")).groupBy(*keys).agg(
         F.sum("_n").alias("n_articles"), F.count_if(F.col("_n") > 1).alias("n_duplicated_ids")
     )
-    in_scope = golden.join(labels, [*keys, "label"], "left_semi").select(*keys, "pmid", "label").distinct()
+    in_scope = lookup_join(golden, labels, [*keys, "label"], "left_semi").select(*keys, "pmid", "label").distinct()
     per_article = in_scope.groupBy(*keys, "pmid").agg(F.count("*").alias("_n")).groupBy(*keys).agg(
         F.count("*").alias("n_labelled"), F.count_if(F.col("_n") > 1).alias("n_multi_labelled")
     )
@@ -53,7 +55,7 @@ def articles_per_label(golden: DataFrame, weak: DataFrame, labels: DataFrame, ke
 
 def articles_with_many_labels(golden: DataFrame, labels: DataFrame) -> DataFrame:
     """(pmid, n_labels) of articles with more than one label in scope."""
-    in_scope = golden.join(labels.select("label"), "label", "left_semi").select("pmid", "label").distinct()
+    in_scope = lookup_join(golden, labels.select("label"), "label", "left_semi").select("pmid", "label").distinct()
     return in_scope.groupBy("pmid").agg(F.count("*").alias("n_labels")).where("n_labels > 1")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelloom.operators import articles as art
 from labelloom.operators import hierarchy, stats, versions
-from labelloom.operators.scale import materialize
+from labelloom.operators.scale import lookup_join, materialize
 
 
 @dataclass
@@ -194,6 +194,7 @@ def select_use_cases(
 
 def build_retro_dataset(
     articles: DataFrame,
+    golden: DataFrame,
     use_cases: DataFrame,
     hosts: DataFrame,
     now: DataFrame,
@@ -205,23 +206,25 @@ def build_retro_dataset(
 ) -> DataFrame:
     """Newest revision of each article of the use cases' hosts in a period, as (pmid, label, gold, weak).
 
-    Labels are the leaf use cases; an article without any of them has one row with a null label.
+    ``articles`` has one row per revision, numbered by row_id; ``golden`` is (row_id, label). Labels are
+    the leaf use cases; an article without any of them has one row with a null label.
     """
     leaf_cases = hierarchy.keep_leaves(use_cases.select("descriptor_ui"), now)
     labels = materialize(leaf_cases.select(F.col("descriptor_ui").alias("label")), "leaf-labels")
     of_labels = hosts.join(labels.withColumnRenamed("label", "descriptor_ui"), "descriptor_ui", "left_semi")
     host_uis = of_labels.where("host_ui IS NOT NULL").select(F.col("host_ui").alias("label")).distinct()
-    found = art.search_articles(articles, host_uis, start, end, hierarchy.ancestors(now))
+    wanted = materialize(art.with_descendants(host_uis, hierarchy.ancestors(now)), "searched-labels")
+    hits = lookup_join(golden, wanted, "label", "left_semi").select("row_id").distinct()
+    found = art.search_articles(articles, None, start, end).join(hits, "row_id", "left_semi")
     newest = materialize(
-        art.latest_revision(found.select("pmid", "golden", "date_revised", "row_id"), "date_revised", "row_id"),
-        "newest-revisions",
+        art.latest_revision(found.select("pmid", "date_revised", "row_id"), "date_revised", "row_id"), "newest-revisions"
     )
-    golden = art.golden_in_scope(art.golden_pairs(newest), labels).withColumn("_flag", F.lit(1))
-    marks = golden
+    in_scope = lookup_join(golden, labels, "label", "left_semi").join(newest.select("row_id", "pmid"), "row_id")
+    marks = in_scope.select("pmid", "label", F.lit(1).alias("_flag"))
     if with_weak:
         cuis = label_cuis.join(labels, "label", "left_semi")
         weak = art.weak_labels(occurrence, cuis).join(newest.select("pmid"), "pmid", "left_semi")
-        marks = marks.unionByName(weak.withColumn("_flag", F.lit(2)))
+        marks = marks.unionByName(weak.select("pmid", "label", F.lit(2).alias("_flag")))
     marked = marks.groupBy("pmid", "label").agg(F.bit_or("_flag").alias("_flags"))
     flags = F.coalesce("_flags", F.lit(0))
     return newest.join(marked, "pmid", "left").select(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from labelloom.functions.numeric import remap_unknown
 from labelloom.operators import evaluate, hierarchy, labels, model, sampling
 from labelloom.operators.scale import materialize, spread
-from labelloom.sources.tables import clean_input
+from labelloom.sources.tables import clean_input, stack_labels
 from labelloom.sources.writers import attach_text
 
 
@@ -46,7 +46,7 @@ def select_noisy_labels(
 
 def training_rows(dataset: DataFrame, articles: DataFrame, label_names: DataFrame) -> DataFrame:
     """Dataset rows with text and label name, ready for the classifier; unknown targets become class 2."""
-    named = dataset.join(label_names, "label")
+    named = stack_labels(dataset, label_names)
     return clean_input(attach_text(named, articles)).withColumn("target", remap_unknown(F.col("target")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelloom.functions.numeric import parse_revision_date
+from labelloom.operators.scale import lookup_join
 
 ARTICLE_SCHEMA = """
 pmid BIGINT, title STRING, abstract_text STRING, year STRING, date_completed DATE, date_revised DATE,
@@ -59,4 +60,4 @@ def scan_ids_by_file(spark: SparkSession, path: str, ids: DataFrame) -> DataFram
         F.regexp_extract("value", r"<PMID Version[^>]*>(\d+)<", 1).cast("long").alias("pmid"),
         F.col("_metadata.file_name").alias("file"),
     )
-    return found.join(ids.select(F.col("pmid").cast("long")).distinct(), "pmid", "left_semi")
+    return lookup_join(found, ids.select(F.col("pmid").cast("long")).distinct(), "pmid", "left_semi")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelloom.functions.text import split_list
+from labelloom.operators.scale import lookup_join
 
 OCCURRENCE_SCHEMA = "pmid BIGINT, cui STRING, entity_id BIGINT"
 CROSSWALK_SCHEMA = "cui STRING, source_code STRING, source STRING"
@@ -67,7 +68,7 @@ def read_split_tables(
 
 def stack_labels(rows: DataFrame, label_names: DataFrame) -> DataFrame:
     """Dataset rows with the ``label_name`` of ``label_names`` (label, label_name)."""
-    return rows.join(label_names, "label")
+    return lookup_join(rows, label_names, "label")
 
 
 def clean_input(rows: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def matrix_to_long(matrix: DataFrame, label_order: DataFrame) -> DataFrame:
     ``label_order`` is (pos, label), positions from 0.
     """
     cells = matrix.select("pmid", F.posexplode("values").alias("pos", "value"))
-    return cells.join(label_order, "pos").select("pmid", "label", "value")
+    return lookup_join(cells, label_order, "pos").select("pmid", "label", "value")
 
 
 def batches_to_rows(batches: DataFrame, batch_size: int, row_order: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from labelloom.functions import notes, numeric, records, text
 from labelloom.operators import articles as art
 from labelloom.operators import evaluate, hierarchy, labels, matching, sampling, stats, versions
-from labelloom.operators.scale import materialize
+from labelloom.operators.scale import lookup_join, materialize
 from labelloom.plans import curation, relabelling
 from labelloom.sources import tables, writers
 from labelloom.testbed import views
@@ -1300,7 +1300,7 @@ lw AS (SELECT label, target, least(greatest(prob, 1e-12::DOUBLE), 1-1e-12::DOUBL
 def weighted_log_loss(spark, d):
     scored = materialize(views.scored(spark, d), "scored")
     weights = sampling.class_balance(scored).select("label", "pos_weight")
-    weighted = scored.join(weights, "label")
+    weighted = lookup_join(scored, weights, "label")
     parts = [
         evaluate.weighted_log_loss(weighted, ["label"], weight_mode=mode).select(
             F.lit(mode).alias("mode"), "label", rounded("log_loss", "log_loss", 6)
@@ -1440,18 +1440,15 @@ def build_retro_dataset(spark, d):
     hosts, now = _hosts(spark, d)
     orders = views.dated_articles(spark, d)
     both = F.array(F.lit(1).alias("r"), F.lit(2))
-    # each article in two revisions, of which the older one carries no labels
-    per_article = views.part_annotations(spark, d).groupBy("pmid").agg(F.collect_set("label").alias("golden"))
-    revisions = (
-        orders.join(per_article, "pmid")
-        .withColumn("_r", F.explode(both))
-        .select(
-            "pmid", "date_completed", "golden", F.lit("text").alias("abstract_text"),
-            F.date_add("date_completed", F.col("_r")).alias("date_revised"), F.col("_r").alias("row_id"),
-        )
+    # each article in two revisions with the same labels
+    number = F.col("pmid") * 2 + F.col("_r")
+    revisions = orders.withColumn("_r", F.explode(both)).select(
+        "pmid", "date_completed", F.lit("text").alias("abstract_text"),
+        F.date_add("date_completed", F.col("_r")).alias("date_revised"), number.alias("row_id"),
     )
+    golden = views.part_annotations(spark, d).withColumn("_r", F.explode(both)).select(number.alias("row_id"), "label")
     rows = curation.build_retro_dataset(
-        revisions, _added(now), hosts, now, _part_occurrence(spark, d), _part_cuis(spark, d), 1999, 2001
+        revisions, golden, _added(now), hosts, now, _part_occurrence(spark, d), _part_cuis(spark, d), 1999, 2001
     )
     marked = rows.where("label IS NOT NULL")
     return per_label(marked, F.sum("gold").alias("n_gold"), F.sum("weak").alias("n_weak"))
