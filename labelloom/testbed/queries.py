@@ -1474,7 +1474,7 @@ def train_and_score(spark, d):
         for seed, n in ((42, 10), (27, 3))
     ]
     scored, _ = relabelling.train_and_score(
-        views.text_dataset(spark, d), views.articles(spark, d), names, runs, epochs=[3, 6]
+        materialize(views.text_dataset(spark, d), "dataset"), views.articles(spark, d), names, runs, epochs=[3, 6]
     )
     report, _ = relabelling.evaluate_scored(scored, ["model"])
     return report.where(F.col("class") == "1").select("model", "label", "precision", "recall", "f1", "support")

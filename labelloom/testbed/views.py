@@ -18,7 +18,7 @@ TYPE_LETTERS = {"ECONOMY": "A", "LARGE": "B", "MEDIUM": "C", "PROMO": "D", "SMAL
 
 # Words that stand for a language in the text of the documents.
 CONCEPT_WORDS = {"the": "en", "and": "en", "une": "fr", "les": "fr", "und": "de", "der": "de", "que": "es", "los": "es"}
-NOT_LETTER = "[^a-zàâçéèêëîïôöûùüÿñæœß]+"
+LETTER = "[a-zàâçéèêëîïôöûùüÿñæœß]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,8 +123,8 @@ def text_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concept words of each document, read from the whole text."""
-    words = F.split(F.lower("text"), NOT_LETTER)
-    hits = F.array_intersect(words, F.array(*[F.lit(w) for w in CONCEPT_WORDS]))
+    whole_word = f"(?<!{LETTER})({'|'.join(CONCEPT_WORDS)})(?!{LETTER})"
+    hits = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(whole_word), 1))
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("pmid"), F.explode(hits).alias("cui"), F.lit(1).cast("long").alias("entity_id")
     )
