@@ -142,7 +142,7 @@ def relabel(
     ``base`` is (keys, label, pmid, gold, one 0/1 column per base method), ``scored`` holds valid articles
     only; the comparison is strict.
     """
-    keys = [*(keys or []), "label", "pmid"]
+    keys = ["pmid", "label", *(keys or [])]
     flips = scored.groupBy(*keys).agg((F.max("prob") > F.lit(threshold)).cast("int").alias("_flip"))
     flip = F.coalesce("_flip", F.lit(0))
     return base.join(flips, keys, "left").withColumns({b: F.greatest(F.col(b), flip) for b in bases}).drop("_flip")
@@ -165,7 +165,8 @@ def apply_sweep(
     """
     grid = threshold_grid(thresholds)
     keys = keys or []
-    pair = [*keys, "label", "pmid"]
+    # the article first: sorting by a label compares long equal prefixes
+    pair = ["pmid", "label", *keys]
     passed = sum(((F.col("prob") > F.lit(t)).cast("int") for t in grid), F.lit(0))
     names = [f"_level{i}" for i in range(len(models))]
     if len(models) == 1:

@@ -42,7 +42,7 @@ def lookup_join(
     others = [c for c in rows.columns if c not in on] or rows.columns
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
     salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_rows.join(salted_table, [*on, "_salt"], how).drop("_salt")
+    return salted_rows.join(salted_table, ["_salt", *on], how).drop("_salt")
 
 
 def group_cuts(rows: DataFrame, keys: list[str], order_bits: str, tie: str, limits: DataFrame) -> DataFrame:
