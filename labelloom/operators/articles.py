@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, functions as F
 from labelloom.functions.text import word_count
 from labelloom.operators.scale import lookup_join
 
+# Fixed value: the predicate of an article's label statements.
+LABEL_PREDICATE = "HAS_MESH"
+
 
 def has_abstract(articles: DataFrame) -> DataFrame:
     return articles.where(F.length("abstract_text") > 0)
@@ -207,4 +210,4 @@ def length_stats(articles: DataFrame, text: str = "text") -> DataFrame:
 
 def label_triples(golden: DataFrame) -> DataFrame:
     """(s, p, o) statements, one per golden label."""
-    return golden.select(F.col("pmid").alias("s"), F.lit("HAS_MESH").alias("p"), F.col("label").alias("o"))
+    return golden.select(F.col("pmid").alias("s"), F.lit(LABEL_PREDICATE).alias("p"), F.col("label").alias("o"))

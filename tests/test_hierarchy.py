@@ -155,3 +155,14 @@ def test_restriction_levels(spark):
     cases = spark.createDataFrame(rows, "k string, prov_code string, n_concepts int, n_descendants int, test_gold int, train int, train_weak int")
     got = [r["level"][:2] for r in versions.restriction_level(cases, 100, 5).orderBy("k").collect()]
     assert got == ["0:", "2:", "3:", "4:", "5:", "6:", "7:", "7:", "OK"]
+
+
+def test_hot_article_and_hot_label(spark, now):
+    """One article and one label hold most rows; the counts are those of the distinct pairs."""
+    label_scope, members = hierarchy.parents_plus(now)
+    hot = spark.range(20000).select((F.col("id") % 2 * F.col("id")).alias("pmid"), F.lit("L1").alias("label"))
+    others = spark.createDataFrame([(0, "L2"), (0, "L10"), (1, "L2")], "pmid long, label string")
+    golden, weak = hot.unionByName(others), hot.where("pmid < 101").unionByName(others)
+    stats = {r["label"]: r for r in labels.label_frequencies(golden, weak, label_scope, members).collect()}
+    assert (stats["L1"]["total_gold"], stats["L1"]["total_weak"], stats["L1"]["fn"]) == (10001, 51, 9950)
+    assert (stats["L2"]["total_gold"], stats["L2"]["tn"]) == (2, 9999)

@@ -136,3 +136,14 @@ def test_occurrences_and_crosswalk(spark, tmp_path):
     cw = tables.read_crosswalk(spark, str(tmp_path / "cw"), "Y")
     assert [r["cui"] for r in cw.collect()] == ["C2"]
     assert "EqualTo(source,Y)" in cw._jdf.queryExecution().executedPlan().toString()
+
+
+def test_articles_from_parquet_and_json(spark, tmp_path):
+    row = (1, "t", "a", "2001", dt.date(2001, 2, 3), dt.date(2004, 5, 6), ["D1"])
+    rows = spark.createDataFrame([row], articles.ARTICLE_SCHEMA)
+    rows.write.parquet(str(tmp_path / "articles"))
+    rows.write.json(str(tmp_path / "articles.json"))
+    assert tuple(articles.read_articles(spark, str(tmp_path / "articles")).first()) == row
+    assert tuple(articles.read_articles(spark, str(tmp_path / "articles.json")).first()) == row
+    narrow = articles.read_articles(spark, str(tmp_path / "articles"), ["pmid", "golden"])
+    assert "ReadSchema: struct<pmid:bigint,golden:array<string>>" in narrow._jdf.queryExecution().executedPlan().toString()
