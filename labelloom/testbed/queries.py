@@ -672,7 +672,7 @@ def _fuzzy_inputs(spark, d):
     terms = added.select(F.col("descriptor_name").alias("term"))
     key = F.col("p_partkey")
     turned = F.concat(key.cast("string"), F.lit(", "), F.regexp_extract("p_name", r"(\S+)$", 1), F.lit(" "), F.regexp_extract("p_name", r"^(\S+)", 1))
-    candidates = views.table(spark, d, "part").where(key % 5 != 2).select(
+    candidates = views.table(spark, d, "part").select(
         F.when(key % 2 == 0, F.concat(turned, F.lit(" "), "p_type")).otherwise(turned).alias("candidate")
     )
     return terms, candidates
@@ -681,7 +681,7 @@ def _fuzzy_inputs(spark, d):
 _FUZZY = """,
 terms AS (SELECT DISTINCT name AS term, lower(regexp_replace(name,'[^a-zA-Z0-9]','','g')) AS t, list_filter(string_split_regex(lower(trim(name)),'[^a-zA-Z0-9]'), lambda x: x<>'') AS tp FROM added),
 cands AS (SELECT DISTINCT candidate, lower(regexp_replace(candidate,'[^a-zA-Z0-9]','','g')) AS c, list_filter(string_split_regex(lower(trim(candidate)),'[^a-zA-Z0-9]'), lambda x: x<>'') AS cp
-          FROM (SELECT p_partkey||', '||regexp_extract(p_name,'([^ ]+)$',1)||' '||regexp_extract(p_name,'^([^ ]+)',1)||(CASE WHEN p_partkey%2=0 THEN ' '||p_type ELSE '' END) AS candidate FROM part WHERE p_partkey%5<>2)),
+          FROM (SELECT p_partkey||', '||regexp_extract(p_name,'([^ ]+)$',1)||' '||regexp_extract(p_name,'^([^ ]+)',1)||(CASE WHEN p_partkey%2=0 THEN ' '||p_type ELSE '' END) AS candidate FROM part)),
 crossed AS (SELECT *, levenshtein(t, c) AS distance, len(cp)-len(tp) AS extra,
                    len(list_filter(list_distinct(tp), lambda p: len(list_filter(cp, lambda y: y=p)) < len(list_filter(tp, lambda z: z=p))))=0 AS contained
             FROM terms CROSS JOIN cands)"""
