@@ -51,7 +51,7 @@ def featurise(rows: DataFrame, n_features: int = 1 << 18) -> DataFrame:
     return hashing.transform(pair_features(rows)).drop("tokens", "text")
 
 
-def fit_relabeler(train: DataFrame, epochs: int = 20, regularisation: float = 0.01) -> LogisticRegressionModel:
+def fit_pair_model(train: DataFrame, epochs: int = 20, regularisation: float = 0.01) -> LogisticRegressionModel:
     """Fit on rows (features, target, weight)."""
     return LogisticRegression(
         featuresCol="features",
@@ -88,7 +88,7 @@ def fit_best_epoch(
     train: DataFrame, dev: DataFrame, epochs: list[int], run: str = "run", **options
 ) -> tuple[dict[str, LogisticRegressionModel], DataFrame]:
     """Models of the epoch with the lowest validation loss and of the one before, and the choice made."""
-    models = {e: fit_relabeler(train, epochs=e, **options) for e in sorted(epochs)}
+    models = {e: fit_pair_model(train, epochs=e, **options) for e in sorted(epochs)}
     losses = None
     for e, model in models.items():
         loss = weighted_log_loss(score(model, dev), [], pos_weight="weight").select(

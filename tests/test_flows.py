@@ -96,11 +96,11 @@ def test_model_learns_and_repeats(spark):
     ]
     rows = spark.createDataFrame(rng, "label string, label_name string, text string, target int, split string")
     features = model.featurise(model.with_class_weight(rows), 1 << 12)
-    first = model.fit_relabeler(features, epochs=10)
+    first = model.fit_pair_model(features, epochs=10)
     scored = model.score(first, features)
     assert scored.where("prob < 0 OR prob > 1").count() == 0
     assert scored.where("pred <> target").count() == 0
-    again = model.fit_relabeler(features, epochs=10)
+    again = model.fit_pair_model(features, epochs=10)
     assert (first.coefficients.toArray() == again.coefficients.toArray()).all()
 
 
