@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from labelloom.llm import licenses, quality_rules, token_counts
+from labelloom.llm import id_files, licenses, packing, quality_gam, quality_rules, token_counts
 from labelloom.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +32,22 @@ def op2_token_counts(spark, d):
     return token_counts.token_counts(documents(spark, d), BYTE_BPE, limit=512)
 
 
+@query
+def op3_packing(spark, d):
+    return packing.pack(documents(spark, d), BYTE_BPE, end_id=0, window=1024)
+
+
+@query
+def op4_quality_classifier(spark, d):
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    return quality_gam.quality_scores(documents(spark, d), labels)
+
+
+@query
+def op5_token_ids(spark, d):
+    return id_files.encode_corpus(documents(spark, d), WORD_BPE, end_id=1)
+
+
 @query
 def op6_license_scan(spark, d):
     return licenses.license_scan(documents(spark, d))
