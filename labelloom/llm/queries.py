@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from labelloom.llm import id_files, licenses, packing, quality_gam, quality_rules, token_counts
+from labelloom.llm import id_files, licenses, mixing, packing, quality_gam, quality_rules, token_counts
 from labelloom.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,3 +51,12 @@ def op5_token_ids(spark, d):
 @query
 def op6_license_scan(spark, d):
     return licenses.license_scan(documents(spark, d))
+
+
+@query
+def op7_source_mixing(spark, d):
+    mixed = mixing.mix(documents(spark, d).select("doc_id", "source"))
+    return mixed.select("doc_id", "source", "mix.*")
+
+
+ORACLE["op7_source_mixing"] = mixing.ORACLE_SQL
