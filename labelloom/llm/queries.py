@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelloom.llm import id_files, licenses, mixing, packing, quality_gam, quality_rules, token_counts
+from labelloom.llm import id_files, licenses, mixing, neighbours, packing, quality_gam, quality_rules, token_counts
 from labelloom.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,3 +60,9 @@ def op7_source_mixing(spark, d):
 
 
 ORACLE["op7_source_mixing"] = mixing.ORACLE_SQL
+
+
+@query
+def op10_nearest_neighbours(spark, d):
+    embeddings = spark.read.parquet(f"{d}/embeddings.parquet")
+    return neighbours.nearest(embeddings, F.col("vec_id") % 100 == 0, k=10)
