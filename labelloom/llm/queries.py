@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelloom.llm import id_files, jaccard_join, licenses, mixing, neighbours, packing, quality_gam, quality_rules, token_counts
+from labelloom.llm import id_files, jaccard_join, licenses, lm_scores, mixing, neighbours, packing, quality_gam, quality_rules, token_counts
 from labelloom.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,6 +62,11 @@ def op7_source_mixing(spark, d):
 ORACLE["op7_source_mixing"] = mixing.ORACLE_SQL
 
 
+@query
+def op8_lm_scores(spark, d):
+    return lm_scores.lm_scores(documents(spark, d))
+
+
 @query
 def op9_jaccard_join(spark, d):
     return jaccard_join.near_duplicates(documents(spark, d), size=3, percent=90)
