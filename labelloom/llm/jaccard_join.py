@@ -214,3 +214,23 @@ def near_duplicates(
             F.coalesce("_component", members["node"], F.col(key)).alias("component_id"),
         )
     )
+
+
+def one_per_group(
+    docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without near duplicates: one row of each group stays.
+
+    It is the one with the smallest key (see near_duplicates); of several rows with that key the one with
+    the smallest text. Rows without a key stay: nothing tells which of them to keep.
+    """
+    found = near_duplicates(docs, size, percent, key, text)
+    stays = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_stays")).distinct()
+    first = Window.partitionBy("_stays").orderBy(text)
+    with_key = (
+        docs.join(stays, docs[key].cast("long") == F.col("_stays"))
+        .withColumn("_place", F.row_number().over(first))
+        .where(F.col("_place") == 1)
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    )
+    return with_key.unionByName(docs.where(F.col(key).isNull()))

@@ -190,6 +190,17 @@ def training_sample(
     return x, found["_label"].to_numpy(dtype=float)
 
 
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text",
+    label: str = "quality",
+) -> tuple[Gam, DataFrame]:
+    """The model, and the counts (key, COUNTS) of all texts that it was fitted on, in the shared folder."""
+    counted = materialize(
+        map_texts(docs, text, [key], lambda: features.count_texts, features.FIELDS), "classifier-counts"
+    )
+    return fit_gam(*training_sample(counted, labels, key, label, sample_rows)), counted
+
+
 def quality_scores(
     docs: DataFrame,
     labels: DataFrame,
@@ -213,10 +224,7 @@ def quality_scores(
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    counted = materialize(
-        map_texts(docs, text, [key], lambda: features.count_texts, features.FIELDS), "classifier-counts"
-    )
-    model = fit_gam(*training_sample(counted, labels, key, label, sample_rows))
+    model, counted = fit_quality(docs, labels, sample_rows, key, text, label)
     schema = T.StructType([counted.schema[key], T.StructField("score", T.DoubleType())])
 
     def run(batches):
@@ -234,3 +242,22 @@ def quality_scores(
         "score",
         (F.col("score") >= accept).cast("int").alias("predicted"),
     )
+
+
+def accepted(
+    docs: DataFrame, labels: DataFrame, accept: float = 0.3, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id",
+    text: str = "text", label: str = "quality",
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores ``accept`` or more (see quality_scores)."""
+    model, _ = fit_quality(docs, labels, sample_rows, key, text, label)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+
+    def make():
+        def score(texts: list) -> dict:
+            return {"score": model.score(feature_matrix(features.count_texts(texts)))}
+
+        return score
+
+    whole = names[docs.columns.index(text)]
+    scored = map_texts(docs.toDF(*names), whole, names, make, [T.StructField("score", T.DoubleType())])
+    return scored.where(F.col("score") >= accept).select(*names).toDF(*docs.columns)

@@ -109,6 +109,24 @@ def fit_votes(patterns: list[str], numbers: list[int], rounds: int = 100, smooth
     return model
 
 
+def counted_votes(docs: DataFrame, keep: list[str], rules: tuple[Rule, ...], text: str) -> DataFrame:
+    """The kept columns of every row, the counts of its whole text, and its votes."""
+    return map_texts(docs, text, keep, lambda: features.count_texts, features.FIELDS).withColumn("votes", pattern(rules))
+
+
+def posteriors(counted: DataFrame) -> DataFrame:
+    """(votes, posterior): the model's verdict on every pattern of votes that occurs, as a small table."""
+    seen = counted.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
+    patterns = [r["votes"] for r in seen]
+    model = fit_votes(patterns, [r["n"] for r in seen])
+    table = list(zip(patterns, model.posterior(patterns).tolist(), strict=True))
+    return counted.sparkSession.createDataFrame(table, "votes string, posterior double")
+
+
+def failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def quality_rules(
     docs: DataFrame,
     keep_at: float = 0.5,
@@ -127,22 +145,25 @@ def quality_rules(
     The text is read once; the counts are written to the shared folder, because the estimate needs all of
     them before the first verdict. The posteriors travel as a table of at most 3^rules patterns.
     """
-    counted = materialize(
-        map_texts(docs, text, [key], lambda: features.count_texts, features.FIELDS).withColumn("votes", pattern(rules)),
-        "quality-counts",
-    )
-    seen = counted.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
-    patterns = [r["votes"] for r in seen]
-    model = fit_votes(patterns, [r["n"] for r in seen])
-    table = dict(zip(patterns, model.posterior(patterns).tolist(), strict=True))
-    verdicts = counted.sparkSession.createDataFrame(list(table.items()), "votes string, posterior double")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    counted = materialize(counted_votes(docs, [key], rules, text), "quality-counts")
     return (
-        counted.join(F.broadcast(verdicts), "votes")
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (F.col("posterior") >= keep_at))
+        counted.join(F.broadcast(posteriors(counted)), "votes")
+        .withColumn("base_failed", failed())
+        .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_at))
         .select(
             key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             "base_failed", "kept", "posterior", "votes",
         )
     )
+
+
+def kept_rows(
+    docs: DataFrame, keep_at: float = 0.5, rules: tuple[Rule, ...] = RULES, text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the rules keep (see quality_rules)."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    whole = names[docs.columns.index(text)]
+    voted = materialize(counted_votes(docs.toDF(*names), [], rules, whole).select("votes"), "quality-votes")
+    voting = counted_votes(docs.toDF(*names), names, rules, whole)
+    good = voting.where(~failed()).join(F.broadcast(posteriors(voted)), "votes").where(F.col("posterior") >= keep_at)
+    return good.select(*names).toDF(*docs.columns)
