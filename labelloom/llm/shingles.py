@@ -64,6 +64,23 @@ def least_overlap(total, percent: int):
     return -(-percent * total // (100 + percent))
 
 
+def allowed_empty(groups: int, low: int) -> int:
+    """Extra groups, so that few sets of ``low`` shingles or more leave more groups empty than there are extra.
+
+    Each extra group adds to the empty ones. Where they never catch up (small sets) the nearest miss is taken.
+    """
+    best, least, extra = 0, np.inf, 0
+    while True:
+        total = groups + extra
+        mean = total * (1 - 1 / total) ** low if total > 1 else 0.0
+        needed = int(np.ceil(mean + 2 * mean**0.5))
+        if needed - extra < least:
+            best, least = extra, needed - extra
+        if needed <= extra or extra > groups:
+            return best
+        extra = needed if groups > 64 else extra + 1
+
+
 @cache
 def bands(percent: int, most: int = 1 << 34) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(smallest size, groups, allowed empty groups) of each band of sizes; 0 groups where only equal sets link."""
@@ -71,15 +88,7 @@ def bands(percent: int, most: int = 1 << 34) -> tuple[np.ndarray, np.ndarray, np
     while low <= most:
         high = max(largest_partner(low, percent), low * 5 // 4)
         differ = (high + largest_partner(high, percent)) * (100 - percent) // (100 + percent)
-        empty, least = 0, np.inf
-        for allowed in range(differ + 4):
-            groups = differ + 1 + allowed
-            mean = groups * (1 - 1 / groups) ** low
-            beyond = mean + 2 * mean**0.5 - allowed
-            if beyond < least:
-                empty, least = allowed, beyond
-            if beyond <= 0:
-                break
+        empty = allowed_empty(differ + 1, low)
         out.append((low, differ + 1 + empty if differ else 0, empty))
         low = high + 1
     return tuple(np.array(c) for c in zip(*out, strict=True))
