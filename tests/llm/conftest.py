@@ -15,7 +15,7 @@ def edge_rows():
     """Nulls in every column, empty, blank and very long texts, equal rows, one id with two texts."""
     rng = random.Random(5)
     texts = [prose(rng, n) for n in (60, 90, 120, 300, 2, 1, 80, 80)]
-    texts += [None, "", " \n\t ", prose(rng, 40_000), "x" * 200_000, "the " * 3_000, texts[0], texts[1].upper()]
+    texts += [None, "", " \n\t ", prose(rng, 40_000), "x" * 200_000, "the " * 3_000, texts[0], "".join(c.upper() if c.isascii() else c for c in texts[1])]
     rows = [(i, t, "en", f"s{i % 3}", len(t or ""), 7, 0.5, 3) for i, t in enumerate(texts)]
     rows += [rows[2], rows[2]]
     rows += [(None, texts[3], None, None, None, None, None, None), (None, None, None, None, None, None, None, None)]
