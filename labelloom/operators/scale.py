@@ -7,6 +7,7 @@ with a vocabulary table, keeping the first n rows of a group, and numbering rows
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -15,34 +16,16 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from labelloom.functions.numeric import draw_bits
 
-# Rows up to which a narrow vocabulary table is sent to every executor.
-BROADCAST_ROWS = 500_000
-SALTS = 32
 BUCKET_ROWS = 2_000
-MAX_BROADCAST_ROWS_CONF = "spark.labelloom.lookup.broadcastRows"
 
 
-def _broadcast_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(MAX_BROADCAST_ROWS_CONF, str(BROADCAST_ROWS)))
+def lookup_join(rows: DataFrame, table: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join many rows, possibly with hot keys, to a vocabulary table.
 
-
-def lookup_join(
-    rows: DataFrame, table: DataFrame, on: str | list[str], how: str = "inner", salts: int = SALTS
-) -> DataFrame:
-    """Join many rows, possibly with hot keys, to a narrow vocabulary table.
-
-    The table is counted first, and never beyond the bound. Within the bound it is broadcast, so the
-    rows are not shuffled at all. Beyond it both sides are shuffled with a salt: the rows of a hot key
-    spread over ``salts`` tasks and the table is repeated once per salt.
+    One plan at every size, and no job while it is built: Spark broadcasts the table when its own size
+    figures allow it, and otherwise shuffles both sides and splits the partition of a hot key.
     """
-    on = [on] if isinstance(on, str) else on
-    bound = _broadcast_rows(rows)
-    if table.limit(bound + 1).count() <= bound:
-        return rows.join(F.broadcast(table), on, how)
-    others = [c for c in rows.columns if c not in on] or rows.columns
-    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
-    salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_rows.join(salted_table, ["_salt", *on], how).drop("_salt")
+    return rows.join(table, on, how)
 
 
 def group_cuts(rows: DataFrame, keys: list[str], order_bits: str, tie: str, limits: DataFrame) -> DataFrame:
@@ -126,7 +109,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return _local_folder(context.applicationId)
 
@@ -136,9 +119,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several later steps read, and read it back with its lineage cut."""
-    spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

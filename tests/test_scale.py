@@ -17,22 +17,26 @@ def rows(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left_semi", "left", "left_anti"])
-def test_salted_lookup_equals_broadcast_lookup(spark, rows, how):
+def test_lookup_is_the_same_broadcast_or_shuffled(spark, rows, how):
     table = spark.createDataFrame([("hot", 1), ("hot", 2), ("c3", 3)], "label string, v int")
-    direct = sorted(map(tuple, scale.lookup_join(rows, table, "label", how).collect()), key=repr)
-    spark.conf.set(scale.MAX_BROADCAST_ROWS_CONF, "0")
+    carrying = rows.withColumn("m", F.create_map(F.lit("k"), F.col("pmid")))
+    direct = sorted(map(repr, scale.lookup_join(carrying, table, "label", how).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = scale.lookup_join(rows, table, "label", how)
-        assert "_salt" in joined._jdf.queryExecution().optimizedPlan().toString()
-        salted = sorted(map(tuple, joined.collect()), key=repr)
+        shuffled = sorted(map(repr, scale.lookup_join(carrying, table, "label", how).collect()))
     finally:
-        spark.conf.unset(scale.MAX_BROADCAST_ROWS_CONF)
-    assert direct == salted
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert direct == shuffled
 
 
-def test_salt_spreads_a_hot_key(spark, rows):
-    salts = rows.where("label = 'hot'").select(F.pmod(F.xxhash64("pmid"), F.lit(scale.SALTS)).alias("s"))
-    assert salts.distinct().count() == scale.SALTS
+def test_lookup_starts_no_job(spark, rows):
+    table = spark.createDataFrame([("hot", 1)], "label string, v int")
+    spark.sparkContext.setJobGroup("lookup", "plan only")
+    try:
+        scale.lookup_join(rows, table, "label")
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lookup")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 @pytest.mark.parametrize("limit", [0, 1, 100, 1999, 4500, 9000, 20000])
