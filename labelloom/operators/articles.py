@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from labelloom.functions.text import word_count
 from labelloom.operators.scale import lookup_join
@@ -182,14 +182,14 @@ def below_weak_threshold(weak_counts: DataFrame, threshold: int) -> DataFrame:
 
 
 def latest_revision(articles: DataFrame, date: str, tie: str, key: str = "pmid") -> DataFrame:
-    """One row per article: the newest revision, the smallest ``tie`` on equal dates.
+    """One row per article: the newest revision, the smallest ``tie`` of any type on equal dates.
 
-    An aggregate and not a window, so revisions of one article fold together before the shuffle.
+    A date counts before none and a tie before none. Only the first rank is kept, so Spark drops the
+    other revisions of an article before the shuffle.
     """
-    whole = F.struct(*articles.columns)
-    order = F.struct(F.col(date), -F.col(tie))
-    newest = articles.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, order).alias("_row"))
-    return newest.select("_row.*")
+    order = Window.partitionBy(key).orderBy(F.col(date).desc_nulls_last(), F.col(tie).asc_nulls_last())
+    ranked = articles.withColumn("_rank", F.row_number().over(order))
+    return ranked.where(F.col("_rank") == 1).drop("_rank")
 
 
 def duplicate_ids(rows: DataFrame, key: str = "pmid") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from labelloom.functions.numeric import ratio_or_zero, threshold_grid
@@ -143,7 +145,8 @@ def relabel(
     only; the comparison is strict.
     """
     keys = ["pmid", "label", *(keys or [])]
-    flips = scored.groupBy(*keys).agg((F.max("prob") > F.lit(threshold)).cast("int").alias("_flip"))
+    # Scores that flip nothing are not shuffled.
+    flips = scored.where(F.col("prob") > F.lit(threshold)).select(*keys).distinct().withColumn("_flip", F.lit(1))
     flip = F.coalesce("_flip", F.lit(0))
     return base.join(flips, keys, "left").withColumns({b: F.greatest(F.col(b), flip) for b in bases}).drop("_flip")
 
@@ -159,9 +162,12 @@ def apply_sweep(
     """Confusion counts after relabelling, for every key, label, base method, model and threshold.
 
     ``base`` is (keys, label, pmid, gold, one 0/1 column per base method), ``scored`` (keys, model, label,
-    pmid, prob) of valid articles, one row per pair and model. Base and scores meet once for all models. A row's level is the number
-    of thresholds below its probability; rows are counted per level, and the at most
-    ``len(thresholds) + 1`` counts of a key are then summed up per threshold.
+    pmid, prob) of articles that ``base`` has too, one row per pair and model.
+
+    Scores that pass no threshold, and base rows that are neither golden nor positive, are counted but not
+    shuffled: the rest meet once for all models. A row's level is the number of thresholds below its
+    probability; rows are counted per level, and the at most ``len(thresholds) + 1`` counts of a key are
+    then summed up per threshold. True negatives are what remains of a label's rows.
     """
     grid = threshold_grid(thresholds)
     keys = keys or []
@@ -169,18 +175,21 @@ def apply_sweep(
     pair = ["pmid", "label", *keys]
     passed = sum(((F.col("prob") > F.lit(t)).cast("int") for t in grid), F.lit(0))
     names = [f"_level{i}" for i in range(len(models))]
+    high = scored.where(F.col("model").isin(models) & (F.col("prob") > F.lit(min(grid))))
     if len(models) == 1:
-        levels = scored.where(F.col("model") == models[0]).select(*pair, passed.alias(names[0]))
+        levels = high.select(*pair, passed.alias(names[0]))
     else:
-        levels = scored.groupBy(*pair).agg(
+        levels = high.groupBy(*pair).agg(
             *[F.max(F.when(F.col("model") == m, passed)).alias(n) for m, n in zip(models, names)]
         )
     per_model = F.array(
         *[F.struct(F.lit(m).alias("model"), F.coalesce(n, F.lit(0)).alias("_level")) for m, n in zip(models, names)]
     )
-    rows = base.join(levels, pair, "left").select(
-        *keys, "label", (F.col("gold") == 1).alias("_gold"), *bases, F.inline(per_model)
-    )
+    marked = reduce(lambda a, b: a | b, [F.col(c) == 1 for c in ("gold", *bases)])
+    rows = base.where(marked).select(*pair, "gold", *bases).join(levels, pair, "full").select(
+        *keys, "label", (F.coalesce("gold", F.lit(0)) == 1).alias("_gold"),
+        *[F.coalesce(b, F.lit(0)).alias(b) for b in bases], F.inline(per_model),
+    )
     gold = F.col("_gold")
     cells = rows.groupBy(*keys, "label", "model", "_level").agg(
         *[
@@ -196,12 +205,19 @@ def apply_sweep(
     )
     by_base = cells.select(*keys, "label", "model", "_level", F.inline(F.array(*[F.col(f"_{b}") for b in bases])))
     steps = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(t).alias("threshold")) for i, t in enumerate(grid)])
-    spread = by_base.select("*", F.inline(steps))
     flipped = F.col("_level") > F.col("_i")
     zero = F.lit(0).cast("long")
-    return spread.groupBy(*keys, "label", "base", "model", "threshold").agg(
-        F.sum(F.when(~flipped, F.col("_open_other")).otherwise(zero)).alias("tn"),
-        F.sum(F.col("_fp") + F.when(flipped, F.col("_open_other")).otherwise(zero)).alias("fp"),
-        F.sum(F.when(~flipped, F.col("_open_gold")).otherwise(zero)).alias("fn"),
-        F.sum(F.col("_tp") + F.when(flipped, F.col("_open_gold")).otherwise(zero)).alias("tp"),
+    cell = [*keys, "label", "base", "model", "threshold"]
+    counts = by_base.select("*", F.inline(steps)).groupBy(*cell).agg(
+        F.sum(F.col("_fp") + F.when(flipped, F.col("_open_other")).otherwise(zero)).alias("_fp"),
+        F.sum(F.when(~flipped, F.col("_open_gold")).otherwise(zero)).alias("_fn"),
+        F.sum(F.col("_tp") + F.when(flipped, F.col("_open_gold")).otherwise(zero)).alias("_tp"),
+    )
+    # One row per label from here on; a label without any marked row has true negatives only.
+    whole = base.groupBy(*keys, "label").agg(F.count("*").alias("_rows"))
+    for name, values in (("base", bases), ("model", models), ("threshold", grid)):
+        whole = whole.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    fp, fn, tp = (F.coalesce(c, zero) for c in ("_fp", "_fn", "_tp"))
+    return whole.join(counts, cell, "left").select(
+        *cell, (F.col("_rows") - fp - fn - tp).alias("tn"), fp.alias("fp"), fn.alias("fn"), tp.alias("tp")
     )

@@ -251,6 +251,52 @@ def group_selection(kind: str = "NWL", ratio_kept: float = 1.0, seed: int = 10):
     return F.col("valid") & ~F.col("weak"), F.col("fn") | (drawn <= F.lit(ratio_kept))
 
 
+def group_dataset(
+    golden: DataFrame,
+    weak: DataFrame,
+    label_scope: DataFrame,
+    members: DataFrame,
+    groups: DataFrame,
+    kind: str = "NWL",
+    ratio_kept: float = 1.0,
+    seed: int = 10,
+) -> DataFrame:
+    """(grp, pmid, valid_labels, positive, negative): the articles that a group's dataset holds.
+
+    NWL: articles valid for any label of the group without a weak label of the group; positive are the
+    golden labels (missed), negative the group's other labels. PWL: articles valid for any and with
+    some weak label; positive are weak labels that are not golden, negative those that are. Lists are
+    sorted and bounded by the labels of a group (``groups`` is (label, grp)). Wholly negative articles are
+    kept with probability ``ratio_kept``; the rows are those that ``dataset_counters`` counts as selected.
+    """
+    scopes = article_scopes(golden, weak, label_scope, members)
+    in_group = label_scope.join(groups, "label").groupBy("scope", "grp").agg(F.collect_set("label").alias("labels"))
+    everyone = groups.groupBy("grp").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+
+    def merged(part):
+        return F.array_sort(F.array_distinct(F.flatten(F.collect_list(part))))
+
+    empty = F.array().cast("array<string>")
+    documents = lookup_join(scopes, in_group, "scope").groupBy("grp", "pmid").agg(
+        merged(F.when(F.col("valid"), F.col("labels")).otherwise(empty)).alias("valid_labels"),
+        merged(F.array_intersect("golden", "labels")).alias("_gold"),
+        merged(F.when(F.col("valid"), F.array_intersect("weak", "labels")).otherwise(empty)).alias("_weak"),
+    )
+    if kind == "PWL":
+        chosen = (F.size("valid_labels") > 0) & (F.size("_weak") > 0)
+        positive, negative = F.array_except("_weak", "_gold"), F.array_intersect("_weak", "_gold")
+    elif kind == "NWL":
+        drawn = draw(F.lit(f"u{seed}|"), F.col("grp"), F.lit("|"), F.col("pmid"))
+        kept = (F.size("_gold") > 0) | (drawn <= F.lit(ratio_kept))
+        chosen = (F.size("valid_labels") > 0) & (F.size("_weak") == 0) & kept
+        positive, negative = F.col("_gold"), F.array_except("labels", "_gold")
+    else:
+        raise ValueError("kind must be 'NWL' or 'PWL'")
+    return lookup_join(documents.where(chosen), everyone, "grp").select(
+        "grp", "pmid", "valid_labels", positive.alias("positive"), negative.alias("negative")
+    )
+
+
 def dataset_counters(
     articles: DataFrame,
     golden: DataFrame,

@@ -52,7 +52,7 @@ def featurise(rows: DataFrame, n_features: int = 1 << 18) -> DataFrame:
 
 
 def fit_pair_model(train: DataFrame, epochs: int = 20, regularisation: float = 0.01) -> LogisticRegressionModel:
-    """Fit on rows (features, target, weight)."""
+    """Fit on rows (features, target, weight); rows of unknown target (neither 0 nor 1) are left out."""
     return LogisticRegression(
         featuresCol="features",
         labelCol="target",
@@ -60,7 +60,7 @@ def fit_pair_model(train: DataFrame, epochs: int = 20, regularisation: float = 0
         maxIter=epochs,
         regParam=regularisation,
         standardization=False,
-    ).fit(train)
+    ).fit(train.where(F.col("target").isin(0, 1)))
 
 
 def score(model: LogisticRegressionModel, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -87,7 +87,10 @@ def score_with(
 def fit_best_epoch(
     train: DataFrame, dev: DataFrame, epochs: list[int], run: str = "run", **options
 ) -> tuple[dict[str, LogisticRegressionModel], DataFrame]:
-    """Models of the epoch with the lowest validation loss and of the one before, and the choice made."""
+    """Models of the epoch with the lowest validation loss and of the one before, and the choice made.
+
+    Each candidate is a fit of its own, so candidates e1, e2, ... cost e1 + e2 + ... passes over ``train``.
+    """
     models = {e: fit_pair_model(train, epochs=e, **options) for e in sorted(epochs)}
     losses = None
     for e, model in models.items():

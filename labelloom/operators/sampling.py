@@ -28,6 +28,7 @@ def balance_negatives(
 ) -> DataFrame:
     """All positives and at most ``per_positive`` times as many random negatives per label and split.
 
+    Rows of unknown target (neither 0 nor 1) stay.
     A group without positives keeps no negatives. The number to keep is exact for any group size.
     ``per_positive`` and ``seed`` may be columns that are part of ``keys``; a negative ratio keeps all.
     """
@@ -108,13 +109,18 @@ def focus_labels(rows: DataFrame, focus: DataFrame) -> DataFrame:
 
 def label_sums(rows: DataFrame) -> DataFrame:
     """Per label: size of its dataset and number of positives."""
-    return rows.groupBy("label").agg(F.count("*").alias("n_rows"), F.sum("target").alias("n_positive"))
+    return rows.groupBy("label").agg(F.count("*").alias("n_rows"), F.count_if(F.col("target") == 1).alias("n_positive"))
 
 
 def class_balance(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """class_freq (positives), train_num (rows) and pos_weight = negatives per positive."""
+    """class_freq (positives), train_num (rows) and pos_weight = negatives per positive.
+
+    Rows of unknown target (neither 0 nor 1) do not count.
+    """
     keys = ["label"] if keys is None else keys
-    counts = rows.groupBy(*keys).agg(F.sum("target").alias("class_freq"), F.count("*").alias("train_num"))
+    counts = rows.groupBy(*keys).agg(
+        F.count_if(F.col("target") == 1).alias("class_freq"), F.count_if(F.col("target").isin(0, 1)).alias("train_num")
+    )
     return counts.withColumn("pos_weight", ratio(F.col("train_num") - F.col("class_freq"), F.col("class_freq")))
 
 

@@ -25,8 +25,6 @@ PROVENANCE_CATEGORIES = {
     "4": "4: New Emerging concept",
 }
 
-EXTRA_PART_REPORT_LIMIT = 10
-
 
 def new_descriptors(old: DataFrame, new: DataFrame, now: DataFrame) -> DataFrame:
     """Records of ``now`` that are in ``new`` but were not in ``old``."""

@@ -106,3 +106,23 @@ def apply_relabelling(
         *keys, "label", "base", *[F.col(c).alias(f"base_{c}") for c in ("precision", "recall", "f1")]
     )
     return after.join(original, [*keys, "label", "base"])
+
+
+def relabelling_gain(
+    base: DataFrame, scored: DataFrame, bases: list[str], models: list[str], thresholds: list[float] | None = None
+) -> DataFrame:
+    """(base, model, threshold, micro_f1, macro_f1, base_micro_f1, base_macro_f1, micro_gain, macro_gain).
+
+    F1 over all labels with the base predictions as they are and after relabelling, for every base method,
+    model and threshold.
+    """
+    after = evaluate.micro_macro_f1(
+        evaluate.apply_sweep(base, scored, bases, models, thresholds), ["base", "model", "threshold"]
+    )
+    before = evaluate.micro_macro_f1(evaluate.confusion(base, ["label"], bases), ["base"])
+    before = before.withColumnsRenamed({"micro_f1": "base_micro_f1", "macro_f1": "base_macro_f1"})
+    return (
+        after.join(before, "base")
+        .withColumn("micro_gain", F.col("micro_f1") - F.col("base_micro_f1"))
+        .withColumn("macro_gain", F.col("macro_f1") - F.col("base_macro_f1"))
+    )

@@ -19,6 +19,7 @@ Descriptor_names ARRAY<STRING>, Descriptor_UIs ARRAY<STRING>, newFGDescriptors A
 weakLabel ARRAY<STRING>
 """
 ENVELOPE_HEADER = '{"documents":['
+ID_LINE = "PMID Version"
 
 
 def read_articles(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -32,11 +33,14 @@ def read_envelope_json(spark: SparkSession, path: str, schema: str = ENVELOPE_SC
     """Articles of a ``{"documents":[`` file with one object per line.
 
     Lines are read as text, so one large file is split over many tasks; the separators at the line ends
-    are dropped before parsing.
+    are dropped before parsing. A line that is no object with an id stops the job and is named.
     """
     lines = spark.read.text(path).where(~F.startswith(F.trim("value"), F.lit(ENVELOPE_HEADER)))
-    bare = F.regexp_replace("value", r"(,|\]\})\s*$", "")
-    return lines.select(F.from_json(bare, schema).alias("_d")).select("_d.*").where("pmid IS NOT NULL")
+    bare = F.trim(F.regexp_replace("value", r"(,|\]\})\s*$", ""))
+    objects = lines.where(bare != "").select("value", F.from_json(bare, schema).alias("_d"))
+    unreadable = F.raise_error(F.concat(F.lit("unreadable line: "), F.left("value", F.lit(200))))
+    checked = F.when(F.col("_d.pmid").isNull(), unreadable).otherwise(F.col("_d.pmid"))
+    return objects.select("_d.*", checked.cast("long").alias("_checked")).withColumn("pmid", F.col("_checked")).drop("_checked")
 
 
 def envelope_articles(documents: DataFrame) -> DataFrame:
@@ -55,9 +59,9 @@ def envelope_articles(documents: DataFrame) -> DataFrame:
 
 def scan_ids_by_file(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     """(pmid, file) for each line of the XML files that holds the id of one of the given articles."""
-    lines = spark.read.text(path).where(F.contains("value", F.lit("PMID Version")))
+    lines = spark.read.text(path).where(F.contains("value", F.lit(ID_LINE)))
     found = lines.select(
-        F.regexp_extract("value", r"<PMID Version[^>]*>(\d+)<", 1).cast("long").alias("pmid"),
+        F.regexp_extract("value", rf"<{ID_LINE}[^>]*>(\d+)<", 1).cast("long").alias("pmid"),
         F.col("_metadata.file_name").alias("file"),
     )
     return lookup_join(found, ids.select(F.col("pmid").cast("long")).distinct(), "pmid", "left_semi")

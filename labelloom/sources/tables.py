@@ -67,8 +67,8 @@ def read_split_tables(
 
 
 def stack_labels(rows: DataFrame, label_names: DataFrame) -> DataFrame:
-    """Dataset rows with the ``label_name`` of ``label_names`` (label, label_name)."""
-    return lookup_join(rows, label_names, "label")
+    """Dataset rows with the ``label_name`` of ``label_names`` (label, label_name); null for an unknown label."""
+    return lookup_join(rows, label_names, "label", "left")
 
 
 def clean_input(rows: DataFrame) -> DataFrame:
@@ -80,18 +80,18 @@ def clean_input(rows: DataFrame) -> DataFrame:
 def matrix_to_long(matrix: DataFrame, label_order: DataFrame) -> DataFrame:
     """(pmid, values array) with values in label order -> (pmid, label, value).
 
-    ``label_order`` is (pos, label), positions from 0.
+    ``label_order`` is (pos, label), positions from 0. Values at other positions keep a null label.
     """
     cells = matrix.select("pmid", F.posexplode("values").alias("pos", "value"))
-    return lookup_join(cells, label_order, "pos").select("pmid", "label", "value")
+    return lookup_join(cells, label_order, "pos", "left").select("pmid", "label", "value")
 
 
 def batches_to_rows(batches: DataFrame, batch_size: int, row_order: DataFrame) -> DataFrame:
     """Probabilities stored in batches -> (pmid, value).
 
     ``batches`` is (batch, values) with all but the last of ``batch_size`` values; ``row_order`` is
-    (pos, pmid), positions from 0.
+    (pos, pmid), positions from 0. Values beyond them keep a null id.
     """
     cells = batches.select("batch", F.posexplode("values").alias("_i", "value"))
     placed = cells.select((F.col("batch") * batch_size + F.col("_i")).alias("pos"), "value")
-    return placed.join(row_order, "pos").select("pmid", "value")
+    return placed.join(row_order, "pos", "left").select("pmid", "value")

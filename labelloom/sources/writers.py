@@ -95,9 +95,9 @@ def write_use_cases(cases: DataFrame, path: str, full: bool = False) -> None:
 
 
 def attach_text(dataset: DataFrame, articles: DataFrame) -> DataFrame:
-    """Dataset rows with the article's text, joined only when a dataset is written or scored."""
+    """Dataset rows with the article's text (null for a missing article), joined only when a dataset is written or scored."""
     texts = articles.select("pmid", article_text(F.col("title"), F.col("abstract_text")).alias("text"))
-    return dataset.join(texts, "pmid")
+    return dataset.join(texts, "pmid", "left")
 
 
 def write_split_tables(dataset: DataFrame, path: str) -> None:
@@ -105,29 +105,45 @@ def write_split_tables(dataset: DataFrame, path: str) -> None:
     dataset.write.partitionBy("label", "split").parquet(path)
 
 
-def wide_dataset(dataset: DataFrame, labels: list[str]) -> DataFrame:
-    """(pmid, split, one 0/1 column per label) for the labels of one group."""
-    return dataset.groupBy("pmid", "split").agg(
-        *[F.coalesce(F.max(F.when(F.col("label") == x, F.col("target"))), F.lit(0)).alias(x) for x in labels]
+def wide_dataset(documents: DataFrame, labels: list[str]) -> DataFrame:
+    """(pmid, split, text, valid_SCL, one 0/1 column per label) of the articles of one group.
+
+    ``documents`` are rows of ``labels.group_dataset`` with split and text.
+    """
+    return documents.select(
+        "pmid",
+        "split",
+        "text",
+        join_list(F.col("valid_labels")).alias("valid_SCL"),
+        *[F.array_contains("positive", x).cast("int").alias(x) for x in labels],
     )
 
 
-def write_wide_split(dataset: DataFrame, labels: list[str], path: str) -> None:
-    wide_dataset(dataset, labels).write.partitionBy("split").option("header", True).csv(path)
+def write_wide_split(documents: DataFrame, labels: list[str], path: str) -> None:
+    wide_dataset(documents, labels).write.partitionBy("split").option("header", True).option("escape", '"').csv(path)
 
 
-def fasttext_lines(dataset: DataFrame, kind: str = "NWL") -> DataFrame:
-    """One ``__label__X text`` or ``__label__notX text`` line per row, text on one line.
+def fasttext_lines(documents: DataFrame, kind: str = "NWL", add_negative_labels: bool = False) -> DataFrame:
+    """(grp, split, value): one line per article with the marks of its labels and its text.
 
-    X marks golden articles: NWL target 1 is golden, PWL target 1 is not.
+    ``documents`` are rows of ``labels.group_dataset`` with split and text. The mark is ``__label__X`` for a
+    golden label and ``__label__notX`` for one that is not: of the positive rows (NWL: missed, PWL: wrongly
+    assigned), and with ``add_negative_labels`` of the other ones as well.
     """
-    golden = (F.col("target") == 1) if kind == "NWL" else (F.col("target") == 0)
-    mark = F.when(golden, F.lit("__label__")).otherwise(F.lit("__label__not"))
-    return dataset.select("label", "split", F.concat(mark, "label", F.lit(" "), single_line(F.col("text"))).alias("value"))
+    golden = kind == "NWL"
+
+    def mark(positive: bool):
+        return "__label__" if positive == golden else "__label__not"
+
+    positive = F.transform("positive", lambda x: F.struct(x.alias("label"), F.concat(F.lit(mark(True)), x).alias("mark")))
+    negative = F.transform("negative", lambda x: F.struct(x.alias("label"), F.concat(F.lit(mark(False)), x).alias("mark")))
+    marks = F.array_sort(F.concat(positive, negative) if add_negative_labels else positive)
+    line = F.concat(F.array_join(F.transform(marks, lambda m: m["mark"]), " "), F.lit(" "), single_line(F.col("text")))
+    return documents.select("grp", "split", line.alias("value"))
 
 
-def write_fasttext(dataset: DataFrame, path: str, kind: str = "NWL") -> None:
-    fasttext_lines(dataset, kind).write.partitionBy("label", "split").text(path)
+def write_fasttext(documents: DataFrame, path: str, kind: str = "NWL", add_negative_labels: bool = False) -> None:
+    fasttext_lines(documents, kind, add_negative_labels).write.partitionBy("grp", "split").text(path)
 
 
 def write_triples(triples: DataFrame, path: str) -> None:

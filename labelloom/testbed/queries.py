@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from labelloom.functions import notes, numeric, records, text
 from labelloom.operators import articles as art
 from labelloom.operators import evaluate, hierarchy, labels, matching, sampling, stats, versions
-from labelloom.operators.scale import lookup_join, materialize
+from labelloom.operators.scale import lookup_join, materialize, new_folder
 from labelloom.plans import curation, relabelling
+from labelloom.sources import articles as article_sources
 from labelloom.sources import tables, writers
 from labelloom.testbed import views
 from labelloom.testbed.sql_views import ANNOTATIONS, ARTICLES, DATASET, FREQUENCIES, H, THESAURUS
@@ -40,6 +41,13 @@ def rounded(c: str | Column, alias: str, digits: int = 8) -> Column:
     return F.round(c, digits).alias(alias)
 
 
+def written(df: DataFrame, name: str) -> str:
+    """The path of a Parquet table for a reader to read."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
 def per_label(rows: DataFrame, *extra: Column) -> DataFrame:
     return rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("pmid").alias("sum_pmid"), *extra)
 
@@ -56,7 +64,8 @@ PER_LABEL = "label, count(*) AS n, sum(pmid)::BIGINT AS sum_pmid"
     ARTICLES,
 )
 def read_articles(spark, d):
-    return views.articles(spark, d).select(
+    path = written(views.articles(spark, d), "articles")
+    return article_sources.read_articles(spark, path, ["pmid", "title", "abstract_text", "year", "date_completed"]).select(
         "pmid",
         F.md5("title").alias("title_md5"),
         F.length("abstract_text").cast("long").alias("abstract_length"),
@@ -67,31 +76,78 @@ def read_articles(spark, d):
 
 @query("SELECT cui, count(*) AS n, sum(pmid*entity_id)::BIGINT AS checksum FROM occ GROUP BY cui", ANNOTATIONS)
 def read_occurrences(spark, d):
-    return views.occurrence(spark, d).groupBy("cui").agg(
+    read = tables.read_occurrences(spark, written(views.occurrence(spark, d), "occurrences"))
+    return read.groupBy("cui").agg(
         F.count("*").alias("n"), F.sum(F.col("pmid") * F.col("entity_id")).alias("checksum")
     )
 
 
 @query("SELECT cui, source_code FROM cross_walk WHERE source='OTHER'", ANNOTATIONS)
 def read_crosswalk(spark, d):
-    return views.crosswalk(spark, d).where(F.col("source") == "OTHER").select("cui", "source_code")
+    path = written(views.crosswalk(spark, d), "crosswalk")
+    return tables.read_crosswalk(spark, path, "OTHER").select("cui", "source_code")
 
 
 @query(
-    """SELECT pmid, label, 'Language '||label AS label_name, target
-       FROM text_rows WHERE split='test'""",
+    """SELECT pmid, label, 'Language '||label AS label_name, target, md5(title||' '||abstract_text) AS text_md5
+       FROM text_rows LEFT JOIN article USING (pmid) WHERE split='test'""",
     ARTICLES,
 )
 def read_split_tables(spark, d):
     names = views.text_scopes(spark, d)[0].select("label", F.concat(F.lit("Language "), "label").alias("label_name"))
-    rows = views.text_dataset(spark, d).where("split = 'test'")
-    return tables.stack_labels(rows, names).select("pmid", "label", "label_name", "target")
+    path = new_folder(spark, "split-tables")
+    writers.write_split_tables(writers.attach_text(views.text_dataset(spark, d), views.articles(spark, d)), path)
+    rows = tables.read_split_tables(spark, path, names, "test")
+    return rows.select("pmid", "label", "label_name", "target", F.md5("text").alias("text_md5"))
+
+
+@query(
+    """SELECT pmid, md5(title) AS title_md5, md5(abstract_text) AS abstract_md5, year, lang AS golden, date_completed::VARCHAR AS revised
+       FROM article""",
+    ARTICLES,
+)
+def read_envelope_json(spark, d):
+    """An envelope file written from the articles, one object per line, and read back."""
+    article = views.articles(spark, d).select(
+        "pmid", "title", F.col("abstract_text").alias("abstractText"), "year",
+        F.date_format("date_completed", "d-M-yyyy").alias("Date_revised"), F.col("golden").alias("Descriptor_UIs"),
+    )
+    lines = article.select(F.concat(F.to_json(F.struct(*article.columns)), F.lit(",")).alias("value"))
+    path = new_folder(spark, "envelope")
+    header = spark.createDataFrame([(article_sources.ENVELOPE_HEADER,)], "value string")
+    lines.unionByName(header).write.text(path)
+    read = article_sources.envelope_articles(article_sources.read_envelope_json(spark, path))
+    return read.select(
+        "pmid", F.md5("title").alias("title_md5"), F.md5("abstract_text").alias("abstract_md5"), "year",
+        F.col("golden")[0].alias("golden"), F.col("date_revised").cast("string").alias("revised"),
+    )
+
+
+@query(
+    "SELECT pmid, md5(title) AS title_md5, md5(abstract_text) AS abstract_md5, lang AS golden FROM article",
+    ARTICLES,
+)
+def write_articles(spark, d):
+    path = f"{new_folder(spark, 'articles')}.json"
+    writers.write_articles(views.articles(spark, d), path)
+    read = article_sources.read_articles(spark, path)
+    return read.select("pmid", F.md5("title").alias("title_md5"), F.md5("abstract_text").alias("abstract_md5"), F.col("golden")[0].alias("golden"))
+
+
+@query("SELECT pmid, md5(title) AS title_md5, md5(replace(abstract_text, chr(10), ' ')) AS abstract_md5 FROM article WHERE abstract_text <> ''", ARTICLES)
+def write_abstracts(spark, d):
+    """The abstracts' file read back; its format has one line per article, so line breaks become blanks."""
+    path = new_folder(spark, "abstracts")
+    on_one_line = views.articles(spark, d).where("abstract_text <> ''").withColumn("abstract_text", F.translate("abstract_text", "\n", " "))
+    writers.write_abstracts(on_one_line, path)
+    read = spark.read.schema("pmid long, abstract string, title string").option("header", True).option("sep", ";").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return read.select("pmid", F.md5("title").alias("title_md5"), F.md5("abstract").alias("abstract_md5"))
 
 
 @query(
     """SELECT s_name AS label, count(*) AS n, round(sum(value::DOUBLE), 4) AS total, max(value)::DOUBLE AS largest
        FROM (SELECT vec_id, unnest(embedding) AS value, unnest(range(len(embedding))) AS pos FROM embeddings)
-       JOIN supplier ON s_suppkey=pos GROUP BY s_name"""
+       LEFT JOIN supplier ON s_suppkey=pos GROUP BY s_name"""
 )
 def matrix_to_long(spark, d):
     matrix = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("pmid"), F.col("embedding").alias("values"))
@@ -123,25 +179,59 @@ def label_table(spark, d):
     )
 
 
+_GROUP_ROWS = """SELECT doc_id AS pmid, lang, (SELECT string_agg(label, '~' ORDER BY label) FROM langs) AS valid_scl, title||' '||abstract_text AS text,
+              CASE WHEN r <= 0.2::DOUBLE THEN 'test' WHEN r <= 0.4::DOUBLE THEN 'dev' ELSE 'train' END AS split
+       FROM (SELECT doc_id, lang, """ + H.format("'10|'||doc_id") + """/4294967296::DOUBLE AS r FROM documents
+             WHERE doc_id NOT IN (SELECT pmid FROM text_weak)) LEFT JOIN (SELECT pmid, title, abstract_text FROM article) ON pmid=doc_id"""
+
+
+def _language_group(spark, d):
+    """The languages as one group: articles valid for any of them without a weak label."""
+    weak_pairs = art.weak_labels(views.text_occurrence(spark, d), views.text_labels(spark, d))
+    label_scope, members = views.text_scopes(spark, d)
+    groups = label_scope.select("label", F.lit(0).alias("grp"))
+    rows = labels.group_dataset(views.text_golden(spark, d), weak_pairs, label_scope, members, groups)
+    return writers.attach_text(sampling.split_rows(rows), views.articles(spark, d))
+
+
 @query(
-    """SELECT pmid, split, coalesce(max(target) FILTER (label='de'),0) AS de, coalesce(max(target) FILTER (label='en'),0) AS en,
-              coalesce(max(target) FILTER (label='es'),0) AS es, coalesce(max(target) FILTER (label='fr'),0) AS fr
-       FROM text_rows GROUP BY pmid, split""",
+    f"""SELECT pmid, split, text, valid_scl AS "valid_SCL", (lang='de')::INTEGER AS de, (lang='en')::INTEGER AS en,
+              (lang='es')::INTEGER AS es, (lang='fr')::INTEGER AS fr FROM ({_GROUP_ROWS})""",
     ARTICLES,
 )
 def write_split_tables_wide(spark, d):
-    return writers.wide_dataset(views.text_dataset(spark, d), ["de", "en", "es", "fr"])
+    return writers.wide_dataset(_language_group(spark, d), ["de", "en", "es", "fr"])
 
 
 @query(
-    """SELECT label, split, md5('__label__'||(CASE WHEN target=1 THEN '' ELSE 'not' END)||label||' '
-              ||replace(title||' '||abstract_text, chr(10), ' ')) AS line_md5
-       FROM text_rows JOIN article USING (pmid)""",
+    f"""SELECT 0 AS grp, split, md5('__label__'||lang||' '||replace(text, chr(10), ' ')) AS line_md5 FROM ({_GROUP_ROWS})""",
     ARTICLES,
 )
 def fasttext_lines(spark, d):
-    rows = writers.attach_text(views.text_dataset(spark, d), views.articles(spark, d))
-    return writers.fasttext_lines(rows).select("label", "split", F.md5("value").alias("line_md5"))
+    return writers.fasttext_lines(_language_group(spark, d)).select("grp", "split", F.md5("value").alias("line_md5"))
+
+
+@query(
+    f"""SELECT 0 AS grp, split, md5((SELECT string_agg(CASE WHEN label=lang THEN '__label__' ELSE '__label__not' END||label, ' ' ORDER BY label)
+                                     FROM langs)||' '||replace(text, chr(10), ' ')) AS line_md5 FROM ({_GROUP_ROWS})""",
+    ARTICLES,
+)
+def fasttext_lines_all_marks(spark, d):
+    lines = writers.fasttext_lines(_language_group(spark, d), add_negative_labels=True)
+    return lines.select("grp", "split", F.md5("value").alias("line_md5"))
+
+
+@query(
+    """SELECT grp::INTEGER AS grp, count(*) FILTER (valid AND NOT weak AND (fn OR drawn)) AS selected,
+              count(*) FILTER (valid AND NOT weak AND fn) AS with_positive FROM doc GROUP BY grp""",
+    None,
+)
+def group_dataset(spark, d):
+    """As many articles as dataset_counters calls selected, for the same groups."""
+    gold, weak_rows, label_scope, members = views.annotation_inputs(spark, d)
+    groups = sampling.chunk_labels(views.label_parent(spark, d), 40)
+    rows = labels.group_dataset(gold, weak_rows, label_scope, members, groups, ratio_kept=0.5)
+    return rows.groupBy("grp").agg(F.count("*").alias("selected"), F.count_if(F.size("positive") > 0).alias("with_positive"))
 
 
 def _scope_info(spark, d):
@@ -1252,6 +1342,23 @@ def apply_relabelling(spark, d):
     )
 
 
+@query(
+    """SELECT base, 'hashed' AS model, threshold, round(micro,8) AS micro_f1, round(macro,8) AS macro_f1, round(m0,8) AS base_micro_f1,
+              round(a0,8) AS base_macro_f1, round(micro-m0,6) AS micro_gain, round(macro-a0,6) AS macro_gain
+       FROM (SELECT base, threshold, 2*sum(tp)::DOUBLE/(2*sum(tp)+sum(fp)+sum(fn)) AS micro,
+                    avg(coalesce(2*tp::DOUBLE/nullif(2*tp+fp+fn,0),0)) AS macro FROM conf GROUP BY ALL)
+       JOIN (SELECT base, 2*sum(tp)::DOUBLE/(2*sum(tp)+sum(fp)+sum(fn)) AS m0, avg(f) AS a0 FROM bs GROUP BY base) USING (base)""",
+    DATASET + _GRID + _BASE_CONF,
+)
+def relabelling_gain(spark, d):
+    scored = views.scored(spark, d).withColumn("model", F.lit("hashed"))
+    gain = relabelling.relabelling_gain(views.base_predictions(spark, d), scored, views.BASES, ["hashed"])
+    return gain.select(
+        "base", "model", "threshold", *[rounded(c, c) for c in ("micro_f1", "macro_f1", "base_micro_f1", "base_macro_f1")],
+        *[rounded(c, c, 6) for c in ("micro_gain", "macro_gain")],
+    )
+
+
 @query("SELECT label, base, tn, fp, fn, tp FROM bc", DATASET + _BASE_CONF)
 def confusion(spark, d):
     return evaluate.confusion(views.base_predictions(spark, d), ["label"], views.BASES)
@@ -1497,3 +1604,6 @@ def run_grid(spark, d):
     ]
     rows = sampling.grid_rows(materialize(views.dataset(spark, d), "dataset"), runs)
     return rows.groupBy("run", "label", "split", "target").agg(F.count("*").alias("n"), F.sum("pmid").alias("sum_pmid"))
+
+
+ORACLE["group_dataset"] = f"WITH {(ANNOTATIONS + _GROUPS).strip()}\n{ORACLE['group_dataset']}"

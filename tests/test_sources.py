@@ -61,6 +61,12 @@ def test_envelope(spark, tmp_path):
     assert rows[0]["abstract_text"] == "x, y" and rows[0]["date_revised"] == dt.date(2004, 2, 3)
 
 
+def test_unreadable_envelope_line_stops_the_job(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"documents":[\n{"pmid":1,"title":"a"},\n{"pmid":2,"tit\n]}\n')
+    with pytest.raises(Exception, match="unreadable line"):
+        articles.read_envelope_json(spark, str(tmp_path / "bad.json")).collect()
+
+
 def test_ids_by_file(spark, tmp_path):
     (tmp_path / "n1.xml").write_text('<a>\n<PMID Version="1">11</PMID>\n<PMID Version="1">12</PMID>\n</a>\n')
     (tmp_path / "n2.xml").write_text('<a>\n  <PMID Version="2">11</PMID>\n<Other>12</Other></a>\n')
@@ -108,12 +114,20 @@ def test_split_tables_read_only_their_folder(spark, tmp_path):
 
 
 def test_text_sinks(spark, tmp_path):
-    rows = spark.createDataFrame([("A", 1, "x\ny", 1, "train"), ("A", 2, "z", 0, "train")], "label string, pmid long, text string, target int, split string")
+    rows = spark.createDataFrame(
+        [(0, 1, "train", "x\ny", ["A", "B"], ["B"], ["A"]), (0, 2, "train", "z", ["A"], [], ["A", "B"])],
+        "grp int, pmid long, split string, text string, valid_labels array<string>, positive array<string>, negative array<string>",
+    )
     writers.write_fasttext(rows, str(tmp_path / "ft"))
-    lines = sorted(r[0] for r in spark.read.text(str(tmp_path / "ft/label=A/split=train")).collect())
-    assert lines == ["__label__A x y", "__label__notA z"]
-    pwl = sorted(r["value"] for r in writers.fasttext_lines(rows, "PWL").collect())
-    assert pwl == ["__label__A z", "__label__notA x y"]
+    lines = sorted(r[0] for r in spark.read.text(str(tmp_path / "ft/grp=0/split=train")).collect())
+    assert lines == [" z", "__label__B x y"]
+    marked = sorted(r["value"] for r in writers.fasttext_lines(rows, add_negative_labels=True).collect())
+    assert marked == ["__label__notA __label__B x y", "__label__notA __label__notB z"]
+    pwl = sorted(r["value"] for r in writers.fasttext_lines(rows, "PWL", True).collect())
+    assert pwl == ["__label__A __label__B z", "__label__A __label__notB x y"]
+    writers.write_wide_split(rows, ["A", "B"], str(tmp_path / "wide"))
+    wide = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "wide/split=train"))
+    assert sorted(map(tuple, wide.collect())) == [("1", "x\ny", "A~B", "0", "1"), ("2", "z", "A", "0", "0")]
     arts = spark.createDataFrame([(1, "t;1", 'say "x"')], "pmid long, title string, abstract_text string")
     writers.write_abstracts(arts, str(tmp_path / "abs"))
     back = spark.read.option("header", True).option("sep", ";").option("escape", '"').csv(str(tmp_path / "abs")).first()
