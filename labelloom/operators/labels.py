@@ -177,6 +177,12 @@ def label_combinations(pairs: DataFrame) -> DataFrame:
     )
 
 
+def common_labels(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(pmid, labels): the sorted labels that both tables (pmid, label) give an article, where there are any."""
+    both = first.select("pmid", "label").join(second.select("pmid", "label"), ["pmid", "label"], "left_semi")
+    return both.groupBy("pmid").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+
+
 def valid_pairs(golden: DataFrame, weak: DataFrame, label_scope: DataFrame, members: DataFrame) -> DataFrame:
     """(label, pmid, gold, weak) as 0/1 for every label valid for an article.
 

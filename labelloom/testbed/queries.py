@@ -277,11 +277,11 @@ def normalize_term(spark, d):
 @query(
     """SELECT doc_id, count(*) FILTER (part<>'') AS n_parts, coalesce(string_agg(part, '' ORDER BY i) FILTER (part<>''), '') AS joined
        FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS i
-             FROM (SELECT doc_id, string_split_regex(lower(trim(split_part(text, chr(10), 1))), '[^a-zA-Z0-9]') AS parts FROM documents))
+             FROM (SELECT doc_id, string_split_regex(lower(trim(text)), '[^a-zA-Z0-9]') AS parts FROM documents))
        GROUP BY doc_id"""
 )
 def term_parts(spark, d):
-    parts = text.term_parts(F.substring_index("text", "\n", 1))
+    parts = text.term_parts(F.col("text"))
     return views.table(spark, d, "documents").select(
         "doc_id", F.size(parts).cast("long").alias("n_parts"), F.array_join(parts, "").alias("joined")
     )
@@ -1064,13 +1064,12 @@ def labels_per_document(spark, d):
 
 
 @query(
-    """SELECT combination, count(*) AS n_docs FROM (SELECT string_agg(parent, ' ' ORDER BY parent) AS combination, count(*) AS n
-         FROM (SELECT DISTINCT pmid, parent FROM golden) GROUP BY pmid) WHERE n>1 GROUP BY combination""",
+    """SELECT combination, count(*) AS n_docs FROM (SELECT string_agg(label, ' ' ORDER BY label) AS combination, count(*) AS n
+         FROM (SELECT DISTINCT pmid, label FROM golden) GROUP BY pmid) WHERE n>1 GROUP BY combination""",
     ANNOTATIONS,
 )
 def label_combinations(spark, d):
-    pairs = views.golden(spark, d).select("pmid", F.concat(F.lit("T"), F.regexp_extract("label", "^D(.*)_", 1)).alias("label"))
-    return labels.label_combinations(pairs)
+    return labels.label_combinations(views.golden(spark, d))
 
 
 @query("SELECT label, count(*) AS n_rows, sum(target)::BIGINT AS n_positive FROM nwl GROUP BY label", DATASET)
@@ -1270,17 +1269,13 @@ def best_epoch(spark, d):
 
 
 @query(
-    """SELECT pmid, count(*) AS n_common, string_agg(parent, ' ' ORDER BY parent) AS common FROM (
-         SELECT DISTINCT pmid, parent FROM golden INTERSECT SELECT DISTINCT pmid, parent FROM weak0) GROUP BY pmid""",
+    """SELECT pmid, count(*) AS n_common, string_agg(label, ' ' ORDER BY label) AS common FROM (
+         SELECT pmid, label FROM golden INTERSECT SELECT pmid, label FROM weak0) GROUP BY pmid""",
     ANNOTATIONS,
 )
 def common_labels(spark, d):
-    def types(rows):
-        return rows.select("pmid", F.concat(F.lit("T"), F.regexp_extract("label", "^D(.*)_", 1)).alias("parent")).distinct()
-
-    common = types(views.golden(spark, d)).join(types(views.weak(spark, d)), ["pmid", "parent"], "left_semi")
-    return common.groupBy("pmid").agg(
-        F.count("*").alias("n_common"), F.array_join(F.array_sort(F.collect_set("parent")), " ").alias("common")
+    return labels.common_labels(views.golden(spark, d), views.weak(spark, d)).select(
+        "pmid", F.size("labels").cast("long").alias("n_common"), F.array_join("labels", " ").alias("common")
     )
 
 
@@ -1532,45 +1527,60 @@ def describe_introductions(spark, d):
 
 
 @query(
-    """SELECT split_label AS label, count(*) AS n, sum(pmid)::BIGINT AS sum_pmid, sum(gold)::BIGINT AS n_gold, sum(weak)::BIGINT AS n_weak FROM (
-         SELECT f.pmid, l.label AS split_label, max(CASE WHEN g.pmid IS NOT NULL THEN 1 ELSE 0 END) AS gold,
-                max(CASE WHEN o.pmid IS NOT NULL THEN 1 ELSE 0 END) AS weak
-         FROM (SELECT DISTINCT pmid FROM phex JOIN leafcase USING (ui) JOIN dated ON member=dated.label
-               WHERE year(date_completed) IN (1999,2000) OR (year(date_completed)=2001 AND month(date_completed)<=11)) f
-         CROSS JOIN (SELECT ui AS label FROM leafcase) l
-         LEFT JOIN panno g ON g.pmid=f.pmid AND g.label=l.label
-         LEFT JOIN pcui c ON c.label=l.label LEFT JOIN pocc o ON o.pmid=f.pmid AND o.cui=c.cui
-         GROUP BY f.pmid, l.label) WHERE gold=1 OR weak=1 GROUP BY split_label""",
-    THESAURUS + ", leafcase AS (SELECT ui FROM added JOIN leaf USING (ui))",
+    """SELECT label, count(*) AS n, sum(pmid)::BIGINT AS sum_pmid, sum(gold)::BIGINT AS n_gold, sum(weak)::BIGINT AS n_weak
+       FROM marked WHERE gold=1 OR weak=1 GROUP BY label
+       UNION ALL SELECT NULL, count(*), sum(pmid)::BIGINT, 0::BIGINT, 0::BIGINT FROM found_articles
+       WHERE pmid NOT IN (SELECT pmid FROM marked WHERE gold=1 OR weak=1) HAVING count(*) > 0""",
+    THESAURUS
+    + """, leafcase AS (SELECT ui FROM added JOIN leaf USING (ui)),
+found_articles AS (SELECT DISTINCT pmid FROM phex JOIN leafcase USING (ui) JOIN dated ON member=dated.label
+                   WHERE year(date_completed) IN (1999,2000) OR (year(date_completed)=2001 AND month(date_completed)<=11)),
+marked AS (SELECT f.pmid, l.label, max(CASE WHEN g.pmid IS NOT NULL THEN 1 ELSE 0 END) AS gold,
+                  max(CASE WHEN o.pmid IS NOT NULL THEN 1 ELSE 0 END) AS weak
+           FROM found_articles f CROSS JOIN (SELECT ui AS label FROM leafcase) l
+           LEFT JOIN panno g ON g.pmid=f.pmid AND g.label=l.label
+           LEFT JOIN pcui c ON c.label=l.label LEFT JOIN pocc o ON o.pmid=f.pmid AND o.cui=c.cui
+           GROUP BY f.pmid, l.label)""",
 )
 def build_retro_dataset(spark, d):
+    """Each article in two revisions; only the newer one has the labels under a new record."""
     hosts, now = _hosts(spark, d)
     orders = views.dated_articles(spark, d)
     both = F.array(F.lit(1).alias("r"), F.lit(2))
-    # each article in two revisions with the same labels
     number = F.col("pmid") * 2 + F.col("_r")
     revisions = orders.withColumn("_r", F.explode(both)).select(
         "pmid", "date_completed", F.lit("text").alias("abstract_text"),
         F.date_add("date_completed", F.col("_r")).alias("date_revised"), number.alias("row_id"),
     )
-    golden = views.part_annotations(spark, d).withColumn("_r", F.explode(both)).select(number.alias("row_id"), "label")
+    added = _added(now)
+    annotations = views.part_annotations(spark, d)
+    older = annotations.join(added.select(F.col("descriptor_ui").alias("label")), "label", "left_anti")
+    golden = annotations.withColumn("_r", F.lit(2)).unionByName(older.withColumn("_r", F.lit(1)))
     rows = curation.build_retro_dataset(
-        revisions, golden, _added(now), hosts, now, _part_occurrence(spark, d), _part_cuis(spark, d), 1999, 2001
-    )
-    marked = rows.where("label IS NOT NULL")
-    return per_label(marked, F.sum("gold").alias("n_gold"), F.sum("weak").alias("n_weak"))
+        revisions, golden.select(number.alias("row_id"), "label"), added, hosts, now,
+        _part_occurrence(spark, d), _part_cuis(spark, d), 1999, 2001,
+    )
+    return per_label(rows, F.sum("gold").cast("long").alias("n_gold"), F.sum("weak").cast("long").alias("n_weak"))
 
 
-@query(
-    f"""SELECT label, base, round(p,8) AS precision, round(r,8) AS recall, round(f,8) AS f1 FROM bs""",
-    DATASET + _BASE_CONF,
-)
-def evaluate_scored(spark, d):
+def _scored_bases(spark, d):
     methods = F.array(*[F.struct(F.lit(b).alias("base"), F.col(b).alias("pred")) for b in views.BASES])
-    scored = views.base_predictions(spark, d).select("label", "pmid", F.col("gold").alias("target"), F.inline(methods))
-    report, _ = relabelling.evaluate_scored(scored, ["base"])
-    positive = report.where(F.col("class") == "1")
-    return positive.select("label", "base", *[rounded(c, c) for c in ("precision", "recall", "f1")])
+    pairs = views.base_predictions(spark, d)
+    return pairs.select("label", "pmid", F.col("gold").alias("target"), F.inline(methods))
+
+
+@query(ORACLE["classification_report"])
+def evaluate_scored(spark, d):
+    report, _ = relabelling.evaluate_scored(_scored_bases(spark, d), ["base"])
+    return report.select(
+        "label", "base", "class", *[rounded(c, c) for c in ("precision", "recall", "f1")], "support", "tn", "fp", "fn", "tp"
+    )
+
+
+@query(ORACLE["micro_macro_f1"])
+def evaluate_scored_f1(spark, d):
+    _, means = relabelling.evaluate_scored(_scored_bases(spark, d), ["base"])
+    return means.select("base", rounded("micro_f1", "micro_f1"), rounded("macro_f1", "macro_f1"))
 
 
 @query()
