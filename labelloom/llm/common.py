@@ -1,8 +1,10 @@
-"""Helpers of the operators here: whole texts in Arrow batches, hashes of ids, small driver tables."""
+"""Helpers of the operators here: whole texts in Arrow batches, hashes of ids."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -10,6 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 SLICE_BYTES = 4_000_000
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers that share this path import the package from where the driver has it.
+
+    On a cluster the package is installed or sent with ``--py-files``.
+    """
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -53,6 +66,7 @@ def map_texts(
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    reachable(df.sparkSession)
     clashes = {f.name for f in fields} & set(keep)
     if clashes:
         raise ValueError(f"columns {sorted(clashes)} would appear twice")
@@ -71,8 +85,3 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *arrow.names])
 
     return df.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
-
-
-def stored(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small driver-made table as one local relation."""
-    return spark.createDataFrame(rows, schema)

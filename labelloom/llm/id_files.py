@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from labelloom.llm.chunks import encoder
-from labelloom.llm.common import _slices
+from labelloom.llm.common import _slices, reachable
 from labelloom.operators.scale import checkpoint_folder, materialize
 
 BLOCK_IDS = 1 << 17
@@ -227,6 +227,7 @@ def encode_corpus(docs: DataFrame, path: str, end_id: int, key: str = "doc_id",
     text, equal rows in any order, which makes no difference. Other columns are not read; an empty table
     gives empty files and no rows.
     """
+    reachable(docs.sparkSession)
     folder = f"{checkpoint_folder(docs.sparkSession)}/id-files-{uuid.uuid4().hex}"
     write_ids(docs, folder, path, end_id, key, text)
     return read_ids(docs.sparkSession, folder, key, docs.schema[key].dataType.simpleString())

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from labelloom.llm.common import _slices, held_out
+from labelloom.llm.common import _slices, held_out, reachable
 from labelloom.operators.scale import materialize
 
 HELD_OUT_FOLDS = 10
@@ -205,6 +205,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    reachable(docs.sparkSession)
     blocks = materialize(word_blocks(docs, key, text), "word-blocks")
     words = materialize(vocabularies(blocks), "block-words")
     totals = materialize(words.groupBy("word").agg(F.sum("count").alias("count")), "word-counts")

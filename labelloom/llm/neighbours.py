@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from labelloom.llm.common import reachable
 from labelloom.operators.scale import materialize
 
 # The driver fits on about this many vectors, drawn by hash.
@@ -238,6 +239,7 @@ def nearest(
     and of queries; each pair of blocks gives its best ``k``, merged per query.
     """
     spark = vectors.sparkSession
+    reachable(spark)
     x = vectors.select(
         F.col(key).alias("_id"),
         F.col(vector).cast("array<double>").alias("_x"),
