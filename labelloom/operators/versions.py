@@ -265,14 +265,20 @@ def extended_hosts(hosts: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def extended_host_counts(hosts: DataFrame, now: DataFrame) -> DataFrame:
-    """(descriptor_ui, scope, n_extended_hosts): number of distinct labels in the branches of the hosts.
+    """(descriptor_ui, scope, n_extended_hosts, extended_hosts): distinct labels in the branches of the hosts.
 
-    One host: the size of its branch. Several hosts: their branches are united once per scope.
+    Their number, and their sorted list joined by ``~``. Branches of several hosts are united once per
+    scope; a list is bounded by the labels of the thesaurus.
     """
     label_scope, scope_hosts, branches = extended_hosts(hosts, now)
     members = scope_hosts.join(branches, "parent").select("scope", "member").distinct()
-    sizes = members.groupBy("scope").agg(F.count("*").alias("n_extended_hosts"))
-    return label_scope.join(sizes, "scope").select(F.col("label").alias("descriptor_ui"), "scope", "n_extended_hosts")
+    united = members.groupBy("scope").agg(
+        F.count("*").alias("n_extended_hosts"),
+        F.array_join(F.array_sort(F.collect_list("member")), "~").alias("extended_hosts"),
+    )
+    return label_scope.join(united, "scope").select(
+        F.col("label").alias("descriptor_ui"), "scope", "n_extended_hosts", "extended_hosts"
+    )
 
 
 def concepts_per_record(recs: DataFrame) -> DataFrame:

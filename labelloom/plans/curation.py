@@ -99,7 +99,7 @@ def describe_introductions(added: DataFrame, hosts: DataFrame, now: DataFrame) -
     """Use cases: one row per new label with its origin, hosts and position in the hierarchy.
 
     ``hosts`` are the rows of ``versions.provenance_hosts`` for the labels ``added``. The labels below the
-    hosts are counted; the list itself stays in ``versions.extended_hosts``.
+    hosts and below the new label are counted and listed; new labels are few, so the lists are, too.
     """
     types = versions.provenance_codes(versions.provenance_types(hosts, now))
     relations = versions.host_relations(hosts, now)
@@ -111,8 +111,10 @@ def describe_introductions(added: DataFrame, hosts: DataFrame, now: DataFrame) -
     parents = hierarchy.label_parents(now).groupBy(F.col("label").alias("descriptor_ui")).agg(
         F.count("*").alias("n_parents"), F.array_join(F.array_sort(F.collect_set("parent")), "~").alias("parents")
     )
-    below = hierarchy.ancestors(now).groupBy(F.col("ancestor").alias("descriptor_ui")).agg(
-        F.count("*").alias("n_descendants")
+    mine = hierarchy.ancestors(now).withColumnRenamed("ancestor", "descriptor_ui")
+    below = mine.join(added.select("descriptor_ui"), "descriptor_ui", "left_semi").groupBy("descriptor_ui").agg(
+        F.count("*").alias("n_descendants"),
+        F.array_join(F.array_sort(F.collect_set("descendant")), "~").alias("descendants"),
     )
     zero = F.lit(0).cast("long")
     facts = added.select(

@@ -56,6 +56,14 @@ def read_label_table(
     return rows
 
 
+def read_scopes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(label, scope) and (scope, member) as ``writers.write_scopes`` left them."""
+    return (
+        spark.read.schema("label STRING, scope STRING").parquet(f"{path}/label_scope"),
+        spark.read.schema("scope STRING, member STRING").parquet(f"{path}/members"),
+    )
+
+
 def read_split_tables(
     spark: SparkSession, root: str, label_names: DataFrame, split: str, labels: list[str] | None = None
 ) -> DataFrame:

@@ -21,7 +21,8 @@ def write_abstracts(articles: DataFrame, path: str) -> None:
 def label_table(labels: DataFrame, parents: DataFrame) -> DataFrame:
     """Label rows with their direct parents, lists joined by ``~``; labels without parents are dropped.
 
-    ``parents`` is (label, parent). What lies below the parents is kept in the hierarchy tables.
+    ``parents`` is (label, parent). The labels that decide validity, the parents and all below them, are
+    written by ``write_scopes``, where siblings share them.
     """
     per_label = parents.groupBy(F.col("label").alias("descriptor_ui")).agg(
         F.array_sort(F.collect_set("parent")).alias("parents")
@@ -34,7 +35,7 @@ def label_table(labels: DataFrame, parents: DataFrame) -> DataFrame:
         join_list(F.col("tree_numbers")).alias("TreeNumbers"),
         join_list(F.col("terms")).alias("Terms"),
         F.col("scope_note").alias("ScopeNote"),
-        join_list(F.col("parents")).alias("Parents"),
+        join_list(F.col("parents")).alias("DirectParents"),
     )
 
 
@@ -42,6 +43,12 @@ def write_label_table(labels: DataFrame, parents: DataFrame, path: str) -> None:
     write_report(label_table(labels, parents), path)
 
 
+def write_scopes(label_scope: DataFrame, members: DataFrame, path: str) -> None:
+    """The tables (label, scope) and (scope, member) that decide which articles are valid for a label."""
+    label_scope.select("label", "scope").write.parquet(f"{path}/label_scope")
+    members.select("scope", "member").write.parquet(f"{path}/members")
+
+
 # Column titles of a use-case report. The first seven are only in the full form.
 USE_CASE_COUNTS = {
     "level": "Rest. Level",

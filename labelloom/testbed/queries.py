@@ -164,7 +164,7 @@ def article_label_triples(spark, d):
 
 @query(
     """SELECT r.ui AS "Descr. UI", r.name AS "Descr. Name", t.letters AS "Categories", t.numbers AS "TreeNumbers",
-              r.name||'~alias '||r.k AS "Terms", p.parents AS "Parents"
+              r.name||'~alias '||r.k AS "Terms", p.parents AS "DirectParents"
        FROM rec r JOIN leaf USING (ui)
        JOIN (SELECT ui, string_agg(DISTINCT left(tn,1), '~' ORDER BY left(tn,1)) AS letters, string_agg(tn, '~' ORDER BY tn) AS numbers FROM pos GROUP BY ui) t USING (ui)
        JOIN (SELECT label AS ui, string_agg(parent, '~' ORDER BY parent) AS parents FROM par GROUP BY label) p USING (ui)
@@ -175,7 +175,7 @@ def label_table(spark, d):
     old, _, now = views.versions3(spark, d)
     fine = curation.select_fine_grained_labels(now, old)
     return writers.label_table(fine.labels, fine.parents).select(
-        "`Descr. UI`", "`Descr. Name`", "Categories", "TreeNumbers", "Terms", "Parents"
+        "`Descr. UI`", "`Descr. Name`", "Categories", "TreeNumbers", "Terms", "DirectParents"
     )
 
 
@@ -812,6 +812,14 @@ def valid_labels(spark, d):
     return per_label(labels.valid_labels(views.golden(spark, d), *views.scopes(spark, d)))
 
 
+@query(f"SELECT {PER_LABEL} FROM valid GROUP BY label", ANNOTATIONS)
+def read_scopes(spark, d):
+    """The valid labels again, from scopes that were written and read back."""
+    path = new_folder(spark, "scopes")
+    writers.write_scopes(*views.scopes(spark, d), path)
+    return per_label(labels.valid_labels(views.golden(spark, d), *tables.read_scopes(spark, path)))
+
+
 @query(f"SELECT {PER_LABEL} FROM weak GROUP BY label", ANNOTATIONS)
 def filter_weak(spark, d):
     return per_label(labels.filter_weak(*views.annotation_inputs(spark, d)))
@@ -857,7 +865,7 @@ def _hosts(spark, d):
 )
 def extended_hosts(spark, d):
     hosts, now = _hosts(spark, d)
-    return versions.extended_host_counts(hosts, now).toDF("descriptor_ui", "host_uis", "n_extended")
+    return versions.extended_host_counts(hosts, now).drop("extended_hosts").toDF("descriptor_ui", "host_uis", "n_extended")
 
 
 @query(
@@ -1513,7 +1521,10 @@ def diff_versions(spark, d):
               (SELECT string_agg(host_name, '~' ORDER BY host_name) FROM hosts h WHERE h.ui=a.ui) AS "PHs",
               coalesce((SELECT string_agg(host_ui, '~' ORDER BY host_ui) FROM hosts h WHERE h.ui=a.ui),
                        CASE WHEN c.n_hosts>0 THEN '' END) AS "PHs UIs",
-              (SELECT count(*) FROM phex WHERE phex.ui=a.ui) AS "#PHex", 0::BIGINT AS "#Descendant Ds"
+              (SELECT count(*) FROM phex WHERE phex.ui=a.ui) AS "#PHex",
+              (SELECT string_agg(member, '~' ORDER BY member) FROM phex WHERE phex.ui=a.ui) AS "PHex UIs",
+              (SELECT count(*) FROM anc WHERE ancestor=a.ui) AS "#Descendant Ds",
+              (SELECT string_agg(descendant, '~' ORDER BY descendant) FROM anc WHERE ancestor=a.ui) AS "Descendant Ds"
        FROM added a JOIN coded c ON c.descriptor_ui=a.ui""",
     THESAURUS + f", coded AS ({_CODES})",
 )
@@ -1522,7 +1533,7 @@ def describe_introductions(spark, d):
     added = versions.new_descriptors(old, new, now)
     hosts = versions.provenance_hosts(added, old, views.scrs(spark, d), now, views.scr_exceptions(spark, d))
     cases = curation.describe_introductions(added, materialize(hosts, "hosts"), now)
-    titles = ["Descr. UI", "Prov. Code", "PH count", "#Ct", "Parent Ds", "PHs", "PHs UIs", "#PHex", "#Descendant Ds"]
+    titles = ["Descr. UI", "Prov. Code", "PH count", "#Ct", "Parent Ds", "PHs", "PHs UIs", "#PHex", "PHex UIs", "#Descendant Ds", "Descendant Ds"]
     return writers.use_case_table(cases).select(*[F.col(f"`{t}`") for t in titles])
 
 

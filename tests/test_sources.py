@@ -87,10 +87,10 @@ def test_label_table_round_trip(spark, tmp_path):
     )
     parents = spark.createDataFrame([("D1", "P2"), ("D1", "P1")], "label string, parent string")
     writers.write_label_table(rows, parents, path)
-    schema = "`Descr. UI` string, `Descr. Name` string, PublicMeSHNote string, Categories string, TreeNumbers string, Terms string, ScopeNote string, Parents string"
-    back = tables.read_label_table(spark, path, schema, list_columns=["TreeNumbers", "Terms", "Parents", "Categories"]).collect()
+    schema = "`Descr. UI` string, `Descr. Name` string, PublicMeSHNote string, Categories string, TreeNumbers string, Terms string, ScopeNote string, DirectParents string"
+    back = tables.read_label_table(spark, path, schema, list_columns=["TreeNumbers", "Terms", "DirectParents", "Categories"]).collect()
     assert len(back) == 1 and back[0]["Descr. Name"] == 'Alpha, "one"'
-    assert back[0]["Parents"] == ["P1", "P2"] and back[0]["Categories"] == ["A", "B"]
+    assert back[0]["DirectParents"] == ["P1", "P2"] and back[0]["Categories"] == ["A", "B"]
 
 
 def test_label_table_of_leaves(spark, tmp_path):
