@@ -2,23 +2,25 @@
 
 Texts with equal shingle sets are one class from the start. Classes that may link share the content of a
 group of shingles (see ``shingles``); what hangs together by shared groups is a cluster, and a link never
-leaves its cluster. Inside a cluster the counts per group are points: tiles of neighbouring points are
-joined by R-trees that bound the overlap by summed minima, and pairs that survive are verified on their
-shingles. Tiles are bounded. After each tile has joined itself, components are formed, and pairs of tiles
-look only for links between different components.
+leaves its cluster. Inside a cluster the counts per group are points: tiles of points are joined by
+R-trees that bound the overlap by summed minima, and what hangs together by pairs within the bound are
+the clusters whose shingles are looked at. There, too, tiles are joined by R-trees, and pairs that survive
+are verified. Tiles are bounded. After each tile has joined itself, components are formed, and pairs of
+tiles look only for links between different components.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from labelloom.llm.common import map_texts
+from labelloom.llm.common import _slices, map_texts
 from labelloom.llm.components import components
-from labelloom.llm.rtree import link_tile
-from labelloom.llm.shingles import fingerprint, shingle_set, signatures
+from labelloom.llm.rtree import GROUPS, count_points, link_tile, near_points
+from labelloom.llm.shingles import MULTIPLIER, fingerprint, mixed, shingle_set, signatures
 from labelloom.operators.scale import materialize
 
 # A tile ends at this many sets, or at as many shingles per set as MIN_WEIGHT on average.
@@ -26,26 +28,26 @@ TILE_SETS = 128
 MIN_WEIGHT = 1_024
 # Tiles that are joined pair by pair are this many times larger.
 COARSE = 4
+# Points of a tile; they are a few bytes each.
+POINT_TILE = 1_024
+# One of so many sets of a large cluster is compared at random before tiles are joined pair by pair.
+MEETING = 8
 
 
-def shingle_rows(docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
-    """(key, n, f1, f2, signatures) of every row."""
-    fields = [
-        T.StructField("n", T.LongType()),
-        T.StructField("f1", T.LongType()),
-        T.StructField("f2", T.LongType()),
-        T.StructField("signatures", T.ArrayType(T.LongType())),
-    ]
+def shingle_rows(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
+    """(key, n, f1, f2, counts) of every row: size of its shingle set, two numbers that equal sets share, its point."""
+    fields = [*(T.StructField(c, T.LongType()) for c in ("n", "f1", "f2")), T.StructField("counts", T.BinaryType())]
 
     def make():
         def describe(texts: list) -> dict:
             sets = [shingle_set(t, size) for t in texts]
             marks = [fingerprint(s) for s in sets]
+            points = count_points(sets).astype("<u4" if max(map(len, sets), default=0) > 0xFFFF else "<u2")
             return {
                 "n": [len(s) for s in sets],
                 "f1": [m[0] for m in marks],
                 "f2": [m[1] for m in marks],
-                "signatures": [signatures(s, percent) for s in sets],
+                "counts": [p.tobytes() for p in points],
             }
 
         return describe
@@ -53,40 +55,88 @@ def shingle_rows(docs: DataFrame, size: int, percent: int, key: str, text: str)
     return map_texts(docs, text, [key], make, fields)
 
 
-def set_bytes(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """(key, set): the sorted shingle hashes as bytes."""
+def set_bytes(docs: DataFrame, size: int, keep: list[str], text: str) -> DataFrame:
+    """The kept columns and ``set``, the sorted shingle hashes as bytes."""
     fields = [T.StructField("set", T.BinaryType())]
     make = lambda: lambda texts: {"set": [shingle_set(t, size).tobytes() for t in texts]}
-    return map_texts(docs, text, [key], make, fields)
+    return map_texts(docs, text, keep, make, fields)
 
 
-def shared_signatures(offered: DataFrame) -> DataFrame:
-    """Edges (u, v) from each class to the smallest class that offers the same signature."""
-    rows = offered.select("node", F.explode("signatures").alias("signature"))
-    blocks = (
-        rows.groupBy("signature")
-        .agg(F.min("node").alias("v"), F.max("node").alias("_last"))
-        .where(F.col("v") < F.col("_last"))
-        .drop("_last")
-    )
-    return rows.join(blocks, "signature").where(F.col("node") > F.col("v")).select(F.col("node").alias("u"), "v")
+def meet(marks: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs (node, smallest node with the same mark), for nodes other than the smallest."""
+    order = np.lexsort((nodes, marks))
+    marks, nodes = marks[order], nodes[order]
+    starts = np.flatnonzero(np.r_[True, marks[1:] != marks[:-1]]) if len(marks) else np.zeros(0, dtype=int)
+    least = np.repeat(nodes[starts], np.diff(np.r_[starts, len(nodes)]))
+    apart = nodes != least
+    pairs = np.unique(np.stack([nodes[apart], least[apart]], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
 
-def joined_tiles(rows: DataFrame, group: list[str], percent: int) -> DataFrame:
-    """Links (u, v) found inside each group of rows (node, label, side, set).
+def shared_signatures(docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+    """Edges (u, v) between keys whose texts offer the same signature; a star per signature.
+
+    Signatures are combined before the shuffle: of the texts in a slice only the smallest key goes on with
+    a signature that they share, and the others are tied to it once. What is shuffled are packed arrays, so
+    a signature that very many texts offer has one entry per slice.
+    """
+    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in _slices(batch, "_text"):
+                keys = part.column(0).to_numpy(zero_copy_only=False)
+                offered = [signatures(shingle_set(t, size), percent) for t in part.column("_text").to_pylist()]
+                marks, nodes = np.concatenate(offered), np.repeat(keys, [len(o) for o in offered])
+                u, v = meet(marks, nodes)
+                # The smallest key stands for a signature; a pair meets under a mark of its own.
+                order = np.lexsort((nodes, marks))
+                first = order[np.r_[True, marks[order][1:] != marks[order][:-1]]] if len(order) else order
+                tie = mixed(u.astype(np.uint64) * MULTIPLIER ^ mixed(v.astype(np.uint64))).view(np.int64)
+                marks = np.concatenate([marks[first], tie, tie])
+                nodes = np.concatenate([nodes[first], u, v]).astype(np.int64)
+                place = (marks.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((nodes, place))
+                marks, nodes, place = marks[order], nodes[order], place[order]
+                used, starts = np.unique(place, return_index=True)
+                ends = np.r_[starts[1:], len(place)]
+                cut = list(zip(starts.tolist(), ends.tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(used.astype(np.int32)),
+                        pa.array([marks[a:b].tobytes() for a, b in cut], type=pa.binary()),
+                        # Steps from one key to the next are small numbers, which compress well.
+                        pa.array([np.diff(nodes[a:b], prepend=0).tobytes() for a, b in cut], type=pa.binary()),
+                    ],
+                    names=["bucket", "marks", "nodes"],
+                )
+
+    def join(table):
+        import pyarrow as pa
+
+        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), dtype=np.int64)
+        nodes = [np.cumsum(np.frombuffer(x, dtype=np.int64)) for x in table.column("nodes").to_pylist()]
+        u, v = meet(marks, np.concatenate(nodes))
+        return pa.table({"u": pa.array(u), "v": pa.array(v)})
+
+    rows = docs.where(F.col(key).isNotNull()).select(key, F.col(text).alias("_text"))
+    packed = rows.mapInArrow(pack, "bucket int, marks binary, nodes binary")
+    return packed.groupBy("bucket").applyInArrow(join, "u long, v long")
 
-    Rows of a group come one after the other in a sorted task; a group is one R-tree. With two sides only
-    rows of different sides are compared.
+
+def grouped_links(rows: DataFrame, group: list[str], columns: list[str], join: Callable) -> DataFrame:
+    """Edges (u, v) that ``join`` finds among the rows of each group, a list of tuples of the columns.
+
+    The rows of a group come one after the other in a sorted task.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        def links(held: list[tuple]):
-            nodes, labels, sides, sets = zip(*held, strict=True)
-            arrays = [np.frombuffer(s, dtype=np.uint64) for s in sets]
-            pairs = link_tile(arrays, np.array(labels), percent, np.array(sides))
-            found = [(nodes[i], nodes[j]) for i, j in pairs]
+        def edges(held: list[tuple]):
+            found = join(held) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays(
                 [pa.array([f[k] for f in found], type=pa.int64()) for k in (0, 1)], names=["u", "v"]
             )
@@ -94,21 +144,29 @@ def joined_tiles(rows: DataFrame, group: list[str], percent: int) -> DataFrame:
         current, held = None, []
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in group), strict=True))
-            columns = [batch.column(c).to_pylist() for c in ("node", "label", "side", "set")]
-            for at, *row in zip(keys, *columns, strict=True):
+            for at, *row in zip(keys, *(batch.column(c).to_pylist() for c in columns), strict=True):
                 if at != current:
-                    if len(held) > 1:
-                        yield links(held)
+                    yield edges(held)
                     current, held = at, []
                 held.append(tuple(row))
-        if len(held) > 1:
-            yield links(held)
+        yield edges(held)
 
-    spread = rows.select(*group, "node", "label", "side", "set").repartition(*group).sortWithinPartitions(*group, "node")
+    spread = rows.select(*group, *columns).repartition(*group).sortWithinPartitions(*group, columns[0])
     return spread.mapInArrow(run, "u long, v long")
 
 
-def tiled(members: DataFrame) -> DataFrame:
+def joined_tiles(rows: DataFrame, group: list[str], percent: int) -> DataFrame:
+    """Links (u, v) found inside each group of rows (node, label, side, set); a group is one R-tree."""
+
+    def join(held: list[tuple]) -> list[tuple[int, int]]:
+        nodes, labels, sides, sets = zip(*held, strict=True)
+        arrays = [np.frombuffer(s, dtype=np.uint64) for s in sets]
+        return [(nodes[i], nodes[j]) for i, j in link_tile(arrays, np.array(labels), percent, np.array(sides))]
+
+    return grouped_links(rows, group, ["node", "label", "side", "set"], join)
+
+
+def tiled(members: DataFrame, tile_sets: int) -> DataFrame:
     """Members (cluster, node, n) with a tile: bounded runs of a cluster's sets in order of size."""
     weight = F.greatest(F.col("n"), F.lit(MIN_WEIGHT))
     sizes = members.groupBy("cluster", "n").agg(F.count("*").alias("_same"))
@@ -116,21 +174,70 @@ def tiled(members: DataFrame) -> DataFrame:
     before = sizes.withColumn("_before", F.coalesce(F.sum(F.col("_same") * weight).over(earlier), F.lit(0)))
     place = F.col("_before") + F.pmod(F.xxhash64("node"), F.col("_same")) * weight
     return members.join(before, ["cluster", "n"]).select(
-        "cluster", "node", "n", F.floor(place / (TILE_SETS * MIN_WEIGHT)).alias("tile")
+        "cluster", "node", "n", F.floor(place / (tile_sets * MIN_WEIGHT)).alias("tile")
     )
 
 
+def tile_pairs(tiles: DataFrame, percent: int, worth: Column) -> DataFrame:
+    """(cluster, coarse_a, coarse_b, coarse, side): the tiles of each pair to be joined, a tile with itself too.
+
+    ``tiles`` is (cluster, coarse, ..., least, most) with the smallest and largest size; pairs of sizes too far
+    apart are left out, as are those for which ``worth`` (over columns ending in _a and _b) does not hold.
+    """
+    left, right = (tiles.toDF("cluster", *(f"{c}_{side}" for c in tiles.columns[1:])) for side in ("a", "b"))
+    pairs = left.join(right, "cluster").where(
+        (F.col("coarse_a") <= F.col("coarse_b"))
+        & (percent * F.col("least_b") <= 100 * F.col("most_a"))
+        & (percent * F.col("least_a") <= 100 * F.col("most_b"))
+        & worth
+    )
+
+    def tile(column: str, side: int) -> Column:
+        return F.struct(F.col(column).alias("coarse"), F.lit(side).alias("side"))
+
+    both = F.array(tile("coarse_a", 1), tile("coarse_b", 2))
+    at = F.when(F.col("coarse_a") == F.col("coarse_b"), F.array(tile("coarse_a", 0))).otherwise(both)
+    return pairs.select("cluster", "coarse_a", "coarse_b", F.inline(at))
+
+
+def within_bound(clusters: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) that connect the classes of a cluster whose points allow a link.
+
+    ``clusters`` is (cluster, node, n, counts). Only points travel: each tile of a cluster is joined with
+    itself and with the tiles of near sizes by an R-tree, and what a pair of tiles finds is handed on as a
+    forest. Texts that came together by a shared passage part again here.
+    """
+    placed = tiled(clusters.select("cluster", "node", "n"), POINT_TILE)
+    rows = materialize(
+        placed.withColumnRenamed("tile", "coarse").join(clusters.select("node", "counts"), "node"), "cluster-points"
+    )
+    tiles = rows.groupBy("cluster", "coarse").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    group = ["cluster", "coarse_a", "coarse_b"]
+    crossing = rows.join(tile_pairs(materialize(tiles, "point-tiles"), percent, F.lit(True)), ["cluster", "coarse"])
+
+    def join(held: list[tuple]) -> list[tuple[int, int]]:
+        nodes, sides, sizes, counts = zip(*held, strict=True)
+        points = np.array([np.frombuffer(c, dtype="<u4" if len(c) > 2 * GROUPS else "<u2") for c in counts], dtype=np.int32)
+        return [(nodes[i], nodes[j]) for i, j in near_points(points, np.array(sizes), np.array(sides), percent)]
+
+    return grouped_links(crossing, group, ["node", "side", "n", "counts"], join)
+
+
 def links_in_clusters(docs: DataFrame, clusters: DataFrame, size: int, percent: int, key: str, text: str) -> list[DataFrame]:
     """Tables of links (u, v) that connect all classes of a cluster that are connected."""
-    placed = tiled(clusters)
+    placed = tiled(clusters, TILE_SETS)
     largest = placed.groupBy("cluster").agg(F.max("tile").alias("last"))
-    texts = docs.withColumnRenamed(key, "node") if key != "node" else docs
-    sets = set_bytes(texts.join(placed.select("node"), "node", "left_semi"), size, "node", text)
     # Rows that share an id are one node; any of their sets may link it.
-    sets = materialize(placed.join(largest, "cluster").join(sets, "node"), "cluster-sets")
+    texts = docs.select(F.col(key).alias("node"), F.col(text).alias("_whole"))
+    chosen = texts.join(placed.join(largest, "cluster"), "node")
+    sets = materialize(set_bytes(chosen, size, ["node", "cluster", "n", "tile", "last"], "_whole"), "cluster-sets")
     own = sets.withColumn("label", F.col("node")).withColumn("side", F.lit(0))
-    # Large clusters are dealt out once more at random, so that their components meet.
-    again = own.where("last > 0").withColumn("tile", -1 - F.pmod(F.xxhash64(F.lit("again"), "node"), F.col("last") + 1))
+    # Some of a large cluster is dealt out once more at random, so that components meet early; it is not
+    # needed for the result, since tiles are joined pair by pair below.
+    some = own.where("last > 0").where(F.pmod(F.xxhash64(F.lit("some"), "node"), F.lit(MEETING)) == 0)
+    again = some.withColumn(
+        "tile", -1 - F.pmod(F.xxhash64(F.lit("again"), "node"), F.ceil((F.col("last") + 1) / MEETING))
+    )
     within = materialize(joined_tiles(own.unionByName(again), ["cluster", "tile"], percent), "links-within")
 
     large = sets.where("last > 0")
@@ -146,24 +253,8 @@ def links_in_clusters(docs: DataFrame, clusters: DataFrame, size: int, percent:
         ),
         "tiles",
     )
-    left, right = (tiles.toDF("cluster", *(f"{c}_{side}" for c in tiles.columns[1:])) for side in ("a", "b"))
-    # Two tiles of one and the same component, or of sizes too far apart, have no link to find.
-    pairs = left.join(right, "cluster").where(
-        (F.col("coarse_a") <= F.col("coarse_b"))
-        & (F.least("low_a", "low_b") < F.greatest("high_a", "high_b"))
-        & (percent * F.col("least_b") <= 100 * F.col("most_a"))
-        & (percent * F.col("least_a") <= 100 * F.col("most_b"))
-    )
-    sides = pairs.select(
-        "cluster", "coarse_a", "coarse_b",
-        F.explode(
-            F.when(F.col("coarse_a") == F.col("coarse_b"), F.array(F.struct(F.col("coarse_a").alias("coarse"), F.lit(0).alias("side"))))
-            .otherwise(F.array(
-                F.struct(F.col("coarse_a").alias("coarse"), F.lit(1).alias("side")),
-                F.struct(F.col("coarse_b").alias("coarse"), F.lit(2).alias("side")),
-            ))
-        ).alias("at"),
-    ).select("cluster", "coarse_a", "coarse_b", "at.coarse", "at.side")
+    # Two tiles of one and the same component have no link to find.
+    sides = tile_pairs(tiles, percent, F.least("low_a", "low_b") < F.greatest("high_a", "high_b"))
     crossing = labelled.join(sides, ["cluster", "coarse"])
     across = materialize(joined_tiles(crossing, ["cluster", "coarse_a", "coarse_b"], percent), "links-across")
     return [within, across]
@@ -184,19 +275,18 @@ def near_duplicates(
     a tile connect components, and pairs of one component are not compared.
     """
     narrow = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
-    described = materialize(shingle_rows(narrow, size, percent, key, text), "shingle-sets")
+    described = materialize(shingle_rows(narrow, size, key, text), "shingle-marks")
     marks = ["n", "f1", "f2"]
-    classes = described.where("n > 0").groupBy(*marks).agg(F.min(key).alias("node"))
-    members = materialize(
-        described.drop("signatures").join(classes, marks, "left"), "classes"
-    )
-    # The row of a class whose key is the smallest offers the signatures for all of them.
-    offered = described.join(classes, marks).where(F.col(key) == F.col("node")).select("node", "signatures")
-    clusters = components(materialize(shared_signatures(offered), "shared-signatures"))
-    chosen = members.where(F.col(key) == F.col("node")).groupBy("node").agg(F.max("n").alias("n"))
-    clusters = materialize(
-        clusters.select("node", F.col("component").alias("cluster")).join(chosen, "node"), "clusters"
-    )
+    # Written first, so that the join with it can split a class that holds most rows.
+    classes = materialize(described.where("n > 0").groupBy(*marks).agg(F.min(key).alias("node")), "classes")
+    members = materialize(described.drop("counts").join(classes, marks, "left"), "class-members")
+    clusters = components(materialize(shared_signatures(narrow, size, percent, key, text), "shared-signatures"))
+    own = described.where("n > 0").withColumnRenamed(key, "node").join(classes, [*marks, "node"])
+    own = own.select("node", "n", "counts")
+    meeting = clusters.select("node", F.col("component").alias("cluster")).join(own, "node")
+    near = components(materialize(within_bound(materialize(meeting, "clusters"), percent), "within-bound"))
+    sizes = own.groupBy("node").agg(F.max("n").alias("n"))
+    clusters = materialize(near.select("node", F.col("component").alias("cluster")).join(sizes, "node"), "near-clusters")
     links = links_in_clusters(narrow, clusters, size, percent, key, text)
     # Rows of one key with different texts are one node.
     twice = members.where(F.col(key).isNotNull() & (F.col(key) != F.col("node"))).select(

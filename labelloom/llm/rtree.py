@@ -101,3 +101,21 @@ def link_tile(
                 labels[labels == labels[j]] = labels[i]
             found = found[1:][labels[found[1:]] != labels[i]]
     return links
+
+
+def near_points(points: np.ndarray, sizes: np.ndarray, sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A forest over the rows: it connects all that pairs within the bound connect.
+
+    Rows of side 1 are paired with rows of side 2; without sides all rows are paired.
+    """
+    labels = np.arange(len(sizes))
+    first, second = np.flatnonzero(sides < 2), np.flatnonzero(sides != 1)
+    tree = RTree(points[second], sizes[second])
+    edges: list[tuple[int, int]] = []
+    for i in first:
+        found = second[tree.candidates(points[i], int(sizes[i]), percent)]
+        for label in np.unique(labels[found]):
+            if label != labels[i]:
+                edges.append((int(i), int(found[labels[found] == label][0])))
+                labels[labels == label] = labels[i]
+    return edges
