@@ -71,6 +71,9 @@ def map_texts(
     if clashes:
         raise ValueError(f"columns {sorted(clashes)} would appear twice")
     schema = T.StructType([df.schema[c] for c in keep] + fields)
+    # A kept text travels once.
+    kept = text in keep and isinstance(df.schema[text].dataType, T.StringType)
+    source = text if kept else "_text"
 
     def run(batches):
         import pyarrow as pa
@@ -78,10 +81,11 @@ def map_texts(
         arrow = to_arrow_schema(T.StructType(fields))
         function = make()
         for batch in batches:
-            for part in _slices(batch, "_text"):
-                new = function(part.column("_text").to_pylist())
+            for part in _slices(batch, source):
+                new = function(part.column(source).to_pylist())
                 columns = [part.column(i) for i in range(len(keep))]
                 columns += [pa.array(new[f.name], type=f.type, from_pandas=False) for f in arrow]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *arrow.names])
 
-    return df.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    extra = [] if kept else [F.col(text).cast("string").alias("_text")]
+    return df.select(*keep, *extra).mapInArrow(run, schema)

@@ -15,7 +15,7 @@ from functools import cache
 import numpy as np
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
