@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from labelloom.llm.common import _slices, held_out, reachable
+from labelloom.llm.id_files import decode_ranks, encode_ranks
 from labelloom.operators.scale import materialize
 
 HELD_OUT_FOLDS = 10
@@ -34,10 +35,10 @@ BLOCK_TOKENS = 2_000_000
 
 
 def word_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Blocks of documents as word numbers: (block, keys, trains, lengths, tokens, words).
+    """Blocks of documents as word numbers: (block, keys, trains, lengths, control, data, words).
 
-    ``tokens`` holds one unsigned 32-bit number per word, and number 0, the end, after each document;
-    ``words`` the block's words from number 1 on, parted by blanks.
+    A number per word, and number 0, the end, after each document, are packed in ``control`` and ``data`` (see
+    ``id_files.encode_ranks``); ``words`` holds the block's words from number 1 on, parted by blanks.
     """
     schema = T.StructType(
         [
@@ -45,7 +46,8 @@ def word_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
             T.StructField("keys", T.ArrayType(docs.schema[key].dataType)),
             T.StructField("trains", T.ArrayType(T.BooleanType())),
             T.StructField("lengths", T.ArrayType(T.LongType())),
-            T.StructField("tokens", T.BinaryType()),
+            T.StructField("control", T.BinaryType()),
+            T.StructField("data", T.BinaryType()),
             T.StructField("words", T.BinaryType()),
         ]
     )
@@ -59,7 +61,8 @@ def word_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
 
         def block(number, keys, trains, parts, words):
-            values = [number, keys, trains, [len(p) for p in parts], np.concatenate(parts).tobytes(), b" ".join(words)]
+            lengths = [len(p) for p in parts]
+            values = [number, keys, trains, lengths, *encode_ranks(np.concatenate(parts)), b" ".join(words)]
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], type=f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow
             )
@@ -89,10 +92,10 @@ def word_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _unpacked(trains, lengths, tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(trains, lengths, control, data) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word numbers, whether each belongs to a training text, ends of the texts) of a block."""
-    ids = np.frombuffer(tokens, dtype="<u4").astype(np.int64)
     lengths = np.asarray(lengths, dtype=np.int64)
+    ids = decode_ranks(control, data, int(lengths.sum())).astype(np.int64)
     return ids, np.repeat(np.asarray(trains, dtype=bool), lengths), np.cumsum(lengths)
 
 
@@ -104,8 +107,8 @@ def vocabularies(blocks: DataFrame) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                number, trains, lengths, tokens, words = (batch.column(j)[i].as_py() for j in range(5))
-                ids, train, _ = _unpacked(trains, lengths, tokens)
+                number, *packed, words = (batch.column(j)[i].as_py() for j in range(6))
+                ids, train, _ = _unpacked(*packed)
                 names = [b"", *words.split()]
                 counts = np.bincount(ids[train], minlength=len(names))
                 yield pa.RecordBatch.from_arrays(
@@ -116,7 +119,7 @@ def vocabularies(blocks: DataFrame) -> DataFrame:
                     names=["block", "number", "word", "count"],
                 )
 
-    chosen = blocks.select("block", "trains", "lengths", "tokens", "words")
+    chosen = blocks.select("block", "trains", "lengths", "control", "data", "words")
     return chosen.mapInArrow(run, "block long, number int, word string, count long")
 
 
@@ -132,8 +135,8 @@ def pair_counts(blocks: DataFrame, states: dict[bytes, int]) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                trains, lengths, tokens, words = (batch.column(j)[i].as_py() for j in range(4))
-                ids, train, ends = _unpacked(trains, lengths, tokens)
+                *packed, words = (batch.column(j)[i].as_py() for j in range(5))
+                ids, train, ends = _unpacked(*packed)
                 state = np.array([states.get(w, -1) for w in (b"", *words.split())])[ids]
                 before = np.concatenate([[size - 1], state[:-1]])
                 before[ends[:-1]] = size - 1
@@ -141,7 +144,7 @@ def pair_counts(blocks: DataFrame, states: dict[bytes, int]) -> DataFrame:
                 pairs, counts = np.unique(before[use] * size + state[use], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], names=["pair", "count"])
 
-    chosen = blocks.select("trains", "lengths", "tokens", "words")
+    chosen = blocks.select("trains", "lengths", "control", "data", "words")
     return chosen.mapInArrow(run, "pair long, count long").groupBy("pair").agg(F.sum("count").alias("count"))
 
 
@@ -207,7 +210,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     reachable(docs.sparkSession)
     blocks = materialize(word_blocks(docs, key, text), "word-blocks")
-    words = materialize(vocabularies(blocks), "block-words")
+    words = vocabularies(blocks)
     totals = materialize(words.groupBy("word").agg(F.sum("count").alias("count")), "word-counts")
     whole = totals.agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("tokens"),
@@ -238,8 +241,10 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         out = []
         for i in range(left.num_rows):
             keys = left.column("keys")[i].values
-            trains, lengths, tokens, names = (left.column(c)[i].as_py() for c in ("trains", "lengths", "tokens", "words"))
-            ids, _, ends = _unpacked(trains, lengths, tokens)
+            trains, lengths, control, data, names = (
+                left.column(c)[i].as_py() for c in ("trains", "lengths", "control", "data", "words")
+            )
+            ids, _, ends = _unpacked(trains, lengths, control, data)
             names = [b"", *names.split()]
             count = np.zeros(len(names))
             count[right.column("number").to_numpy()] = right.column("total").to_numpy()
