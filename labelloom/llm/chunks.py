@@ -13,11 +13,14 @@ import numpy as np
 
 # Characters with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 350_000
+SEEN_SLOTS = 1 << 22
 
 # A space goes with the word behind it; the last of several white-space characters stands alone or with it.
 SPACED = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 BARE = re.compile(f"[^{WHITE}]+")
+# White space for Python's split, but not for the tokenizer.
+OTHER_BLANKS = re.compile("[\x1c-\x1f]")
 
 
 def spaced_chunks(text: str) -> list[str]:
@@ -41,28 +44,54 @@ def spaced_text(chunk: str) -> str:
 
 
 def bare_chunks(text: str) -> list[str]:
-    """Chunks for pre-tokenizers that drop white space: the words between it."""
-    words = text.split()
-    if re.search("[\x1c-\x1f]", text):  # white space for Python, not for the tokenizer
+    """Chunks for pre-tokenizers that lower-case and drop white space: the words between it.
+
+    Lower-casing before or after makes no difference to Latin-1 texts, which NFC leaves alone.
+    """
+    try:
+        text.encode("latin-1")
+        text = text.lower()
+    except UnicodeEncodeError:
+        pass
+    if OTHER_BLANKS.search(text):
         return BARE.findall(text)
-    return words
+    return text.split()
 
 
 class ChunkTable(dict):
-    """chunk -> value, filled by ``resolve`` for the chunks of a batch that are not there yet."""
+    """chunk -> value, bounded; ``resolve`` gives the values of chunks that are not there.
+
+    A chunk is kept from its second time on: most chunks that come once never come again.
+    """
 
     def __init__(self, resolve, entries: int = CACHE_ENTRIES):
         super().__init__()
         self.resolve, self.entries = resolve, entries
+        self.seen, self.marked = bytearray(SEEN_SLOTS), 0
 
-    def add(self, lists: list[list[str]]) -> None:
-        fresh = set().union(*lists).difference(self.keys())
-        if len(self) + len(fresh) > self.entries:
+    def keep(self, values: dict) -> None:
+        if len(self) > self.entries:
             self.clear()
-            fresh = set().union(*lists)
+        if self.marked > SEEN_SLOTS // 2:
+            self.seen, self.marked = bytearray(SEEN_SLOTS), 0
+        seen = self.seen
+        slots = [hash(c) & (SEEN_SLOTS - 1) for c in values]
+        self.update({c: v for (c, v), slot in zip(values.items(), slots, strict=True) if seen[slot]})
+        for slot in slots:
+            seen[slot] = 1
+        self.marked += len(slots)
+
+    def values_of(self, lists: list[list[str]]) -> list[list]:
+        """The values of each list's chunks."""
+        values = [list(map(self.get, chunks)) for chunks in lists]
+        short = [(c, v) for c, v in zip(lists, values, strict=True) if None in v]
+        fresh = list({x for chunks, found in short for x, y in zip(chunks, found, strict=True) if y is None})
         if fresh:
-            fresh = list(fresh)
-            self.update(zip(fresh, self.resolve(fresh)))
+            known = dict(zip(fresh, self.resolve(fresh), strict=True))
+            for chunks, found in short:
+                found[:] = [known[c] if v is None else v for c, v in zip(chunks, found, strict=True)]
+            self.keep(known)
+        return values
 
 
 def split_special(texts: list, specials: dict[str, int], cut) -> list[list[str]]:
@@ -114,9 +143,7 @@ class Encoder:
 
     def __call__(self, texts: list) -> list[bytes]:
         chunks = split_special(texts, self.specials, self.cut)
-        self.table.add(chunks)
-        get = self.table.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        return [b"".join(v) for v in self.table.values_of(chunks)]
 
 
 _encoders: dict[tuple, Encoder] = {}

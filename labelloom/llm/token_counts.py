@@ -124,11 +124,9 @@ class Merges:
 
     def __call__(self, texts: list) -> dict:
         lists = chunks.split_special(texts, self.specials, chunks.spaced_chunks)
-        self.table.add(lists)
-        get = self.table.__getitem__
         return {
             "n_bytes": [len(t.encode()) if t else 0 for t in texts],
-            "n_tokens": [sum(map(get, c)) for c in lists],
+            "n_tokens": [sum(v) for v in self.table.values_of(lists)],
         }
 
 
