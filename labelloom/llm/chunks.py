@@ -8,6 +8,8 @@ its chunks in a row. The lookup table of a Python worker is bounded and dropped
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
+from functools import partial
 
 import numpy as np
 
@@ -43,14 +45,17 @@ def spaced_text(chunk: str) -> str:
     return "\n" + chunk[1:] if chunk[0] == "\0" else " " + chunk
 
 
-def bare_chunks(text: str) -> list[str]:
+def bare_chunks(text: str, specials: Collection[str] = ()) -> list[str]:
     """Chunks for pre-tokenizers that lower-case and drop white space: the words between it.
 
-    Lower-casing before or after makes no difference to Latin-1 texts, which NFC leaves alone.
+    Lower-casing before or after makes no difference to Latin-1 texts, which NFC leaves alone, unless it
+    spells one of ``specials``, which the library finds in the text as it is.
     """
     try:
         text.encode("latin-1")
-        text = text.lower()
+        lowered = text.lower()
+        if not any(s in lowered for s in specials):
+            text = lowered
     except UnicodeEncodeError:
         pass
     if OTHER_BLANKS.search(text):
@@ -118,8 +123,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.cut, self.text_of = (spaced_chunks, spaced_text) if spaced else (bare_chunks, str)
         self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        bare = partial(bare_chunks, specials=tuple(self.specials))
+        self.cut, self.text_of = (spaced_chunks, spaced_text) if spaced else (bare, str)
         self.separator = max(self.specials, key=self.specials.get)
         self.table = ChunkTable(self._encode)
 

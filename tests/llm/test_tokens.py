@@ -34,6 +34,16 @@ def test_chunked_encoding_equals_the_library(path, spaced):
     assert got == ids_of(path, texts)
 
 
+@pytest.mark.parametrize(("path", "spaced"), [(BYTE, True), (WORD, False)])
+def test_special_strings_in_other_case_are_plain_text(path, spaced):
+    rng = random.Random(3)
+    pieces = ["<|ENDOFTEXT|>", "<|StartOfText|>", "<|EndOfText|>", "<|endoftext|>", " ", "\n", "a", "Word", "é", "Σ", "\x1c"]
+    texts = ["a <|ENDOFTEXT|> b", "<|StartOfText|>", "x<|ENDOFTEXT|>y", "É <|EndOfText|>"]
+    texts += ["".join(rng.choices(pieces, k=rng.randint(1, 8))) for _ in range(1000)]
+    encoder = chunks.Encoder(path, spaced)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(texts)] == ids_of(path, texts)
+
+
 def test_merged_counts_equal_the_library():
     texts = fuzzed() + [r[1] for r in edge_rows()]
     assert token_counts.Merges(BYTE)(texts)["n_tokens"] == [len(i) for i in ids_of(BYTE, texts)]
