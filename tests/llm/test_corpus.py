@@ -162,6 +162,47 @@ def test_automaton_is_a_distribution_and_equals_a_plain_walk():
         assert math.isclose(sum(10**x for x in after), 1, rel_tol=1e-9)
 
 
+def plain_scores(rows):
+    """{position: log10 probability}, with every pair that training texts hold twice, whatever their number."""
+    texts = [(k is None or zlib.crc32(str(k).encode()) % 10 != 0, [*words_of(t), None]) for k, t in rows]
+    ones, pairs, n = Counter(), Counter(), Counter()
+    for train, ws in texts:
+        if train:
+            ones.update(ws)
+            pairs.update(zip(["^", *ws], ws))
+    total, known = sum(ones.values()), len(ones)
+    taken = Counter()
+    n.update(ones)
+    n["^"] = ones[None]
+    for (a, _), c in pairs.items():
+        taken[a] += c - 0.5 if c >= 2 else 0
+    root = {w: (ones[w] + 0.1) / (total + 0.1 * (known + 1)) for _, ws in texts for w in ws}
+    out = []
+    for _, ws in texts:
+        at = 0.0
+        for a, w in zip(["^", *ws], ws):
+            share = (pairs[a, w] - 0.5) / n[a] if pairs[a, w] >= 2 else 0
+            at += math.log10(share + (1 - taken[a] / max(n[a], 1)) * root[w])
+        out.append(at)
+    return out
+
+
+@pytest.mark.parametrize("filler", [0, 3_000_000])
+def test_rare_pairs_are_learned_at_any_size(spark, monkeypatch, filler):
+    """A pair seen twice has an arc however many other tokens there are, over blocks of any size."""
+    monkeypatch.setattr(lm_scores, "BUCKET_TOKENS", 100, raising=False)
+    monkeypatch.setattr(lm_scores, "BLOCK_TOKENS", 700)
+    rng = random.Random(8)
+    few = [prose(rng, 3, 2) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(few, k=rng.randint(0, 40)))) for i in range(200)]
+    rows += [(1001, "rare words meet"), (1002, "rare words meet"), (1003, "rare words meet")]
+    rows += [(2000 + k, "filler " * (filler // 3)) for k in range(3) if filler]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm_scores.lm_scores(docs).collect()}
+    for (key, _), want in zip(rows, plain_scores(rows), strict=True):
+        assert math.isclose(got[key], want, rel_tol=1e-9, abs_tol=1e-6), key
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     rows = lm_scores.lm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
     score, base = rows.agg(F.sum("score"), F.sum("base_score")).first()
