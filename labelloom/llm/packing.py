@@ -25,6 +25,8 @@ from labelloom.operators.scale import materialize
 GRAIN = 4
 # A greedily packed window is accepted from this share of its tokens.
 WELL_FILLED = 0.99
+# Documents that are packed together where sequences follow an order.
+RANGE_DOCS = 1_024
 
 
 def combinations(units: int) -> np.ndarray:
@@ -190,7 +192,9 @@ def place_tails(plan: Plan, window: int, lengths: np.ndarray, ranks: np.ndarray)
     return number, offset, np.minimum(lengths, window - offset)
 
 
-def measured(docs: DataFrame, path: str, end_id: int, window: int, key: str, text: str) -> DataFrame:
+def measured(
+    docs: DataFrame, path: str, end_id: int, window: int, key: str, text: str, order: str | None = None
+) -> DataFrame:
     """One row per document: its task and rank of its tail there, crc32 of its full windows, ids of its tail."""
     fields = [
         T.StructField("tokens", T.LongType()),
@@ -226,7 +230,36 @@ def measured(docs: DataFrame, path: str, end_id: int, window: int, key: str, tex
 
         return measure
 
-    return materialize(map_texts(docs, text, [key], make, fields), "packing-tails")
+    return materialize(map_texts(docs, text, [key, *([order] if order else [])], make, fields), "packing-tails")
+
+
+PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def pieces(batch, plan: Plan, window: int, full_first: list[int], ranks: np.ndarray) -> tuple[list[int], list[tuple]]:
+    """(row of the batch, values of PIECE) of every piece of measured documents.
+
+    ``full_first`` numbers the first full window of each document, ``ranks`` its tail among those of its length.
+    """
+    tail = batch.column("tail").to_numpy().astype(np.int64)
+    has = np.flatnonzero(tail)
+    number, offset, first = (np.zeros(len(tail), dtype=np.int64) for _ in range(3))
+    number[has], offset[has], first[has] = place_tails(plan, window, tail[has], ranks[has])
+    take, out = [], []
+    columns = zip(
+        batch.column("tokens").to_pylist(), full_first, batch.column("full_crc").to_pylist(), batch.column("tail_ids"),
+        tail.tolist(), number.tolist(), offset.tolist(), first.tolist(), strict=True,
+    )
+    for i, (tokens, full, crcs, ids, length, sequence, place, cut) in enumerate(columns):
+        for k, crc in enumerate(crcs):
+            out.append((k * window, window, crc, tokens, plan.windows + full + k, 0))
+        if length:
+            start, data = tokens - length, memoryview(ids.as_buffer())
+            out.append((start, cut, zlib.crc32(data[: 4 * cut]), tokens, sequence, place))
+            if cut < length:
+                out.append((start + cut, length - cut, zlib.crc32(data[4 * cut :]), tokens, sequence + 1, 0))
+        take += [i] * (len(out) - len(take))
+    return take, out
 
 
 def pack(
@@ -266,15 +299,7 @@ def pack(
         key, "tokens", "tail", (F.col("full_before") + F.col("full_rank")).alias("full_first"),
         F.expr("before[tail] + tail_rank").alias("rank"), "full_crc", "tail_ids",
     )
-    schema = T.StructType(
-        [
-            rows.schema[key],
-            *(
-                T.StructField(c, T.LongType())
-                for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-            ),
-        ]
-    )
+    schema = T.StructType([rows.schema[key], *(T.StructField(c, T.LongType()) for c in PIECE)])
 
     def run(batches):
         import pyarrow as pa
@@ -282,29 +307,50 @@ def pack(
 
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            tail = batch.column("tail").to_numpy().astype(np.int64)
-            has = np.flatnonzero(tail)
-            number, offset, first = (np.zeros(len(tail), dtype=np.int64) for _ in range(3))
-            number[has], offset[has], first[has] = place_tails(
-                plan, window, tail[has], batch.column("rank").to_numpy()[has]
-            )
-            take, out = [], []
-            columns = zip(
-                batch.column("tokens").to_pylist(), batch.column("full_first").to_pylist(),
-                batch.column("full_crc").to_pylist(), batch.column("tail_ids"),
-                tail.tolist(), number.tolist(), offset.tolist(), first.tolist(), strict=True,
-            )
-            for i, (tokens, full_first, crcs, ids, length, sequence, place, cut) in enumerate(columns):
-                for k, crc in enumerate(crcs):
-                    out.append((k * window, window, crc, tokens, plan.windows + full_first + k, 0))
-                if length:
-                    start, data = tokens - length, memoryview(ids.as_buffer())
-                    out.append((start, cut, zlib.crc32(data[: 4 * cut]), tokens, sequence, place))
-                    if cut < length:
-                        out.append((start + cut, length - cut, zlib.crc32(data[4 * cut :]), tokens, sequence + 1, 0))
-                take += [i] * (len(out) - len(take))
+            ranks = batch.column("rank").to_numpy(zero_copy_only=False)
+            take, out = pieces(batch, plan, window, batch.column("full_first").to_pylist(), ranks)
             if out:
                 values = [pa.array(v, type=pa.int64()) for v in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(take)), *values], schema=arrow)
 
     return joined.mapInArrow(run, schema)
+
+
+def pack_in_order(
+    docs: DataFrame, path: str, order: str, end_id: int = 0, window: int = 1024, key: str = "doc_id", text: str = "text",
+    range_docs: int | None = None,
+) -> DataFrame:
+    """Pieces as those of ``pack``, with sequences that follow the documents' order.
+
+    ``order`` names a column that numbers the documents from 0. Runs of ``range_docs`` (RANGE_DOCS) of them are packed by
+    themselves, each with a plan of its own tails, and their sequences are numbered run by run: all documents of
+    a run are in the sequences before those of the next run. Only the last sequence of a run's cut tails and
+    what its greedy windows leave is padded.
+    """
+    rows = measured(docs, path, end_id, window, key, text, order)
+    rows = rows.withColumn("_range", F.floor(F.col(order) / (range_docs or RANGE_DOCS)).cast("long"))
+    fields = [T.StructField("_range", T.LongType()), rows.schema[key], *(T.StructField(c, T.LongType()) for c in PIECE)]
+    schema = T.StructType(fields)
+
+    def run(table):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        table = table.sort_by(order).combine_chunks()
+        tail = table.column("tail").to_numpy().astype(np.int64)
+        plan = plan_tails(np.bincount(tail, minlength=window) * (np.arange(window) > 0), window)
+        by_length = np.argsort(tail, kind="stable")
+        ranks = np.empty(len(tail), dtype=np.int64)
+        ranks[by_length] = np.arange(len(tail)) - np.searchsorted(tail[by_length], tail[by_length])
+        full = np.array([len(c) for c in table.column("full_crc").to_pylist()], dtype=np.int64)
+        take, out = pieces(table, plan, window, (np.cumsum(full) - full).tolist(), ranks)
+        kept = table.select(["_range", key]).take(pa.array(take, type=pa.int64()))
+        values = [pa.array(v, type=pa.int64()) for v in zip(*out, strict=True)]
+        return pa.Table.from_arrays([*kept.columns, *values], schema=to_arrow_schema(schema))
+
+    packed = materialize(rows.groupBy("_range").applyInArrow(run, schema), "packed-ranges")
+    sizes = packed.groupBy("_range").agg((F.max("sequence_id") + 1).alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    sequence = (F.col("_first") + F.col("sequence_id")).alias("sequence_id")
+    return packed.join(starts, "_range").select(key, *(sequence if c == "sequence_id" else c for c in PIECE))

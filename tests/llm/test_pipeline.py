@@ -2,7 +2,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.llm import quality_gam, quality_rules
+from labelloom.llm import mixing, packing, quality_gam, quality_rules
 from labelloom.operators.scale import materialize
 from tests.llm.test_corpus import plain_groups
 
@@ -49,6 +49,33 @@ def test_run_equals_its_stages(spark, stages):
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def test_sequences_hold_the_sources_at_their_shares(spark, monkeypatch):
+    """Documents of a run of the mixture are packed before the next run, and every prefix has the shares."""
+    monkeypatch.setattr(packing, "RANGE_DOCS", 16, raising=False)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(7)
+    position = {r.doc_id: r.position for r in mixing.mix(docs.select("doc_id", "source")).select("doc_id", "mix.position").collect()}
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    shares = {r.source: r.share for r in mixing.source_shares(docs, F.col("source"), None, 0.5, mixing.PERIOD).collect()}
+    rows = corpus_pipeline.sequence_packing(spark, docs, SF).collect()
+    first = {}
+    for r in sorted(rows, key=lambda r: r.sequence_id):
+        first.setdefault(r.doc_id, r.sequence_id)
+    assert set(first) == set(position)
+    ranges = {}
+    for r in rows:
+        ranges.setdefault(position[r.doc_id] // 16, set()).add(r.sequence_id)
+    for a, b in zip(sorted(ranges), sorted(ranges)[1:]):
+        assert max(ranges[a]) < min(ranges[b])
+    assert set.union(*ranges.values()) == set(range(1 + max(r.sequence_id for r in rows)))
+    left = {s: sum(v == s for v in source.values()) for s in shares}
+    docs_in = [d for _, d in sorted((position[d] // 16, d) for d in position)]
+    for n in range(16, len(docs_in), 16):
+        seen = {s: sum(source[d] == s for d in docs_in[:n]) for s in shares}
+        if any(seen[s] == left[s] for s in shares):
+            break
+        assert all(abs(seen[s] - q * n / sum(shares.values())) < 1.001 for s, q in shares.items())
+
+
 def test_stages_take_odd_rows(spark, edges):
     """Nulls, empty and long texts, repeated rows and columns with clashing names pass all stages."""
     docs = edges
