@@ -6,7 +6,8 @@ leaves its cluster. Inside a cluster the counts per group are points: tiles of p
 R-trees that bound the overlap by summed minima, and what hangs together by pairs within the bound are
 the clusters whose shingles are looked at. There, too, tiles are joined by R-trees, and pairs that survive
 are verified. Tiles are bounded. After each tile has joined itself, components are formed, and pairs of
-tiles look only for links between different components.
+tiles look only for links between different components. Where links are counted, all tiles of a cluster are
+joined and every pair that survives is verified.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from labelloom.llm.common import _slices, map_texts
 from labelloom.llm.components import components
-from labelloom.llm.rtree import GROUPS, count_points, link_tile, near_points
+from labelloom.llm.rtree import GROUPS, count_points, link_tile, linked_pairs, near_points
 from labelloom.llm.shingles import MULTIPLIER, fingerprint, mixed, shingle_set, signatures
 from labelloom.operators.scale import materialize
 
@@ -126,8 +127,10 @@ def shared_signatures(docs: DataFrame, size: int, percent: int, key: str, text:
     return packed.groupBy("bucket").applyInArrow(join, "u long, v long")
 
 
-def grouped_links(rows: DataFrame, group: list[str], columns: list[str], join: Callable) -> DataFrame:
-    """Edges (u, v) that ``join`` finds among the rows of each group, a list of tuples of the columns.
+def grouped_links(
+    rows: DataFrame, group: list[str], columns: list[str], join: Callable, names: tuple[str, ...] = ("u", "v")
+) -> DataFrame:
+    """What ``join`` finds among the rows of each group, a list of tuples of the columns: edges (u, v), or ``names``.
 
     The rows of a group come one after the other in a sorted task.
     """
@@ -138,7 +141,7 @@ def grouped_links(rows: DataFrame, group: list[str], columns: list[str], join: C
         def edges(held: list[tuple]):
             found = join(held) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays(
-                [pa.array([f[k] for f in found], type=pa.int64()) for k in (0, 1)], names=["u", "v"]
+                [pa.array([f[k] for f in found], type=pa.int64()) for k in range(len(names))], names=list(names)
             )
 
         current, held = None, []
@@ -152,7 +155,7 @@ def grouped_links(rows: DataFrame, group: list[str], columns: list[str], join: C
         yield edges(held)
 
     spread = rows.select(*group, *columns).repartition(*group).sortWithinPartitions(*group, columns[0])
-    return spread.mapInArrow(run, "u long, v long")
+    return spread.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def joined_tiles(rows: DataFrame, group: list[str], percent: int) -> DataFrame:
@@ -223,14 +226,63 @@ def within_bound(clusters: DataFrame, percent: int) -> DataFrame:
     return grouped_links(crossing, group, ["node", "side", "n", "counts"], join)
 
 
-def links_in_clusters(docs: DataFrame, clusters: DataFrame, size: int, percent: int, key: str, text: str) -> list[DataFrame]:
-    """Tables of links (u, v) that connect all classes of a cluster that are connected."""
+def cluster_sets(docs: DataFrame, clusters: DataFrame, classes: DataFrame, size: int, key: str, text: str) -> DataFrame:
+    """(node, cluster, n, tile, last, classes, set): the sets of the texts of every node of a cluster.
+
+    ``classes`` lists the marks and numbers of rows of the classes that the node stands for.
+    """
     placed = tiled(clusters, TILE_SETS)
     largest = placed.groupBy("cluster").agg(F.max("tile").alias("last"))
+    stands = classes.groupBy("node").agg(F.collect_list(F.struct("f1", "f2", "copies")).alias("classes"))
     # Rows that share an id are one node; any of their sets may link it.
     texts = docs.select(F.col(key).alias("node"), F.col(text).alias("_whole"))
-    chosen = texts.join(placed.join(largest, "cluster"), "node")
-    sets = materialize(set_bytes(chosen, size, ["node", "cluster", "n", "tile", "last"], "_whole"), "cluster-sets")
+    chosen = texts.join(placed.join(largest, "cluster").join(stands, "node"), "node")
+    kept = ["node", "cluster", "n", "tile", "last", "classes"]
+    return materialize(set_bytes(chosen, size, kept, "_whole"), "cluster-sets")
+
+
+def all_links(sets: DataFrame, percent: int, pairs: bool) -> DataFrame:
+    """Every link between different classes: (u, v, shared), or (f1, f2, linked) summed over what tiles find.
+
+    ``sets`` as ``cluster_sets`` gives them. ``u`` < ``v`` are the nodes of the classes; ``linked`` counts the rows of the
+    classes that a class links with. All pairs of tiles of a cluster are joined, so a group of n different
+    texts costs up to n^2 / 2 checks; the sums stay as long as the table, the pairs do not.
+    """
+    coarse = sets.withColumn("coarse", F.floor(F.col("tile") / COARSE)).withColumn("_size", F.length("set") / 8)
+    tiles = coarse.groupBy("cluster", "coarse").agg(F.min("_size").alias("least"), F.max("_size").alias("most"))
+    sides = tile_pairs(materialize(tiles, "link-tiles"), percent, F.lit(True))
+    crossing = coarse.drop("_size").join(sides, ["cluster", "coarse"])
+
+    def join(held: list[tuple]) -> list[tuple[int, ...]]:
+        # One row for each class, whatever the copies of its node, and none for texts of a class of another node.
+        rows: dict[tuple, tuple] = {}
+        for node, side, classes, data in held:
+            array = np.frombuffer(data, dtype=np.uint64)
+            mark = fingerprint(array)
+            copies = next((c["copies"] for c in classes if (c["f1"], c["f2"]) == mark), None)
+            if copies is not None:
+                rows[side, *mark] = (node, copies, array)
+        keys, values = list(rows), list(rows.values())
+        found = linked_pairs([v[2] for v in values], percent, np.array([k[0] for k in keys], dtype=np.int64))
+        if pairs:
+            return [
+                (*sorted((values[i][0], values[j][0])), k)
+                for i, others, shared in found
+                for j, k in zip(others.tolist(), shared.tolist(), strict=True)
+            ]
+        copies = np.array([v[1] for v in values], dtype=np.int64)
+        linked = np.zeros(len(values), dtype=np.int64)
+        for i, others, _ in found:
+            linked[i] += copies[others].sum()
+            linked[others] += copies[i]
+        return [(*keys[i][1:], int(linked[i])) for i in np.flatnonzero(linked)]
+
+    names = ("u", "v", "shared") if pairs else ("f1", "f2", "linked")
+    return grouped_links(crossing, ["cluster", "coarse_a", "coarse_b"], ["node", "side", "classes", "set"], join, names)
+
+
+def links_in_clusters(sets: DataFrame, percent: int) -> list[DataFrame]:
+    """Tables of links (u, v) that connect all classes of a cluster that are connected."""
     own = sets.withColumn("label", F.col("node")).withColumn("side", F.lit(0))
     # Some of a large cluster is dealt out once more at random, so that components meet early; it is not
     # needed for the result, since tiles are joined pair by pair below.
@@ -260,41 +312,36 @@ def links_in_clusters(docs: DataFrame, clusters: DataFrame, size: int, percent:
     return [within, across]
 
 
-def near_duplicates(
-    docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """(key, n_shingles, component_id) of every row: groups of texts that links connect.
-
-    Two texts link when 100 * |intersection| >= percent * |union| of their sets of distinct shingles (``size``
-    words, A-Z lower-cased; fewer words are one shingle). ``component_id`` is the smallest key reachable,
-    the row's own included. Texts without words link with nothing. Keys are whole numbers; rows of one key
-    are one node, whatever their texts; a row without a key gets the smallest key of the texts equal to its
-    own and their links, null if there is none. Other columns are not read; an empty table gives no rows.
+def class_sets(docs: DataFrame, size: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(key, n, f1, f2, node, copies) of every row, and the sets of the classes that may link (``cluster_sets``).
 
-    Shingles are 64-bit hashes. No pair table of a group is ever written: copies are classes, links inside
-    a tile connect components, and pairs of one component are not compared.
+    Rows of equal sets are a class, and ``node`` the smallest key of it; ``copies`` counts them.
     """
     narrow = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
     described = materialize(shingle_rows(narrow, size, key, text), "shingle-marks")
     marks = ["n", "f1", "f2"]
     # Written first, so that the join with it can split a class that holds most rows.
-    classes = materialize(described.where("n > 0").groupBy(*marks).agg(F.min(key).alias("node")), "classes")
+    classes = materialize(described.where("n > 0").groupBy(*marks).agg(F.min(key).alias("node"), F.count("*").alias("copies")), "classes")
     members = materialize(described.drop("counts").join(classes, marks, "left"), "class-members")
     clusters = components(materialize(shared_signatures(narrow, size, percent, key, text), "shared-signatures"))
-    own = described.where("n > 0").withColumnRenamed(key, "node").join(classes, [*marks, "node"])
+    own = described.where("n > 0").withColumnRenamed(key, "node").join(classes.drop("copies"), [*marks, "node"])
     own = own.select("node", "n", "counts")
     meeting = clusters.select("node", F.col("component").alias("cluster")).join(own, "node")
     near = components(materialize(within_bound(materialize(meeting, "clusters"), percent), "within-bound"))
     sizes = own.groupBy("node").agg(F.max("n").alias("n"))
     clusters = materialize(near.select("node", F.col("component").alias("cluster")).join(sizes, "node"), "near-clusters")
-    links = links_in_clusters(narrow, clusters, size, percent, key, text)
+    return members, cluster_sets(narrow, clusters, classes, size, key, text)
+
+
+def with_components(members: DataFrame, sets: DataFrame, percent: int, key: str) -> DataFrame:
+    """The rows of ``members`` with ``n_shingles`` and ``component_id``."""
     # Rows of one key with different texts are one node.
     twice = members.where(F.col(key).isNotNull() & (F.col(key) != F.col("node"))).select(
         F.col(key).alias("u"), F.col("node").alias("v")
     )
     keys = members.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows")).where("_rows > 1")
     twice = twice.join(keys, twice["u"] == keys[key], "left_semi")
-    found = components(reduce(DataFrame.unionByName, [*links, twice]))
+    found = components(reduce(DataFrame.unionByName, [*links_in_clusters(sets, percent), twice]))
     # Equal texts meet through their class; a key of several texts leads on from its class.
     return (
         members.join(found.withColumnRenamed("component", "_component"), members["node"] == found["node"], "left")
@@ -302,10 +349,57 @@ def near_duplicates(
             key,
             F.col("n").alias("n_shingles"),
             F.coalesce("_component", members["node"], F.col(key)).alias("component_id"),
+            *(members[c] for c in ("f1", "f2", "node", "copies")),
         )
     )
 
 
+def near_duplicates(
+    docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(key, n_shingles, component_id) of every row: groups of texts that links connect.
+
+    Two texts link when 100 * |intersection| >= percent * |union| of their sets of distinct shingles (``size``
+    words, A-Z lower-cased; fewer words are one shingle). ``component_id`` is the smallest key reachable,
+    the row's own included. Texts without words link with nothing. Keys are whole numbers; rows of one key
+    are one node, whatever their texts; a row without a key gets the smallest key of the texts equal to its
+    own and their links, null if there is none. Other columns are not read; an empty table gives no rows.
+
+    Shingles are 64-bit hashes. No pair table of a group is ever written: copies are classes, links inside
+    a tile connect components, and pairs of one component are not compared (see ``linked_documents``).
+    """
+    members, sets = class_sets(docs, size, percent, key, text)
+    return with_components(members, sets, percent, key).select(key, "n_shingles", "component_id")
+
+
+def links(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(u, v, shared) of every pair of different shingle sets that link, u < v, with their shared shingles.
+
+    A set is named by the smallest key of its rows, the ``class_id`` of ``linked_documents``; if a key recurs with two
+    texts, both are u or v of links of their own. The result has a row for each pair of a group.
+    """
+    return all_links(class_sets(docs, size, percent, key, text)[1], percent, pairs=True)
+
+
+def linked_documents(
+    docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The columns of ``near_duplicates``, and (class_id, n_links) of every row.
+
+    ``class_id`` is the smallest key of the rows with an equal set, null without words; ``n_links`` counts the other
+    rows whose texts link with the row's own, equal texts included. It is 0 without words and null where no
+    row of the class has a key. Every pair of classes that may link is verified (see ``all_links``).
+    """
+    members, sets = class_sets(docs, size, percent, key, text)
+    linked = all_links(sets, percent, pairs=False).groupBy("f1", "f2").agg(F.sum("linked").alias("_linked"))
+    rows = with_components(members, sets, percent, key)
+    counted = rows.join(materialize(linked, "linked"), ["f1", "f2"], "left")
+    own = F.when(F.col("n_shingles") == 0, F.lit(0).cast("long")).when(
+        F.col("node").isNotNull(), F.col("copies") - 1 + F.coalesce("_linked", F.lit(0))
+    )
+    return counted.select(key, "n_shingles", "component_id", F.col("node").alias("class_id"), own.alias("n_links"))
+
+
 def one_per_group(
     docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:

@@ -69,7 +69,7 @@ def op8_lm_scores(spark, d):
 
 @query
 def op9_jaccard_join(spark, d):
-    return jaccard_join.near_duplicates(documents(spark, d), size=3, percent=90)
+    return jaccard_join.linked_documents(documents(spark, d), size=3, percent=90)
 
 
 @query

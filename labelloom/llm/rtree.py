@@ -7,6 +7,8 @@ box with any set in that box. Boxes whose bound is below the overlap that linkin
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from labelloom.llm.shingles import least_overlap, overlap
@@ -103,6 +105,32 @@ def link_tile(
     return links
 
 
+def linked_pairs(sets: list[np.ndarray], percent: int, sides: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, rows that it links with, shared elements of each): every pair that links, once.
+
+    ``sides`` as in ``link_tile``. Nothing is inferred from other links; all candidates are verified.
+    """
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    points = count_points(sets)
+    first, second = np.flatnonzero(sides < 2), np.flatnonzero(sides != 1)
+    if not len(first) or not len(second):
+        return
+    tree = RTree(points[second], sizes[second])
+    for i in first:
+        found = second[tree.candidates(points[i], int(sizes[i]), percent)]
+        found = found[(found < i) | (sides[i] > 0)]
+        if not len(found):
+            continue
+        others = np.concatenate([sets[j] for j in found])
+        at = np.searchsorted(sets[i], others)
+        at[at == len(sets[i])] = 0
+        ends = np.cumsum(sizes[found])
+        shared = np.add.reduceat((sets[i][at] == others).astype(np.int64), ends - sizes[found])
+        links = shared >= least_overlap(sizes[i] + sizes[found], percent)
+        if links.any():
+            yield int(i), found[links], shared[links]
+
+
 def near_points(points: np.ndarray, sizes: np.ndarray, sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A forest over the rows: it connects all that pairs within the bound connect.
 

@@ -77,6 +77,37 @@ def test_large_cluster_is_joined_tile_by_tile(spark, monkeypatch):
     assert got == sorted(plain_groups(rows, 3, 90))
 
 
+def test_every_link_between_different_texts_is_counted(spark, monkeypatch):
+    """Groups of near copies and copies, an id with two texts, over several tiles: all pairs, not a forest."""
+    monkeypatch.setattr(jaccard_join, "TILE_SETS", 8)
+    rng = random.Random(11)
+    texts = near_copies(rng, 3, 40, 250)
+    rows = list(enumerate(texts)) + [(500 + i, t) for i, t in enumerate(texts[:20])]
+    rows += [(7, prose(rng, 40)), (7, texts[50]), (900, None), (901, " "), (None, texts[3])]
+    sets = [(k, frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2))) for k, w in ((k, words_of(t)) for k, t in rows)]
+
+    def link(x, y):
+        return bool(x and y) and 100 * len(x & y) >= 90 * len(x | y)
+
+    least = {}
+    for k, x in sets:
+        least[x] = min([v for v in (k, least.get(x)) if v is not None], default=None)
+    want = sorted((k is None, k, len(x), least[x] if x else None, sum(link(x, y) for _, y in sets) - bool(x)) for k, x in sets if k is not None)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard_join.linked_documents(docs, 3, 90)
+    found = got.collect()
+    assert sorted((False, r.doc_id, r.n_shingles, r.class_id, r.n_links) for r in found if r.doc_id is not None) == want
+    assert [r.n_links for r in found if r.doc_id is None] == [sum(link(sets[3][1], y) for _, y in sets) - 1]
+    groups = sorted(map(repr, map(tuple, jaccard_join.near_duplicates(docs, 3, 90).collect())))
+    assert sorted(repr(tuple(r)[:3]) for r in found) == groups
+    pairs = sorted(map(tuple, jaccard_join.links(docs, 3, 90).collect()))
+    assert pairs == sorted(
+        (*sorted((least[x], least[y])), len(x & y)) for x, y in itertools.combinations(list(least), 2) if link(x, y)
+    )
+    assert len(pairs) > 2 * len(least)  # no forest
+    assert jaccard_join.linked_documents(docs.limit(0)).count() == 0
+
+
 def test_jaccard_of_edge_rows(edges, nothing):
     got = jaccard_join.near_duplicates(edges, 3, 90).collect()
     assert len(got) == len(edge_rows())
