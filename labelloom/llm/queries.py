@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelloom.llm import id_files, jaccard_join, licenses, lm_scores, mixing, neighbours, packing, quality_gam, quality_rules, token_counts
+from labelloom.llm import hard_negatives, id_files, jaccard_join, licenses, lm_scores, mixing, neighbours, packing, quality_gam, quality_rules, token_counts
 from labelloom.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,3 +76,13 @@ def op9_jaccard_join(spark, d):
 def op10_nearest_neighbours(spark, d):
     embeddings = spark.read.parquet(f"{d}/embeddings.parquet")
     return neighbours.nearest(embeddings, F.col("vec_id") % 100 == 0, k=10)
+
+
+@query
+def op13_hard_negatives(spark, d):
+    vectors = hard_negatives.whole_numbers(spark.read.parquet(f"{d}/embeddings.parquet"), 256, "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0, percent=80)
+
+
+ORACLE["op13_hard_negatives"] = hard_negatives.ORACLE_SQL
