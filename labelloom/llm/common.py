@@ -52,17 +52,17 @@ def _slices(batch, column: str) -> Iterator:
         start = stop
 
 
-def map_texts(
+def map_arrays(
     df: DataFrame,
     text: str,
     keep: list[str],
-    make: Callable[[], Callable[[list], dict]],
+    make: Callable[[], Callable[[object], dict]],
     fields: list[T.StructField],
 ) -> DataFrame:
     """The kept columns of every row, with new columns computed from whole texts, batch by batch.
 
-    ``make`` runs once per task and gives the function that turns a list of texts (null: None) into
-    one list or array per new field. Rows keep their order and number.
+    ``make`` runs once per task and gives the function that turns an Arrow array of texts into one list or
+    array per new field. Rows keep their order and number.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -82,10 +82,26 @@ def map_texts(
         function = make()
         for batch in batches:
             for part in _slices(batch, source):
-                new = function(part.column(source).to_pylist())
+                new = function(part.column(source))
                 columns = [part.column(i) for i in range(len(keep))]
                 columns += [pa.array(new[f.name], type=f.type, from_pandas=False) for f in arrow]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *arrow.names])
 
     extra = [] if kept else [F.col(text).cast("string").alias("_text")]
     return df.select(*keep, *extra).mapInArrow(run, schema)
+
+
+def map_texts(
+    df: DataFrame,
+    text: str,
+    keep: list[str],
+    make: Callable[[], Callable[[list], dict]],
+    fields: list[T.StructField],
+) -> DataFrame:
+    """As ``map_arrays``, for functions of a list of texts (null: None)."""
+
+    def listed():
+        function = make()
+        return lambda texts: function(texts.to_pylist())
+
+    return map_arrays(df, text, keep, listed, fields)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelloom.llm import hard_negatives, id_files, jaccard_join, licenses, lm_scores, mixing, neighbours, packing, quality_gam, quality_rules, token_counts
+from labelloom.llm import hard_negatives, id_files, jaccard_join, licenses, lm_scores, merge_automaton, mixing, neighbours, packing, quality_gam, quality_rules, token_counts
 from labelloom.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -78,6 +78,11 @@ def op10_nearest_neighbours(spark, d):
     return neighbours.nearest(embeddings, F.col("vec_id") % 100 == 0, k=10)
 
 
+@query
+def op11_bpe_round_trip(spark, d):
+    return merge_automaton.encoding_digests(documents(spark, d), BYTE_BPE)
+
+
 @query
 def op13_hard_negatives(spark, d):
     vectors = hard_negatives.whole_numbers(spark.read.parquet(f"{d}/embeddings.parquet"), 256, "embedding", "label")
