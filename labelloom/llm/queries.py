@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelloom.llm import hard_negatives, id_files, jaccard_join, licenses, lm_scores, merge_automaton, mixing, neighbours, packing, quality_gam, quality_rules, token_counts
+from labelloom.llm import hard_negatives, id_files, jaccard_join, licenses, lm_scores, merge_automaton, mixing, neighbours, packing, quality_gam, quality_rules, token_alignment, token_counts
 from labelloom.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,6 +84,11 @@ def op11_bpe_round_trip(spark, d):
     return merge_automaton.encoding_digests(documents(spark, d), BYTE_BPE)
 
 
+@query
+def op12_token_alignment(spark, d):
+    return token_alignment.alignment_digests(documents(spark, d), BYTE_BPE, PIECES)
+
+
 @query
 def op13_hard_negatives(spark, d):
     vectors = hard_negatives.whole_numbers(spark.read.parquet(f"{d}/embeddings.parquet"), 256, "embedding", "label")

@@ -67,7 +67,7 @@ class Ragged:
         return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def _numbered(regular, places: np.ndarray, others: list[list[str]]) -> tuple[list[str], Ragged]:
+def numbered(regular, places: np.ndarray, others: list[list[str]]) -> tuple[list[str], Ragged]:
     """Distinct words of lists of words, and the numbers of each text's words.
 
     ``regular`` is an Arrow list array of the texts not in ``places``; ``others`` are the lists of those.
@@ -88,7 +88,7 @@ def _numbered(regular, places: np.ndarray, others: list[list[str]]) -> tuple[lis
     return encoded.dictionary.to_pylist(), numbers
 
 
-def _split_off(texts, uneven) -> tuple:
+def split_off(texts, uneven) -> tuple:
     """Even texts, places of the uneven ones, and those as a list."""
     import pyarrow.compute as pc
 
@@ -115,10 +115,10 @@ def spaced_words(texts, specials: dict[str, int]) -> tuple[list[str], Ragged]:
     import pyarrow.compute as pc
 
     uneven = pc.or_(pc.match_substring_regex(texts, UNEVEN), _any_of(texts, specials))
-    even, places, rest = _split_off(texts, uneven)
+    even, places, rest = split_off(texts, uneven)
     marked = pc.binary_join_element_wise("\1", pc.replace_substring(even, "\n", " \0"), "")
     split = pc.split_pattern(marked, " ")
-    return _numbered(split, places, chunks.split_special(rest, specials, exact_chunks))
+    return numbered(split, places, chunks.split_special(rest, specials, exact_chunks))
 
 
 def exact_chunks(text: str) -> list[str]:
@@ -133,10 +133,10 @@ def bare_words(texts, specials: dict[str, int]) -> tuple[list[str], Ragged]:
     wide = pc.match_substring_regex(texts, "[^\\x00-\\x{ff}]")
     odd = pc.or_(wide, pc.match_substring_regex(texts, "[\\x1c-\\x1f]"))
     uneven = pc.or_(odd, _any_of(lowered, specials))
-    even, places, rest = _split_off(texts, uneven)
+    even, places, rest = split_off(texts, uneven)
     plain = pc.replace_substring_regex(pc.utf8_lower(even), "[\\t-\\r \\x{85}\\x{a0}]+", " ")
     split = pc.split_pattern(pc.utf8_trim(plain, " "), " ")
-    return _numbered(split, places, chunks.split_special(rest, specials, lambda t: chunks.bare_chunks(t, tuple(specials))))
+    return numbered(split, places, chunks.split_special(rest, specials, lambda t: chunks.bare_chunks(t, tuple(specials))))
 
 
 class WordTable:
