@@ -3,53 +3,70 @@
 Inputs are long tables: ``golden`` and ``weak`` (pmid, label), repeated rows allowed; ``label_scope``
 (label, scope) and ``members`` (scope, member) from the hierarchy. An article is valid for a label when
 one of its golden labels is a member of the label's scope.
+
+The labels of a scope are numbered, and an article's labels in a scope are bits of 64-bit words: rows of fixed
+width that fold with bit_or before and after one shuffle. A word goes back to labels by a join with the
+numbered labels.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelloom.functions.numeric import draw, ratio
 from labelloom.operators.scale import lookup_join
 
+WORD_BITS = 64
+WORD = ["scope", "word"]
+
+
+def numbered_labels(label_scope: DataFrame) -> DataFrame:
+    """(label, scope, word, mask): each label's bit among the labels of its scope, in label order."""
+    place = F.row_number().over(Window.partitionBy("scope").orderBy("label")) - 1
+    rows = label_scope.select("label", "scope").distinct().withColumn("_place", place)
+    word, bit = F.floor(F.col("_place") / WORD_BITS).cast("int"), F.col("_place") % WORD_BITS
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    return rows.select("label", "scope", word.alias("word"), mask.alias("mask"))
+
 
-def article_scopes(golden: DataFrame, weak: DataFrame, label_scope: DataFrame, members: DataFrame) -> DataFrame:
-    """(pmid, scope, valid, golden, weak): an article's labels within each scope it touches.
+def article_scopes(golden: DataFrame, weak: DataFrame, numbered: DataFrame, members: DataFrame) -> DataFrame:
+    """(pmid, scope, word, valid, golden, weak): an article's labels within each scope it touches, as bits.
 
-    All comparisons of golden and weak labels start here, after a single shuffle by article and scope.
-    ``golden`` and ``weak`` are sets of the article's labels that belong to the scope, so they are
-    bounded by the labels of one scope; repeated pairs fold together before the shuffle.
+    All comparisons of golden and weak labels start here, after a single shuffle by article, scope and word.
+    A scope of more than 64 labels has several words; a golden member makes the article valid in each.
     """
-    own = label_scope.select("label", "scope", F.lit(True).alias("own"), F.lit(False).alias("member"))
-    member = members.select(F.col("member").alias("label"), "scope", F.lit(False).alias("own"), F.lit(True).alias("member"))
-    roles = own.unionByName(member).groupBy("label", "scope").agg(
-        F.bool_or("own").alias("own"), F.bool_or("member").alias("member")
-    )
+    none = F.lit(0).cast("long")
+    own = numbered.select("label", *WORD, "mask", F.lit(False).alias("member"))
+    words = numbered.select(*WORD).distinct()
+    member = members.join(words, "scope").select(F.col("member").alias("label"), *WORD, none.alias("mask"), F.lit(True).alias("member"))
+    roles = own.unionByName(member).groupBy("label", *WORD).agg(F.bit_or("mask").alias("mask"), F.bool_or("member").alias("member"))
     marked = golden.select("pmid", "label", F.lit(True).alias("gold")).unionByName(
         weak.select("pmid", "label", F.lit(False).alias("gold"))
     )
-    rows = lookup_join(marked, roles, "label").where("gold OR own")
-    return rows.groupBy("pmid", "scope").agg(
+    rows = lookup_join(marked, roles, "label").where("gold OR mask <> 0")
+    return rows.groupBy("pmid", *WORD).agg(
         F.bool_or(F.col("gold") & F.col("member")).alias("valid"),
-        F.collect_set(F.when(F.col("gold") & F.col("own"), F.col("label"))).alias("golden"),
-        F.collect_set(F.when(~F.col("gold"), F.col("label"))).alias("weak"),
+        F.bit_or(F.when(F.col("gold"), F.col("mask")).otherwise(none)).alias("golden"),
+        F.bit_or(F.when(F.col("gold"), none).otherwise(F.col("mask"))).alias("weak"),
     )
 
 
-def judged_pairs(scopes: DataFrame) -> DataFrame:
-    """(pmid, label, scope, gold, weak, valid) for every pair that is golden or weak.
+def has(bits: str | Column, mask: str | Column = "mask") -> Column:
+    """Whether a word has any bit of the mask."""
+    bits, mask = (F.col(c) if isinstance(c, str) else c for c in (bits, mask))
+    return bits.bitwiseAND(mask) != 0
 
-    Weak labels of invalid articles count as not assigned.
-    """
-    exploded = scopes.select("*", F.explode(F.array_union("golden", "weak")).alias("label"))
-    return exploded.select(
-        "pmid",
-        "label",
-        "scope",
-        F.array_contains("golden", F.col("label")).alias("gold"),
-        (F.array_contains("weak", F.col("label")) & F.col("valid")).alias("weak"),
-        "valid",
-    )
+
+def assigned(scopes: DataFrame) -> DataFrame:
+    """``scopes`` in which weak labels of invalid articles count as not assigned."""
+    return scopes.withColumn("weak", F.when(F.col("valid"), F.col("weak")).otherwise(F.lit(0).cast("long")))
+
+
+def judged_pairs(scopes: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(pmid, label, scope, gold, weak, valid) for every pair that is golden or weak in a valid article."""
+    marked = lookup_join(assigned(scopes).where("golden <> 0 OR weak <> 0"), numbered, WORD)
+    pairs = marked.where(has(F.col("golden").bitwiseOR(F.col("weak"))))
+    return pairs.select("pmid", "label", "scope", has("golden").alias("gold"), has("weak").alias("weak"), "valid")
 
 
 def valid_scopes(golden: DataFrame, members: DataFrame) -> DataFrame:
@@ -65,16 +82,16 @@ def valid_labels(golden: DataFrame, label_scope: DataFrame, members: DataFrame)
 
 def filter_weak(golden: DataFrame, weak: DataFrame, label_scope: DataFrame, members: DataFrame) -> DataFrame:
     """Distinct weak pairs of the articles valid for the label."""
-    return judged_pairs(article_scopes(golden, weak, label_scope, members)).where("weak").select("pmid", "label")
+    numbered = numbered_labels(label_scope)
+    return judged_pairs(article_scopes(golden, weak, numbered, members), numbered).where("weak").select("pmid", "label")
 
 
 def compare_labels(golden: DataFrame, weak: DataFrame, label_scope: DataFrame, members: DataFrame) -> DataFrame:
     """(pmid, label, outcome) with outcome TP, FP or FN."""
-    pairs = judged_pairs(article_scopes(golden, weak, label_scope, members))
-    outcome = (
-        F.when(F.col("gold") & F.col("weak"), "TP").when(F.col("weak"), "FP").when(F.col("gold"), "FN")
-    )
-    return pairs.select("pmid", "label", outcome.alias("outcome")).where("outcome IS NOT NULL")
+    numbered = numbered_labels(label_scope)
+    pairs = judged_pairs(article_scopes(golden, weak, numbered, members), numbered)
+    outcome = F.when(F.col("gold") & F.col("weak"), "TP").when(F.col("weak"), "FP").otherwise("FN")
+    return pairs.select("pmid", "label", outcome.alias("outcome"))
 
 
 def label_frequencies(golden: DataFrame, weak: DataFrame, label_scope: DataFrame, members: DataFrame) -> DataFrame:
@@ -84,28 +101,25 @@ def label_frequencies(golden: DataFrame, weak: DataFrame, label_scope: DataFrame
     no article x label table is built. The valid articles of a scope are counted in the same pass, as
     rows without a label.
     """
-    scopes = article_scopes(golden, weak, label_scope, members)
-    labels = F.concat(F.array_union("golden", "weak"), F.array(F.lit(None).cast("string")))
-    exploded = scopes.select("scope", "valid", "golden", "weak", F.explode(labels).alias("label"))
-    of_label = F.col("label").isNotNull()
-    gold = F.coalesce(F.array_contains("golden", F.col("label")), F.lit(False))
-    weak_now = F.coalesce(F.array_contains("weak", F.col("label")), F.lit(False)) & F.col("valid")
-    rows = exploded.select("scope", "label", "valid", gold.alias("gold"), weak_now.alias("weak"))
-    counts = rows.groupBy("scope", "label").agg(
-        F.count_if("weak").alias("total_weak"),
-        F.count_if(F.col("weak") & ~F.col("gold")).alias("fp"),
-        F.count_if(F.col("gold") & ~F.col("weak")).alias("fn"),
-        F.count_if("gold").alias("total_gold"),
-        F.count_if(F.col("valid") & (F.col("gold") | F.col("weak"))).alias("_marked"),
-        F.count_if("valid").alias("_valid"),
+    numbered = numbered_labels(label_scope)
+    scopes = assigned(article_scopes(golden, weak, numbered, members))
+    whole = numbered.select(*WORD).distinct().select(F.lit(None).cast("string").alias("label"), *WORD, F.lit(None).cast("long").alias("mask"))
+    gold, weak_now, of_label = has("golden"), has("weak"), F.col("label").isNotNull()
+    rows = lookup_join(scopes, numbered.unionByName(whole), WORD).where((~of_label & F.col("valid")) | gold | weak_now)
+    counts = rows.groupBy(*WORD, "label").agg(
+        F.count_if(weak_now).alias("total_weak"),
+        F.count_if(weak_now & ~gold).alias("fp"),
+        F.count_if(gold & ~weak_now).alias("fn"),
+        F.count_if(gold).alias("total_gold"),
+        F.count_if(F.col("valid")).alias("_valid"),
     )
     # one row per label and scope from here on
-    per_scope = counts.where(~of_label).select("scope", "_valid")
-    per_label = counts.where(of_label).drop("_valid")
+    per_word = counts.where(~of_label).select(*WORD, "_valid")
+    per_label = counts.where(of_label).withColumnRenamed("_valid", "_marked")
     zero = F.lit(0).cast("long")
     return (
-        label_scope.join(per_scope, "scope", "left")
-        .join(per_label, ["scope", "label"], "left")
+        numbered.join(per_word, WORD, "left")
+        .join(per_label, [*WORD, "label"], "left")
         .select(
             "label",
             *[F.coalesce(F.col(c), zero).alias(c) for c in ("total_weak", "fp", "fn", "total_gold")],
@@ -188,11 +202,10 @@ def valid_pairs(golden: DataFrame, weak: DataFrame, label_scope: DataFrame, memb
 
     Articles and labels meet last, through the label table, so the many rows are never shuffled.
     """
-    scopes = article_scopes(golden, weak, label_scope, members).where("valid")
-    return lookup_join(scopes, label_scope, "scope").select(
-        "label",
-        "pmid",
-        *[F.array_contains(c, F.col("label")).cast("int").alias(name) for name, c in (("gold", "golden"), ("weak", "weak"))],
+    numbered = numbered_labels(label_scope)
+    scopes = article_scopes(golden, weak, numbered, members).where("valid")
+    return lookup_join(scopes, numbered, WORD).select(
+        "label", "pmid", has("golden").cast("int").alias("gold"), has("weak").cast("int").alias("weak")
     )
 
 
@@ -205,7 +218,8 @@ def relabel_dataset(
     PWL: valid articles with the weak label, target 1 for one that is not golden (false positive).
     """
     if kind == "PWL":
-        pairs = judged_pairs(article_scopes(golden, weak, label_scope, members))
+        numbered = numbered_labels(label_scope)
+        pairs = judged_pairs(article_scopes(golden, weak, numbered, members), numbered)
         return pairs.where("weak").select("label", "pmid", (~F.col("gold")).cast("int").alias("target"))
     if kind != "NWL":
         raise ValueError("kind must be 'NWL' or 'PWL'")
@@ -221,27 +235,18 @@ def group_documents(
     ``groups`` is (label, grp). One row for each article with a golden or weak label of the group, or
     valid for one; articles in no row are invalid and negative for the group.
     """
-    scopes = article_scopes(golden, weak, label_scope, members)
-    no = F.lit(None).cast("string")
-    # the labels of a scope, and one row without a label that stands for the scope itself
-    labels = F.concat(F.array_union("golden", "weak"), F.array(no))
-    exploded = scopes.select("*", F.explode(labels).alias("label"))
-    scope_groups = label_scope.join(groups, "label")
-    own = scope_groups.select("scope", "label", "grp")
-    whole = scope_groups.select("scope", no.alias("label"), "grp").distinct()
-    key = F.coalesce("label", F.lit(""))
-    table = own.unionByName(whole).select("scope", key.alias("_key"), "grp")
-    rows = lookup_join(exploded.withColumn("_key", key), table, ["scope", "_key"])
-    gold = F.coalesce(F.array_contains("golden", F.col("label")), F.lit(False))
-    weak_now = F.coalesce(F.array_contains("weak", F.col("label")), F.lit(False)) & F.col("valid")
-    judged = rows.select("grp", "pmid", "valid", gold.alias("gold"), weak_now.alias("weak"))
-    return judged.groupBy("grp", "pmid").agg(
+    numbered = numbered_labels(label_scope)
+    scopes = assigned(article_scopes(golden, weak, numbered, members))
+    in_group = numbered.join(groups, "label").groupBy(*WORD, "grp").agg(F.bit_or("mask").alias("mask"))
+    rows = lookup_join(scopes, in_group, WORD)
+    missed, extra = (F.col(x).bitwiseAND(F.bitwise_not(F.col(y))) for x, y in (("golden", "weak"), ("weak", "golden")))
+    return rows.groupBy("grp", "pmid").agg(
         F.bool_or("valid").alias("valid"),
-        F.bool_or("gold").alias("gold"),
-        F.bool_or("weak").alias("weak"),
-        F.bool_or(F.col("weak") & ~F.col("gold")).alias("fp"),
-        F.bool_or(F.col("gold") & ~F.col("weak")).alias("fn"),
-        F.count_if("weak").alias("n_weak_valid"),
+        F.bool_or(has("golden")).alias("gold"),
+        F.bool_or(has("weak")).alias("weak"),
+        F.bool_or(has(extra)).alias("fp"),
+        F.bool_or(has(missed)).alias("fn"),
+        F.sum(F.bit_count(F.col("weak").bitwiseAND(F.col("mask")))).alias("n_weak_valid"),
     )
 
 
@@ -275,18 +280,22 @@ def group_dataset(
     sorted and bounded by the labels of a group (``groups`` is (label, grp)). Wholly negative articles are
     kept with probability ``ratio_kept``; the rows are those that ``dataset_counters`` counts as selected.
     """
-    scopes = article_scopes(golden, weak, label_scope, members)
-    in_group = label_scope.join(groups, "label").groupBy("scope", "grp").agg(F.collect_set("label").alias("labels"))
+    numbered = numbered_labels(label_scope)
+    scopes = assigned(article_scopes(golden, weak, numbered, members))
+    entry = F.struct("label", "mask")
+    in_group = numbered.join(groups, "label").groupBy(*WORD, "grp").agg(F.collect_list(entry).alias("labels"))
     everyone = groups.groupBy("grp").agg(F.array_sort(F.collect_set("label")).alias("labels"))
 
     def merged(part):
-        return F.array_sort(F.array_distinct(F.flatten(F.collect_list(part))))
+        return F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform(part, lambda x: x["label"])))))
+
+    def among(bits):
+        return F.filter("labels", lambda x: F.col(bits).bitwiseAND(x["mask"]) != 0)
 
-    empty = F.array().cast("array<string>")
-    documents = lookup_join(scopes, in_group, "scope").groupBy("grp", "pmid").agg(
-        merged(F.when(F.col("valid"), F.col("labels")).otherwise(empty)).alias("valid_labels"),
-        merged(F.array_intersect("golden", "labels")).alias("_gold"),
-        merged(F.when(F.col("valid"), F.array_intersect("weak", "labels")).otherwise(empty)).alias("_weak"),
+    documents = lookup_join(scopes, in_group, WORD).groupBy("grp", "pmid").agg(
+        merged(F.when(F.col("valid"), F.col("labels")).otherwise(F.filter("labels", lambda x: F.lit(False)))).alias("valid_labels"),
+        merged(among("golden")).alias("_gold"),
+        merged(among("weak")).alias("_weak"),
     )
     if kind == "PWL":
         chosen = (F.size("valid_labels") > 0) & (F.size("_weak") > 0)
