@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelloom.functions.text import word_count
 from labelloom.operators.scale import lookup_join
@@ -21,18 +21,19 @@ def has_abstract(articles: DataFrame) -> DataFrame:
     return articles.where(F.length("abstract_text") > 0)
 
 
-def completed_between(articles: DataFrame, start: int | None, end: int | None) -> DataFrame:
-    """Articles completed from January of ``start`` to November of ``end``.
+def in_period(start: int, end: int) -> Column:
+    """Whether ``date_completed`` lies between January of ``start`` and November of ``end``.
 
-    December of the last year is left out. Without one of the bounds nothing is filtered.
+    December of the last year is left out.
     """
-    if start is None or end is None:
-        return articles
     first = start if end - start >= 1 else end
     date = F.col("date_completed")
-    return articles.where(
-        (date >= F.lit(dt.date(first, 1, 1))) & (date < F.lit(dt.date(end, 12, 1)))
-    )
+    return (date >= F.lit(dt.date(first, 1, 1))) & (date < F.lit(dt.date(end, 12, 1)))
+
+
+def completed_between(articles: DataFrame, start: int | None, end: int | None) -> DataFrame:
+    """Articles of a period (see ``in_period``). Without one of the bounds nothing is filtered."""
+    return articles if start is None or end is None else articles.where(in_period(start, end))
 
 
 def golden_pairs(articles: DataFrame) -> DataFrame:
@@ -143,6 +144,16 @@ def articles_of_hosts(golden: DataFrame, scope_hosts: DataFrame, branches: DataF
     return lookup_join(pairs, scope_hosts, "parent").select("scope", "pmid").distinct()
 
 
+def periods_of_hosts(tagged: DataFrame, scope_hosts: DataFrame, branches: DataFrame) -> DataFrame:
+    """(scope, pmid, periods): as ``articles_of_hosts``, for several periods at once.
+
+    ``tagged`` is (pmid, label, periods) with a bit per period that the article lies in.
+    """
+    of_host = lookup_join(tagged.select("pmid", "label", "periods"), branches.withColumnRenamed("member", "label"), "label")
+    pairs = of_host.groupBy("pmid", "parent").agg(F.bit_or("periods").alias("periods"))
+    return lookup_join(pairs, scope_hosts, "parent").groupBy("scope", "pmid").agg(F.bit_or("periods").alias("periods"))
+
+
 def article_counts_of_hosts(
     golden: DataFrame, label_scope: DataFrame, scope_hosts: DataFrame, branches: DataFrame
 ) -> DataFrame:
@@ -166,7 +177,11 @@ def weak_counts_of_hosts(
     Starts from the weak pairs, which are few, and keeps those whose article is in the label's scope.
     ``n_weak`` is null for a label without a concept id.
     """
-    scoped = articles_of_hosts(golden, scope_hosts, branches)
+    return weak_counts_in_scopes(articles_of_hosts(golden, scope_hosts, branches), label_scope, occurrence, label_cuis)
+
+
+def weak_counts_in_scopes(scoped: DataFrame, label_scope: DataFrame, occurrence: DataFrame, label_cuis: DataFrame) -> DataFrame:
+    """``weak_counts_of_hosts`` for the articles (scope, pmid) of each scope."""
     weak = lookup_join(weak_labels(occurrence, label_cuis), label_scope, "label")
     counts = (
         weak.join(scoped, ["pmid", "scope"], "left_semi").groupBy("label").agg(F.count("*").alias("_n"))

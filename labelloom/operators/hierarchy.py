@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from labelloom.functions import records
 from labelloom.operators.scale import lookup_join
@@ -48,6 +48,25 @@ def ancestors(descriptors: DataFrame) -> DataFrame:
     return lookup_join(prefixes, holders, "tree_number").select("ancestor", "descendant").distinct()
 
 
+def descendants_of(descriptors: DataFrame, heads: DataFrame) -> DataFrame:
+    """(head, member): the descendants of some descriptors (column ``head``), without the closure of all others.
+
+    The prefixes of tree numbers meet the positions of the heads alone, which Spark can broadcast.
+    """
+    positions = tree(descriptors)
+    own = positions.join(heads.select(F.col("head").alias("descriptor_ui")), "descriptor_ui", "left_semi")
+    prefixes = positions.select(
+        F.col("descriptor_ui").alias("member"), F.explode(records.proper_prefixes(F.col("tree_number"))).alias("tree_number")
+    )
+    return lookup_join(prefixes, own.withColumnRenamed("descriptor_ui", "head"), "tree_number").select("head", "member").distinct()
+
+
+def branches_of(descriptors: DataFrame, heads: DataFrame) -> DataFrame:
+    """(head, member): each head descriptor itself and all its descendants; heads may repeat."""
+    heads = heads.select("head").distinct()
+    return descendants_of(descriptors, heads).unionByName(heads.select("head", F.col("head").alias("member"))).distinct()
+
+
 def branches(closure: DataFrame, heads: DataFrame) -> DataFrame:
     """(head, member): each head descriptor itself and all its descendants.
 
@@ -131,6 +150,16 @@ def relation_kinds(label_numbers, host_numbers):
     return F.array_sort(F.array_distinct(pairs))
 
 
+def is_above(upper: Column, lower: Column) -> Column:
+    """Whether a position of one record is above a position of another; arguments are arrays of tree numbers."""
+    return F.coalesce(F.exists(lower, lambda m: F.exists(upper, lambda h: F.startswith(m, F.concat(h, F.lit("."))))), F.lit(False))
+
+
+def is_parent(upper: Column, lower: Column) -> Column:
+    """Whether a position of one record is directly above a position of another."""
+    return F.coalesce(F.exists(lower, lambda m: F.array_contains(upper, records.parent_tree_number(m))), F.lit(False))
+
+
 def hierarchical_relations(pairs: DataFrame, descriptors: DataFrame) -> DataFrame:
     """``pairs`` (descriptor_ui, host_ui) plus ``relations``; ``und`` for a host that is gone."""
     numbers = descriptors.select("descriptor_ui", F.col("tree_numbers").alias("_mine"))

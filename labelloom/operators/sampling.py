@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelloom.functions.numeric import draw, draw_bits, ratio
-from labelloom.operators.scale import group_cuts, lookup_join, number_rows
+from labelloom.operators.scale import lookup_join, materialize, number_rows
+
+# The range of a draw is counted in so many buckets per group.
+DRAW_BUCKETS = 1_024
 
 
 def split_rows(rows: DataFrame, test: float = 0.2, dev: float = 0.2, seed: int = 10) -> DataFrame:
@@ -31,33 +34,50 @@ def balance_negatives(
     Rows of unknown target (neither 0 nor 1) stay.
     A group without positives keeps no negatives. The number to keep is exact for any group size.
     ``per_positive`` and ``seed`` may be columns that are part of ``keys``; a negative ratio keeps all.
+
+    The rows are read twice. One histogram of draws, a few counts per group, gives both the limit of each group
+    and the bucket in which it falls; what lies at or before it is written, and only the rows of that bucket, a
+    thousandth of a large group, are ranked.
     """
     if per_positive is None:
         return rows
     keys = keys or ["label", "split"]
     per_positive = per_positive if isinstance(per_positive, Column) else F.lit(per_positive)
     seed = seed if isinstance(seed, Column) else F.lit(seed)
-    positives = F.count_if(F.col("target") == 1)
-    limits = rows.groupBy(*keys).agg(
-        F.count_if(F.col("target") == 0).alias("group_rows"), positives.alias("_positives")
-    )
-    limit = F.when(per_positive < 0, F.col("group_rows")).otherwise(F.col("_positives") * per_positive)
-    limits = limits.select(*keys, "group_rows", limit.cast("long").alias("group_limit"))
     bits = draw_bits(F.lit("b"), seed, F.lit("|"), F.col("label"), F.lit("|"), F.col("pmid"))
-    negatives = rows.where("target = 0").select(*dict.fromkeys([*keys, "pmid"]), bits.alias("_bits"))
-    cuts = group_cuts(negatives, keys, "_bits", "pmid", limits)
-    same = F.coalesce((bits == F.col("cut_bits")) & (F.col("pmid") <= F.col("cut_tie")), F.lit(False))
-    kept = (F.col("target") != 0) | (bits < F.col("cut_bits")) | same
-    return lookup_join(rows, cuts, keys).where(kept).select(*rows.columns)
+    negative = F.coalesce(F.col("target") == 0, F.lit(False))
+    bucket = F.when(negative, F.floor(bits * DRAW_BUCKETS / F.lit(1 << 32))).otherwise(-1).cast("int")
+    counted = rows.groupBy(*keys, bucket.alias("_bucket")).agg(
+        F.count_if(negative).alias("_n"), F.count_if(F.col("target") == 1).alias("_positives")
+    )
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    limit = F.when(per_positive < 0, F.sum("_n").over(group)).otherwise(F.sum("_positives").over(group) * per_positive)
+    placed = counted.withColumns(
+        {"_limit": limit.cast("long"), "_all": F.sum("_n").over(group), "_before": F.coalesce(F.sum("_n").over(before), F.lit(0))}
+    )
+    falls = (F.col("_before") < F.col("_limit")) & (F.col("_before") + F.col("_n") >= F.col("_limit"))
+    # Where all negatives stay no bucket is cut, where none does every one lies behind.
+    whole = F.when(F.max("_limit") >= F.max("_all"), F.lit(DRAW_BUCKETS)).otherwise(F.min(F.when(falls, F.col("_bucket"))))
+    edges = placed.groupBy(*keys).agg(
+        F.when(F.max("_limit") > 0, whole).otherwise(F.lit(-1)).alias("_edge"),
+        F.max(F.when(falls, F.col("_limit") - F.col("_before"))).alias("_left"),
+    )
+    kept = ~negative | (bucket <= F.col("_edge"))
+    found = lookup_join(rows, materialize(edges, "draw-edges"), keys).where(kept)
+    found = found.select(*rows.columns, (negative & (bucket == F.col("_edge"))).alias("_at_edge"), "_left", bits.alias("_bits"))
+    found = materialize(found, "balanced-rows")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_bits", "pmid"))
+    ranked = found.where("_at_edge").withColumn("_rank", rank).where(F.col("_rank") <= F.col("_left"))
+    return found.where("NOT _at_edge").select(*rows.columns).unionByName(ranked.select(*rows.columns))
 
 
-def grid_rows(rows: DataFrame, runs: list[dict], keys: list[str] | None = None) -> DataFrame:
-    """Balanced rows of every run of a parameter grid, with the run's name in column ``run``.
+def runs_per_label(labels: DataFrame, runs: list[dict]) -> DataFrame:
+    """(label, run, seed, per_positive): the runs whose rows a label's rows are part of.
 
     A run has name, seed, per_positive (None keeps all negatives) and labels (None for all). A run none
     of whose labels occurs uses all labels.
     """
-    keys = keys or ["label", "split"]
     table = F.array(
         *[
             F.struct(
@@ -71,20 +91,21 @@ def grid_rows(rows: DataFrame, runs: list[dict], keys: list[str] | None = None)
             for r in runs
         ]
     )
-    spread = rows.withColumn("_run", F.explode(table)).select("*", "_run.*").drop("_run")
-    in_focus = F.array_contains("focus", F.col("label"))
-    found = rows.select("label").distinct().withColumn("_run", F.explode(table)).groupBy("_run.run").agg(
-        F.coalesce(F.bool_or(F.array_contains("_run.focus", F.col("label"))), F.lit(False)).alias("_found")
-    )
-    chosen = (
-        spread.join(F.broadcast(found), "run")
-        .where(~F.col("_found") | F.coalesce(in_focus, F.lit(True)))
-        .drop("_found", "focus")
-    )
-    balanced = balance_negatives(
-        chosen, F.col("per_positive"), F.col("seed"), ["run", "seed", "per_positive", *keys]
-    )
-    return balanced
+    every = labels.select("label").distinct().select("label", F.inline(table))
+    in_focus = F.coalesce(F.array_contains("focus", F.col("label")), F.lit(False))
+    found = F.bool_or(in_focus).over(Window.partitionBy("run"))
+    return every.withColumn("_found", found).where(~F.col("_found") | in_focus).drop("focus", "_found")
+
+
+def grid_rows(rows: DataFrame, runs: list[dict], keys: list[str] | None = None) -> DataFrame:
+    """Balanced rows of every run of a parameter grid, with the run's name in column ``run``.
+
+    Runs are as in ``runs_per_label``; a row is copied only for the runs that its label is part of.
+    """
+    keys = keys or ["label", "split"]
+    of_label = materialize(runs_per_label(rows, runs), "runs-per-label")
+    chosen = lookup_join(rows, of_label, "label").select(*rows.columns, "run", "seed", "per_positive")
+    return balance_negatives(chosen, F.col("per_positive"), F.col("seed"), ["run", "seed", "per_positive", *keys])
 
 
 def chunk_labels(labels: DataFrame, size: int) -> DataFrame:

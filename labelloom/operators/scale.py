@@ -17,17 +17,32 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from labelloom.functions.numeric import draw_bits
 
 BUCKET_ROWS = 2_000
+# Tasks that rows with a null key are dealt out to, at most.
+NULL_PARTS = 4_096
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """Join many rows, possibly with hot keys, to a vocabulary table.
 
     One plan at every size, and no job while it is built: Spark broadcasts the table when its own size
-    figures allow it, and otherwise shuffles both sides and splits the partition of a hot key.
+    figures allow it, and otherwise shuffles both sides. It then splits the partition of a hot key where the
+    partition is large (``spark.sql.adaptive.skewJoin.*``) and no aggregate on the same key follows.
     """
     return rows.join(table, on, how)
 
 
+def left_lookup(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` left-joined to a table on a key that is null in many rows.
+
+    Null keys match nothing, yet would all meet in one task: they are dealt out by the hash of column ``by``.
+    """
+    dealt = F.when(F.col(key).isNull(), 1 + F.pmod(F.xxhash64(by), F.lit(NULL_PARTS))).otherwise(0).cast("int")
+    # One key of two fields: Spark would turn a separate field, the same in all rows of the table, into a filter.
+    keyed = rows.withColumn("_own", F.struct(F.col(key).alias("key"), dealt.alias("part")))
+    other = table.withColumn("_own", F.struct(F.col(key).alias("key"), F.lit(0).alias("part"))).drop(key)
+    return keyed.join(other, "_own", "left").drop("_own")
+
+
 def group_cuts(rows: DataFrame, keys: list[str], order_bits: str, tie: str, limits: DataFrame) -> DataFrame:
     """(keys, cut_bits, cut_tie): the last row to keep when each group keeps its first ``group_limit`` rows.
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from labelloom.functions import notes, records
 from labelloom.functions.text import normalize_term
 from labelloom.operators import hierarchy
-from labelloom.operators.scale import materialize
+from labelloom.operators.scale import left_lookup, materialize
 
 # Names of the provenance types and categories in reports.
 PROVENANCE_TYPES = {
@@ -91,9 +91,9 @@ def previous_scr(new: DataFrame, scrs: DataFrame, exceptions: DataFrame | None =
         normalize_term(note["term"]).alias("_note_term"),
     )
     found = (
-        mine.join(by_concept, "_concept", "left")
-        .join(by_term.toDF("_name_term", "_by_name"), "_name_term", "left")
-        .join(by_term.toDF("_note_term", "_by_note"), "_note_term", "left")
+        mine.transform(left_lookup, by_concept, "_concept", "descriptor_ui")
+        .transform(left_lookup, by_term.toDF("_name_term", "_by_name"), "_name_term", "descriptor_ui")
+        .transform(left_lookup, by_term.toDF("_note_term", "_by_note"), "_note_term", "descriptor_ui")
     )
     if exceptions is None:
         found = found.withColumn("_by_exception", F.lit(None).cast("string"))
@@ -141,7 +141,7 @@ def provenance_hosts(new: DataFrame, old: DataFrame, scrs: DataFrame, now: DataF
         new.select("descriptor_ui", entries.alias("_entries"))
         .join(old_host, "descriptor_ui", "left")
         .join(scr, "descriptor_ui", "left")
-        .join(mapped, "scr_ui", "left")
+        .transform(left_lookup, mapped, "scr_ui", "descriptor_ui")
         .withColumn(
             "category",
             F.when(F.col("_old_ui").isNotNull(), "1")
@@ -162,8 +162,8 @@ def provenance_hosts(new: DataFrame, old: DataFrame, scrs: DataFrame, now: DataF
     by_ui = now.select(F.col("descriptor_ui").alias("_ui"), F.col("descriptor_ui").alias("_alive"))
     by_name = hierarchy.term_index(now).toDF("host_name", "_named")
     return (
-        labelled.join(by_ui, "_ui", "left")
-        .join(by_name, "host_name", "left")
+        labelled.transform(left_lookup, by_ui, "_ui", "descriptor_ui")
+        .transform(left_lookup, by_name, "host_name", "descriptor_ui")
         .select(
             "descriptor_ui",
             "category",
@@ -175,29 +175,33 @@ def provenance_hosts(new: DataFrame, old: DataFrame, scrs: DataFrame, now: DataF
 
 
 def provenance_types(hosts: DataFrame, now: DataFrame) -> DataFrame:
-    """Per new label: number of former hosts of each provenance type, hosts counted with repetition."""
-    parents = hierarchy.label_parents(now).toDF("descriptor_ui", "host_ui").withColumn("_parent", F.lit(True))
-    closure = hierarchy.ancestors(now)
-    above = closure.toDF("host_ui", "descriptor_ui").withColumn("_above", F.lit(True))
-    below = closure.toDF("descriptor_ui", "host_ui").withColumn("_below", F.lit(True))
-    key = ["descriptor_ui", "host_ui"]
-    flagged = hosts.join(parents, key, "left").join(above, key, "left").join(below, key, "left")
-
-    def flag(name):
-        return F.coalesce(F.col(name), F.lit(False))
+    """Per new label: number of former hosts of each provenance type, hosts counted with repetition.
 
+    A host is looked up once and its positions are compared with the label's; no table of ancestors is built.
+    """
+    numbers = now.select("descriptor_ui", F.col("tree_numbers").alias("_mine"))
+    others = now.select(F.col("descriptor_ui").alias("host_ui"), F.col("tree_numbers").alias("_theirs"))
+    both = left_lookup(hosts.join(numbers, "descriptor_ui", "left"), others, "host_ui", by="descriptor_ui")
+    mine, theirs = F.col("_mine"), F.col("_theirs")
+    flagged = both.withColumns(
+        {
+            "_parent": hierarchy.is_parent(theirs, mine),
+            "_above": hierarchy.is_above(theirs, mine),
+            "_below": hierarchy.is_above(mine, theirs),
+        }
+    )
     alive = F.col("host_ui").isNotNull()
     named = F.col("host_name").isNotNull()
-    ancestor = flag("_above") & ~flag("_parent")
+    ancestor = F.col("_above") & ~F.col("_parent")
     counted = flagged.groupBy("descriptor_ui").agg(
         F.first("category").alias("category"),
         F.first("relation").alias("relation"),
         F.count_if(named).alias("n_hosts"),
         F.count_if(alive).alias("n_alive"),
-        F.count_if(alive & flag("_parent")).alias("subdivision"),
+        F.count_if(alive & F.col("_parent")).alias("subdivision"),
         F.count_if(alive & ancestor).alias("submersion"),
-        F.count_if(alive & flag("_below")).alias("overtopping"),
-        F.count_if(alive & ~flag("_parent") & ~ancestor & ~flag("_below")).alias("detachment"),
+        F.count_if(alive & F.col("_below")).alias("overtopping"),
+        F.count_if(alive & ~F.col("_parent") & ~ancestor & ~F.col("_below")).alias("detachment"),
     )
     gone = F.col("n_hosts") - F.col("n_alive")
     zero = F.lit(0).cast("long")
@@ -255,8 +259,7 @@ def extended_hosts(hosts: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFra
         F.col("descriptor_ui").alias("label"), F.col("host_ui").alias("parent")
     )
     label_scope, scope_hosts = hierarchy.label_scopes(materialize(living.distinct(), "living-hosts"))
-    heads = living.select(F.col("parent").alias("head")).distinct()
-    branches = hierarchy.branches(hierarchy.ancestors(now), heads).withColumnRenamed("head", "parent")
+    branches = hierarchy.branches_of(now, living.select(F.col("parent").alias("head"))).withColumnRenamed("head", "parent")
     return (
         materialize(label_scope, "host-scopes"),
         materialize(scope_hosts, "scope-hosts"),

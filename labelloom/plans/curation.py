@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from labelloom.operators import articles as art
 from labelloom.operators import hierarchy, stats, versions
@@ -111,10 +112,10 @@ def describe_introductions(added: DataFrame, hosts: DataFrame, now: DataFrame) -
     parents = hierarchy.label_parents(now).groupBy(F.col("label").alias("descriptor_ui")).agg(
         F.count("*").alias("n_parents"), F.array_join(F.array_sort(F.collect_set("parent")), "~").alias("parents")
     )
-    mine = hierarchy.ancestors(now).withColumnRenamed("ancestor", "descriptor_ui")
-    below = mine.join(added.select("descriptor_ui"), "descriptor_ui", "left_semi").groupBy("descriptor_ui").agg(
+    mine = hierarchy.descendants_of(now, added.select(F.col("descriptor_ui").alias("head")))
+    below = mine.groupBy(F.col("head").alias("descriptor_ui")).agg(
         F.count("*").alias("n_descendants"),
-        F.array_join(F.array_sort(F.collect_set("descendant")), "~").alias("descendants"),
+        F.array_join(F.array_sort(F.collect_set("member")), "~").alias("descendants"),
     )
     zero = F.lit(0).cast("long")
     facts = added.select(
@@ -151,46 +152,43 @@ def select_use_cases(
 
     ``annotated`` is (pmid, label, date_completed) of the golden labels of articles with an abstract.
     Training articles are those of the hosts in the years up to ``old_year``, golden test articles those
-    of the label itself in the year after ``new_year``. All counts are joins, none is asked label by label.
+    of the label itself in the year after ``new_year``. ``annotated`` is read once: an article carries a bit per
+    period, and the articles of all hosts and labels are counted per period together.
     """
-    closure = hierarchy.ancestors(now)
-
-    def golden(start, end):
-        return art.completed_between(annotated, start, end)
+    periods = {
+        "test_gold": (new_year, new_year + 1),
+        "train": (old_year - 1, old_year),
+        "train_gold": (first_year, old_year),
+        "test": (new_year, now_year),
+    }
+    bit = {name: 1 << i for i, name in enumerate(periods)}
+    tags = [F.when(art.in_period(*periods[name]), F.lit(bit[name])).otherwise(F.lit(0)) for name in periods]
+    tagged = annotated.withColumn("periods", reduce(Column.bitwiseOR, [F.coalesce(t, F.lit(0)) for t in tags])).where("periods <> 0")
 
     label_scope, scope_hosts, branches = versions.extended_hosts(hosts, now)
-    own_scope = materialize(
-        cases.select(F.col("descriptor_ui").alias("label"), F.col("descriptor_ui").alias("scope")), "own-scopes"
-    )
-    own_hosts = own_scope.select("scope", F.col("scope").alias("parent"))
-    own = materialize(
-        hierarchy.branches(closure, own_hosts.select(F.col("parent").alias("head"))).withColumnRenamed("head", "parent"),
-        "own-branches",
+    own = cases.select(F.col("descriptor_ui").alias("label"), F.concat(F.lit("own|"), "descriptor_ui").alias("scope"))
+    own = materialize(own, "own-scopes")
+    own_branches = hierarchy.branches_of(now, own.select(F.col("label").alias("head"))).toDF("parent", "member")
+    scope = F.concat(F.lit("hosts|"), "scope").alias("scope")
+    label_scope = label_scope.select("label", scope)
+    scoped = art.periods_of_hosts(
+        tagged,
+        scope_hosts.select(scope, "parent").unionByName(own.select("scope", F.col("label").alias("parent"))),
+        branches.unionByName(own_branches).distinct(),
     )
-
-    def of_label(start, end, name):
-        found = art.article_counts_of_hosts(golden(start, end), own_scope, own_hosts, own)
-        return found.toDF("descriptor_ui", name)
-
-    def of_hosts(start, end, name):
-        found = art.article_counts_of_hosts(golden(start, end), label_scope, scope_hosts, branches)
-        return found.toDF("descriptor_ui", name)
-
-    weak = art.weak_counts_of_hosts(
-        golden(old_year - 1, old_year), label_scope, scope_hosts, branches, occurrence,
-        label_cuis.join(own_scope.select("label"), "label", "left_semi"),
+    scoped = materialize(scoped, "articles-of-scopes")
+    counts = scoped.groupBy("scope").agg(*[F.count_if(F.col("periods").bitwiseAND(b) != 0).alias(n) for n, b in bit.items()])
+    of_label = own.join(counts, "scope").select(F.col("label").alias("descriptor_ui"), "test_gold", "train_gold")
+    of_hosts = label_scope.join(counts, "scope").select(F.col("label").alias("descriptor_ui"), "train", "test")
+    weak = art.weak_counts_in_scopes(
+        scoped.where(F.col("periods").bitwiseAND(bit["train"]) != 0), label_scope, occurrence,
+        label_cuis.join(own.select("label"), "label", "left_semi"),
     ).toDF("descriptor_ui", "cui", "train_weak")
     counted = cases
-    for part in (
-        of_label(new_year, new_year + 1, "test_gold"),
-        of_hosts(old_year - 1, old_year, "train"),
-        weak,
-        of_label(first_year, old_year, "train_gold"),
-        of_hosts(new_year, now_year, "test"),
-    ):
+    for part in (of_label, of_hosts, weak):
         counted = counted.join(part, "descriptor_ui", "left")
     zero = F.lit(0).cast("long")
-    counted = counted.withColumns({c: F.coalesce(F.col(c), zero) for c in ("test_gold", "train", "train_gold", "test")})
+    counted = counted.withColumns({c: F.coalesce(F.col(c), zero) for c in periods})
     return versions.restriction_level(counted, upper, weak_threshold)
 
 
@@ -215,7 +213,8 @@ def build_retro_dataset(
     labels = materialize(leaf_cases.select(F.col("descriptor_ui").alias("label")), "leaf-labels")
     of_labels = hosts.join(labels.withColumnRenamed("label", "descriptor_ui"), "descriptor_ui", "left_semi")
     host_uis = of_labels.where("host_ui IS NOT NULL").select(F.col("host_ui").alias("label")).distinct()
-    wanted = materialize(art.with_descendants(host_uis, hierarchy.ancestors(now)), "searched-labels")
+    wanted = hierarchy.branches_of(now, host_uis.withColumnRenamed("label", "head")).select(F.col("member").alias("label")).distinct()
+    wanted = materialize(wanted, "searched-labels")
     hits = lookup_join(golden, wanted, "label", "left_semi").select("row_id").distinct()
     found = art.search_articles(articles, None, start, end).join(hits, "row_id", "left_semi")
     newest = materialize(

@@ -64,3 +64,23 @@ def test_materialize_uses_the_shared_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     table = scale.materialize(spark.range(3), "numbers")
     assert folder in table.inputFiles()[0] and table.count() == 3
+
+
+def test_null_keys_are_spread_over_tasks(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("pmid"), F.when(F.col("id") % 50 == 0, F.col("id").cast("string")).alias("ui"))
+    table = spark.createDataFrame([(str(i), i) for i in range(0, 20_000, 100)], "ui string, v long")
+    want = sorted(map(repr, rows.join(table, "ui", "left").select("pmid", "ui", "v").collect()))
+    assert sorted(map(repr, scale.left_lookup(rows, table, "ui", "pmid").collect())) == want
+    options = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "20"}
+    before = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        sizes = {}
+        for name, joined in (("plain", rows.join(table, "ui", "left")), ("spread", scale.left_lookup(rows, table, "ui", "pmid"))):
+            parts = joined.groupBy(F.spark_partition_id()).count().collect()
+            sizes[name] = max(r["count"] for r in parts)
+        assert sizes["plain"] > 19_000 and sizes["spread"] < 2_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
