@@ -7,6 +7,7 @@ label with a count and a sum of ids, which no missing, added or moved row leaves
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,6 +18,7 @@ from labelloom.operators.scale import lookup_join, materialize, new_folder
 from labelloom.plans import curation, relabelling
 from labelloom.sources import articles as article_sources
 from labelloom.sources import tables, writers
+from labelloom.sources import thesaurus as thesaurus_source
 from labelloom.testbed import views
 from labelloom.testbed.sql_views import ANNOTATIONS, ARTICLES, DATASET, FREQUENCIES, H, THESAURUS
 
@@ -48,6 +50,13 @@ def written(df: DataFrame, name: str) -> str:
     return path
 
 
+def write_xml(records: DataFrame, root: str, path: str, per_file: int = 500) -> None:
+    """XML files of about ``per_file`` of the records (value) each, under one root element."""
+    files = F.pmod(F.xxhash64("value"), F.lit(1 + records.count() // per_file))
+    whole = F.concat(F.lit(f"<{root}>\n"), F.array_join(F.collect_list("value"), "\n"), F.lit(f"\n</{root}>"))
+    records.groupBy(files.alias("file")).agg(whole.alias("value")).write.partitionBy("file").text(path)
+
+
 def per_label(rows: DataFrame, *extra: Column) -> DataFrame:
     return rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("pmid").alias("sum_pmid"), *extra)
 
@@ -74,6 +83,101 @@ def read_articles(spark, d):
     )
 
 
+@query(
+    """SELECT ui AS descriptor_ui, name AS descriptor_name, coalesce(tn, '') AS tree_numbers, n_concepts::INTEGER AS n_concepts, concept AS preferred,
+              CASE WHEN k IS NULL THEN name ELSE name||'~alias '||k END AS terms, coalesce(e.names, '') AS indexed,
+              coalesce(e.last, 0)::INTEGER AS last_year, CASE WHEN k%5=0 THEN 'M'||(k+1)||'=NRW' ELSE '' END AS relations,
+              true AS has_name
+       FROM rec LEFT JOIN (SELECT ui, string_agg(tn, '~' ORDER BY tn) AS tn FROM pos GROUP BY ui) USING (ui)
+       LEFT JOIN (SELECT k, string_agg(name, '~' ORDER BY name, year_to) AS names, max(year_to) AS last FROM entry GROUP BY k) e USING (k)""",
+    THESAURUS,
+)
+def read_descriptors(spark, d):
+    """The thesaurus written as XML files, many records each, and read back."""
+    path = new_folder(spark, "descriptors-xml")
+    write_xml(views.descriptor_xml(spark, d), "DescriptorRecordSet", path)
+    read = thesaurus_source.read_descriptors(spark, path, views.NOW_VERSION)
+    return read.select(
+        "descriptor_ui",
+        "descriptor_name",
+        F.array_join(F.array_sort("tree_numbers"), "~").alias("tree_numbers"),
+        F.size("concepts").alias("n_concepts"),
+        versions.preferred_ui(F.col("concepts")).alias("preferred"),
+        F.array_join("terms", "~").alias("terms"),
+        F.array_join(F.array_sort(F.transform("previous_indexing", lambda e: e["name"])), "~").alias("indexed"),
+        F.coalesce(F.array_max(F.transform("previous_indexing", lambda e: e["year_to"])), F.lit(0)).alias("last_year"),
+        F.array_join(F.transform(F.map_entries("relations"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "~").alias("relations"),
+        F.col("descriptor_name").isNotNull().alias("has_name"),
+    )
+
+
+@query(
+    """SELECT scr_ui, term AS scr_name, concept, term AS terms, CASE WHEN k%4=0 THEN p_brand||'~Gone host' ELSE p_brand END AS mapped,
+              CASE WHEN k%4=0 THEN brand_ui||'~B999' ELSE brand_ui END AS mapped_uis, CASE WHEN k%4=0 THEN 'Q1' ELSE '' END AS qualifiers
+       FROM scr""",
+    THESAURUS,
+)
+def read_scrs(spark, d):
+    """The supplementary records written as XML files and read back."""
+    path = new_folder(spark, "scrs-xml")
+    write_xml(views.scr_xml(spark, d), "SupplementalRecordSet", path)
+    read = thesaurus_source.read_scrs(spark, path, views.OLD_VERSION)
+    return read.select(
+        "scr_ui",
+        "scr_name",
+        versions.preferred_ui(F.col("concepts")).alias("concept"),
+        F.array_join("terms", "~").alias("terms"),
+        F.array_join("mapped.name", "~").alias("mapped"),
+        F.array_join("mapped.ui", "~").alias("mapped_uis"),
+        F.array_join("qualifiers", "~").alias("qualifiers"),
+    )
+
+
+@query(
+    """SELECT doc_id AS pmid, lang||'.xml' AS folder, 1::BIGINT AS n FROM documents
+       WHERE doc_id IN (SELECT o_orderkey FROM orders)""",
+)
+def scan_ids_by_file(spark, d):
+    """Article files, one folder of files per language, searched for the articles that have an order."""
+    docs = views.table(spark, d, "documents")
+    article = F.concat(
+        F.lit("<Article>\n<"), F.lit(article_sources.ID_LINE), F.lit('="1">'), F.col("doc_id").cast("string"), F.lit("</PMID>\n<Year>1999</Year>\n</Article>")
+    )
+    path = new_folder(spark, "article-files")
+    names = []
+    for lang in sorted(set(views.CONCEPT_WORDS.values())):
+        docs.where(F.col("lang") == lang).select(article.alias("value")).write.text(f"{path}/{lang}")
+        files = spark.read.text(f"{path}/{lang}").select(F.col("_metadata.file_name").alias("file"), F.lit(f"{lang}.xml").alias("folder"))
+        names.append(files.distinct())
+    wanted = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("pmid"))
+    found = article_sources.scan_ids_by_file(spark, f"{path}/*", wanted)
+    of_file = materialize(reduce(DataFrame.unionByName, names), "file-names")
+    return found.join(of_file, "file", "left").groupBy("pmid", "folder").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT ui AS label, name, n AS n_descendants, coalesce(parents, '') AS parents, n_parents::INTEGER AS n_parents
+       FROM (SELECT rec.ui, any_value(name) AS name, count(descendant) AS n FROM rec LEFT JOIN anc ON ancestor=rec.ui GROUP BY rec.ui)
+       LEFT JOIN (SELECT label AS ui, string_agg(parent, '~' ORDER BY parent) AS parents, count(*) AS n_parents FROM par GROUP BY label) USING (ui)
+       WHERE n = 0""",
+    THESAURUS,
+)
+def read_label_table(spark, d):
+    """A label table written as CSV and read back for the labels without descendants."""
+    now = views.thesaurus(spark, d)
+    below = hierarchy.ancestors(now).groupBy(F.col("ancestor").alias("label")).agg(F.count("*").alias("n"))
+    parents = hierarchy.label_parents(now).groupBy("label").agg(F.array_join(F.array_sort(F.collect_list("parent")), text.LIST_SEPARATOR).alias("Parents"))
+    rows = now.select(F.col("descriptor_ui").alias("label"), F.col("descriptor_name").alias("Descr. Name")).join(below, "label", "left").join(parents, "label", "left")
+    path = new_folder(spark, "label-table")
+    rows.select("label", F.col("`Descr. Name`"), "Parents", F.coalesce("n", F.lit(0)).alias("#Descendant Ds")).write.option("header", True).option("escape", '"').csv(path)
+    schema = "label STRING, `Descr. Name` STRING, Parents STRING, `#Descendant Ds` LONG"
+    read = tables.read_label_table(spark, path, schema, list_columns=["Parents"], only_leaves=True)
+    return read.select(
+        "label", F.col("`Descr. Name`").alias("name"), F.col("`#Descendant Ds`").alias("n_descendants"),
+        F.array_join("Parents", "~").alias("parents"), F.size("Parents").alias("n_parents"),
+    )
+
+
 @query("SELECT cui, count(*) AS n, sum(pmid*entity_id)::BIGINT AS checksum FROM occ GROUP BY cui", ANNOTATIONS)
 def read_occurrences(spark, d):
     read = tables.read_occurrences(spark, written(views.occurrence(spark, d), "occurrences"))
@@ -1544,23 +1648,33 @@ def describe_introductions(spark, d):
        WHERE pmid NOT IN (SELECT pmid FROM marked WHERE gold=1 OR weak=1) HAVING count(*) > 0""",
     THESAURUS
     + """, leafcase AS (SELECT ui FROM added JOIN leaf USING (ui)),
-found_articles AS (SELECT DISTINCT pmid FROM phex JOIN leafcase USING (ui) JOIN dated ON member=dated.label
-                   WHERE year(date_completed) IN (1999,2000) OR (year(date_completed)=2001 AND month(date_completed)<=11)),
+with_abstract AS (SELECT doc_id FROM documents WHERE strpos(text, chr(10)) BETWEEN 1 AND length(text) - 1),
+searched AS (SELECT DISTINCT pmid, dated.label IN (SELECT ui FROM added) AS is_new FROM phex JOIN leafcase USING (ui) JOIN dated ON member=dated.label
+             WHERE year(date_completed) IN (1999,2000) OR (year(date_completed)=2001 AND month(date_completed)<=11)),
+found_articles AS (SELECT pmid, max(r) AS r FROM (
+                     SELECT pmid, 2 AS r FROM searched WHERE (pmid+1)%211 IN (SELECT doc_id FROM with_abstract)
+                     UNION ALL SELECT pmid, 1 FROM searched WHERE NOT is_new AND pmid%211 IN (SELECT doc_id FROM with_abstract)) GROUP BY pmid),
 marked AS (SELECT f.pmid, l.label, max(CASE WHEN g.pmid IS NOT NULL THEN 1 ELSE 0 END) AS gold,
                   max(CASE WHEN o.pmid IS NOT NULL THEN 1 ELSE 0 END) AS weak
            FROM found_articles f CROSS JOIN (SELECT ui AS label FROM leafcase) l
-           LEFT JOIN panno g ON g.pmid=f.pmid AND g.label=l.label
+           LEFT JOIN panno g ON g.pmid=f.pmid AND g.label=l.label AND f.r=2
            LEFT JOIN pcui c ON c.label=l.label LEFT JOIN pocc o ON o.pmid=f.pmid AND o.cui=c.cui
            GROUP BY f.pmid, l.label)""",
 )
 def build_retro_dataset(spark, d):
-    """Each article in two revisions; only the newer one has the labels under a new record."""
+    """Each article in two revisions; only the newer one has the labels under a new record.
+
+    A revision has the abstract of a document, which is empty or missing for some of either age.
+    """
     hosts, now = _hosts(spark, d)
     orders = views.dated_articles(spark, d)
     both = F.array(F.lit(1).alias("r"), F.lit(2))
     number = F.col("pmid") * 2 + F.col("_r")
-    revisions = orders.withColumn("_r", F.explode(both)).select(
-        "pmid", "date_completed", F.lit("text").alias("abstract_text"),
+    first = F.substring_index("text", "\n", 1)
+    abstracts = views.table(spark, d, "documents").select("doc_id", F.substring(F.col("text"), F.length(first) + 2, F.length("text")).alias("abstract_text"))
+    with_text = orders.withColumn("_r", F.explode(both)).withColumn("doc_id", (F.col("pmid") + F.col("_r") - 1) % 211)
+    revisions = with_text.join(abstracts, "doc_id", "left").select(
+        "pmid", "date_completed", "abstract_text",
         F.date_add("date_completed", F.col("_r")).alias("date_revised"), number.alias("row_id"),
     )
     added = _added(now)

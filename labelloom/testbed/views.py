@@ -245,8 +245,8 @@ def part_note() -> Column:
     )
 
 
-def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types, brands and parts as three levels of descriptors; version is the year of introduction."""
+def raw_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types, brands and parts as three levels of descriptors, previous indexing as text; version is the year of introduction."""
     parts = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     base = F.lit(1990)
@@ -298,12 +298,77 @@ def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
             version=(1995 + key % 7).cast("int"),
         )
     )
-    union = types.unionByName(brands).unionByName(leaves)
-    return union.withColumn(
+    return types.unionByName(brands).unionByName(leaves)
+
+
+def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_descriptors`` with parsed previous indexing."""
+    return raw_descriptors(spark, sf_dir).withColumn(
         "previous_indexing", F.transform("indexing_texts", notes.parse_previous_indexing)
     ).drop("indexing_texts")
 
 
+def _xml_concepts(relations: Column) -> Column:
+    """The concepts of a record as the files hold them, relations under the preferred concept."""
+    entries = F.map_entries(relations)
+    return F.struct(
+        F.transform(
+            "concepts",
+            lambda c: F.struct(
+                c["preferred"].alias("_PreferredConceptYN"),
+                c["ui"].alias("ConceptUI"),
+                F.struct(c["name"].alias("String")).alias("ConceptName"),
+                F.struct(
+                    F.when(
+                        c["preferred"] == "Y",
+                        F.transform(entries, lambda e: F.struct(e["value"].alias("_RelationName"), e["key"].alias("Concept2UI"))),
+                    ).alias("ConceptRelation")
+                ).alias("ConceptRelationList"),
+                F.struct(F.transform(c["terms"], lambda t: F.struct(t.alias("String"))).alias("Term")).alias("TermList"),
+            ),
+        ).alias("Concept")
+    )
+
+
+def _some(values: Column) -> Column:
+    return F.when(F.size(values) > 0, values)
+
+
+def descriptor_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value): the XML record of each descriptor; terms of a record belong to its preferred concept."""
+    rows = raw_descriptors(spark, sf_dir)
+    first = F.transform("concepts", lambda c, i: c.withField("terms", F.when(i == 0, F.col("terms")).otherwise(F.array().cast(_NO_TEXTS))))
+    record = F.struct(
+        F.col("descriptor_ui").alias("DescriptorUI"),
+        F.struct(F.col("descriptor_name").alias("String")).alias("DescriptorName"),
+        F.col("public_note").alias("PublicMeSHNote"),
+        F.struct(_some(F.col("indexing_texts")).alias("PreviousIndexing")).alias("PreviousIndexingList"),
+        F.struct(F.col("tree_numbers").alias("TreeNumber")).alias("TreeNumberList"),
+        _xml_concepts(F.col("relations")).alias("ConceptList"),
+    )
+    return rows.withColumn("concepts", first).select(F.to_xml(record, {"rowTag": "DescriptorRecord"}).alias("value"))
+
+
+def scr_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value): the XML record of each supplementary record; ids of hosts and qualifiers carry a star."""
+    none = F.create_map().cast("map<string,string>")
+    star = lambda x: F.concat(F.lit("*"), x)
+    mapped = F.transform(
+        "mapped",
+        lambda m, i: F.struct(
+            F.struct(star(m["ui"]).alias("DescriptorUI"), F.struct(m["name"].alias("String")).alias("DescriptorName")).alias("DescriptorReferredTo"),
+            F.struct(F.when(i == 1, star(F.lit("Q1"))).alias("QualifierUI")).alias("QualifierReferredTo"),
+        ),
+    )
+    record = F.struct(
+        F.col("scr_ui").alias("SupplementalRecordUI"),
+        F.struct(F.col("scr_name").alias("String")).alias("SupplementalRecordName"),
+        F.struct(mapped.alias("HeadingMappedTo")).alias("HeadingMappedToList"),
+        _xml_concepts(none).alias("ConceptList"),
+    )
+    return scrs(spark, sf_dir).select(F.to_xml(record, {"rowTag": "SupplementalRecord"}).alias("value"))
+
+
 def thesaurus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest version, written once like any parsed thesaurus file."""
     return materialize(descriptors(spark, sf_dir), "thesaurus")
