@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from labelloom.operators.scale import lookup_join
 
@@ -16,21 +18,50 @@ def article_statistics(
     and ``weak`` are (keys, pmid, label); ``labels`` and ``leaves`` are (keys, label) for the labels in
     scope and those of them that are leaves.
     """
-    rows = articles.groupBy(*keys, "pmid").agg(F.count("*").alias("_n")).groupBy(*keys).agg(
-        F.sum("_n").alias("n_articles"), F.count_if(F.col("_n") > 1).alias("n_duplicated_ids")
+    return sum_up_statistics(articles, golden, weak, labels, leaves, keys, [keys]).drop("level")
+
+
+def sum_up_statistics(
+    articles: DataFrame, golden: DataFrame, weak: DataFrame, labels: DataFrame, leaves: DataFrame, keys: list[str], levels: list[list[str]]
+) -> DataFrame:
+    """(level, keys, counts): ``article_statistics`` per dataset and summed up over all datasets of each level.
+
+    A level is a list of the keys that it keeps, its name those keys joined by ``,``; the other keys are null. Sums
+    count an article once per dataset that holds it, and a label once. Records, golden and weak labels meet in
+    one shuffle by dataset and article; all levels come from grouping sets over one row per article.
+    """
+    none, one = F.lit(0), F.lit(1)
+    in_scope = lookup_join(golden, labels.select(*keys, "label").distinct(), [*keys, "label"], "left_semi")
+    marks = [
+        articles.select(*keys, "pmid", F.lit(None).cast("string").alias("label"), one.alias("_record"), none.alias("_weak")),
+        in_scope.select(*keys, "pmid", "label", none.alias("_record"), none.alias("_weak")),
+        weak.select(*keys, "pmid", F.lit(None).cast("string").alias("label"), none.alias("_record"), one.alias("_weak")),
+    ]
+    folded = reduce(DataFrame.unionByName, marks).groupBy(*keys, "pmid", "label").agg(F.sum("_record").alias("_n"), F.max("_weak").alias("_weak"))
+    per_article = folded.groupBy(*keys, "pmid").agg(F.sum("_n").alias("_n"), F.max("_weak").alias("_weak"), F.count("label").alias("_labels"))
+    sets = [[F.col(k) for k in level] for level in levels]
+    counts = per_article.groupingSets(sets, *keys).agg(
+        F.grouping_id().alias("_id"),
+        F.sum("_n").alias("n_articles"),
+        F.count_if(F.col("_n") > 1).alias("n_duplicated_ids"),
+        F.count_if(F.col("_labels") > 0).alias("n_labelled"),
+        F.count_if(F.col("_labels") > 1).alias("n_multi_labelled"),
+        F.count_if(F.col("_weak") > 0).alias("n_weak_labelled"),
     )
-    in_scope = lookup_join(golden, labels, [*keys, "label"], "left_semi").select(*keys, "pmid", "label").distinct()
-    per_article = in_scope.groupBy(*keys, "pmid").agg(F.count("*").alias("_n")).groupBy(*keys).agg(
-        F.count("*").alias("n_labelled"), F.count_if(F.col("_n") > 1).alias("n_multi_labelled")
+    listed = labels.select(*keys, "label", none.alias("_leaf")).unionByName(leaves.select(*keys, "label", one.alias("_leaf")))
+    listed = listed.groupBy(*keys, "label").agg(F.max("_leaf").alias("_leaf"), F.min("_leaf").alias("_only"))
+    vocabulary = listed.groupingSets(sets, *keys).agg(
+        F.grouping_id().alias("_id"),
+        F.count_distinct(F.when(F.col("_only") == 0, F.col("label"))).alias("n_labels"),
+        F.count_distinct(F.when(F.col("_leaf") == 1, F.col("label"))).alias("n_leaves"),
     )
-    with_weak = weak.select(*keys, "pmid").distinct().groupBy(*keys).agg(F.count("*").alias("n_weak_labelled"))
-    n_labels = labels.select(*keys, "label").distinct().groupBy(*keys).agg(F.count("*").alias("n_labels"))
-    n_leaves = leaves.select(*keys, "label").distinct().groupBy(*keys).agg(F.count("*").alias("n_leaves"))
-    stats = rows
-    for part in (per_article, with_weak, n_labels, n_leaves):
-        stats = stats.join(part, keys, "left")
-    counts = [c for c in stats.columns if c not in keys]
-    return stats.select(*keys, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts])
+    same = reduce(Column.__and__, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ["_id", *keys]])
+    stats = counts.where("n_articles > 0").alias("a").join(vocabulary.alias("b"), same, "left")
+    # A bit of the grouping id is set for each key that is summed over, the last key's bit being the lowest.
+    names = {sum(1 << i for i, k in enumerate(reversed(keys)) if k not in level): ",".join(k for k in keys if k in level) for level in levels}
+    level = F.coalesce(*[F.when(F.col("a._id") == number, F.lit(name)) for number, name in names.items()])
+    figures = [*counts.columns[len(keys) + 1 :], "n_labels", "n_leaves"]
+    return stats.select(level.alias("level"), *[F.col(f"a.{k}").alias(k) for k in keys], *[F.coalesce(F.col(c), none).cast("long").alias(c) for c in figures])
 
 
 def articles_per_label(golden: DataFrame, weak: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:

@@ -246,3 +246,12 @@ def dataset_statistics(
         stats.article_statistics(articles, golden, weak, labels, leaves, keys),
         stats.articles_per_label(golden, weak, labels, keys),
     )
+
+
+def sum_up_datasets(
+    articles: DataFrame, golden: DataFrame, weak: DataFrame, labels: DataFrame, leaf_labels: DataFrame
+) -> DataFrame:
+    """``dataset_statistics`` with sums: per (year, split), per split over all years, and overall."""
+    keys = ["year", "split"]
+    leaves = labels.join(leaf_labels.select("label"), "label", "left_semi").select(*keys, "label")
+    return stats.sum_up_statistics(articles, golden, weak, labels, leaves, keys, [keys, ["split"], []])

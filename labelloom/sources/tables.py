@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelloom.functions.text import split_list
 from labelloom.operators.scale import lookup_join
+from labelloom.sources.writers import SUM_UP_COLUMNS
 
 OCCURRENCE_SCHEMA = "pmid BIGINT, cui STRING, entity_id BIGINT"
 CROSSWALK_SCHEMA = "cui STRING, source_code STRING, source STRING"
@@ -74,6 +75,27 @@ def read_split_tables(
     return stack_labels(rows, label_names)
 
 
+def read_wide_split(spark: SparkSession, path: str, labels: list[str]) -> DataFrame:
+    """(pmid, split, label, target, text) of the wide tables of a group, as ``writers.write_wide_split`` left them.
+
+    An article has a row for each label that it is valid for; a label without a column gives a null target.
+    """
+    columns = "".join(f", `{x}` INT" for x in labels)
+    options = {"header": True, "escape": '"', "multiLine": True}
+    rows = spark.read.schema(f"pmid LONG, text STRING, valid_SCL STRING{columns}, split STRING").options(**options).csv(path)
+    value = F.create_map(*[c for x in labels for c in (F.lit(x), F.col(f"`{x}`"))])
+    valid = rows.withColumn("label", F.explode(split_list(F.col("valid_SCL"))))
+    return valid.select("pmid", "split", "label", value[F.col("label")].alias("target"), "text")
+
+
+def read_sum_up(spark: SparkSession, path: str) -> DataFrame:
+    """The sum-up table of yearly datasets (``writers.write_sum_up``) with the names of ``stats.sum_up_statistics``."""
+    kinds = {"year": "INT", "split": "STRING"}
+    schema = ", ".join(f"`{title}` {kinds.get(name, 'LONG')}" for name, title in SUM_UP_COLUMNS.items())
+    rows = spark.read.schema(f"{schema}, Level STRING").option("header", True).option("escape", '"').csv(path)
+    return rows.toDF(*SUM_UP_COLUMNS, "level").withColumn("level", F.coalesce("level", F.lit("")))
+
+
 def stack_labels(rows: DataFrame, label_names: DataFrame) -> DataFrame:
     """Dataset rows with the ``label_name`` of ``label_names`` (label, label_name); null for an unknown label."""
     return lookup_join(rows, label_names, "label", "left")

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelloom.functions.text import article_text, join_list, single_line
 
+# Blanks around a text are part of it.
+CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def write_articles(articles: DataFrame, path: str) -> None:
     """One JSON object per line."""
@@ -87,9 +90,12 @@ USE_CASE_COLUMNS = {
 }
 
 
-def use_case_table(cases: DataFrame, full: bool = False) -> DataFrame:
-    """Use cases under their report titles; columns a caller does not have stay empty."""
+def use_case_table(cases: DataFrame, full: bool = False, without: tuple[str, ...] = ()) -> DataFrame:
+    """Use cases under their report titles. Columns named in ``without`` may be missing and stay empty; no others."""
     titles = {**USE_CASE_COUNTS, **USE_CASE_COLUMNS} if full else USE_CASE_COLUMNS
+    missing = [c for c in titles if c not in cases.columns and c not in without]
+    if missing:
+        raise ValueError(f"no columns {missing}; name those that may stay empty")
 
     def column(name: str) -> Column:
         return F.col(name) if name in cases.columns else F.lit(None).cast("string")
@@ -97,8 +103,28 @@ def use_case_table(cases: DataFrame, full: bool = False) -> DataFrame:
     return cases.select(*[column(name).alias(title) for name, title in titles.items()])
 
 
-def write_use_cases(cases: DataFrame, path: str, full: bool = False) -> None:
-    write_report(use_case_table(cases, full), path)
+def write_use_cases(cases: DataFrame, path: str, full: bool = False, without: tuple[str, ...] = ()) -> None:
+    write_report(use_case_table(cases, full, without), path)
+
+
+# Titles of the sum-up table of yearly datasets.
+SUM_UP_COLUMNS = {
+    "year": "Year",
+    "split": "Dataset type",
+    "n_articles": "# Total Articles",
+    "n_labelled": "# Articles with new FG Descr.",
+    "n_multi_labelled": "# 1+ FG Descr",
+    "n_labels": "# New FG Descr",
+    "n_leaves": "# Leaves",
+    "n_weak_labelled": "# Articles with WL",
+    "n_duplicated_ids": "Duplicates",
+}
+
+
+def write_sum_up(statistics: DataFrame, path: str) -> None:
+    """Rows of ``stats.sum_up_statistics`` under their report titles; the level stays as a last column."""
+    titled = statistics.select(*[F.col(c).alias(t) for c, t in SUM_UP_COLUMNS.items()], F.col("level").alias("Level"))
+    write_report(titled, path)
 
 
 def attach_text(dataset: DataFrame, articles: DataFrame) -> DataFrame:
@@ -127,7 +153,7 @@ def wide_dataset(documents: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def write_wide_split(documents: DataFrame, labels: list[str], path: str) -> None:
-    wide_dataset(documents, labels).write.partitionBy("split").option("header", True).option("escape", '"').csv(path)
+    wide_dataset(documents, labels).write.partitionBy("split").options(**CSV_OPTIONS).csv(path)
 
 
 def fasttext_lines(documents: DataFrame, kind: str = "NWL", add_negative_labels: bool = False) -> DataFrame:
@@ -172,4 +198,4 @@ def duplicate_table(per_file: DataFrame) -> DataFrame:
 
 def write_report(table: DataFrame, path: str) -> None:
     """CSV with a header; used for statistics, reports, selections and sweep results."""
-    table.write.option("header", True).option("escape", '"').csv(path)
+    table.write.options(**CSV_OPTIONS).csv(path)

@@ -307,6 +307,20 @@ def write_split_tables_wide(spark, d):
     return writers.wide_dataset(_language_group(spark, d), ["de", "en", "es", "fr"])
 
 
+@query(
+    f"""SELECT pmid, split, label, (lang=label)::INTEGER AS target, md5(text) AS text_md5
+        FROM (SELECT *, unnest(string_split(valid_scl, '~')) AS label FROM ({_GROUP_ROWS})) WHERE split<>'test'""",
+    ARTICLES,
+)
+def read_wide_split(spark, d):
+    """The wide tables of a group written as CSV and read back as rows of single labels."""
+    path = new_folder(spark, "wide-split")
+    known = ["de", "en", "es", "fr"]
+    writers.write_wide_split(_language_group(spark, d), known, path)
+    rows = tables.read_wide_split(spark, path, known).where("split <> 'test'")
+    return rows.select("pmid", "split", "label", "target", F.md5("text").alias("text_md5"))
+
+
 @query(
     f"""SELECT 0 AS grp, split, md5('__label__'||lang||' '||replace(text, chr(10), ' ')) AS line_md5 FROM ({_GROUP_ROWS})""",
     ARTICLES,
@@ -1138,19 +1152,34 @@ sg AS (SELECT d.*, label FROM golden JOIN dated d USING (pmid) SEMI JOIN scope U
 sw AS (SELECT d.*, label FROM weak0 JOIN dated d USING (pmid) SEMI JOIN scope USING (label))"""
 
 
-@query(
-    """SELECT s.year, s.split, (SELECT count(*) FROM records r WHERE r.year=s.year AND r.split=s.split) AS n_articles,
+_ARTICLE_STATISTICS = """SELECT s.year, s.split, (SELECT count(*) FROM records r WHERE r.year=s.year AND r.split=s.split) AS n_articles,
               (SELECT count(*) FROM (SELECT pmid FROM records r WHERE r.year=s.year AND r.split=s.split GROUP BY pmid HAVING count(*)>1)) AS n_duplicated_ids,
               (SELECT count(DISTINCT pmid) FROM sg WHERE sg.year=s.year AND sg.split=s.split) AS n_labelled,
               (SELECT count(*) FROM (SELECT pmid FROM sg WHERE sg.year=s.year AND sg.split=s.split GROUP BY pmid HAVING count(DISTINCT label)>1)) AS n_multi_labelled,
               (SELECT count(DISTINCT pmid) FROM sw WHERE sw.year=s.year AND sw.split=s.split) AS n_weak_labelled,
-              (SELECT count(*) FROM scope) AS n_labels, (SELECT count(*) FROM scope WHERE label NOT LIKE '%#1') AS n_leaves FROM sets s""",
-    ANNOTATIONS + _YEARLY,
-)
+              (SELECT count(*) FROM scope) AS n_labels, (SELECT count(*) FROM scope WHERE label NOT LIKE '%#1') AS n_leaves FROM sets s"""
+
+
+@query(_ARTICLE_STATISTICS, ANNOTATIONS + _YEARLY)
 def article_statistics(spark, d):
     return curation.dataset_statistics(*_yearly(spark, d))[0]
 
 
+@query(
+    """SELECT 'year,split' AS level, year, split, n_articles, n_duplicated_ids, n_labelled, n_multi_labelled, n_weak_labelled, n_labels, n_leaves FROM stat
+       UNION ALL SELECT 'split', NULL, split, sum(n_articles)::BIGINT, sum(n_duplicated_ids)::BIGINT, sum(n_labelled)::BIGINT,
+                        sum(n_multi_labelled)::BIGINT, sum(n_weak_labelled)::BIGINT, any_value(n_labels), any_value(n_leaves) FROM stat GROUP BY split
+       UNION ALL SELECT '', NULL, NULL, sum(n_articles)::BIGINT, sum(n_duplicated_ids)::BIGINT, sum(n_labelled)::BIGINT,
+                        sum(n_multi_labelled)::BIGINT, sum(n_weak_labelled)::BIGINT, any_value(n_labels), any_value(n_leaves) FROM stat""",
+    ANNOTATIONS + _YEARLY + f",\nstat AS ({_ARTICLE_STATISTICS})",
+)
+def sum_up_datasets(spark, d):
+    """Statistics of the yearly datasets, written as the sum-up table and read back."""
+    path = new_folder(spark, "sum-up")
+    writers.write_sum_up(curation.sum_up_datasets(*_yearly(spark, d)), path)
+    return tables.read_sum_up(spark, path)
+
+
 @query(
     """SELECT s.year, s.split, scope.label, count(DISTINCT sg.pmid) AS n_golden, count(DISTINCT sw.pmid) AS n_weak
        FROM sets s CROSS JOIN scope LEFT JOIN sg ON sg.year=s.year AND sg.split=s.split AND sg.label=scope.label
@@ -1638,7 +1667,7 @@ def describe_introductions(spark, d):
     hosts = versions.provenance_hosts(added, old, views.scrs(spark, d), now, views.scr_exceptions(spark, d))
     cases = curation.describe_introductions(added, materialize(hosts, "hosts"), now)
     titles = ["Descr. UI", "Prov. Code", "PH count", "#Ct", "Parent Ds", "PHs", "PHs UIs", "#PHex", "PHex UIs", "#Descendant Ds", "Descendant Ds"]
-    return writers.use_case_table(cases).select(*[F.col(f"`{t}`") for t in titles])
+    return writers.use_case_table(cases, without=("cui",)).select(*[F.col(f"`{t}`") for t in titles])
 
 
 @query(

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from labelloom.operators import stats
 from labelloom.sources import articles, tables, thesaurus, writers
 
 DESCRIPTORS = """<?xml version="1.0"?>
@@ -161,3 +162,39 @@ def test_articles_from_parquet_and_json(spark, tmp_path):
     assert tuple(articles.read_articles(spark, str(tmp_path / "articles.json")).first()) == row
     narrow = articles.read_articles(spark, str(tmp_path / "articles"), ["pmid", "golden"])
     assert "ReadSchema: struct<pmid:bigint,golden:array<string>>" in narrow._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wide_tables_come_back(spark, tmp_path):
+    rows = [(1, "train", ' a "quoted"\nline ', ["x", "y"], ["x"]), (2, "dev", "", ["y"], []), (3, "train", None, [], ["x"]), (4, "dev", "t", ["z"], ["z"])]
+    docs = spark.createDataFrame(rows, "pmid long, split string, text string, valid_labels array<string>, positive array<string>")
+    writers.write_wide_split(docs, ["x", "y"], str(tmp_path / "wide"))
+    got = {tuple(r) for r in tables.read_wide_split(spark, str(tmp_path / "wide"), ["x", "y"]).collect()}
+    want = {(1, "train", "x", 1, rows[0][2]), (1, "train", "y", 0, rows[0][2]), (4, "dev", "z", None, "t")}
+    assert {r for r in got if r[0] != 2} == want
+    assert [(r[2], r[3], r[4] or "") for r in got if r[0] == 2] == [("y", 0, "")]
+
+
+def test_report_columns_must_be_there(spark):
+    cases = spark.createDataFrame([("D1", "name")], "descriptor_ui string, descriptor_name string")
+    with pytest.raises(ValueError, match="prov_code"):
+        writers.use_case_table(cases)
+    rest = tuple(c for c in writers.USE_CASE_COLUMNS if c not in cases.columns)
+    assert writers.use_case_table(cases, without=rest).count() == 1
+
+
+def test_sums_over_datasets(spark):
+    articles = spark.createDataFrame([(1999, "a", 1), (1999, "a", 1), (1999, "a", 2), (2000, "a", 1), (2000, "b", 3)], "year int, split string, pmid long")
+    golden = spark.createDataFrame([(1999, "a", 1, "x"), (1999, "a", 1, "y"), (1999, "a", 1, "y"), (2000, "b", 3, "other"), (2000, "a", 1, "x")], "year int, split string, pmid long, label string")
+    weak = spark.createDataFrame([(1999, "a", 2, "x"), (2001, "a", 9, "x")], "year int, split string, pmid long, label string")
+    labels = spark.createDataFrame([(1999, "a", "x"), (1999, "a", "y"), (2000, "a", "x")], "year int, split string, label string")
+    leaves = labels.where("label = 'x'")
+    rows = stats.sum_up_statistics(articles, golden, weak, labels, leaves, ["year", "split"], [["year", "split"], ["split"], []]).collect()
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in rows}
+    assert got == {
+        ("year,split", 1999, "a"): (3, 1, 1, 1, 1, 2, 1),
+        ("year,split", 2000, "a"): (1, 0, 1, 0, 0, 1, 1),
+        ("year,split", 2000, "b"): (1, 0, 0, 0, 0, 0, 0),
+        ("split", None, "a"): (4, 1, 2, 1, 2, 2, 1),
+        ("split", None, "b"): (1, 0, 0, 0, 0, 0, 0),
+        ("", None, None): (5, 1, 2, 1, 2, 2, 1),
+    }
