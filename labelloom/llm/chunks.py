@@ -9,10 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Collection
-from functools import partial
-
-import numpy as np
-
 # Characters with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
 CACHE_ENTRIES = 350_000
@@ -112,51 +108,3 @@ def split_special(texts: list, specials: dict[str, int], cut) -> list[list[str]]
         else:
             out.append(cut(text))
     return out
-
-
-class Encoder:
-    """Ids of whole texts as the library gives them, as little-endian unsigned 32-bit bytes."""
-
-    def __init__(self, path: str, spaced: bool):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        bare = partial(bare_chunks, specials=tuple(self.specials))
-        self.cut, self.text_of = (spaced_chunks, spaced_text) if spaced else (bare, str)
-        self.separator = max(self.specials, key=self.specials.get)
-        self.table = ChunkTable(self._encode)
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        """Several chunks in one string, parted by a special token that none of them holds."""
-        texts = [c if c in self.specials else self.text_of(c) for c in chunks]
-        plain = [i for i, t in enumerate(texts) if self.separator not in t]
-        out: list[bytes] = [b""] * len(texts)
-        mark = self.specials[self.separator]
-        step = 64
-        joined = [self.separator.join([texts[i] for i in plain[j : j + step]]) for j in range(0, len(plain), step)]
-        encoded = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-        for j, e in zip(range(0, len(plain), step), encoded, strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            data, cuts = ids.tobytes(), (np.flatnonzero(ids == mark) * 4).tolist()
-            for i, a, b in zip(plain[j : j + step], [0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True):
-                out[i] = data[a:b]
-        for i in set(range(len(texts))).difference(plain):
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return out
-
-    def __call__(self, texts: list) -> list[bytes]:
-        chunks = split_special(texts, self.specials, self.cut)
-        return [b"".join(v) for v in self.table.values_of(chunks)]
-
-
-_encoders: dict[tuple, Encoder] = {}
-
-
-def encoder(path: str, spaced: bool) -> Encoder:
-    """One encoder per Python worker, kept from task to task."""
-    if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = Encoder(path, spaced)
-    return _encoders[path, spaced]

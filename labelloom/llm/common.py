@@ -23,6 +23,13 @@ def reachable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Send Python workers at most SLICE_BYTES at a time (or one row): whole texts make rows of any size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > SLICE_BYTES:
+        spark.conf.set(name, str(SLICE_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -67,6 +74,7 @@ def map_arrays(
     from pyspark.sql.pandas.types import to_arrow_schema
 
     reachable(df.sparkSession)
+    bounded_batches(df.sparkSession)
     clashes = {f.name for f in fields} & set(keep)
     if clashes:
         raise ValueError(f"columns {sorted(clashes)} would appear twice")
@@ -105,3 +113,30 @@ def map_texts(
         return lambda texts: function(texts.to_pylist())
 
     return map_arrays(df, text, keep, listed, fields)
+
+
+def text_column(
+    df: DataFrame, text: str, function: Callable[[list], object], kind: T.DataType
+) -> Column:
+    """What ``function`` gives for a list of whole texts (null: None), as a column of ``df``.
+
+    Only texts go to Python; the other columns of a row wait in the JVM.
+    """
+    from pyspark.sql.functions import arrow_udf
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    reachable(df.sparkSession)
+    bounded_batches(df.sparkSession)
+
+    @arrow_udf(kind)
+    def column(texts):
+        import pyarrow as pa
+
+        found = function(texts.to_pylist())
+        if isinstance(kind, T.StructType):
+            arrow = [to_arrow_type(f.dataType) for f in kind.fields]
+            parts = [pa.array(found[f.name], type=t) for f, t in zip(kind.fields, arrow, strict=True)]
+            return pa.StructArray.from_arrays(parts, names=kind.names)
+        return pa.array(found, type=to_arrow_type(kind))
+
+    return column(F.col(text).cast("string"))

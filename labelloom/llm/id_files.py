@@ -18,8 +18,8 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from labelloom.llm.chunks import encoder
-from labelloom.llm.common import _slices, reachable
+from labelloom.llm.common import _slices, bounded_batches, reachable
+from labelloom.llm.encoder import encoder
 from labelloom.operators.scale import checkpoint_folder, materialize
 
 BLOCK_IDS = 1 << 17
@@ -55,7 +55,11 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, key: str, text: str) -> DataFrame:
-    """(key, shard, first, n, ids): the ids of every document in ascending order of the key, written once."""
+    """(key, shard, first, n, ids, counts): the ids of every document in ascending order of the key, written once.
+
+    Ids take two bytes where the vocabulary allows it, else four. Some rows carry ``counts``: the distinct ids of
+    the documents up to the next such row, and how often each occurs.
+    """
     schema = T.StructType(
         [
             docs.schema[key],
@@ -63,6 +67,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, key: str, text: str) -> D
             T.StructField("first", T.LongType()),
             T.StructField("n", T.LongType()),
             T.StructField("ids", T.BinaryType()),
+            T.StructField("counts", T.BinaryType()),
         ]
     )
 
@@ -71,17 +76,22 @@ def tokenised(docs: DataFrame, path: str, end_id: int, key: str, text: str) -> D
         from pyspark import TaskContext
 
         encode = encoder(path, spaced=False)
-        end = np.array([end_id], dtype="<u4").tobytes()
         shard, before = TaskContext.get().partitionId(), 0
+        width = np.dtype("<u2" if len(encode.size) <= 1 << 16 else "<u4")
         for batch in batches:
             for part in _slices(batch, "_text"):
-                ids = [x + end for x in encode(part.column("_text").to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                first = before + np.cumsum(n) - n
-                before += int(n.sum())
+                ids = encode.ids(part.column("_text")).ended(end_id)
+                n = ids.sizes
+                first = before + ids.offsets[:-1]
+                before += len(ids.values)
+                ends = pa.py_buffer((width.itemsize * ids.offsets).astype(np.int32))
+                data = pa.Array.from_buffers(pa.binary(), len(n), [None, ends, pa.py_buffer(ids.values.astype(width))])
+                found = np.bincount(ids.values)
+                used = np.flatnonzero(found)
+                counts = [np.stack([used, found[used]]).tobytes(), *[None] * (len(n) - 1)]
                 columns = [
-                    part.column(key), pa.array(np.full(len(n), shard, dtype=np.int32)), pa.array(first), pa.array(n),
-                    pa.array(ids, type=pa.binary()),
+                    part.column(key), pa.array(np.full(len(n), shard, dtype=np.int32)), pa.array(first), pa.array(n), data,
+                    pa.array(counts, type=pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
@@ -92,22 +102,22 @@ def tokenised(docs: DataFrame, path: str, end_id: int, key: str, text: str) -> D
 
 
 def frequencies(ids: DataFrame) -> DataFrame:
-    """(id, number) over all documents; counted inside each task before the shuffle."""
+    """(id, number) over all documents, from the counts that were written with the ids."""
 
     def run(batches):
         import pyarrow as pa
 
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for i in range(batch.num_rows):
-                found = np.bincount(np.frombuffer(batch.column(0)[i].as_buffer(), dtype="<u4"))
-                if len(found) > len(total):
-                    total = np.pad(total, (0, len(found) - len(total)))
-                total[: len(found)] += found
+            for counts in batch.column(0).to_pylist():
+                used, found = np.frombuffer(counts, dtype=np.int64).reshape(2, -1)
+                if used[-1] >= len(total):
+                    total = np.pad(total, (0, int(used[-1]) + 1 - len(total)))
+                total[used] += found
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "number"])
 
-    counted = ids.select("ids").mapInArrow(run, "id long, number long")
+    counted = ids.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, number long")
     return counted.groupBy("id").agg(F.sum("number").alias("number"))
 
 
@@ -146,7 +156,8 @@ def write_ids(
         arrow = to_arrow_schema(schema)
 
         def block(shard, first, keys, lengths, parts):
-            control, data = encode_ranks(rank_of[np.frombuffer(b"".join(parts), dtype="<u4")])
+            joined = b"".join(parts)
+            control, data = encode_ranks(rank_of[np.frombuffer(joined, dtype=f"<u{len(joined) // sum(lengths)}")])
             values = [[shard], [first], [keys], [lengths], [control], [data]]
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, type=f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow
@@ -170,7 +181,7 @@ def write_ids(
         if current:
             yield block(*current)
 
-    ids.mapInArrow(run, schema).write.partitionBy("shard").parquet(f"{folder}/blocks")
+    ids.drop("counts").mapInArrow(run, schema).write.partitionBy("shard").parquet(f"{folder}/blocks")
     sizes = ids.groupBy("shard").agg(F.sum("n").alias("ids"))
     before = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes.select("shard", "ids", before.alias("before")).coalesce(1).write.parquet(f"{folder}/shards")
@@ -228,6 +239,7 @@ def encode_corpus(docs: DataFrame, path: str, end_id: int, key: str = "doc_id",
     gives empty files and no rows.
     """
     reachable(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     folder = f"{checkpoint_folder(docs.sparkSession)}/id-files-{uuid.uuid4().hex}"
     write_ids(docs, folder, path, end_id, key, text)
     return read_ids(docs.sparkSession, folder, key, docs.schema[key].dataType.simpleString())

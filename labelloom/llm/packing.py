@@ -17,8 +17,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from labelloom.llm.chunks import encoder
-from labelloom.llm.common import map_texts
+from labelloom.llm.common import map_arrays
+from labelloom.llm.encoder import encoder
 from labelloom.operators.scale import materialize
 
 # Tail lengths are rounded up to multiples of this for the least squares; the waste is below it per tail.
@@ -193,9 +193,12 @@ def place_tails(plan: Plan, window: int, lengths: np.ndarray, ranks: np.ndarray)
 
 
 def measured(
-    docs: DataFrame, path: str, end_id: int, window: int, key: str, text: str, order: str | None = None
+    docs: DataFrame, path: str, end_id: int, window: int, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per document: its task and rank of its tail there, crc32 of its full windows, ids of its tail."""
+    """One row per document: its task and rank of its tail there, crc32 of its full windows, ids of its tail.
+
+    ``part``, ``tail`` and ``tail_rank`` together name a row.
+    """
     fields = [
         T.StructField("tokens", T.LongType()),
         T.StructField("part", T.IntegerType()),
@@ -210,19 +213,16 @@ def measured(
         from pyspark import TaskContext
 
         encode, part = encoder(path, spaced=True), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u4").tobytes()
         size, seen, full = 4 * window, np.zeros(window, dtype=np.int64), 0
 
-        def measure(texts: list) -> dict:
+        def measure(texts) -> dict:
             nonlocal full
             rows = []
-            for data in encode(texts):
-                data += end
+            for data in encode.ids(texts).ended(end_id).slices():
                 n = len(data) // size
-                tail = data[n * size :]
+                tail = bytes(data[n * size :])
                 length = len(tail) // 4
-                view = memoryview(data)
-                crc = [zlib.crc32(view[i * size : (i + 1) * size]) for i in range(n)]
+                crc = [zlib.crc32(data[i * size : (i + 1) * size]) for i in range(n)]
                 rows.append((len(data) // 4, part, full, length, int(seen[length]), crc, tail))
                 seen[length] += 1
                 full += n
@@ -230,7 +230,7 @@ def measured(
 
         return measure
 
-    return materialize(map_texts(docs, text, [key, *([order] if order else [])], make, fields), "packing-tails")
+    return materialize(map_arrays(docs, text, [key, *keep], make, fields), "packing-tails")
 
 
 PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -327,7 +327,11 @@ def pack_in_order(
     a run are in the sequences before those of the next run. Only the last sequence of a run's cut tails and
     what its greedy windows leave is padded.
     """
-    rows = measured(docs, path, end_id, window, key, text, order)
+    return pack_ranges(measured(docs, path, end_id, window, key, text, (order,)), order, window, key, range_docs)
+
+
+def pack_ranges(rows: DataFrame, order: str, window: int = 1024, key: str = "doc_id", range_docs: int | None = None) -> DataFrame:
+    """``pack_in_order`` for ``measured`` documents."""
     rows = rows.withColumn("_range", F.floor(F.col(order) / (range_docs or RANGE_DOCS)).cast("long"))
     fields = [T.StructField("_range", T.LongType()), rows.schema[key], *(T.StructField(c, T.LongType()) for c in PIECE)]
     schema = T.StructType(fields)

@@ -60,6 +60,14 @@ class Ragged:
         flat = self.take(parts.values)
         return Ragged(flat.offsets[parts.offsets], flat.values)
 
+    def ended(self, value) -> Ragged:
+        """Each row with one more value behind it."""
+        out = Ragged.of_sizes(self.sizes + 1, np.full(len(self.values) + len(self), value, dtype=self.values.dtype))
+        kept = np.ones(len(out.values), dtype=bool)
+        kept[out.offsets[1:] - 1] = False
+        out.values[kept] = self.values
+        return out
+
     def slices(self) -> list[memoryview]:
         """The bytes of each row."""
         data = memoryview(np.ascontiguousarray(self.values)).cast("B")
@@ -129,13 +137,13 @@ def bare_words(texts, specials: dict[str, int]) -> tuple[list[str], Ragged]:
     """Words for pre-tokenizers that lower-case and drop white space; Latin-1 texts are lower-cased here."""
     import pyarrow.compute as pc
 
-    lowered = pc.utf8_lower(texts)
-    wide = pc.match_substring_regex(texts, "[^\\x00-\\x{ff}]")
-    odd = pc.or_(wide, pc.match_substring_regex(texts, "[\\x1c-\\x1f]"))
-    uneven = pc.or_(odd, _any_of(lowered, specials))
-    even, places, rest = split_off(texts, uneven)
-    plain = pc.replace_substring_regex(pc.utf8_lower(even), "[\\t-\\r \\x{85}\\x{a0}]+", " ")
-    split = pc.split_pattern(pc.utf8_trim(plain, " "), " ")
+    # Lower-casing before or after makes no difference to these texts, unless it spells a special string.
+    uneven = pc.match_substring_regex(texts, f"{UNEVEN}|[^\\x00-\\x{{ff}}]")
+    lowered = pc.utf8_lower(pc.if_else(uneven, "", texts))
+    uneven = pc.or_(uneven, _any_of(lowered, specials))
+    _, places, rest = split_off(texts, uneven)
+    even = lowered.filter(pc.invert(uneven)) if rest else lowered
+    split = pc.split_pattern(pc.replace_substring(even, "\n", " "), " ")
     return numbered(split, places, chunks.split_special(rest, specials, lambda t: chunks.bare_chunks(t, tuple(specials))))
 
 

@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from labelloom.llm import ragged
-from labelloom.llm.common import _slices, map_arrays, reachable
+from labelloom.llm.common import _slices, bounded_batches, map_arrays, reachable
 from labelloom.llm.id_files import decode_ranks, encode_ranks
 from labelloom.llm.ragged import Ragged, WordTable
 from labelloom.llm.token_counts import byte_symbols
@@ -37,6 +38,8 @@ class ByteVocabulary:
     """Tokenizer A: ids of texts with special strings as plain text, and the bytes of its tokens."""
 
     def __init__(self, path: str):
+        # A task has one core; the library's own threads would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -279,6 +282,7 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, key: str, text: st
     in a row the places of their pairs among these and how often each is linked (``encode_ranks``).
     """
     reachable(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
     arrays = {"keys": kind, **{c: T.LongType() for c in COUNTS}, "groups_sha256": T.StringType(), "sizes": T.IntegerType()}
     arrays |= {"pairs": T.LongType(), "docs_with": T.LongType()}

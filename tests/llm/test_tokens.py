@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from labelloom.llm import chunks, id_files, packing, token_counts
+from labelloom.llm import encoder as encoders, id_files, packing, token_counts
 from tests.llm.conftest import edge_rows
 
 BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -28,7 +28,7 @@ def fuzzed(n=4000):
 @pytest.mark.parametrize(("path", "spaced"), [(BYTE, True), (WORD, False)])
 def test_chunked_encoding_equals_the_library(path, spaced):
     texts = fuzzed() + [r[1] for r in edge_rows()]
-    encoder = chunks.Encoder(path, spaced)
+    encoder = encoders.Encoder(path, spaced)
     encoder.table.entries = 50  # emptied again and again
     got = [np.frombuffer(x, "<u4").tolist() for a in range(0, len(texts), 500) for x in encoder(texts[a : a + 500])]
     assert got == ids_of(path, texts)
@@ -40,7 +40,7 @@ def test_special_strings_in_other_case_are_plain_text(path, spaced):
     pieces = ["<|ENDOFTEXT|>", "<|StartOfText|>", "<|EndOfText|>", "<|endoftext|>", " ", "\n", "a", "Word", "é", "Σ", "\x1c"]
     texts = ["a <|ENDOFTEXT|> b", "<|StartOfText|>", "x<|ENDOFTEXT|>y", "É <|EndOfText|>"]
     texts += ["".join(rng.choices(pieces, k=rng.randint(1, 8))) for _ in range(1000)]
-    encoder = chunks.Encoder(path, spaced)
+    encoder = encoders.Encoder(path, spaced)
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder(texts)] == ids_of(path, texts)
 
 
