@@ -3,17 +3,27 @@
 A source with share q of a period of Q slots has its block k released at floor(k * Q / q) and due at
 ceil((k + 1) * Q / q). Taking, slot by slot, the released block with the earliest deadline meets every
 deadline, so no source is ever a whole block away from its share. Shares are whole numbers and the
-schedule repeats after Q slots: one period is worked out, in SQL over arrays, and a block finds its slot
-from its number alone. A source that runs out leaves its slots to the others.
+schedule repeats after Q slots, so a block finds its slot from its number alone. A source that runs out leaves
+its slots to the others.
+
+One period is worked out in SQL. Sources of equal share have the same release times and deadlines and take
+turns in the order of their names, so what is scheduled are classes of equal share: there are less than
+sqrt(2 Q) of them, whatever the number of sources. The period grows with that number.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# The period and with it the number of sources are small tables by contract.
+from labelloom.operators.scale import materialize
+
+# Slots of a period, and as many per source at least.
 PERIOD = 1_000
-MAX_SOURCES = 2_000
+SLOTS_PER_SOURCE = 8
+# Slots that are put together before they go to the list of all.
+RUN_SLOTS = 256
+# Cycles that one row of a table of cycles is drawn up for.
+RUN_CYCLES = 100_000
 # Rows of one source that are ranked together.
 BUCKET_ROWS = 1_024
 
@@ -30,7 +40,8 @@ def source_shares(docs: DataFrame, source: Column, shares: dict[str | None, int]
     """(source, rows, share), one row per source, a null source being one of its own.
 
     Given shares are taken as they are (a source not named gets 1). Without any, a source's share of the
-    period grows with its number of rows to ``power``, rounded, 1 at least.
+    period grows with its number of rows to ``power``, rounded, 1 at least; the period has ``period`` slots, or
+    SLOTS_PER_SOURCE per source where that is more.
     """
     sizes = docs.groupBy(source.alias("source")).agg(F.count("*").alias("rows"))
     if shares is not None:
@@ -41,53 +52,88 @@ def source_shares(docs: DataFrame, source: Column, shares: dict[str | None, int]
             share = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(int(value)).cast("long")).otherwise(share)
         return sizes.withColumn("share", share)
     weight = F.pow(F.col("rows").cast("double"), F.lit(power))
-    total = F.sum(weight).over(Window.partitionBy(F.lit(0)))
-    share = F.greatest(F.lit(1).cast("long"), F.round(F.lit(float(period)) * weight / total).cast("long"))
+    every = Window.partitionBy(F.lit(0))
+    slots = F.greatest(F.lit(period), F.count("*").over(every) * SLOTS_PER_SOURCE).cast("double")
+    share = F.greatest(F.lit(1).cast("long"), F.round(slots * weight / F.sum(weight).over(every)).cast("long"))
     return sizes.select("source", "rows", share.alias("share"))
 
 
 def period_schedule(sources: DataFrame) -> DataFrame:
-    """One row per slot of a period: the source whose block stands there, and what was placed before.
+    """(source, turn, slot, share, period): the slots of one period, ``turn`` counting a source's blocks in it.
 
-    (source, rows, share, period, turn, slot, before, sizes, shares): ``turn`` counts the source's blocks in
-    the period, ``before`` the blocks of every source in earlier slots, as an array in order of source.
+    Among released blocks the earliest deadline is taken, then the first source by name. One row holds the
+    classes of equal share, a few numbers each, while the slots are dealt out.
     """
-    one = sources.agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("name"), "source", "rows", "share"))).alias("list"),
-        F.sum("share").alias("period"),
-    ).where(F.col("period") > 0).selectExpr(
-        "list", "period", "transform(list, s -> s.rows) AS sizes", "transform(list, s -> s.share) AS shares"
-    )
-    # Among released blocks the earliest deadline, then the first source.
-    choice = """
-        array_min(transform(shares, (q, i) ->
-            IF((acc.done[i] * period) DIV q <= t,
-               named_struct('due', ((acc.done[i] + 1) * period + q - 1) DIV q, 'index', i), NULL))).index
+    named = sources.select("source", "share", F.row_number().over(Window.orderBy(F.coalesce("source", F.lit("")), "source")).alias("place"))
+    place = Window.partitionBy("share").orderBy("place")
+    members = named.withColumns({"member": F.row_number().over(place) - 1, "members": F.count("*").over(Window.partitionBy("share"))})
+    one = (
+        members.groupBy("share")
+        .agg(F.array_sort(F.collect_list("place")).alias("places"))
+        .agg(F.array_sort(F.collect_list(F.struct("share", "places"))).alias("list"))
+        .selectExpr(
+            "transform(list, c -> c.share) AS shares",
+            "transform(list, c -> c.places) AS places",
+            "transform(list, c -> CAST(size(c.places) AS BIGINT)) AS sizes",
+            "aggregate(list, 0L, (a, c) -> a + c.share * size(c.places)) AS period",
+            "aggregate(list, 1L, (a, c) -> a + size(c.places)) AS base",
+        )
+        .where("period > 0")
+    )
+    # Written, or Spark would work these arrays out anew for every slot.
+    one = materialize(one, "share-classes")
+    # The number of a class's next block, and of the next source of the class; deadline and source as one number.
+    due = "((done DIV size + 1) * period + share - 1) DIV share * base + element_at(places[i], CAST(done % size AS INT) + 1)"
+    for name, value in (("done", "acc.done[i]"), ("size", "sizes[i]"), ("share", "q")):
+        due = due.replace(name, value)
+    choice = f"array_min(transform(shares, (q, i) -> IF((acc.done[i] DIV sizes[i] * period) DIV q <= t, {due}, NULL)))"
+    picked = "(q, i) -> IF((acc.done[i] DIV sizes[i] * period) DIV q <= t AND {due} = best, 1L, 0L)".format(due=due)
+    # What a step gives is copied by the next one, so slots are dealt out run by run.
+    empty = "CAST(array() AS ARRAY<BIGINT>)"
+    one_run = f"""
+        aggregate(
+            sequence(r * {RUN_SLOTS}, least((r + 1) * {RUN_SLOTS}, period) - 1),
+            named_struct('done', outer.done, 'run', {empty}),
+            (acc, t) -> transform(array({choice}), best -> named_struct(
+                'done', zip_with(acc.done, transform(shares, {picked}), (n, x) -> n + x), 'run', concat(acc.run, array(best % base))))[0])
     """
     slots = one.selectExpr(
-        "*",
+        "period",
         f"""
         aggregate(
-            sequence(0L, period - 1),
-            named_struct('done', transform(shares, q -> 0L), 'slots', array(named_struct('index', -1, 'before', transform(shares, q -> 0L)))),
-            (acc, t) -> transform(array({choice}), pick -> named_struct(
-                'done', transform(acc.done, (n, i) -> IF(i = pick, n + 1, n)),
-                'slots', concat(acc.slots, array(named_struct('index', pick, 'before', acc.done)))))[0],
-            acc -> slice(acc.slots, 2, size(acc.slots))
-        ) AS slots
+            sequence(0L, (period - 1) DIV {RUN_SLOTS}),
+            named_struct('done', transform(shares, q -> 0L), 'runs', CAST(array() AS ARRAY<ARRAY<BIGINT>>)),
+            (outer, r) -> transform(array({one_run}), x -> named_struct('done', x.done, 'runs', concat(outer.runs, array(x.run))))[0],
+            outer -> outer.runs
+        ) AS runs
         """,
     )
-    return slots.select("list", "period", "sizes", "shares", F.posexplode("slots").alias("slot", "at")).selectExpr(
-        "list[at.index].source AS source",
-        "list[at.index].rows AS rows",
-        "list[at.index].share AS share",
-        "period",
-        "at.before[at.index] AS turn",
-        "CAST(slot AS BIGINT) AS slot",
-        "at.before AS before",
-        "sizes",
-        "shares",
-    )
+    dealt = slots.select("period", F.posexplode("runs").alias("run", "in_run")).select(
+        "period", "run", F.posexplode("in_run").alias("at", "place")
+    ).selectExpr("period", f"CAST(run AS BIGINT) * {RUN_SLOTS} + at AS slot", "place")
+    turn = F.row_number().over(Window.partitionBy("place").orderBy("slot")) - 1
+    return dealt.withColumn("turn", turn.cast("long")).join(named, "place").select("source", "turn", "slot", "share", "period")
+
+
+def rows_before_cycles(sources: DataFrame, block_rows: int) -> DataFrame:
+    """(cycle, earlier): rows of all sources in the periods before each one, as long as a source has any left.
+
+    A source fills its share of each period until it runs out, so between two periods in which sources run out
+    the number grows evenly: one row per such stretch is drawn out to its cycles.
+    """
+    per_cycle = F.col("share") * block_rows
+    ends = sources.select("rows", per_cycle.alias("per"), (F.floor(F.col("rows") / per_cycle) + 1).alias("until"))
+    steps = ends.groupBy("until").agg(F.sum("rows").alias("rows"), F.sum("per").alias("per"))
+    earlier = Window.orderBy("until").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy("until").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    zero = F.lit(0).cast("long")
+    stretches = steps.select(
+        F.coalesce(F.lag("until").over(Window.orderBy("until")), zero).alias("first"), "until",
+        F.coalesce(F.sum("rows").over(earlier), zero).alias("gone"), F.sum("per").over(later).alias("per"),
+    )
+    runs = stretches.withColumn("start", F.explode(F.expr(f"sequence(first, until - 1, {RUN_CYCLES}L)")))
+    cycles = runs.withColumn("cycle", F.explode(F.expr(f"sequence(start, least(start + {RUN_CYCLES}L, until) - 1)")))
+    return cycles.select("cycle", (F.col("gone") + F.col("per") * F.col("cycle")).alias("earlier"))
 
 
 def mix(
@@ -110,29 +156,26 @@ def mix(
     An empty table gives an empty one.
 
     Rows of a source are ranked in buckets of about BUCKET_ROWS by the hash, with counted offsets, so a
-    source that holds most rows is spread over many tasks. What is broadcast are the sources, at most
-    MAX_SOURCES, and the slots of one period.
+    source that holds most rows is spread over many tasks. A row's position is the number of rows in earlier
+    periods, which follows from the sizes of the sources, and its rank in its period. Sources and slots are
+    tables that Spark broadcasts or shuffles by their size.
     """
     into, name, bits, bucket, rank = (free_name(docs, c) for c in (into, "_source", "_bits", "_bucket", "_rank"))
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
     rows = docs.withColumn(name, F.col(source).cast("string")).withColumn(
         bits, F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
     )
-    sources = source_shares(rows, F.col(name), shares, power, period)
-    found = sources.limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
-    sources = docs.sparkSession.createDataFrame(found, sources.schema)
-    schedule = period_schedule(sources)
+    sources = materialize(source_shares(rows, F.col(name), shares, power, period), "sources")
+    schedule = materialize(period_schedule(sources), "schedule")
 
     def same(left: Column, right: Column) -> Column:
         return left.eqNullSafe(right)
 
     sized = sources.select(
-        F.col("source").alias("_name"), F.ceil(F.col("rows") / BUCKET_ROWS).cast("long").alias("_buckets")
+        F.col("source").alias("_name"), F.ceil(F.col("rows") / BUCKET_ROWS).cast("long").alias("_buckets"), F.col("share").alias("_share")
     )
     cut = (
-        rows.join(F.broadcast(sized), same(F.col(name), F.col("_name")))
+        rows.join(sized, same(F.col(name), F.col("_name")))
         .withColumn(bucket, F.shiftright(F.col(bits) * F.col("_buckets"), 32))
         .drop("_name", "_buckets")
     )
@@ -146,34 +189,38 @@ def mix(
         .withColumn(rank, F.col(rank) + F.col("_before"))
         .drop("_name", "_place", "_before")
     )
-    slots = F.broadcast(schedule.withColumnsRenamed({c: f"_s_{c}" for c in schedule.columns}))
-    block = F.floor(F.col(rank) / block_rows)
-    shares_of = sources.select(F.col("source").alias("_name"), F.col("share").alias("_share"))
+    slots = schedule.drop("share").withColumnsRenamed({c: f"_s_{c}" for c in ("source", "turn", "slot", "period")})
     with_turn = (
-        ranked.join(F.broadcast(shares_of), same(F.col(name), F.col("_name")))
-        .withColumn("_block", block)
+        ranked.withColumn("_block", F.floor(F.col(rank) / block_rows))
         .withColumn("_cycle", F.floor(F.col("_block") / F.col("_share")))
         .withColumn("_turn", F.col("_block") % F.col("_share"))
     )
-    placed = with_turn.join(
-        slots, same(F.col(name), F.col("_s_source")) & (F.col("_turn") == F.col("_s_turn"))
-    )
-    position = F.expr(
-        f"""
-        aggregate(
-            zip_with(arrays_zip(_s_sizes, _s_shares), _s_before, (s, b) ->
-                least(s._s_sizes, {block_rows}L * (_cycle * s._s_shares + b))),
-            0L, (a, x) -> a + x) + `{rank}` % {block_rows}L
-        """
-    )
+    placed = with_turn.join(slots, same(F.col(name), F.col("_s_source")) & (F.col("_turn") == F.col("_s_turn")))
+    before = rows_before_cycles(sources, block_rows).toDF("_c", "_earlier")
+    in_cycle = F.row_number().over(Window.partitionBy("_cycle").orderBy("_s_slot", rank)) - 1
+    positioned = placed.withColumn("_in_cycle", in_cycle).join(before, F.col("_cycle") == F.col("_c"))
     schedule_of = F.struct(
         F.col("_block").alias("block"),
-        F.expr("_cycle * _s_period + (_turn * _s_period) DIV _s_share").alias("release"),
-        F.expr("_cycle * _s_period + ((_turn + 1) * _s_period + _s_share - 1) DIV _s_share").alias("deadline"),
+        F.expr("_cycle * _s_period + (_turn * _s_period) DIV _share").alias("release"),
+        F.expr("_cycle * _s_period + ((_turn + 1) * _s_period + _share - 1) DIV _share").alias("deadline"),
         F.expr("_cycle * _s_period + _s_slot").alias("slot"),
-        position.alias("position"),
+        (F.col("_earlier") + F.col("_in_cycle")).alias("position"),
     )
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], schedule_of.alias(into))
+    return positioned.select(*[F.col(f"`{c}`") for c in docs.columns], schedule_of.alias(into))
+
+
+def in_mixed_order(docs: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` in the order of the mixture (see ``mix``).
+
+    Rows get numbers and are written; numbers, keys and sources are mixed, and the positions go back to the rows by
+    their numbers. Other columns are moved by that join, where Spark does not broadcast the positions, and by the
+    sort.
+    """
+    row, position = free_name(docs, "_row"), free_name(docs, "_position")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
+    mixed = mix(numbered.select(F.col(row).alias("row"), F.col(key).alias("key"), F.col(source).alias("source")), key="key", source="source")
+    positions = materialize(mixed.select(F.col("row").alias(row), F.col("mix.position").alias(position)), "positions")
+    return numbered.join(positions, row).orderBy(position).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = f"""
@@ -181,7 +228,7 @@ WITH RECURSIVE sizes AS (
     SELECT source, count(*) AS n FROM documents GROUP BY source
 ), shares AS (
     SELECT source, n,
-           greatest(1, CAST(round({float(PERIOD)} * sqrt(n::DOUBLE) / (SELECT sum(sqrt(n::DOUBLE)) FROM sizes)) AS BIGINT)) AS q,
+           greatest(1, CAST(round(greatest({float(PERIOD)}, {SLOTS_PER_SOURCE} * (SELECT count(*) FROM sizes)) * sqrt(n::DOUBLE) / (SELECT sum(sqrt(n::DOUBLE)) FROM sizes)) AS BIGINT)) AS q,
            row_number() OVER (ORDER BY coalesce(source, '')) AS i
     FROM sizes
 ), total AS (
@@ -194,7 +241,7 @@ WITH RECURSIVE sizes AS (
     SELECT t + 1, list_transform(done, lambda n, i: n + CASE WHEN i = c THEN 1 ELSE 0 END), c, done
     FROM (
         SELECT t, done, list_min(list_transform(qs, lambda q, i: CASE
-                   WHEN (done[i] * p) // q <= t THEN (((done[i] + 1) * p + q - 1) // q) * 10000 + i END)) % 10000 AS c
+                   WHEN (done[i] * p) // q <= t THEN (((done[i] + 1) * p + q - 1) // q) * 10000000 + i END)) % 10000000 AS c
         FROM edf, total WHERE t < p
     )
 ), slots AS (
