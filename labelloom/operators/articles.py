@@ -98,15 +98,20 @@ def golden_in_scope(golden: DataFrame, labels: DataFrame) -> DataFrame:
     return lookup_join(golden, labels.select("label"), "label", "left_semi").select("pmid", "label").distinct()
 
 
+def weak_rows(occurrence: DataFrame, label_cuis: DataFrame, one_label_per_cui: bool = False) -> DataFrame:
+    """(pmid, label) of each occurrence of a label's concept, as often as it occurs."""
+    table = label_cuis.where("cui IS NOT NULL").select("label", "cui")
+    if one_label_per_cui:
+        table = table.groupBy("cui").agg(F.min("label").alias("label"))
+    return lookup_join(occurrence.select("pmid", "cui"), table, "cui").select("pmid", "label")
+
+
 def weak_labels(occurrence: DataFrame, label_cuis: DataFrame, one_label_per_cui: bool = False) -> DataFrame:
     """Distinct (pmid, label): labels whose concept occurs in the article.
 
     All labels of a shared concept are assigned unless ``one_label_per_cui`` asks for the smallest.
     """
-    table = label_cuis.where("cui IS NOT NULL").select("label", "cui")
-    if one_label_per_cui:
-        table = table.groupBy("cui").agg(F.min("label").alias("label"))
-    return lookup_join(occurrence.select("pmid", "cui"), table, "cui").select("pmid", "label").distinct()
+    return weak_rows(occurrence, label_cuis, one_label_per_cui).distinct()
 
 
 def cui_counts(occurrence: DataFrame) -> DataFrame:

@@ -158,6 +158,7 @@ def apply_sweep(
     models: list[str],
     thresholds: list[float] | None = None,
     keys: list[str] | None = None,
+    label_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Confusion counts after relabelling, for every key, label, base method, model and threshold.
 
@@ -167,7 +168,9 @@ def apply_sweep(
     Scores that pass no threshold, and base rows that are neither golden nor positive, are counted but not
     shuffled: the rest meet once for all models. A row's level is the number of thresholds below its
     probability; rows are counted per level, and the at most ``len(thresholds) + 1`` counts of a key are
-    then summed up per threshold. True negatives are what remains of a label's rows.
+    then summed up per threshold. True negatives are what remains of a label's rows: ``label_rows`` (keys, label,
+    rows) gives their number, and ``base`` needs no rows then that are neither golden nor positive; without it
+    the rows of ``base`` are counted.
     """
     grid = threshold_grid(thresholds)
     keys = keys or []
@@ -214,7 +217,7 @@ def apply_sweep(
         F.sum(F.col("_tp") + F.when(flipped, F.col("_open_gold")).otherwise(zero)).alias("_tp"),
     )
     # One row per label from here on; a label without any marked row has true negatives only.
-    whole = base.groupBy(*keys, "label").agg(F.count("*").alias("_rows"))
+    whole = base.groupBy(*keys, "label").agg(F.count("*").alias("_rows")) if label_rows is None else label_rows.toDF(*keys, "label", "_rows")
     for name, values in (("base", bases), ("model", models), ("threshold", grid)):
         whole = whole.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     fp, fn, tp = (F.coalesce(c, zero) for c in ("_fp", "_fn", "_tp"))

@@ -144,3 +144,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Write a table that meets others of as many buckets on ``key``: they are joined and grouped without a shuffle.
+
+    The files lie in the shared folder; the table is known to this session's catalog.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    table = f"{name}_{path.rsplit('-', 1)[1]}".replace("-", "_")
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)

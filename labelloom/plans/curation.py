@@ -63,21 +63,18 @@ def harvest_weak_labelled_articles(
 ) -> DataFrame:
     """Articles of the period with ``golden_in_scope`` and ``weak`` label arrays.
 
-    ``labels`` is (label, concept_ui). Pairs are deduplicated before they are put back into arrays, so
-    an array is bounded by the number of selected labels.
+    ``labels`` is (label, concept_ui). Labels fold into sets per article, bounded by the selected labels, on
+    either side of one shuffle by article; articles and occurrences that are bucketed by ``pmid`` need none.
     """
     found = art.search_articles(articles, search_labels, start, end, closure)
-    cuis = art.label_cui(labels, crosswalk, source)
-    golden = art.golden_in_scope(art.golden_pairs(found), labels).withColumn("_kind", F.lit("golden"))
-    weak = art.weak_labels(occurrence, cuis).withColumn("_kind", F.lit("weak"))
-    marked = golden.unionByName(weak).groupBy("pmid").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_kind") == "golden", F.col("label")))).alias("golden_in_scope"),
-        F.array_sort(F.collect_list(F.when(F.col("_kind") == "weak", F.col("label")))).alias("weak"),
-    )
-    none = F.array().cast("array<string>")
-    return found.join(marked, "pmid", "left").withColumns(
-        {c: F.coalesce(F.col(c), none) for c in ("golden_in_scope", "weak")}
-    )
+    # Written first: Spark broadcasts vocabularies whose size it knows, and the articles stay where they are.
+    cuis = materialize(art.label_cui(labels, crosswalk, source).select("label", "cui"), "label-cuis")
+    chosen = materialize(labels.select("label").distinct(), "chosen-labels")
+    in_scope = lookup_join(art.golden_pairs(found), chosen, "label", "left_semi")
+    sets = {"golden_in_scope": in_scope, "weak": art.weak_rows(occurrence, cuis)}
+    for name, pairs in sets.items():
+        found = found.join(pairs.groupBy("pmid").agg(F.array_sort(F.collect_set("label")).alias(name)), "pmid", "left")
+    return found.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in sets})
 
 
 def diff_versions(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from labelloom.functions import notes, numeric, records, text
 from labelloom.operators import articles as art
 from labelloom.operators import evaluate, hierarchy, labels, matching, sampling, stats, versions
-from labelloom.operators.scale import lookup_join, materialize, new_folder
+from labelloom.operators.scale import lookup_join, materialize, materialize_bucketed, new_folder
 from labelloom.plans import curation, relabelling
 from labelloom.sources import articles as article_sources
 from labelloom.sources import tables, writers
@@ -1455,8 +1455,11 @@ bs AS (SELECT *, coalesce(tp::DOUBLE/nullif(tp+fp,0),0) AS p, coalesce(tp::DOUBL
 
 @query("SELECT label, base, 'hashed' AS model, threshold, tn, fp, fn, tp FROM conf", DATASET + _GRID)
 def apply_sweep(spark, d):
+    """The base table holds golden and positive rows only; the numbers of valid articles come from the label counts."""
     scored = views.scored(spark, d).withColumn("model", F.lit("hashed"))
-    swept = evaluate.apply_sweep(views.base_predictions(spark, d), scored, views.BASES, ["hashed"])
+    base = views.base_predictions(spark, d).where("gold = 1 OR weak = 1 OR draw = 1")
+    valid = views.label_stats(spark, d).select("label", (F.col("total_weak") + F.col("fn") + F.col("tn")).alias("rows"))
+    swept = evaluate.apply_sweep(base, scored, views.BASES, ["hashed"], label_rows=valid)
     return swept.select("label", "base", "model", "threshold", "tn", "fp", "fn", "tp")
 
 
@@ -1590,20 +1593,11 @@ def select_fine_grained_labels(spark, d):
     return counts.select("all_labels", "existing", "single_concept", "leaf", "fine_grained")
 
 
-@query(
-    """SELECT a.pmid, md5(title||' '||abstract_text) AS text_md5, a.lang AS golden,
-              coalesce((SELECT string_agg(label, '~' ORDER BY label) FROM text_weak w WHERE w.pmid=a.pmid), '') AS weak
-       FROM article a WHERE length(abstract_text)>0
-       AND (year(date_completed) BETWEEN 1996 AND 1999 OR (year(date_completed)=2000 AND month(date_completed)<=11))""",
-    ARTICLES,
-)
-def harvest_weak_labelled_articles(spark, d):
+def _harvested(spark, d, articles, occurrence):
     concepts = views.text_crosswalk(spark, d)
     every_word = concepts.select(F.col("cui").alias("source_code"), F.col("cui"), F.lit("WORDS").alias("source"))
     known = concepts.select(F.col("source_code").alias("label"), F.col("cui").alias("concept_ui"))
-    found = curation.harvest_weak_labelled_articles(
-        views.articles(spark, d), known, views.text_occurrence(spark, d), every_word, "WORDS", 1996, 2000
-    )
+    found = curation.harvest_weak_labelled_articles(articles, known, occurrence, every_word, "WORDS", 1996, 2000)
     joined = text.article_text(F.col("title"), F.col("abstract_text"))
     return found.select(
         "pmid", F.md5(joined).alias("text_md5"), text.join_list(F.col("golden_in_scope")).alias("golden"),
@@ -1611,6 +1605,25 @@ def harvest_weak_labelled_articles(spark, d):
     )
 
 
+@query(
+    """SELECT a.pmid, md5(title||' '||abstract_text) AS text_md5, a.lang AS golden,
+              coalesce((SELECT string_agg(label, '~' ORDER BY label) FROM text_weak w WHERE w.pmid=a.pmid), '') AS weak
+       FROM article a WHERE length(abstract_text)>0
+       AND (year(date_completed) BETWEEN 1996 AND 1999 OR (year(date_completed)=2000 AND month(date_completed)<=11))""",
+    ARTICLES,
+)
+def harvest_weak_labelled_articles(spark, d):
+    return _harvested(spark, d, views.articles(spark, d), views.text_occurrence(spark, d))
+
+
+@query(ORACLE["harvest_weak_labelled_articles"])
+def harvest_bucketed(spark, d):
+    """Articles and occurrences bucketed by article: the harvest moves neither."""
+    articles = materialize_bucketed(views.articles(spark, d), "bucketed_articles", "pmid", 8)
+    occurrence = materialize_bucketed(views.text_occurrence(spark, d), "bucketed_occurrences", "pmid", 8)
+    return _harvested(spark, d, articles, occurrence)
+
+
 @query(
     f"""SELECT label, split, count(*) AS n, sum(target)::BIGINT AS n_positive, sum(pmid)::BIGINT AS sum_pmid FROM nwl
         WHERE target<>0 OR {H.format("'u10|'||label||'|'||pmid")}/4294967296::DOUBLE <= 0.4::DOUBLE GROUP BY label, split""",

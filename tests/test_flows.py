@@ -113,3 +113,30 @@ def test_scorer_hook(spark):
 def test_best_epoch_prefers_the_earliest(spark):
     metrics = spark.createDataFrame([("r", 1, 0.5), ("r", 2, 0.3), ("r", 3, 0.3), ("s", 1, 0.1), ("s", 2, 0.2)], "run string, epoch int, val_loss double")
     assert sorted(map(tuple, sampling.best_epoch(metrics).collect())) == [("r", 2, 1), ("s", 1, 1)]
+
+
+def test_harvest_over_buckets_moves_no_article(spark):
+    from labelloom.operators.scale import materialize_bucketed
+    from labelloom.plans import curation
+
+    some = spark.range(6000).select(
+        F.col("id").alias("pmid"), F.concat(F.lit("abstract "), F.md5(F.col("id").cast("string"))).alias("abstract_text"),
+        F.array(F.concat(F.lit("L"), F.col("id") % 7), F.lit("L1")).alias("golden"), F.to_date(F.lit("1999-05-05")).alias("date_completed"),
+    )
+    hits = spark.range(9000).select((F.col("id") % 6500).alias("pmid"), F.concat(F.lit("C"), F.col("id") % 9).alias("cui"), F.col("id").alias("entity_id"))
+    labels = spark.createDataFrame([(f"L{i}", f"M{i}") for i in range(5)], "label string, concept_ui string")
+    crosswalk = spark.createDataFrame([(f"C{i}", f"M{i}", "S") for i in range(5)], "cui string, source_code string, source string")
+
+    def harvested(articles, occurrence):
+        return curation.harvest_weak_labelled_articles(articles, labels, occurrence, crosswalk, "S", 1998, 2000)
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        plain = harvested(some, hits)
+        bucketed = harvested(materialize_bucketed(some, "some_articles", "pmid", 4), materialize_bucketed(hits, "some_hits", "pmid", 4))
+        assert sorted(map(repr, bucketed.collect())) == sorted(map(repr, plain.collect()))
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (plain, bucketed)]
+        assert ["Exchange hashpartitioning(pmid" in p for p in plans] == [True, False]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
