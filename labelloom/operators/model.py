@@ -11,8 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelloom.functions.numeric import at_threshold
-from labelloom.operators.evaluate import weighted_log_loss
-from labelloom.operators.sampling import best_epoch, class_balance
+from labelloom.operators.sampling import class_balance
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -82,22 +81,3 @@ def score_with(
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ["prob double"]
     scored = rows.mapInPandas(batches, ", ".join(fields))
     return scored.withColumn("pred", at_threshold(F.col("prob"), threshold))
-
-
-def fit_best_epoch(
-    train: DataFrame, dev: DataFrame, epochs: list[int], run: str = "run", **options
-) -> tuple[dict[str, LogisticRegressionModel], DataFrame]:
-    """Models of the epoch with the lowest validation loss and of the one before, and the choice made.
-
-    Each candidate is a fit of its own, so candidates e1, e2, ... cost e1 + e2 + ... passes over ``train``.
-    """
-    models = {e: fit_pair_model(train, epochs=e, **options) for e in sorted(epochs)}
-    losses = None
-    for e, model in models.items():
-        loss = weighted_log_loss(score(model, dev), [], pos_weight="weight").select(
-            F.lit(run).alias("run"), F.lit(e).alias("epoch"), F.col("log_loss").alias("val_loss")
-        )
-        losses = loss if losses is None else losses.unionByName(loss)
-    choice = best_epoch(losses)
-    row = choice.first()
-    return {"best": models[row["best"]], "prev": models[row["previous"]]}, choice

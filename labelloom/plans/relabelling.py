@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from labelloom.functions.numeric import remap_unknown
-from labelloom.operators import evaluate, hierarchy, labels, model, sampling
+from labelloom.operators import evaluate, hierarchy, labels, sampling, training
 from labelloom.operators.scale import materialize, spread
 from labelloom.sources.tables import clean_input, stack_labels
 from labelloom.sources.writers import attach_text
@@ -60,24 +60,16 @@ def train_and_score(
 ) -> tuple[DataFrame, DataFrame]:
     """Scored test rows and the chosen epoch of every run of a parameter grid.
 
-    Sampling covers all runs in one job; the balanced rows are written once, since every training
-    iteration reads them.
+    Sampling covers all runs in one job; the balanced rows are written once, and all runs learn from them in the
+    same passes, as many as the longest candidate has epochs (see ``training.fit_runs``).
     """
     fitted = sampling.grid_rows(dataset.where("split <> 'test'"), runs)
-    wanted = fitted.unionByName(dataset.where("split = 'test'"), allowMissingColumns=True)
-    rows = training_rows(wanted, articles, label_names)
-    ready = spread(materialize(model.featurise(rows), "training-rows"), "label", "pmid")
-    test_rows = ready.where("split = 'test'").drop("run", "seed", "per_positive")
-    scored, choices = None, None
-    for run in runs:
-        mine = model.with_class_weight(ready.where(F.col("run") == run["name"]).drop("run", "seed", "per_positive"))
-        models, choice = model.fit_best_epoch(
-            mine.where("split = 'train'"), mine.where("split = 'dev'"), epochs, run=run["name"]
-        )
-        part = model.score(models["best"], test_rows, threshold).withColumn("model", F.lit(run["name"]))
-        scored = part if scored is None else scored.unionByName(part)
-        choices = choice if choices is None else choices.unionByName(choice)
-    return scored, choices
+    rows = training.with_run_weights(training_rows(fitted, articles, label_names))
+    ready = spread(materialize(training.numbered_rows(rows), "training-rows"), "label", "pmid")
+    models, choices = training.fit_runs(ready, [r["name"] for r in runs], epochs)
+    test_rows = training.numbered_rows(training_rows(dataset.where("split = 'test'"), articles, label_names))
+    best = {name: found["best"] for name, found in models.items()}
+    return training.score_runs(test_rows, best, threshold), choices
 
 
 def evaluate_scored(scored: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from labelloom.functions import notes, numeric, records, text
 from labelloom.operators import articles as art
-from labelloom.operators import evaluate, hierarchy, labels, matching, sampling, stats, versions
+from labelloom.operators import evaluate, hierarchy, labels, matching, sampling, stats, training, versions
 from labelloom.operators.scale import lookup_join, materialize, materialize_bucketed, new_folder
 from labelloom.plans import curation, relabelling
 from labelloom.sources import articles as article_sources
@@ -1764,6 +1764,13 @@ def train_and_score(spark, d):
     return report.where(F.col("class") == "1").select("model", "label", "precision", "recall", "f1", "support")
 
 
+RUNS = [
+    {"name": "a", "seed": 42, "per_positive": 10, "labels": None},
+    {"name": "b", "seed": 27, "per_positive": 2, "labels": ["DSMALL_Brand#3", "unknown"]},
+    {"name": "c", "seed": 0, "per_positive": 1000000, "labels": ["unknown"]},
+]
+
+
 @query(
     f"""SELECT run, label, split, target, count(*) AS n, sum(pmid)::BIGINT AS sum_pmid FROM (
           SELECT x.*, sum(target) OVER (PARTITION BY run, label, split) AS pos,
@@ -1774,13 +1781,21 @@ def train_and_score(spark, d):
     DATASET,
 )
 def run_grid(spark, d):
-    runs = [
-        {"name": "a", "seed": 42, "per_positive": 10, "labels": None},
-        {"name": "b", "seed": 27, "per_positive": 2, "labels": ["DSMALL_Brand#3", "unknown"]},
-        {"name": "c", "seed": 0, "per_positive": 1000000, "labels": ["unknown"]},
-    ]
-    rows = sampling.grid_rows(materialize(views.dataset(spark, d), "dataset"), runs)
+    rows = sampling.grid_rows(materialize(views.dataset(spark, d), "dataset"), RUNS)
     return rows.groupBy("run", "label", "split", "target").agg(F.count("*").alias("n"), F.sum("pmid").alias("sum_pmid"))
 
 
+@query(
+    f"""SELECT run, target, sum(n)::BIGINT AS n,
+               round(CASE WHEN target=1 THEN sum(sum(n)) FILTER (target=0) OVER (PARTITION BY run) / sum(sum(n)) FILTER (target=1) OVER (PARTITION BY run) ELSE 1 END, 8)::DOUBLE AS weight
+        FROM ({ORACLE["run_grid"].split("SELECT run, label, split, target, count(*) AS n", 1)[1].join(["SELECT run, label, split, target, count(*) AS n", ""])}) GROUP BY run, target""",
+    DATASET,
+)
+def run_weights(spark, d):
+    """The class weights that the rows of each run are learned with."""
+    rows = sampling.grid_rows(materialize(views.dataset(spark, d), "dataset"), RUNS)
+    weighted = training.with_run_weights(rows)
+    return weighted.groupBy("run", "target").agg(F.count("*").alias("n"), rounded(F.max("weight"), "weight"))
+
+
 ORACLE["group_dataset"] = f"WITH {(ANNOTATIONS + _GROUPS).strip()}\n{ORACLE['group_dataset']}"
