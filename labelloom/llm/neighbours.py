@@ -184,28 +184,26 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda v: v != 0)
 
 
-def distinct_rows(frame):
-    """(ids, matrix) of a block; rows with equal id and vector count once."""
-    ids, x = frame["_id"].to_numpy(), np.stack(frame["_x"].to_numpy())
-    if len(np.unique(ids)) < len(ids):
-        first = sorted({(i, v.tobytes()): n for n, (i, v) in reversed(list(enumerate(zip(ids, x, strict=True))))}.values())
-        ids, x = ids[first], x[first]
-    return ids, x
+def rows_of(frame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row numbers, ids, matrix) of a block."""
+    return frame["_row"].to_numpy(), frame["_id"].to_numpy(), np.stack(frame["_x"].to_numpy())
 
 
 def exact_best(queries: tuple, rows: tuple, k: int) -> tuple[np.ndarray, ...]:
-    """(query index, row index, distance) of each query's ``k`` nearest rows, itself left out.
+    """(query index, row index, distance) of each query's ``k`` nearest rows, its own left out.
+
+    ``queries`` and ``rows`` are (row numbers, ids, matrix); ties go to smaller ids.
 
     Distances are sums of squared differences in double precision; a product first rules out rows that
     cannot be among the nearest, with room for its rounding, so ties stay.
     """
-    (query_ids, q), (row_ids, x) = queries, rows
+    (query_rows, _, q), (row_numbers, row_ids, x) = queries, rows
     found: list[tuple[np.ndarray, ...]] = []
     q_norm, x_norm = (q * q).sum(axis=1), (x * x).sum(axis=1)
     for a in range(0, len(q), 256):
         part = q[a : a + 256]
         rough = q_norm[a : a + 256, None] + x_norm[None, :] - 2 * part @ x.T
-        rough[query_ids[a : a + 256, None] == row_ids[None, :]] = np.inf
+        rough[query_rows[a : a + 256, None] == row_numbers[None, :]] = np.inf
         take = min(k, x.shape[0])
         bound = np.partition(rough, take - 1, axis=1)[:, take - 1]
         slack = 1e-9 * (q_norm[a : a + 256] + x_norm.max(initial=0)) + 1e-300
@@ -229,10 +227,11 @@ def nearest(
     """(query_id, rank, vec_id, score): the ``k`` nearest found rows of each query, all if there are fewer.
 
     Nearness is the Euclidean distance in double precision on the original vectors, ties go to the smaller
-    id, and a query's own id is no candidate. Rows with a null id, or whose vector is null, zero, or holds
-    null or non-finite components, take no part, nor do vectors whose length is not the commonest one
-    (the longest of those on a tie). Rows equal in id and vector count once. Other columns are not read;
-    an empty table gives no rows.
+    id, and a query's own row is no candidate. Rows with a null id, or whose vector is null, zero, or holds
+    null or non-finite components, take no part. Repeated rows are rows of their own, as queries and as
+    candidates. Vectors of different lengths have no distance and never meet: those of the commonest length
+    (the longest of those on a tie) are found through the parts, all others are compared with all of their
+    length. Other columns are not read; an empty table gives no rows.
 
     Fitted on about ``sample_rows`` vectors; every row is indexed and visited parts are compared whole. The
     router (a few thousand numbers) goes to all tasks. A part, however large, is cut into blocks of rows
@@ -245,7 +244,7 @@ def nearest(
         F.col(vector).cast("array<double>").alias("_x"),
         F.coalesce(is_query, F.lit(False)).alias("_query"),
     )
-    x = x.where(F.col("_id").isNotNull() & usable(F.col("_x")))
+    x = x.where(F.col("_id").isNotNull() & usable(F.col("_x"))).withColumn("_row", F.monotonically_increasing_id())
     sizes = x.groupBy(F.size("_x").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dims")).limit(1).collect()
     schema = T.StructType(
         [
@@ -258,6 +257,7 @@ def nearest(
     if not sizes:
         return spark.createDataFrame([], schema)
     dims, total = sizes[0]["dims"], sizes[0]["n"]
+    others = x.where(F.size("_x") != dims).withColumn("_parts", F.array(-F.size("_x")))
     x = x.where(F.size("_x") == dims)
     draw = F.pmod(F.xxhash64(F.lit("parts"), "_id"), F.lit(DRAW)) < int(min(1.0, sample_rows / total) * DRAW)
     sample = np.array([r["_x"] for r in x.where(draw).orderBy("_id").select("_x").collect()], dtype=float)
@@ -274,32 +274,26 @@ def nearest(
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "_parts"])
 
     routed = materialize(
-        x.mapInArrow(route, T.StructType([*x.schema.fields, T.StructField("_parts", T.ArrayType(T.IntegerType()))])),
+        x.mapInArrow(route, T.StructType([*x.schema.fields, T.StructField("_parts", T.ArrayType(T.IntegerType()))])).unionByName(others),
         "routed-vectors",
     )
     home = F.col("_parts")[0]
     row_counts = routed.groupBy(home.alias("_part")).agg(F.count("*").alias("rows"))
     asked = routed.where("_query").select(F.explode("_parts").alias("_part"))
     query_counts = asked.groupBy("_part").agg(F.count("*").alias("queries"))
-    blocks = {
-        r["_part"]: (-(-r["rows"] // BLOCK_ROWS), -(-r["queries"] // BLOCK_QUERIES))
-        for r in row_counts.join(query_counts, "_part").collect()
-    }
-    if not blocks:
-        return spark.createDataFrame([], schema)
-    # At most MAX_PARTS rows.
-    cuts = F.broadcast(
-        spark.createDataFrame([(p, r, q) for p, (r, q) in blocks.items()], "_part int, _rows int, _queries int")
+    cuts = row_counts.join(query_counts, "_part").select(
+        "_part", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("_rows"), F.ceil(F.col("queries") / BLOCK_QUERIES).cast("int").alias("_queries")
     )
-    salt = F.xxhash64(F.lit("block"), "_id", "_x")
+    cuts = materialize(cuts, "part-blocks")
+    salt = F.xxhash64(F.lit("block"), "_row")
     rows = (
-        routed.select("_id", "_x", home.alias("_part"))
+        routed.select("_row", "_id", "_x", home.alias("_part"))
         .join(cuts, "_part")
         .withColumn("_row_block", F.pmod(salt, F.col("_rows")).cast("int"))
         .withColumn("_query_block", F.explode(F.sequence(F.lit(0), F.col("_queries") - 1)))
     )
     queries = (
-        routed.where("_query").select("_id", "_x", F.explode("_parts").alias("_part"))
+        routed.where("_query").select("_row", "_id", "_x", F.explode("_parts").alias("_part"))
         .join(cuts, "_part")
         .withColumn("_query_block", F.pmod(salt, F.col("_queries")).cast("int"))
         .withColumn("_row_block", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)))
@@ -310,21 +304,21 @@ def nearest(
     def compare(left, right):
         import pandas as pd
 
-        names = ["query_id", "row_id", "score"]
+        names = ["query_row", "query_id", "row_id", "score"]
         if not len(left) or not len(right):
             return pd.DataFrame({n: [] for n in names})
-        queries, rows = distinct_rows(left), distinct_rows(right)
+        queries, rows = rows_of(left), rows_of(right)
         query, row, score = exact_best(queries, rows, k)
-        return pd.DataFrame(dict(zip(names, (queries[0][query], rows[0][row], score), strict=True)))
+        return pd.DataFrame(dict(zip(names, (queries[0][query], queries[1][query], rows[1][row], score), strict=True)))
 
     found = (
-        queries.select(*block, "_id", "_x")
-        .toDF(*block, "_id", "_x")
+        queries.select(*block, "_row", "_id", "_x")
+        .toDF(*block, "_row", "_id", "_x")
         .groupBy(*block)
-        .cogroup(rows.select(*block, "_id", "_x").toDF(*block, "_id", "_x").groupBy(*block))
-        .applyInPandas(compare, f"query_id {id_type}, row_id {id_type}, score double")
+        .cogroup(rows.select(*block, "_row", "_id", "_x").toDF(*block, "_row", "_id", "_x").groupBy(*block))
+        .applyInPandas(compare, f"query_row long, query_id {id_type}, row_id {id_type}, score double")
     )
     ranked = found.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "row_id"))
+        "rank", F.row_number().over(Window.partitionBy("query_row").orderBy("score", "row_id"))
     ).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("row_id").alias(schema.names[2]), "score")
