@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -139,11 +141,40 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several later steps read, and read it back with its lineage cut."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
+    return _written(df, path)
+
+
+# Tables written in each open scope, the innermost last.
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that are written inside are deleted at the end.
+
+    Gives a ``materialize`` for those that stay: what is handed on must be one of them, or not read the others.
+    """
+    paths: list[str] = []
+    _scratch.append(paths)
+
+    try:
+        yield lambda df, name: _written(df, new_folder(spark, name))
+    finally:
+        _scratch.pop()
+        context = spark.sparkContext
+        for path in paths:
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """The helpers for hot keys against plain definitions, with one key holding most rows."""
 
+import os
 import random
 
 import pytest
@@ -84,3 +85,19 @@ def test_null_keys_are_spread_over_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_scratch_tables_are_deleted(spark):
+    with scale.scratch_tables(spark) as keep:
+        gone = scale.materialize(spark.range(5), "gone").inputFiles()[0]
+        with scale.scratch_tables(spark) as inner:
+            stays = inner(spark.range(3), "stays")
+            nested = scale.materialize(spark.range(2), "nested").inputFiles()[0]
+        assert not os.path.exists(nested.removeprefix("file://")) and os.path.exists(gone.removeprefix("file://"))
+        last = keep(stays.withColumn("x", stays["id"] + 1), "last")
+    assert not os.path.exists(gone.removeprefix("file://"))
+    assert last.count() == 3 and stays.count() == 3
+    with pytest.raises(ZeroDivisionError), scale.scratch_tables(spark):
+        scale.materialize(spark.range(2), "failed")
+        1 / 0
+    assert not scale._scratch
