@@ -8,6 +8,9 @@ from labelloom.operators.scale import materialize
 
 # Nodes that a task's local forest holds before it is given out.
 FOREST_NODES = 500_000
+# A node is hot from so many neighbours on, if they are also one in HOT_SHARE of all.
+HOT_NEIGHBOURS = 1_024
+HOT_SHARE = 256
 
 
 def local_forests(edges: DataFrame) -> DataFrame:
@@ -50,17 +53,24 @@ def local_forests(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of the edges (u, v) of long ids.
 
-    Nodes without an edge are not listed. Each round writes the edges to the shared folder; a hot node's
-    edges are never gathered: its smallest neighbour is an aggregate, and joins may split it. Rounds go on
-    until every node has one edge and it leads to a node that has none.
+    Nodes without an edge are not listed. Each round writes the edges to the shared folder. A hot node's edges
+    are never gathered: its smallest neighbour is an aggregate, and goes to all tasks; there are at most twice
+    HOT_SHARE such nodes. Rounds go on until every node has one edge and it leads to a node that has none.
     """
     current = materialize(local_forests(edges).distinct(), "forests")
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         # Larger neighbours go to the smallest one, in both senses of a star.
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        larger, limit = both.where("v > u"), max(HOT_NEIGHBOURS, 2 * current.count() // HOT_SHARE)
+        hot = least.where(F.col("n") > limit).drop("n").collect()
+        if hot:
+            table = F.broadcast(current.sparkSession.createDataFrame(hot, "u long, m long"))
+            cold = larger.join(table, "u", "left_anti").join(least.drop("n"), "u")
+            joined = larger.join(table, "u").unionByName(cold)
+        else:
+            joined = larger.join(least.drop("n"), "u")
+        large = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         current = materialize(small.where("u <> v").distinct(), "stars")

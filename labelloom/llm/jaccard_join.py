@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from labelloom.llm.common import _slices, map_texts
 from labelloom.llm.components import components
-from labelloom.llm.rtree import GROUPS, count_points, link_tile, linked_pairs, near_points
+from labelloom.llm.rtree import count_point, folded, groups_for, link_tile, linked_pairs, near_points
 from labelloom.llm.shingles import MULTIPLIER, fingerprint, mixed, shingle_set, signatures
-from labelloom.operators.scale import materialize
+from labelloom.operators.scale import materialize, scratch_tables
 
 # A tile ends at this many sets, or at as many shingles per set as MIN_WEIGHT on average.
 TILE_SETS = 128
@@ -43,12 +43,12 @@ def shingle_rows(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
         def describe(texts: list) -> dict:
             sets = [shingle_set(t, size) for t in texts]
             marks = [fingerprint(s) for s in sets]
-            points = count_points(sets).astype("<u4" if max(map(len, sets), default=0) > 0xFFFF else "<u2")
+            points = [count_point(s, groups_for(len(s))) for s in sets]
             return {
                 "n": [len(s) for s in sets],
                 "f1": [m[0] for m in marks],
                 "f2": [m[1] for m in marks],
-                "counts": [p.tobytes() for p in points],
+                "counts": [p.astype("<u2" if p.max() <= 0xFFFF else "<u4").tobytes() for p in points],
             }
 
         return describe
@@ -220,8 +220,8 @@ def within_bound(clusters: DataFrame, percent: int) -> DataFrame:
 
     def join(held: list[tuple]) -> list[tuple[int, int]]:
         nodes, sides, sizes, counts = zip(*held, strict=True)
-        points = np.array([np.frombuffer(c, dtype="<u4" if len(c) > 2 * GROUPS else "<u2") for c in counts], dtype=np.int32)
-        return [(nodes[i], nodes[j]) for i, j in near_points(points, np.array(sizes), np.array(sides), percent)]
+        points = [np.frombuffer(c, dtype=f"<u{len(c) // groups_for(n)}") for c, n in zip(counts, sizes, strict=True)]
+        return [(nodes[i], nodes[j]) for i, j in near_points(folded(points), np.array(sizes), np.array(sides), percent)]
 
     return grouped_links(crossing, group, ["node", "side", "n", "counts"], join)
 
@@ -400,21 +400,46 @@ def linked_documents(
     return counted.select(key, "n_shingles", "component_id", F.col("node").alias("class_id"), own.alias("n_links"))
 
 
+def text_nodes(docs: DataFrame, key: str, text: str, node: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a whole number ``node`` for each pair of key and text, and (node, key, mark) of keys with several texts.
+
+    The node is the key itself, or a number above all keys where the key recurs with different texts.
+    """
+    mark = F.coalesce(F.sha2(F.col(text).cast("string"), 256), F.lit(""))
+    marked = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), mark.alias("_mark"))
+    several = marked.groupBy("_key").agg(F.min("_mark").alias("_a"), F.max("_mark").alias("_b")).where("_a <> _b")
+    pairs = marked.join(several, "_key", "left_semi").distinct()
+    top = docs.agg(F.max(F.col(key).cast("long"))).scalar()
+    pairs = materialize(pairs.select((top + 1 + F.monotonically_increasing_id()).alias("_node"), "_key", "_mark"), "recurring-keys")
+    if pairs.isEmpty():
+        return docs.withColumn(node, F.col(key).cast("long")), pairs
+    own = [(F.col(key).cast("long") == pairs["_key"]) & (mark == pairs["_mark"])]
+    joined = docs.join(pairs, own, "left").withColumn(node, F.coalesce("_node", F.col(key).cast("long")))
+    return joined.drop("_key", "_mark", "_node"), pairs
+
+
 def one_per_group(
     docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, without near duplicates: one row of each group stays.
 
-    It is the one with the smallest key (see near_duplicates); of several rows with that key the one with
-    the smallest text. Rows without a key stay: nothing tells which of them to keep.
+    It is the one with the smallest key. Rows are compared, not keys: a key that recurs with different texts
+    is a row of its own in the group of each of them; of those in one group the smallest sha-256 stays. Of rows
+    equal in key and text one stays. Rows without a key stay: nothing tells which of them to keep.
     """
-    found = near_duplicates(docs, size, percent, key, text)
-    stays = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_stays")).distinct()
-    first = Window.partitionBy("_stays").orderBy(text)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    own_key, own_text = (names[docs.columns.index(c)] for c in (key, text))
+    rows, several = text_nodes(docs.toDF(*names), own_key, own_text, "_row")
+    with scratch_tables(docs.sparkSession) as keep:
+        found = near_duplicates(rows.where(F.col(own_key).isNotNull()).select("_row", own_text), size, percent, "_row", own_text)
+        order = F.struct(F.coalesce("_key", F.col("_row")).alias("key"), "_mark", F.col("_row").alias("row"))
+        stays = found.join(several, found["_row"] == several["_node"], "left").groupBy("component_id").agg(F.min(order).alias("_first"))
+        stays = keep(stays.select(F.col("_first.row").alias("_stays")), "rows-that-stay")
+    first = Window.partitionBy("_stays").orderBy(F.xxhash64(*names))
     with_key = (
-        docs.join(stays, docs[key].cast("long") == F.col("_stays"))
+        rows.join(stays, rows["_row"] == stays["_stays"])
         .withColumn("_place", F.row_number().over(first))
         .where(F.col("_place") == 1)
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        .select(*names)
     )
-    return with_key.unionByName(docs.where(F.col(key).isNull()))
+    return with_key.unionByName(rows.where(F.col(own_key).isNull()).select(*names)).toDF(*docs.columns)

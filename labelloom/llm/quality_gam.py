@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from labelloom.llm import features
-from labelloom.llm.common import held_out, id_hash, map_texts
+from labelloom.llm.common import held_out, id_hash, map_texts, text_column
 from labelloom.operators.scale import materialize
 
 HELD_OUT_FOLDS = 5
@@ -173,10 +173,8 @@ def fit_gam(
     return model
 
 
-def training_sample(
-    counted: DataFrame, labels: DataFrame, key: str, label: str, rows: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and labels of labelled rows outside the held-out fold, drawn by hash down to about ``rows``."""
+def training_ids(labels: DataFrame, key: str, label: str, rows: int) -> DataFrame:
+    """(key, _label) of labelled ids outside the held-out fold, drawn by hash down to about ``rows``."""
     known = (
         labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(key), HELD_OUT_FOLDS))
         .groupBy(key)
@@ -184,8 +182,15 @@ def training_sample(
     )
     number = known.count()
     bits = F.pmod(F.xxhash64(F.lit("quality"), F.col(key)), F.lit(DRAW))
-    drawn = known.where(bits < int(min(1.0, rows / max(number, 1)) * DRAW))
-    found = counted.select(key, *features.COUNTS).join(drawn, key).orderBy(id_hash(F.col(key)), key).toPandas()
+    return known.where(bits < int(min(1.0, rows / max(number, 1)) * DRAW))
+
+
+def training_sample(counted: DataFrame, drawn: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and labels of the drawn ids; of several rows of an id, those with the smallest counts."""
+    figures = F.struct(*features.COUNTS)
+    rows = counted.select(key, figures.alias("_c")).join(F.broadcast(drawn), key).groupBy(key)
+    found = rows.agg(F.min("_c").alias("_c"), F.first("_label").alias("_label")).select(key, "_c.*", "_label")
+    found = found.orderBy(id_hash(F.col(key)), key).toPandas()
     x = feature_matrix({c: found[c].to_numpy() for c in features.COUNTS})
     return x, found["_label"].to_numpy(dtype=float)
 
@@ -198,7 +203,8 @@ def fit_quality(
     counted = materialize(
         map_texts(docs, text, [key], lambda: features.count_texts, features.FIELDS), "classifier-counts"
     )
-    return fit_gam(*training_sample(counted, labels, key, label, sample_rows)), counted
+    drawn = training_ids(labels, key, label, sample_rows)
+    return fit_gam(*training_sample(counted, drawn, key)), counted
 
 
 def quality_scores(
@@ -248,16 +254,16 @@ def accepted(
     docs: DataFrame, labels: DataFrame, accept: float = 0.3, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id",
     text: str = "text", label: str = "quality",
 ) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores ``accept`` or more (see quality_scores)."""
-    model, _ = fit_quality(docs, labels, sample_rows, key, text, label)
-    names = [f"_c{i}" for i in range(len(docs.columns))]
+    """The rows of ``docs``, with all their columns, whose text scores ``accept`` or more (see quality_scores).
 
-    def make():
-        def score(texts: list) -> dict:
-            return {"score": model.score(feature_matrix(features.count_texts(texts)))}
+    Only the texts that the model learns from are counted beforehand.
+    """
+    drawn = training_ids(labels, key, label, sample_rows)
+    chosen = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(drawn.select(key)), key, "left_semi")
+    counted = map_texts(chosen, "_text", [key], lambda: features.count_texts, features.FIELDS)
+    model = fit_gam(*training_sample(counted, drawn, key))
 
-        return score
+    def score(texts: list) -> np.ndarray:
+        return model.score(feature_matrix(features.count_texts(texts)))
 
-    whole = names[docs.columns.index(text)]
-    scored = map_texts(docs.toDF(*names), whole, names, make, [T.StructField("score", T.DoubleType())])
-    return scored.where(F.col("score") >= accept).select(*names).toDF(*docs.columns)
+    return docs.where(text_column(docs, text, score, T.DoubleType()) >= accept)

@@ -11,10 +11,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from labelloom.llm import features
-from labelloom.llm.common import map_texts
+from labelloom.llm.common import map_texts, text_column
 from labelloom.operators.scale import materialize
 
 
@@ -162,8 +162,10 @@ def kept_rows(
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the rules keep (see quality_rules)."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    whole = names[docs.columns.index(text)]
-    voted = materialize(counted_votes(docs.toDF(*names), [], rules, whole).select("votes"), "quality-votes")
-    voting = counted_votes(docs.toDF(*names), names, rules, whole)
-    good = voting.where(~failed()).join(F.broadcast(posteriors(voted)), "votes").where(F.col("posterior") >= keep_at)
+    renamed = docs.toDF(*names)
+    counts = text_column(renamed, names[docs.columns.index(text)], features.count_texts, T.StructType(features.FIELDS))
+    counted = renamed.withColumn("_counts", counts).select(*names, "_counts.*")
+    # Texts are counted once: the estimate needs all votes before the first verdict.
+    voted = materialize(counted.select(*names, failed().alias("_failed"), pattern(rules).alias("votes")), "quality-votes")
+    good = voted.where("NOT _failed").join(F.broadcast(posteriors(voted)), "votes").where(F.col("posterior") >= keep_at)
     return good.select(*names).toDF(*docs.columns)

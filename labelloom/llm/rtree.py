@@ -14,17 +14,37 @@ import numpy as np
 from labelloom.llm.shingles import least_overlap, overlap
 
 GROUPS = 64
+# More groups from so many shingles per group on.
+GROUP_SHINGLES = 12
 FANOUT = 16
 
 
-def count_points(sets: list[np.ndarray], groups: int = GROUPS) -> np.ndarray:
-    """Counts per group of each set, taken from high bits, which other steps do not use."""
-    sizes = np.array([len(s) for s in sets])
-    if not len(sets):
-        return np.zeros((0, groups), dtype=np.int32)
-    place = (np.concatenate(sets) >> np.uint64(40)) % np.uint64(groups)
-    flat = np.repeat(np.arange(len(sets)), sizes) * groups + place.astype(np.int64)
-    return np.bincount(flat, minlength=len(sets) * groups).reshape(-1, groups).astype(np.int32)
+def groups_for(size: int) -> int:
+    """Groups of a set: a power of two, so that unrelated sets differ by more than chance evens out in any size.
+
+    Two unrelated sets of n shingles differ by about 0.6 sqrt(n G) over G groups, and a link allows a share of n.
+    """
+    groups = GROUPS
+    while groups * GROUP_SHINGLES < size:
+        groups *= 2
+    return groups
+
+
+def count_point(hashes: np.ndarray, groups: int) -> np.ndarray:
+    """Counts per group of a set, taken from high bits, which other steps do not use."""
+    return np.bincount(((hashes >> np.uint64(40)) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def count_points(sets: list[np.ndarray], groups: int | None = None) -> np.ndarray:
+    """Points of sets over the same groups, as many as the largest set needs."""
+    groups = groups or groups_for(max(map(len, sets), default=0))
+    return np.array([count_point(s, groups) for s in sets], dtype=np.int32).reshape(len(sets), groups)
+
+
+def folded(points: list[np.ndarray]) -> np.ndarray:
+    """Points over different numbers of groups, brought to the smallest one; groups nest."""
+    least = min(map(len, points))
+    return np.array([p.reshape(-1, least).sum(axis=0) for p in points], dtype=np.int32)
 
 
 class RTree:

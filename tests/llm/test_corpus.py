@@ -118,7 +118,20 @@ def test_jaccard_of_edge_rows(edges, nothing):
     assert jaccard_join.near_duplicates(nothing).count() == 0
     kept = jaccard_join.one_per_group(edges, 3, 90)
     assert kept.columns == edges.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12, 13]
+    # Both texts of id 3 stay: one of them is that of id 6, which goes.
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 3, 4, 5, 7, 8, 9, 10, 11, 12, 13]
+
+
+def test_recurring_ids_lose_no_text(spark):
+    """Ids that recur with unrelated texts, as in tables stacked from several dumps."""
+    rng = random.Random(12)
+    texts = [prose(rng, 60) for _ in range(40)]
+    rows = [(i % 10, t, f"s{i}") for i, t in enumerate(texts)] + [(3, texts[3], "again"), (50, texts[17], "copy"), (7, None, "x"), (7, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(4)
+    kept = jaccard_join.one_per_group(docs, 3, 90)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id, r.text or "") for r in kept.collect())
+    assert got == sorted([(i % 10, t) for i, t in enumerate(texts)] + [(7, ""), (7, "")])
 
 
 def test_linked_sets_share_a_signature():
@@ -149,6 +162,25 @@ def test_rtree_bound_loses_no_pair():
                 assert j in found
 
 
+def test_components_of_hot_stars(spark, monkeypatch):
+    """Hubs with most of the edges, linked by a chain, are broadcast and come out as by union-find."""
+    monkeypatch.setattr(components, "HOT_NEIGHBOURS", 20)
+    rng = random.Random(3)
+    edges = [(h, rng.randrange(10_000, 13_000)) for h in (5, 700, 9_000) for _ in range(1200)] + [(i, i + 1) for i in range(20_000, 20_080)] + [(5, 700), (50_000, 20_000)]
+    rows = spark.createDataFrame(edges, "u long, v long").repartition(6)
+    parent = {}
+
+    def find(a):
+        while parent.setdefault(a, a) != a:
+            a = parent[a]
+        return a
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    assert {r.node: r.component for r in components.components(rows).collect()} == {n: find(n) for n in parent}
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(7, 7), (5000, 4000)]
     rows = spark.createDataFrame([(max(e), min(e)) for e in edges], "u long, v long").repartition(5)
@@ -266,6 +298,41 @@ def test_sources_stay_within_a_block_of_their_share(spark, block):
             break
 
 
+def plain_schedule(shares):
+    """Earliest deadline first, slot by slot: (source, turn) of each slot of a period."""
+    period, done, out = sum(q for _, q in shares), [0] * len(shares), []
+    for t in range(period):
+        ready = [(-(-(done[i] + 1) * period // q), i) for i, (_, q) in enumerate(shares) if done[i] * period // q <= t]
+        i = min(ready)[1]
+        out.append((shares[i][0], done[i]))
+        done[i] += 1
+    return out
+
+
+def test_classes_of_equal_share_are_scheduled_as_their_sources(spark):
+    rng = random.Random(9)
+    for n in (1, 2, 7, 60, 400):
+        shares = [(f"s{i:04}", rng.choice([1, 1, 2, 3, 3, 9, 40])) for i in range(n)]
+        rows = spark.createDataFrame([(s, 5, q) for s, q in shares], "source string, rows long, share long").repartition(3)
+        got = sorted(mixing.period_schedule(rows).collect(), key=lambda r: r.slot)
+        assert [(r.source, r.turn) for r in got] == plain_schedule(shares)
+        assert [r.slot for r in got] == list(range(sum(q for _, q in shares)))
+
+
+@pytest.mark.parametrize("block", [1, 4])
+def test_many_sources_of_all_sizes(spark, block):
+    """More sources than any limit there was, some of which run out at once: every row gets a place of its own."""
+    rng = random.Random(10)
+    rows = [(i, f"s{int(2600 * rng.random() ** 1.2)}" if i % 3 else "hot") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string").repartition(4)
+    got = sorted(mixing.mix(docs, block_rows=block).select("source", "mix.*").collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(9000)) and len({r.source for r in got}) > 2000
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    assert [r.slot for r in got] == sorted(r.slot for r in got)
+    assert max(Counter(r.slot for r in got).values()) <= block
+    assert {(r.source, r.block, r.slot) for r in got} and len({(r.source, r.block) for r in got}) == len({r.slot for r in got})
+
+
 def test_mixing_of_edge_rows(edges, nothing):
     mixed = mixing.mix(edges)
     rows = mixed.collect()
@@ -316,10 +383,12 @@ def test_neighbours_of_edge_rows(spark):
     rows = [
         (0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 1.0], None), (3, None, 1), (4, [0.0, 0.0], 1), (5, [nan, 1.0], 1),
         (6, [inf, 1.0], 1), (7, [1.0, None], 1), (8, [1.0, 2.0, 3.0], 1), (None, [1.0, 0.0], 1), (100, [0.0, 1.0], 1), (9, [], 1),
-        (2, [0.0, 1.0], None),
+        (2, [0.0, 1.0], None), (200, [1.0, 2.0, 3.0], 1), (200, [1.0, 2.0, 4.0], 1),
     ]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     got = sorted(map(tuple, neighbours.nearest(frame, F.col("vec_id") % 100 == 0, k=3).collect()))
     far = math.sqrt(2)
-    assert got == [(0, 1, 1, 0.0), (0, 2, 2, far), (0, 3, 100, far), (100, 1, 2, 0.0), (100, 2, 0, far), (100, 3, 1, far)]
+    # Repeated rows are candidates, also of a query with their id; vectors of another length meet each other.
+    other = [(200, 1, 8, 0.0), (200, 1, 8, 1.0), (200, 2, 200, 1.0), (200, 2, 200, 1.0)]
+    assert got == [(0, 1, 1, 0.0), (0, 2, 2, far), (0, 3, 2, far), (100, 1, 2, 0.0), (100, 2, 2, 0.0), (100, 3, 0, far), *other]
     assert neighbours.nearest(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
