@@ -134,6 +134,20 @@ def test_recurring_ids_lose_no_text(spark):
     assert got == sorted([(i % 10, t) for i, t in enumerate(texts)] + [(7, ""), (7, "")])
 
 
+def test_linked_documents_of_edge_rows(edges):
+    """What op9 returns, on nulls, copies, one id with two texts, and columns with the names of its own."""
+    rows = [(r[0], r[1]) for r in edge_rows()]
+    sets = [frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))) if (w := words_of(t)) else frozenset() for _, t in rows]
+    want = sorted(
+        (k, len(x), sum(bool(x and y) and 100 * len(x & y) >= 90 * len(x | y) for y in sets) - bool(x))
+        for (k, _), x in zip(rows, sets, strict=True) if k is not None
+    )
+    clashing = edges.withColumnsRenamed({"lang": "_text", "source": "component_id", "n_words": "_range", "score": "node"})
+    got = jaccard_join.linked_documents(clashing, 3, 90).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in got if r.doc_id is not None) == want
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(6)
     for percent in (80, 90):
@@ -266,6 +280,16 @@ def test_rare_pairs_are_learned_at_any_size(spark, monkeypatch, filler):
         assert math.isclose(got[key], want, rel_tol=1e-9, abs_tol=1e-6), key
 
 
+def test_scores_of_edge_rows_equal_the_plain_walk(edges):
+    """Null ids and texts, repeated rows, a word of 200,000 letters and one repeated 3,000 times."""
+    rows = [(r[0], r[1]) for r in edge_rows()]
+    want = sorted((k is None, k, round(s, 4)) for (k, _), s in zip(rows, plain_scores(rows), strict=True) if k is not None)
+    got = lm_scores.lm_scores(edges.withColumnRenamed("n_words", "block")).collect()
+    assert sorted((False, r.doc_id, round(r.score, 4)) for r in got if r.doc_id is not None) == want
+    unnamed = sorted(round(s, 4) for (k, _), s in zip(rows, plain_scores(rows), strict=True) if k is None)
+    assert sorted(round(r.score, 4) for r in got if r.doc_id is None) == unnamed
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     rows = lm_scores.lm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
     score, base = rows.agg(F.sum("score"), F.sum("base_score")).first()

@@ -95,6 +95,45 @@ def test_pair_tables_learn_an_interaction():
     assert {(a, b) for a, b, *_ in model.pairs} >= {(0, 1)}
 
 
+def plain_score(model, row):
+    """One table entry per feature and per pair, looked up by counting the edges at or below a value."""
+    bin_of = lambda edges, v: sum(1 for e in edges.tolist() if e <= v)
+    odds = model.intercept + sum(t[bin_of(e, row[j])] for j, (e, t) in enumerate(zip(model.edges, model.tables, strict=True)))
+    odds += sum(t[bin_of(ea, row[a]), bin_of(eb, row[b])] for a, b, ea, eb, t in model.pairs)
+    return 1 / (1 + np.exp(-odds))
+
+
+def test_scores_of_the_whole_table_equal_plain_lookups(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model, _ = quality_gam.fit_quality(docs, labels)
+    got = {r.doc_id: r.score for r in quality_gam.quality_scores(docs, labels).collect()}
+    for r in docs.collect():
+        row = quality_gam.feature_matrix(features.count_texts([r.text]))[0]
+        assert got[r.doc_id] == pytest.approx(plain_score(model, row))
+
+
+def test_one_step_of_a_tree_equals_all_cuts():
+    """A tree of depth 1 takes the cut with the largest gain of all."""
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        n = int(rng.integers(1, 12))
+        grad, hess = rng.normal(size=n), rng.random(n) + 0.1
+        step, gain = quality_gam.leaf_values(grad, hess, 1, 1.0)
+        cuts = [grad.sum() ** 2 / (hess.sum() + 1)]
+        cuts += [grad[:i].sum() ** 2 / (hess[:i].sum() + 1) + grad[i:].sum() ** 2 / (hess[i:].sum() + 1) for i in range(1, n)]
+        assert gain == pytest.approx(max(cuts))
+        assert len(set(np.round(step, 12))) <= 2
+
+
+def test_recurring_ids_bring_one_row_each(spark):
+    """An id that recurs many times in the documents weighs no more, and brings no more rows, than any other."""
+    counted = spark.createDataFrame([(i % 3, *[i] * len(features.COUNTS)) for i in range(3000)], ["doc_id", *features.COUNTS])
+    drawn = spark.createDataFrame([(0, 1), (2, 0), (9, 1)], "doc_id long, _label int")
+    x, y = quality_gam.training_sample(counted, drawn, "doc_id")
+    assert len(x) == 2 and sorted(y) == [0.0, 1.0]
+
+
 EXPRESSIONS = {
     "mit": ({"mit"}, 0.1),
     "mit or gpl-3.0-only": ({"mit"}, 0.1),
