@@ -24,6 +24,10 @@ PROVENANCE_CATEGORIES = {
     "3": "3: New PI concept",
     "4": "4: New Emerging concept",
 }
+# The lists of the rows of a slice have about so many letters together.
+SLICE_LETTERS = 1 << 28
+# Slices of the rows that have no hosts.
+NO_SCOPE_SLICES = 4_096
 
 
 def new_descriptors(old: DataFrame, new: DataFrame, now: DataFrame) -> DataFrame:
@@ -267,21 +271,49 @@ def extended_hosts(hosts: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFra
     )
 
 
-def extended_host_counts(hosts: DataFrame, now: DataFrame) -> DataFrame:
-    """(descriptor_ui, scope, n_extended_hosts, extended_hosts): distinct labels in the branches of the hosts.
+def host_members(hosts: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(label, scope), (scope, member) and (scope, n_extended_hosts, slices): the labels in the branches of the hosts.
 
-    Their number, and their sorted list joined by ``~``. Branches of several hosts are united once per
-    scope; a list is bounded by the labels of the thesaurus.
+    Branches of several hosts are united once per scope. ``slices`` is the number of parts that the labels of a
+    scope are dealt out to when each gets the list of the members (see ``with_extended_hosts``).
     """
     label_scope, scope_hosts, branches = extended_hosts(hosts, now)
-    members = scope_hosts.join(branches, "parent").select("scope", "member").distinct()
-    united = members.groupBy("scope").agg(
-        F.count("*").alias("n_extended_hosts"),
-        F.array_join(F.array_sort(F.collect_list("member")), "~").alias("extended_hosts"),
+    members = materialize(scope_hosts.join(branches, "parent").select("scope", "member").distinct(), "host-members")
+    sizes = members.groupBy("scope").agg(
+        F.count("*").alias("n_extended_hosts"), F.sum(F.length("member") + 1).alias("_list")
     )
-    return label_scope.join(united, "scope").select(
-        F.col("label").alias("descriptor_ui"), "scope", "n_extended_hosts", "extended_hosts"
+    written = F.col("_list") * F.col("_labels")
+    sizes = sizes.join(label_scope.groupBy("scope").agg(F.count("*").alias("_labels")), "scope").select(
+        "scope", "n_extended_hosts", F.greatest(F.lit(1), F.ceil(written / SLICE_LETTERS)).cast("int").alias("slices")
     )
+    return label_scope, members, materialize(sizes, "host-sizes")
+
+
+def with_extended_hosts(rows: DataFrame, members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows (descriptor_ui, scope) plus ``extended_hosts``: the sorted members of the scope joined by ``~``.
+
+    A list is made once per scope and bounded by the labels of the thesaurus, but the lists of all rows together
+    grow with the labels times the members. So this comes last: the rows are dealt out by scope and slice while
+    they are narrow, each slice meets one copy of the list, and rows with their lists are never moved or sorted.
+    """
+    lists = members.groupBy("scope").agg(F.array_join(F.array_sort(F.collect_list("member")), "~").alias("extended_hosts"))
+    slices = sizes.select("scope", "slices")
+    copies = lists.join(slices, "scope").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    copies = copies.select(F.struct("scope", F.col("_slice").alias("slice")).alias("_place"), "extended_hosts")
+    slice_of = F.pmod(F.xxhash64("descriptor_ui"), F.coalesce("slices", F.lit(NO_SCOPE_SLICES))).cast("int")
+    dealt = rows.join(slices, "scope", "left").withColumn("_place", F.struct("scope", slice_of.alias("slice")))
+    return dealt.join(copies, "_place", "left").drop("_place", "slices")
+
+
+def extended_host_counts(hosts: DataFrame, now: DataFrame) -> DataFrame:
+    """(descriptor_ui, scope, n_extended_hosts, extended_hosts): distinct labels in the branches of the hosts.
+
+    Their number, and their sorted list joined by ``~``.
+    """
+    label_scope, members, sizes = host_members(hosts, now)
+    counted = label_scope.withColumnRenamed("label", "descriptor_ui").join(sizes.drop("slices"), "scope")
+    listed = with_extended_hosts(counted, members, sizes)
+    return listed.select("descriptor_ui", "scope", "n_extended_hosts", "extended_hosts")
 
 
 def concepts_per_record(recs: DataFrame) -> DataFrame:

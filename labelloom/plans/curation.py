@@ -97,7 +97,8 @@ def describe_introductions(added: DataFrame, hosts: DataFrame, now: DataFrame) -
     """Use cases: one row per new label with its origin, hosts and position in the hierarchy.
 
     ``hosts`` are the rows of ``versions.provenance_hosts`` for the labels ``added``. The labels below the
-    hosts and below the new label are counted and listed; new labels are few, so the lists are, too.
+    hosts and below the new label are counted and listed. The lists below the hosts come last, when the rows
+    have everything else (see ``versions.with_extended_hosts``).
     """
     types = versions.provenance_codes(versions.provenance_types(hosts, now))
     relations = versions.host_relations(hosts, now)
@@ -105,7 +106,8 @@ def describe_introductions(added: DataFrame, hosts: DataFrame, now: DataFrame) -
         F.array_join(F.array_sort(F.collect_list("host_name")), "~").alias("hosts"),
         F.array_join(F.array_sort(F.collect_list("host_ui")), "~").alias("host_uis"),
     )
-    extended = versions.extended_host_counts(hosts, now).drop("scope")
+    label_scope, members, sizes = versions.host_members(hosts, now)
+    extended = label_scope.withColumnRenamed("label", "descriptor_ui").join(sizes.drop("slices"), "scope")
     parents = hierarchy.label_parents(now).groupBy(F.col("label").alias("descriptor_ui")).agg(
         F.count("*").alias("n_parents"), F.array_join(F.array_sort(F.collect_set("parent")), "~").alias("parents")
     )
@@ -128,7 +130,8 @@ def describe_introductions(added: DataFrame, hosts: DataFrame, now: DataFrame) -
     for part in (types, host_lists, extended, relations, parents, below):
         cases = cases.join(part, "descriptor_ui", "left")
     counts = ("n_hosts", "n_extended_hosts", "n_multi", "n_parents", "n_descendants")
-    return cases.withColumns({c: F.coalesce(F.col(c), zero) for c in counts})
+    cases = cases.withColumns({c: F.coalesce(F.col(c), zero) for c in counts})
+    return versions.with_extended_hosts(cases, members, sizes).drop("scope")
 
 
 def select_use_cases(

@@ -121,6 +121,24 @@ def test_provenance(spark, now):
     assert cases["N3"]["n_descendants"] == 1
 
 
+@pytest.mark.parametrize("letters", [1, 1 << 28])
+def test_lists_of_hosts_are_joined_last(spark, now, monkeypatch, letters):
+    """Rows with the lists of their hosts' branches are not shuffled again; slices of a scope get the same list."""
+    monkeypatch.setattr(versions, "SLICE_LETTERS", letters, raising=False)
+    rows = [("N1", "name AB", "AB"), ("N2", "name A", "A"), ("N2", "name AB", "AB"), ("N3", "name AB", "AB"), ("N4", None, None)]
+    hosts = spark.createDataFrame([(x, "3", n, u, None) for x, n, u in rows], "descriptor_ui string, category string, host_name string, host_ui string, relation string")
+    added = now.where(F.col("descriptor_ui").startswith("N"))
+    cases = curation.describe_introductions(added, hosts, now)
+    plan = cases._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    last = next(line for line in plan if "Join" in line)
+    assert "descriptor_ui" not in last
+    closure = brute_closure()
+    for r in cases.collect():
+        heads = {u for x, _, u in rows if x == r["descriptor_ui"] and u}
+        below = sorted(heads | {d for a, d in closure if a in heads})
+        assert (r["extended_hosts"], r["n_extended_hosts"]) == ("~".join(below) or None, len(below))
+
+
 def test_previous_scr_order(spark):
     concept = [("M1", "x", "Y", ["x"])]
     new = spark.createDataFrame(
