@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.operators import hierarchy, labels, versions
+from labelloom.operators import articles as art, hierarchy, labels, versions
 from labelloom.plans import curation
 
 SCHEMA = """descriptor_ui string, descriptor_name string, public_note string, scope_note string,
@@ -139,6 +139,21 @@ def test_lists_of_hosts_are_joined_last(spark, now, monkeypatch, letters):
         assert (r["extended_hosts"], r["n_extended_hosts"]) == ("~".join(below) or None, len(below))
 
 
+def test_counts_of_scopes_never_shuffle_articles_by_scope(spark):
+    pairs = {(a, h): 1 + (a + len(h)) % 3 for a in range(60) for i, h in enumerate(["A", "B", "CC", "D"]) if (a >> i) % 3 == 0}
+    scopes = {"a": "A", "ab": "AB", "abd": "ABD", "d": "D", "none": "EF"}
+    table = spark.createDataFrame([(a, h, p) for (a, h), p in pairs.items()], "pmid long, parent string, periods int")
+    heads = spark.createDataFrame([(s, h) for s, hosts in scopes.items() for h in hosts], "scope string, parent string")
+    counted = art.period_counts_of_scopes(table, heads, {"old": 1, "new": 2})
+    got = {r["scope"]: (r["old"], r["new"]) for r in counted.collect()}
+    expected = {
+        s: tuple(len({a for (a, h), p in pairs.items() if h in hosts and p & bit}) for bit in (1, 2)) for s, hosts in scopes.items()
+    }
+    assert got == {s: n for s, n in expected.items() if s != "none"}
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [" in line and "scope#" in line and "pmid#" in line]
+
+
 def test_previous_scr_order(spark):
     concept = [("M1", "x", "Y", ["x"])]
     new = spark.createDataFrame(
