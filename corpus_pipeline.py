@@ -42,9 +42,13 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens, which follow the order of the mixture.
 
-    Stages hand on the columns of documents, and Spark reads files in an order of its own, so the positions,
-    which the ids and sources fix, are taken anew, from the measured documents without their texts.
+    Stages hand on the columns of documents. The order that the mixing stage wrote is read off the files and the
+    rows' numbers in them; documents that no mixing stage has written are mixed here, without their texts.
     """
+    if mixing.is_ordered(docs):
+        placed = mixing.with_file_places(docs, "_file", "_row")
+        rows = packing.measured(placed, TOKENIZER, end_id=0, window=1024, keep=("_file", "_row"))
+        return packing.pack_ranges(mixing.file_positions(rows, "_file", "_row", "position"), "position", window=1024)
     rows = packing.measured(docs, TOKENIZER, end_id=0, window=1024, keep=("source",))
     name = ["part", "tail", "tail_rank"]
     mixed = mixing.mix(rows.select(*name, "doc_id", "source")).select(*name, F.col("mix.position").alias("position"))

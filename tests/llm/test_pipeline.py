@@ -76,6 +76,22 @@ def test_sequences_hold_the_sources_at_their_shares(spark, monkeypatch):
         assert all(abs(seen[s] - q * n / sum(shares.values())) < 1.001 for s, q in shares.items())
 
 
+def test_packing_follows_the_files_of_the_mixing_stage(spark, monkeypatch):
+    """What the stage writes decides the sequences: another order of the same rows gives other sequences."""
+    monkeypatch.setattr(packing, "RANGE_DOCS", 16, raising=False)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mixed = corpus_pipeline.source_mixing(spark, docs, SF)
+    position = {r.doc_id: r.position for r in mixing.mix(docs.select("doc_id", "source")).select("doc_id", "mix.position").collect()}
+    backwards = mixed.orderBy(F.desc("doc_id"))
+    last = max(position)
+    for table, place in ((mixed, position), (backwards, {k: last - k for k in position})):
+        written = materialize(table, "ordered")
+        ranges = {}
+        for r in corpus_pipeline.sequence_packing(spark, written, SF).collect():
+            ranges.setdefault(place[r.doc_id] // 16, set()).add(r.sequence_id)
+        assert all(max(ranges[a]) < min(ranges[b]) for a, b in zip(sorted(ranges), sorted(ranges)[1:]))
+
+
 def test_stages_take_odd_rows(spark, edges):
     """Nulls, empty and long texts, repeated rows and columns with clashing names pass all stages."""
     docs = edges
