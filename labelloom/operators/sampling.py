@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from labelloom.functions.numeric import draw, draw_bits, ratio
+from labelloom.functions.numeric import digits_of, draw, draw_bits, draw_digits, drawn_within, made_once, ratio
 from labelloom.operators.scale import lookup_join, materialize, number_rows
 
-# The range of a draw is counted in so many buckets per group.
-DRAW_BUCKETS = 1_024
+# Standard deviations of the number of draws below a bound that the range with the last draw to keep reaches to.
+DEVIATIONS = 6.0
 
 
 def split_rows(rows: DataFrame, test: float = 0.2, dev: float = 0.2, seed: int = 10) -> DataFrame:
@@ -22,8 +24,15 @@ def split_rows(rows: DataFrame, test: float = 0.2, dev: float = 0.2, seed: int =
 
 def undersample_negatives(rows: DataFrame, ratio_kept: float, seed: int = 10) -> DataFrame:
     """Keep each true negative (target 0) with probability ``ratio_kept`` and every other row."""
-    r = draw(F.lit(f"u{seed}|"), F.col("label"), F.lit("|"), F.col("pmid"))
-    return rows.where((F.col("target") != 0) | (r <= F.lit(ratio_kept)))
+    drawn = drawn_within(ratio_kept, F.lit(f"u{seed}|"), F.col("label"), F.lit("|"), F.col("pmid"))
+    return rows.where((F.col("target") != 0) | drawn)
+
+
+def target_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, negatives, positives): rows of either known target per group."""
+    return rows.groupBy(*keys).agg(
+        F.count_if(F.col("target") == 0).alias("negatives"), F.count_if(F.col("target") == 1).alias("positives")
+    )
 
 
 def balance_negatives(
@@ -35,41 +44,65 @@ def balance_negatives(
     A group without positives keeps no negatives. The number to keep is exact for any group size.
     ``per_positive`` and ``seed`` may be columns that are part of ``keys``; a negative ratio keeps all.
 
-    The rows are read twice. One histogram of draws, a few counts per group, gives both the limit of each group
-    and the bucket in which it falls; what lies at or before it is written, and only the rows of that bucket, a
-    thousandth of a large group, are ranked.
+    Counts give each group its limit. Groups that keep all or no negatives need no draws. In the others the last
+    draw to keep lies near the limit's share of all draws: rows before that range are written as they
+    are, and only those in it are ranked.
     """
     if per_positive is None:
         return rows
     keys = keys or ["label", "split"]
+    return _balanced(rows, target_counts(rows, keys), keys, keys, per_positive, seed)
+
+
+def _balanced(
+    rows: DataFrame, counts: DataFrame, on: list[str], keys: list[str], per_positive: int | Column, seed: int | Column
+) -> DataFrame:
+    """Balanced ``rows`` of the groups in ``counts`` (keys, negatives, positives), which they meet on the columns ``on``.
+
+    Keys besides ``on`` come from ``counts``: a row is copied for each of its groups.
+    """
     per_positive = per_positive if isinstance(per_positive, Column) else F.lit(per_positive)
     seed = seed if isinstance(seed, Column) else F.lit(seed)
-    bits = draw_bits(F.lit("b"), seed, F.lit("|"), F.col("label"), F.lit("|"), F.col("pmid"))
+    columns = [*rows.columns, *[k for k in keys if k not in on]]
     negative = F.coalesce(F.col("target") == 0, F.lit(False))
-    bucket = F.when(negative, F.floor(bits * DRAW_BUCKETS / F.lit(1 << 32))).otherwise(-1).cast("int")
-    counted = rows.groupBy(*keys, bucket.alias("_bucket")).agg(
-        F.count_if(negative).alias("_n"), F.count_if(F.col("target") == 1).alias("_positives")
-    )
-    group = Window.partitionBy(*keys)
-    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    limit = F.when(per_positive < 0, F.sum("_n").over(group)).otherwise(F.sum("_positives").over(group) * per_positive)
-    placed = counted.withColumns(
-        {"_limit": limit.cast("long"), "_all": F.sum("_n").over(group), "_before": F.coalesce(F.sum("_n").over(before), F.lit(0))}
-    )
-    falls = (F.col("_before") < F.col("_limit")) & (F.col("_before") + F.col("_n") >= F.col("_limit"))
-    # Where all negatives stay no bucket is cut, where none does every one lies behind.
-    whole = F.when(F.max("_limit") >= F.max("_all"), F.lit(DRAW_BUCKETS)).otherwise(F.min(F.when(falls, F.col("_bucket"))))
-    edges = placed.groupBy(*keys).agg(
-        F.when(F.max("_limit") > 0, whole).otherwise(F.lit(-1)).alias("_edge"),
-        F.max(F.when(falls, F.col("_limit") - F.col("_before"))).alias("_left"),
-    )
-    kept = ~negative | (bucket <= F.col("_edge"))
-    found = lookup_join(rows, materialize(edges, "draw-edges"), keys).where(kept)
-    found = found.select(*rows.columns, (negative & (bucket == F.col("_edge"))).alias("_at_edge"), "_left", bits.alias("_bits"))
-    found = materialize(found, "balanced-rows")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_bits", "pmid"))
-    ranked = found.where("_at_edge").withColumn("_rank", rank).where(F.col("_rank") <= F.col("_left"))
-    return found.where("NOT _at_edge").select(*rows.columns).unionByName(ranked.select(*rows.columns))
+    limit = F.when(per_positive < 0, F.col("negatives")).otherwise(F.col("positives") * per_positive).cast("long")
+    groups = materialize(counts.select(*keys, "negatives", limit.alias("_limit")), "group-limits")
+    whole = lookup_join(rows, groups, on).where(~negative | (F.col("_limit") >= F.col("negatives"))).select(*columns)
+    draws = draw_digits(F.lit("b"), seed, F.lit("|"), F.col("label"), F.lit("|"), F.col("pmid"))
+    found = _first_draws(rows.where(negative), groups.where("_limit > 0 AND _limit < negatives"), on, keys, draws, columns)
+    return reduce(DataFrame.unionByName, found, whole)
+
+
+def _first_draws(
+    rows: DataFrame, groups: DataFrame, on: list[str], keys: list[str], draws: Column, columns: list[str]
+) -> list[DataFrame]:
+    """The first ``_limit`` of the ``negatives`` rows of each group by draw and pmid, in parts.
+
+    The range of draws that should hold the last one is DEVIATIONS wide on either side. Repeated rows share a draw and
+    may put it elsewhere: the counts show that, and such groups are taken again with a wider range.
+    """
+    n, parts, deviations = F.col("negatives"), [], DEVIATIONS
+    share = F.col("_limit") / n
+    while not groups.isEmpty():
+        wide = F.lit(deviations) * F.sqrt(F.col("_limit") * (1 - share) + 1) / n
+        low, high = (digits_of(F.floor((share + sign * wide) * F.lit(1 << 32))) for sign in (-1, 1))
+        ranged = materialize(groups.select(*keys, low.alias("_low"), high.alias("_high")), "draw-ranges")
+        drawn = lookup_join(rows, ranged, on).select(*columns, "_low", "_high", made_once(draws).alias("_draw"))
+        # Draws before the range are not needed again.
+        at_range = F.when(F.col("_draw") >= F.col("_low"), F.col("_draw")).alias("_draw")
+        found = materialize(drawn.where("_draw <= _high").select(*columns, at_range), "first-draws")
+        seen = found.groupBy(*keys).agg(F.count_if(F.col("_draw").isNull()).alias("_before"), F.count("_draw").alias("_within"))
+        zero = F.lit(0).cast("long")
+        before, within = F.coalesce("_before", zero), F.coalesce("_within", zero)
+        left = F.when(F.col("_limit").between(before, before + within), F.col("_limit") - before)
+        placed = materialize(groups.join(seen, keys, "left").select(*keys, "negatives", "_limit", left.alias("_left")), "draws-left")
+        groups = placed.where("_left IS NULL").drop("_left")
+        met = lookup_join(found, placed.where("_left IS NOT NULL").select(*keys, "_left"), keys)
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_draw", "pmid"))
+        ranked = met.where("_draw IS NOT NULL").withColumn("_rank", rank).where("_rank <= _left")
+        parts += [x.select(*columns) for x in (met.where("_draw IS NULL"), ranked)]
+        deviations *= 16
+    return parts
 
 
 def runs_per_label(labels: DataFrame, runs: list[dict]) -> DataFrame:
@@ -100,12 +133,14 @@ def runs_per_label(labels: DataFrame, runs: list[dict]) -> DataFrame:
 def grid_rows(rows: DataFrame, runs: list[dict], keys: list[str] | None = None) -> DataFrame:
     """Balanced rows of every run of a parameter grid, with the run's name in column ``run``.
 
-    Runs are as in ``runs_per_label``; a row is copied only for the runs that its label is part of.
+    Runs are as in ``runs_per_label``; a row is copied only for the runs that its label is part of, and rows
+    are counted before they are copied.
     """
     keys = keys or ["label", "split"]
-    of_label = materialize(runs_per_label(rows, runs), "runs-per-label")
-    chosen = lookup_join(rows, of_label, "label").select(*rows.columns, "run", "seed", "per_positive")
-    return balance_negatives(chosen, F.col("per_positive"), F.col("seed"), ["run", "seed", "per_positive", *keys])
+    counts = materialize(target_counts(rows, keys), "target-counts")
+    of_label = materialize(runs_per_label(counts, runs), "runs-per-label")
+    of_run = ["run", "seed", "per_positive"]
+    return _balanced(rows, counts.join(of_label, "label"), keys, [*of_run, *keys], F.col("per_positive"), F.col("seed"))
 
 
 def chunk_labels(labels: DataFrame, size: int) -> DataFrame:
@@ -123,8 +158,8 @@ def focus_labels(rows: DataFrame, focus: DataFrame) -> DataFrame:
     """Rows of the focus labels that occur; all rows when none of them does."""
     wanted = focus.select("label").distinct().withColumn("_hit", F.lit(True))
     marked = lookup_join(rows, wanted, "label", "left")
-    present = rows.select("label").distinct()
-    hits = present.join(wanted, "label", "left_semi").agg(F.count("*")).scalar()
+    # One row tells whether any occurs.
+    hits = lookup_join(rows.select("label"), wanted, "label", "left_semi").limit(1).agg(F.count("*")).scalar()
     return marked.where(F.col("_hit") | (hits == 0)).drop("_hit")
 
 

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.functions.numeric import draw_bits
+from labelloom.functions.numeric import draw, draw_bits, drawn_within
 from labelloom.operators import articles, hierarchy, labels, sampling
 
 
@@ -156,3 +156,50 @@ def test_periods_are_counted_together(spark):
     hosts = spark.createDataFrame([("s", "p"), ("s", "q"), ("t", "q")], "scope string, parent string")
     got = {tuple(r) for r in articles.periods_of_hosts(golden, hosts, branches).collect()}
     assert got == {("s", 1, 3), ("s", 2, 2), ("s", 3, 4), ("t", 1, 2), ("t", 3, 4)}
+
+
+def test_balance_writes_no_rows_of_groups_that_stay_whole(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"x{i % 4}", "train", int(i % 9 == 0)) for i in range(2000)], "pmid long, label string, split string, target int")
+    written, real = {}, sampling.materialize
+    monkeypatch.setattr(sampling, "materialize", lambda df, name: written.update({name: df.count()}) or real(df, name))
+    assert sampling.balance_negatives(rows, 1000, 5).count() == 2000
+    assert written == {"group-limits": 4}
+    # Of a group that is cut, what lies before the range of the last draw and in it.
+    few = sampling.balance_negatives(rows.where("label = 'x1'"), 1, 5)
+    kept = few.where("target = 0").count()
+    assert kept == few.where("target = 1").count() <= written["first-draws"] < 3 * kept
+
+
+def test_balance_counts_repeated_rows(spark):
+    rows = [(1, "hot", "train", 0)] * 400 + [(2, "hot", "train", 0)] * 300 + [(i, "hot", "train", 0) for i in range(3, 50)]
+    frame = spark.createDataFrame([*rows, *[(1000 + i, "hot", "train", 1) for i in range(90)]], "pmid long, label string, split string, target int")
+    for per_positive in (1, 5, 8):
+        got = sampling.balance_negatives(frame, per_positive, 3)
+        assert got.where("target = 0").count() == min(90 * per_positive, len(rows)) and got.where("target = 1").count() == 90
+
+
+def test_articles_are_split_before_their_labels_come_up(spark):
+    golden = spark.createDataFrame([(i, "a0") for i in range(30)], "pmid long, label string")
+    weak = spark.createDataFrame([(1, "a1")], "pmid long, label string")
+    scope = spark.createDataFrame([(f"a{i}", "s") for i in range(20)], "label string, scope string")
+    members = scope.select("scope", F.col("label").alias("member"))
+    seen = []
+    split = lambda articles: seen.append(articles.count()) or sampling.split_rows(articles)
+    rows = labels.relabel_dataset(golden, weak, scope, members, of_articles=split)
+    assert seen == [30] and rows.count() == 30 * 20 - 1
+    plain = sampling.split_rows(labels.relabel_dataset(golden, weak, scope, members))
+    assert rows.columns == plain.columns and sorted(rows.collect()) == sorted(plain.collect())
+
+
+def test_draws_within_a_share_are_those_of_the_numbers(spark):
+    rows = spark.range(3000).withColumn("r", draw(F.lit("d"), F.col("id")))
+    edge = rows.where("id = 7").first().r
+    for share in (-0.1, 0.0, 0.25, edge, 0.8, 1.0, 1.5):
+        assert rows.where(drawn_within(share, F.lit("d"), F.col("id")) != (F.col("r") <= F.lit(share))).count() == 0
+    assert rows.where(drawn_within(edge, F.lit("d"), F.col("id"))).where("id = 7").count() == 1
+
+
+def test_focus_is_decided_by_the_rows(spark):
+    rows = spark.createDataFrame([(i, f"x{i % 3}") for i in range(30)], "pmid long, label string")
+    focus = lambda *names: sampling.focus_labels(rows, spark.createDataFrame([(n,) for n in names], "label string"))
+    assert focus("x1", "gone").count() == 10 and focus("gone").count() == 30
