@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom.functions.numeric import draw, draw_bits, drawn_within
-from labelloom.operators import articles, hierarchy, labels, sampling
+from labelloom.operators import articles, evaluate, hierarchy, labels, sampling
 
 
 @pytest.fixture(scope="module")
@@ -203,3 +203,12 @@ def test_focus_is_decided_by_the_rows(spark):
     rows = spark.createDataFrame([(i, f"x{i % 3}") for i in range(30)], "pmid long, label string")
     focus = lambda *names: sampling.focus_labels(rows, spark.createDataFrame([(n,) for n in names], "label string"))
     assert focus("x1", "gone").count() == 10 and focus("gone").count() == 30
+
+
+def test_log_losses_of_several_modes_come_from_one_reading(spark):
+    rows = spark.createDataFrame([("a", 1, 0.7, 3.0), ("a", 0, 0.4, 3.0), ("b", 1, 1.0, 2.0)], "label string, target int, prob double, pos_weight double")
+    both = evaluate.weighted_log_loss(rows, ["label"], weight_mode=["positive", "all"])
+    single = {(m, r.label, r.log_loss) for m in ("positive", "all") for r in evaluate.weighted_log_loss(rows, ["label"], weight_mode=m).collect()}
+    assert {(r["mode"], r.label, r.log_loss) for r in both.collect()} == single
+    with pytest.raises(ValueError):
+        evaluate.weighted_log_loss(rows, ["label"], weight_mode="none")
