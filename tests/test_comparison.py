@@ -212,3 +212,45 @@ def test_log_losses_of_several_modes_come_from_one_reading(spark):
     assert {(r["mode"], r.label, r.log_loss) for r in both.collect()} == single
     with pytest.raises(ValueError):
         evaluate.weighted_log_loss(rows, ["label"], weight_mode="none")
+
+
+@pytest.mark.parametrize("kind", ["NWL", "PWL"])
+def test_group_datasets_equal_their_definition(spark, marks_of_groups, kind):
+    golden, weak, scope_of, member_of, groups = marks_of_groups
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    got = labels.group_dataset(
+        frame(golden, "pmid long, label string"), frame(weak, "pmid long, label string"), frame(scope_of, "label string, scope string"),
+        frame(member_of, "scope string, member string"), frame(groups, "label string, grp int"), kind, ratio_kept=0.5,
+    )
+    drawn = {(r.grp, r.pmid) for r in spark.range(80).withColumnRenamed("id", "pmid").crossJoin(spark.range(3).select(F.col("id").cast("int").alias("grp"))).where(draw(F.lit("u10|"), F.col("grp"), F.lit("|"), F.col("pmid")) <= 0.5).collect()}
+    want = {}
+    for g in {x for _, x in groups}:
+        of_group = sorted({x for x, y in groups if y == g})
+        for pmid in {p for p, _ in golden}:
+            mine = {x for p, x in golden if p == pmid}
+            scopes = {s for s, m in member_of if m in mine}
+            valid = {x for x in of_group if any(y == x and s in scopes for y, s in scope_of)}
+            gold = {x for x in of_group if x in mine and any(y == x for y, _ in scope_of)}
+            found = {x for x in of_group if (pmid, x) in weak and x in valid}
+            if not valid:
+                continue
+            if kind == "PWL" and found:
+                want[g, pmid] = (sorted(valid), sorted(found - gold), sorted(found & gold))
+            if kind == "NWL" and not found and (gold or (g, pmid) in drawn):
+                want[g, pmid] = (sorted(valid), sorted(gold), sorted(set(of_group) - gold))
+    assert {(r.grp, r.pmid): (sorted(r.valid_labels), sorted(r.positive), sorted(r.negative)) for r in got.collect()} == want and want
+    # What is shuffled per article are words of bits, not lists of labels.
+    folded = [line for line in got._jdf.queryExecution().toString().splitlines() if "collect_list" in line and "pmid" in line]
+    assert folded and all("collect_list(struct(slot" in line or "collect_list(named_struct(slot" in line for line in folded)
+
+
+@pytest.fixture(scope="module")
+def marks_of_groups():
+    """Groups across scopes, a scope of 70 labels, one label in two scopes."""
+    rng = random.Random(6)
+    scope_of = [(f"a{i:02}", "big") for i in range(70)] + [("b0", "few"), ("b1", "few"), ("a03", "few")]
+    member_of = [("big", "a01"), ("big", "a66"), ("few", "b0"), ("few", "T")]
+    groups = [(f"a{i:02}", 0) for i in (1, 2, 3, 65, 66)] + [("b0", 0), ("b1", 1), ("a03", 1), ("a04", 2), ("a69", 2)]
+    names = ["a01", "a02", "a03", "a04", "a65", "a66", "a69", "b0", "b1", "T"]
+    pick = lambda n: sorted({(rng.randrange(80), rng.choice(names)) for _ in range(n)})
+    return pick(160), pick(60), scope_of, member_of, groups
