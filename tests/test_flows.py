@@ -77,6 +77,50 @@ def test_sweep_over_two_models(spark):
     assert sorted(map(tuple, swept.where("model = 'm'").select(*counts).collect())) == sorted(map(tuple, single.select(*counts).collect()))
 
 
+def _moved_pairs(df):
+    return "Exchange hashpartitioning(pmid" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relabelling_moves_no_pair_of_bucketed_articles(spark):
+    base, scored = views.base_and_scored(spark, D)
+    plain, plain_scored = views.base_predictions(spark, D), views.scored(spark, D)
+    columns = ["label", "pmid", "gold", *views.BASES]
+    new = evaluate.relabel(base, scored, 0.8, views.BASES)
+    flips = {(r["label"], r["pmid"]) for r in plain_scored.where("prob > 0.8").collect()}
+    wanted = [tuple(r[:3]) + tuple(max(x, (r[0], r[1]) in flips) for x in r[3:]) for r in plain.select(*columns).collect()]
+    assert flips and sorted(map(tuple, new.select(*columns).collect())) == sorted(wanted)
+    assert not _moved_pairs(new)
+
+
+def test_sweep_moves_no_pair_of_bucketed_articles(spark):
+    base, scored = views.base_and_scored(spark, D)
+    swept = evaluate.apply_sweep(base, scored.withColumn("model", F.lit("m")), views.BASES, ["m"])
+    pair_by_pair = evaluate.apply_sweep(
+        views.base_predictions(spark, D), views.scored(spark, D).withColumn("model", F.lit("m")), views.BASES, ["m"],
+        label_rows=views.base_predictions(spark, D).groupBy("label").agg(F.count("*").alias("rows")),
+    )
+    assert sorted(map(tuple, swept.collect())) == sorted(map(tuple, pair_by_pair.collect()))
+    assert not _moved_pairs(swept)
+
+
+def test_relabelling_and_sweep_keep_runs_apart(spark):
+    pairs = [(run, f"L{i}", pmid, int(i == 0), int(pmid == 1)) for run in "ab" for i in range(2) for pmid in range(3)]
+    base = spark.createDataFrame(pairs, "run string, label string, pmid long, gold int, weak int")
+    scored = spark.createDataFrame(
+        [("a", "m", "L0", 0, 0.9), ("a", "m", "L1", 2, 0.6), ("b", "m", "L0", 2, 0.5), ("b", "n", "L1", 0, 0.95)],
+        "run string, model string, label string, pmid long, prob double",
+    )
+    new = evaluate.relabel(base, scored.where("model = 'm'"), 0.5, ["weak"], ["run"])
+    flipped = {(r["run"], r["label"], r["pmid"]) for r in new.where("weak = 1 AND pmid <> 1").collect()}
+    assert flipped == {("a", "L0", 0), ("a", "L1", 2)} and new.count() == 12
+    swept = evaluate.apply_sweep(base, scored, ["weak"], ["m", "n"], [0.5, 0.9], ["run"])
+    counts = {(r["run"], r["label"], r["model"], r["threshold"]): (r["tn"], r["fp"], r["fn"], r["tp"]) for r in swept.collect()}
+    assert len(counts) == 16
+    assert counts["a", "L0", "m", 0.5] == (0, 0, 1, 2) and counts["a", "L0", "m", 0.9] == (0, 0, 2, 1)
+    assert counts["a", "L1", "m", 0.5] == (1, 2, 0, 0) and counts["b", "L1", "n", 0.9] == (1, 2, 0, 0)
+    assert counts["b", "L0", "m", 0.5] == (0, 0, 2, 1) and counts["b", "L0", "n", 0.5] == (0, 0, 2, 1)
+
+
 def test_period_of_one_year(spark):
     dated = views.dated_articles(spark, D)
     found = art.completed_between(dated, 1998, 1998)
