@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelloom.operators.scale import lookup_join
 
@@ -28,24 +28,28 @@ def sum_up_statistics(
 
     A level is a list of the keys that it keeps, its name those keys joined by ``,``; the other keys are null. Sums
     count an article once per dataset that holds it, and a label once. Records, golden and weak labels meet in
-    one shuffle by dataset and article; all levels come from grouping sets over one row per article.
+    one shuffle by dataset and article, where the numbers of an article's first and last label tell whether it has one
+    or several: no task holds pairs. All levels come from grouping sets over one row per article.
     """
-    none, one = F.lit(0), F.lit(1)
-    in_scope = lookup_join(golden, labels.select(*keys, "label").distinct(), [*keys, "label"], "left_semi")
+    none, one, unnumbered = F.lit(0), F.lit(1), F.lit(None).cast("int")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("label"))
+    numbered = labels.select(*keys, "label").distinct().withColumn("_number", place)
+    in_scope = lookup_join(golden, numbered, [*keys, "label"])
     marks = [
-        articles.select(*keys, "pmid", F.lit(None).cast("string").alias("label"), one.alias("_record"), none.alias("_weak")),
-        in_scope.select(*keys, "pmid", "label", none.alias("_record"), none.alias("_weak")),
-        weak.select(*keys, "pmid", F.lit(None).cast("string").alias("label"), none.alias("_record"), one.alias("_weak")),
+        articles.select(*keys, "pmid", unnumbered.alias("_number"), one.alias("_record"), none.alias("_weak")),
+        in_scope.select(*keys, "pmid", "_number", none.alias("_record"), none.alias("_weak")),
+        weak.select(*keys, "pmid", unnumbered.alias("_number"), none.alias("_record"), one.alias("_weak")),
     ]
-    folded = reduce(DataFrame.unionByName, marks).groupBy(*keys, "pmid", "label").agg(F.sum("_record").alias("_n"), F.max("_weak").alias("_weak"))
-    per_article = folded.groupBy(*keys, "pmid").agg(F.sum("_n").alias("_n"), F.max("_weak").alias("_weak"), F.count("label").alias("_labels"))
+    per_article = reduce(DataFrame.unionByName, marks).groupBy(*keys, "pmid").agg(
+        F.sum("_record").alias("_n"), F.max("_weak").alias("_weak"), F.min("_number").alias("_first"), F.max("_number").alias("_last")
+    )
     sets = [[F.col(k) for k in level] for level in levels]
     counts = per_article.groupingSets(sets, *keys).agg(
         F.grouping_id().alias("_id"),
         F.sum("_n").alias("n_articles"),
         F.count_if(F.col("_n") > 1).alias("n_duplicated_ids"),
-        F.count_if(F.col("_labels") > 0).alias("n_labelled"),
-        F.count_if(F.col("_labels") > 1).alias("n_multi_labelled"),
+        F.count_if(F.col("_first").isNotNull()).alias("n_labelled"),
+        F.count_if(F.col("_first") < F.col("_last")).alias("n_multi_labelled"),
         F.count_if(F.col("_weak") > 0).alias("n_weak_labelled"),
     )
     listed = labels.select(*keys, "label", none.alias("_leaf")).unionByName(leaves.select(*keys, "label", one.alias("_leaf")))

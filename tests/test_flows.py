@@ -1,5 +1,7 @@
 """Properties of whole flows, and queries against their SQL, at the smallest scale."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +123,30 @@ def test_relabelling_and_sweep_keep_runs_apart(spark):
     assert counts["b", "L0", "m", 0.5] == (0, 0, 2, 1) and counts["b", "L0", "n", 0.5] == (0, 0, 2, 1)
 
 
+def test_statistics_hold_no_pairs_of_articles_and_labels(spark):
+    from labelloom.operators import stats
+
+    articles = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1), ("b", 3)], "k string, pmid long")
+    golden = spark.createDataFrame(
+        [("a", 1, "L1"), ("a", 1, "L1"), ("a", 1, "out"), ("a", 2, "L1"), ("a", 2, "L3"), ("a", 2, "L2"), ("b", 1, "L2"), ("b", 1, "L1")],
+        "k string, pmid long, label string",
+    )
+    weak = spark.createDataFrame([("a", 1, "L2"), ("a", 1, "L3"), ("b", 9, "L1")], "k string, pmid long, label string")
+    labels = spark.createDataFrame([("a", "L1"), ("a", "L2"), ("a", "L3"), ("a", "L3"), ("b", "L2")], "k string, label string")
+    found = stats.article_statistics(articles, golden, weak, labels, labels.where("label = 'L2'"), ["k"])
+    assert sorted(map(tuple, found.collect())) == [("a", 3, 1, 2, 1, 1, 3, 1), ("b", 2, 0, 1, 0, 1, 1, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[[^]]*pmid#\d+L, label#", plan)
+
+
+def test_buckets_grow_with_articles(spark, monkeypatch):
+    monkeypatch.setattr(views, "BUCKET_ARTICLES", 20)
+    articles = views.dated_articles(spark, D)
+    written = views.in_article_buckets(spark, D, articles, "some-articles")
+    assert written.select(F.input_file_name()).distinct().count() == -(-articles.count() // 20) > 8
+    assert sorted(map(tuple, written.collect())) == sorted(map(tuple, articles.collect()))
+
+
 def test_period_of_one_year(spark):
     dated = views.dated_articles(spark, D)
     found = art.completed_between(dated, 1998, 1998)
