@@ -203,20 +203,24 @@ def build_retro_dataset(
     """Newest revision of each article of the use cases' hosts in a period, as (pmid, label, gold, weak).
 
     ``articles`` has one row per revision, numbered by row_id; ``golden`` is (row_id, label). Labels are
-    the leaf use cases; an article without any of them has one row with a null label.
+    the leaf use cases; an article without any of them has one row with a null label. ``golden`` is read once: its
+    rows take the roles of their label, searched or a use case or both, to the revisions of the period.
     """
     leaf_cases = hierarchy.keep_leaves(use_cases.select("descriptor_ui"), now)
     labels = materialize(leaf_cases.select(F.col("descriptor_ui").alias("label")), "leaf-labels")
     of_labels = hosts.join(labels.withColumnRenamed("label", "descriptor_ui"), "descriptor_ui", "left_semi")
     host_uis = of_labels.where("host_ui IS NOT NULL").select(F.col("host_ui").alias("label")).distinct()
     wanted = hierarchy.branches_of(now, host_uis.withColumnRenamed("label", "head")).select(F.col("member").alias("label")).distinct()
-    wanted = materialize(wanted, "searched-labels")
-    hits = lookup_join(golden, wanted, "label", "left_semi").select("row_id").distinct()
-    found = art.search_articles(articles, None, start, end).join(hits, "row_id", "left_semi")
+    no, yes = F.lit(False), F.lit(True)
+    roles = wanted.select("label", yes.alias("_wanted"), no.alias("_case")).unionByName(labels.select("label", no.alias("_wanted"), yes.alias("_case")))
+    roles = materialize(roles.groupBy("label").agg(F.bool_or("_wanted").alias("_wanted"), F.bool_or("_case").alias("_case")), "label-roles")
+    marked = lookup_join(golden, roles, "label").select("row_id", F.when(F.col("_case"), F.col("label")).alias("label"), "_wanted")
+    found = art.search_articles(articles, None, start, end).select("pmid", "date_revised", "row_id")
+    annotated = materialize(found.join(marked, "row_id"), "annotated-revisions")
     newest = materialize(
-        art.latest_revision(found.select("pmid", "date_revised", "row_id"), "date_revised", "row_id"), "newest-revisions"
+        art.latest_revision(annotated.where("_wanted").select("pmid", "date_revised", "row_id"), "date_revised", "row_id"), "newest-revisions"
     )
-    in_scope = lookup_join(golden, labels, "label", "left_semi").join(newest.select("row_id", "pmid"), "row_id")
+    in_scope = annotated.where("label IS NOT NULL").select("row_id", "label").join(newest.select("row_id", "pmid"), "row_id")
     marks = in_scope.select("pmid", "label", F.lit(1).alias("_flag"))
     if with_weak:
         cuis = label_cuis.join(labels, "label", "left_semi")

@@ -147,6 +147,31 @@ def test_buckets_grow_with_articles(spark, monkeypatch):
     assert sorted(map(tuple, written.collect())) == sorted(map(tuple, articles.collect()))
 
 
+def test_retro_dataset_reads_golden_labels_once(spark):
+    from labelloom.plans import curation
+
+    ui = "descriptor_ui string, tree_numbers array<string>"
+    now = spark.createDataFrame([("H", ["A01"]), ("N", ["A01.1"]), ("O", ["B01"])], ui)
+    hosts = spark.createDataFrame([("N", "H")], "descriptor_ui string, host_ui string")
+    rows = [(1, 10, "1999-05-05", "1999-06-01", "x"), (1, 11, "1999-05-05", "1999-07-01", "x"), (2, 20, "1999-05-05", "1999-06-01", "x"),
+            (2, 21, "1999-05-05", "1999-07-01", ""), (3, 30, "1999-05-05", "1999-06-01", "x"), (4, 40, "1990-05-05", "1999-06-01", "x")]
+    articles = spark.createDataFrame(rows, "pmid long, row_id long, date_completed string, date_revised string, abstract_text string")
+    articles = articles.withColumns({c: F.to_date(c) for c in ("date_completed", "date_revised")})
+    golden = [(10, "H"), (10, "N"), (11, "H"), (20, "N"), (20, "N"), (21, "O"), (30, "O"), (40, "N"), (20, None)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        read.add(1)
+        return row
+
+    golden = spark.createDataFrame(spark.sparkContext.parallelize(golden, 2).map(counted), "row_id long, label string")
+    occurrence = spark.createDataFrame([(1, "C"), (1, "C"), (3, "C")], "pmid long, cui string")
+    cuis = spark.createDataFrame([("N", "C")], "label string, cui string")
+    found = curation.build_retro_dataset(articles, golden, now.where("descriptor_ui = 'N'"), hosts, now, occurrence, cuis, 1999, 2001)
+    assert sorted(map(tuple, found.collect())) == [(1, "N", 0, 1), (2, "N", 1, 0)]
+    assert read.value == 9
+
+
 def test_period_of_one_year(spark):
     dated = views.dated_articles(spark, D)
     found = art.completed_between(dated, 1998, 1998)
