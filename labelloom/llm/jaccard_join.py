@@ -1,7 +1,7 @@
 """Near duplicates by Jaccard similarity of word shingles: a join over count-vector R-trees.
 
-Texts with equal shingle sets are one class from the start. Classes that may link share the content of a
-group of shingles (see ``shingles``); what hangs together by shared groups is a cluster, and a link never
+Texts with equal shingle sets are one class from the start. Classes that may link share one of their rarest
+shingles (see ``rarest``); what hangs together by those is a cluster, and a link never
 leaves its cluster. Inside a cluster the counts per group are points: tiles of points are joined by
 R-trees that bound the overlap by summed minima, and what hangs together by pairs within the bound are
 the clusters whose shingles are looked at. There, too, tiles are joined by R-trees, and pairs that survive
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from labelloom.llm.common import _slices, map_texts
 from labelloom.llm.components import components
 from labelloom.llm.rtree import count_point, folded, groups_for, link_tile, linked_pairs, near_points
-from labelloom.llm.shingles import MULTIPLIER, fingerprint, mixed, shingle_set, signatures
+from labelloom.llm.shingles import fingerprint, fingerprints, mixed, shingle_sets
 from labelloom.operators.scale import materialize, scratch_tables
 
 # A tile ends at this many sets, or at as many shingles per set as MIN_WEIGHT on average.
@@ -33,6 +33,8 @@ COARSE = 4
 POINT_TILE = 1_024
 # One of so many sets of a large cluster is compared at random before tiles are joined pair by pair.
 MEETING = 8
+# Shingles that are counted in one bucket, about.
+BUCKET_SHINGLES = 1 << 22
 
 
 def shingle_rows(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
@@ -41,8 +43,8 @@ def shingle_rows(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
 
     def make():
         def describe(texts: list) -> dict:
-            sets = [shingle_set(t, size) for t in texts]
-            marks = [fingerprint(s) for s in sets]
+            sets = shingle_sets(texts, size)
+            marks = fingerprints(sets)
             points = [count_point(s, groups_for(len(s))) for s in sets]
             return {
                 "n": [len(s) for s in sets],
@@ -59,7 +61,7 @@ def shingle_rows(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
 def set_bytes(docs: DataFrame, size: int, keep: list[str], text: str) -> DataFrame:
     """The kept columns and ``set``, the sorted shingle hashes as bytes."""
     fields = [T.StructField("set", T.BinaryType())]
-    make = lambda: lambda texts: {"set": [shingle_set(t, size).tobytes() for t in texts]}
+    make = lambda: lambda texts: {"set": [s.tobytes() for s in shingle_sets(texts, size)]}
     return map_texts(docs, text, keep, make, fields)
 
 
@@ -74,57 +76,127 @@ def meet(marks: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def shared_signatures(docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
-    """Edges (u, v) between keys whose texts offer the same signature; a star per signature.
+def parcels(place: np.ndarray, marks: np.ndarray, nodes: np.ndarray, counts: np.ndarray | None = None):
+    """A batch with one row per place: the marks, nodes and counts (else none) that go there, as bytes."""
+    import pyarrow as pa
+
+    order = np.argsort(place.astype(np.uint16) if place.max(initial=0) < 1 << 16 else place, kind="stable")
+    place, marks, nodes = place[order], marks[order], nodes[order]
+    counts = np.zeros(0, dtype=np.uint32) if counts is None else counts[order].astype(np.uint32)
+    used, starts = np.unique(place, return_index=True)
+    cut = list(zip(starts.tolist(), [*starts[1:].tolist(), len(place)], strict=False))
+    # Steps from one node to the next are small numbers, which compress well.
+    steps = [np.diff(nodes[a:b], prepend=0).tobytes() for a, b in cut]
+    columns = [pa.array([x[a:b].tobytes() for a, b in cut], type=pa.binary()) for x in (marks, counts)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(used.astype(np.int32)), columns[0], pa.array(steps, type=pa.binary()), columns[1]], names=PARCEL
+    )
+
+
+PARCEL = ["place", "marks", "nodes", "counts"]
+PARCEL_TYPE = "place int, marks binary, nodes binary, counts binary"
+
+
+def unpacked(table, kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """The marks and nodes of parcels, one after another."""
+    marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), dtype=kind)
+    nodes = [np.cumsum(np.frombuffer(x, dtype=np.int64)) for x in table.column("nodes").to_pylist()]
+    return marks, np.concatenate([np.zeros(0, dtype=np.int64), *nodes])
+
+
+def in_several(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the marks that recur, how often each of them is there)."""
+    order = np.argsort(marks)
+    new = np.flatnonzero(np.r_[True, marks[order][1:] != marks[order][:-1]]) if len(marks) else order
+    times = np.diff(np.r_[new, len(marks)])
+    times = np.repeat(times, times)
+    return order[times > 1], times[times > 1]
+
 
-    Signatures are combined before the shuffle: of the texts in a slice only the smallest key goes on with
-    a signature that they share, and the others are tied to it once. What is shuffled are packed arrays, so
-    a signature that very many texts offer has one entry per slice.
+def rarest(nodes: np.ndarray, marks: np.ndarray, counts: np.ndarray, own: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Places of the marks that nodes have to offer, so that two sets that link offer one in common.
+
+    ``nodes``, ``marks`` and ``counts`` are the shingles that recur and in how many sets; ``own`` and ``sizes`` the sets.
+    A set that links shares ``percent`` of its shingles with one other set. With its shingles in order of (count, mark)
+    those before the last ``percent`` are enough; the ones that do not recur come first and meet nothing.
+    """
+    names, at, texts = np.unique(own, return_inverse=True, return_counts=True)
+    size = np.zeros(len(names), dtype=np.int64)
+    np.maximum.at(size, at, sizes)
+    node = np.searchsorted(names, nodes)
+    recur = np.bincount(node, minlength=len(names))
+    # All of them where a node has several texts.
+    offered = np.where(texts > 1, recur, recur + (-percent * size // 100) + 1)
+    keep = np.flatnonzero(offered[node] > 0)
+    keep = keep[np.lexsort((marks[keep], counts[keep], node[keep]))]
+    node = node[keep]
+    first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else node
+    rank = np.arange(len(node)) - np.repeat(first, np.diff(np.r_[first, len(node)]))
+    return keep[rank < offered[node]]
+
+
+def shared_shingles(docs: DataFrame, size: int, percent: int, key: str, text: str, shingles: int) -> DataFrame:
+    """Edges (u, v) between keys whose texts offer the same shingle; a star per shingle.
+
+    Texts offer their rarest shingles (see ``rarest``): passages that many texts share connect nothing unless they are
+    nearly all of a text. Shingles are counted over all texts in buckets, those that recur go back to buckets
+    of their texts, and what these offer meets. ``shingles`` is their number in all texts; a bucket holds about
+    BUCKET_SHINGLES or fewer. What is shuffled are packed arrays, a shingle by its bucket and 32 bits. Two that get
+    one mark count together in all texts, so a pair that links still meets, by that mark.
     """
-    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // BUCKET_SHINGLES))
 
     def pack(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for part in _slices(batch, "_text"):
-                keys = part.column(0).to_numpy(zero_copy_only=False)
-                offered = [signatures(shingle_set(t, size), percent) for t in part.column("_text").to_pylist()]
-                marks, nodes = np.concatenate(offered), np.repeat(keys, [len(o) for o in offered])
-                u, v = meet(marks, nodes)
-                # The smallest key stands for a signature; a pair meets under a mark of its own.
-                order = np.lexsort((nodes, marks))
-                first = order[np.r_[True, marks[order][1:] != marks[order][:-1]]] if len(order) else order
-                tie = mixed(u.astype(np.uint64) * MULTIPLIER ^ mixed(v.astype(np.uint64))).view(np.int64)
-                marks = np.concatenate([marks[first], tie, tie])
-                nodes = np.concatenate([nodes[first], u, v]).astype(np.int64)
-                place = (marks.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((nodes, place))
-                marks, nodes, place = marks[order], nodes[order], place[order]
-                used, starts = np.unique(place, return_index=True)
-                ends = np.r_[starts[1:], len(place)]
-                cut = list(zip(starts.tolist(), ends.tolist(), strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(used.astype(np.int32)),
-                        pa.array([marks[a:b].tobytes() for a, b in cut], type=pa.binary()),
-                        # Steps from one key to the next are small numbers, which compress well.
-                        pa.array([np.diff(nodes[a:b], prepend=0).tobytes() for a, b in cut], type=pa.binary()),
-                    ],
-                    names=["bucket", "marks", "nodes"],
-                )
+                sets = shingle_sets(part.column("_text").to_pylist(), size)
+                keys, sizes = part.column(0).to_numpy(zero_copy_only=False), np.array([len(s) for s in sets])
+                keys, sizes, sets = keys[sizes > 0], sizes[sizes > 0], [s for s in sets if len(s)]
+                if sets:
+                    over, place = np.divmod(np.concatenate(sets), np.uint64(buckets))
+                    yield parcels(place.astype(np.int64), over.astype(np.uint32), np.repeat(keys, sizes))
+                    # The sizes of sets go to the buckets of their texts.
+                    yield parcels(buckets + home(keys), sizes, keys)
+
+    def home(nodes: np.ndarray) -> np.ndarray:
+        return (mixed(nodes.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+    def count(table):
+        import pyarrow as pa
+
+        place = table.column("place")[0].as_py()
+        if place >= buckets:
+            sizes, nodes = unpacked(table)
+            found = parcels(np.full(len(nodes), place - buckets), sizes, nodes)
+        else:
+            marks, nodes = unpacked(table, np.uint32)
+            at, times = in_several(marks)
+            found = parcels(home(nodes[at]), marks[at] + np.int64(place << 32), nodes[at], times)
+        return pa.Table.from_batches([found])
+
+    def offer(table):
+        import pyarrow as pa
+
+        counted = np.array([len(x) > 0 for x in table.column("counts").to_pylist()])
+        sizes, own = unpacked(table.filter(pa.array(~counted)))
+        recurring = table.filter(pa.array(counted))
+        marks, nodes = unpacked(recurring)
+        counts = np.frombuffer(b"".join(recurring.column("counts").to_pylist()), dtype=np.uint32)
+        at = rarest(nodes, marks, counts, own, sizes, percent)
+        at = at[np.argsort(nodes[at], kind="stable")]
+        return pa.Table.from_batches([parcels(marks[at] >> 32, marks[at], nodes[at])])
 
     def join(table):
         import pyarrow as pa
 
-        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), dtype=np.int64)
-        nodes = [np.cumsum(np.frombuffer(x, dtype=np.int64)) for x in table.column("nodes").to_pylist()]
-        u, v = meet(marks, np.concatenate(nodes))
+        u, v = meet(*unpacked(table))
         return pa.table({"u": pa.array(u), "v": pa.array(v)})
 
     rows = docs.where(F.col(key).isNotNull()).select(key, F.col(text).alias("_text"))
-    packed = rows.mapInArrow(pack, "bucket int, marks binary, nodes binary")
-    return packed.groupBy("bucket").applyInArrow(join, "u long, v long")
+    packed = rows.mapInArrow(pack, PARCEL_TYPE)
+    for step in (count, offer):
+        packed = packed.groupBy("place").applyInArrow(step, PARCEL_TYPE)
+    return packed.groupBy("place").applyInArrow(join, "u long, v long")
 
 
 def grouped_links(
@@ -323,7 +395,8 @@ def class_sets(docs: DataFrame, size: int, percent: int, key: str, text: str) ->
     # Written first, so that the join with it can split a class that holds most rows.
     classes = materialize(described.where("n > 0").groupBy(*marks).agg(F.min(key).alias("node"), F.count("*").alias("copies")), "classes")
     members = materialize(described.drop("counts").join(classes, marks, "left"), "class-members")
-    clusters = components(materialize(shared_signatures(narrow, size, percent, key, text), "shared-signatures"))
+    total = described.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    clusters = components(materialize(shared_shingles(narrow, size, percent, key, text, total), "shared-shingles"))
     own = described.where("n > 0").withColumnRenamed(key, "node").join(classes.drop("copies"), [*marks, "node"])
     own = own.select("node", "n", "counts")
     meeting = clusters.select("node", F.col("component").alias("cluster")).join(own, "node")

@@ -10,32 +10,26 @@ from a band of sizes; sets small enough to link with the band below also offer i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-WORD_CACHE = 200_000
+# Words of short texts that are worked on together, about.
+RUN_WORDS = 8_192
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_words = WordHashes()
+    out = x >> np.uint64(30)
+    out ^= x
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(27)
+    out *= np.uint64(0x94D049BB133111EB)
+    out ^= out >> np.uint64(31)
+    return out
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -43,15 +37,47 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
     Words are runs of characters other than space and \\t to \\r, A-Z lower-cased. None without words.
     """
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
-    width = min(size, len(hashes))
+    return shingle_sets([text], size)[0]
+
+
+def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
+    """``shingle_set`` of every text; the words of many texts are worked on as one array."""
+    out: list[np.ndarray] = []
+    held, words = [], 0
+    for text in texts:
+        own = text.encode().lower().split() if text else []
+        held.append(own)
+        words += len(own)
+        if words >= RUN_WORDS:
+            out += _sets_of_run(held, size)
+            held, words = [], 0
+    return out + _sets_of_run(held, size)
+
+
+def _sets_of_run(held: list[list[bytes]], size: int) -> list[np.ndarray]:
+    import xxhash
+
+    counts = [len(words) for words in held]
+    # Words are hashed each time they stand: real vocabularies are too large for a table to be quicker.
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(held)), dtype=np.uint64, count=sum(counts))
+    runs = _runs_of_words(hashes, size) if len(hashes) >= size else hashes[:0]
+    out, start = [], 0
+    for n in counts:
+        if n >= size:
+            own = runs[start : start + n - size + 1]
+        else:
+            own = _runs_of_words(hashes[start : start + n], n) if n else hashes[:0]
+        own = np.sort(own)
+        out.append(own[np.r_[True, own[1:] != own[:-1]]] if n else own)
+        start += n
+    return out
+
+
+def _runs_of_words(hashes: np.ndarray, width: int) -> np.ndarray:
     out = np.full(len(hashes) - width + 1, width, dtype=np.uint64)
     for k in range(width):
         out = mixed(out * MULTIPLIER + hashes[k : len(hashes) - width + 1 + k])
-    return np.unique(out)
+    return out
 
 
 def largest_partner(n: int, percent: int) -> int:
@@ -129,6 +155,34 @@ def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
     )
 
 
+def _runs_of_sets(sets: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """The sets one after another, so many at a time that they have RUN_WORDS elements or more."""
+    held, elements = [], 0
+    for s in sets:
+        held.append(s)
+        elements += len(s)
+        if elements >= RUN_WORDS:
+            yield held
+            held, elements = [], 0
+    if held:
+        yield held
+
+
+def fingerprints(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """``fingerprint`` of every set."""
+    out: list[tuple[int, int]] = []
+    for run in _runs_of_sets(sets):
+        flat, sizes = np.concatenate(run), np.array([len(s) for s in run])
+        used = np.flatnonzero(sizes)
+        marks = np.zeros((2, len(run)), dtype=np.uint64)
+        if len(used):
+            starts = (np.cumsum(sizes) - sizes)[used]
+            marks[0, used] = np.add.reduceat(mixed(flat), starts)
+            marks[1, used] = np.add.reduceat(mixed(flat ^ np.uint64(0x5851F42D4C957F2D)), starts)
+        out += zip(*marks.view(np.int64).tolist(), strict=True)
+    return out
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Shared elements of two sorted sets."""
     if len(a) > len(b):

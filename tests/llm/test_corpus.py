@@ -161,6 +161,56 @@ def test_linked_sets_share_a_signature():
                 assert set(shingles.signatures(a, percent).tolist()) & set(shingles.signatures(b, percent).tolist())
 
 
+def test_shared_passages_join_no_clusters(spark):
+    """Texts that each hold a few of some common passages hang together by them, but none is nearly all of a text."""
+    rng = random.Random(21)
+    passages = [prose(rng, 30) for _ in range(40)]
+    texts = [" ".join([prose(rng, 60), *rng.sample(passages, 3)]) for _ in range(600)]
+    texts += [texts[i] + " end" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    edges = jaccard_join.shared_shingles(docs, 5, 80, "doc_id", "text", 600 * 150)
+    clusters = Counter(r.component for r in components.components(edges).collect())
+    # By any passage in common, all texts are one cluster.
+    assert max(clusters.values()) < 10
+    groups = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs, 5, 80).collect()}
+    assert groups == {i: i - 600 if i >= 600 else i for i in range(620)}
+
+
+def test_linked_sets_offer_a_shingle_in_common():
+    """Whatever the counts, also where shingles share a mark, and a key has several texts."""
+    rng = np.random.default_rng(8)
+    for percent in (80, 90, 100):
+        base = [np.unique(rng.integers(0, 3_000, n)) for n in [1, 2, 4, 9, 10, 33, 80, 400] * 3]
+        sets = [b for b in base] + [np.unique(np.concatenate([rng.permutation(b)[: max(1, len(b) * 19 // 20)], rng.integers(0, 3_000, len(b) // 20)])) for b in base]
+        keys = np.minimum(np.arange(len(sets)), len(sets) - 2)
+        for lost in (1, 7):  # shingles share marks
+            marks, nodes = np.concatenate(sets) // lost, np.repeat(keys, [len(s) for s in sets])
+            at, times = jaccard_join.in_several(marks)
+            assert times.tolist() == [int((marks == m).sum()) for m in marks[at]] and set(at) == {i for i, m in enumerate(marks) if (marks == m).sum() > 1}
+            found = jaccard_join.rarest(nodes[at], marks[at], times, keys, np.array([len(s) for s in sets]), percent)
+            offered = {k: set() for k in keys.tolist()}
+            for n, m in zip(nodes[at][found].tolist(), marks[at][found].tolist(), strict=True):
+                offered[n].add(m)
+            for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2):
+                shared = len(np.intersect1d(a, b))
+                if 100 * shared >= percent * (len(a) + len(b) - shared) and keys[i] != keys[j]:
+                    assert offered[int(keys[i])] & offered[int(keys[j])]
+
+
+def test_sets_of_many_texts_are_those_of_each():
+    rng = random.Random(4)
+    texts = [prose(rng, n) for n in (0, 1, 2, 4, 5, 6, 700)] + [None, "", " \n", "a A a", prose(rng, 9_000), "x " * 50, "y"]
+    hashes = {}
+    for size in (1, 3, 5):
+        for text, got in zip(texts, shingles.shingle_sets(texts, size), strict=True):
+            words = re.findall(r"[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+            want = {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+            assert len(got) == len(want) and np.array_equal(got, np.unique(got)) and np.array_equal(got, shingles.shingle_set(text, size))
+            assert hashes.setdefault((size, frozenset(want)), got.tobytes()) == got.tobytes()
+        sets = shingles.shingle_sets(texts, size)
+        assert shingles.fingerprints(sets) == [shingles.fingerprint(s) for s in sets]
+
+
 def test_rtree_bound_loses_no_pair():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
