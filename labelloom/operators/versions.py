@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from labelloom.functions import notes, records
 from labelloom.functions.text import normalize_term
 from labelloom.operators import hierarchy
-from labelloom.operators.scale import left_lookup, materialize
+from labelloom.operators.scale import left_lookup, materialize, write_wide_rows
 
 # Names of the provenance types and categories in reports.
 PROVENANCE_TYPES = {
@@ -295,7 +295,9 @@ def with_extended_hosts(rows: DataFrame, members: DataFrame, sizes: DataFrame) -
     A list is made once per scope and bounded by the labels of the thesaurus, but the lists of all rows together
     grow with the labels times the members. So this comes last: the rows are dealt out by scope and slice while
     they are narrow, each slice meets one copy of the list, and rows with their lists are never moved or sorted.
+    Files of them are written as ``scale.write_wide_rows`` says.
     """
+    write_wide_rows(rows.sparkSession)
     lists = members.groupBy("scope").agg(F.array_join(F.array_sort(F.collect_list("member")), "~").alias("extended_hosts"))
     slices = sizes.select("scope", "slices")
     copies = lists.join(slices, "scope").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.operators import articles as art, hierarchy, labels, versions
+from labelloom.operators import articles as art, hierarchy, labels, scale, versions
 from labelloom.plans import curation
 
 SCHEMA = """descriptor_ui string, descriptor_name string, public_note string, scope_note string,
@@ -199,3 +199,25 @@ def test_hot_article_and_hot_label(spark, now):
     stats = {r["label"]: r for r in labels.label_frequencies(golden, weak, label_scope, members).collect()}
     assert (stats["L1"]["total_gold"], stats["L1"]["total_weak"], stats["L1"]["fn"]) == (10001, 51, 9950)
     assert (stats["L2"]["total_gold"], stats["L2"]["tn"]) == (2, 9999)
+
+
+def test_lists_of_megabytes_are_written_in_bounded_pages(spark, tmp_path):
+    """A list that all labels of a scope share, larger than a usual page, is not in a file once per label."""
+    import pyarrow.parquet as pq
+
+    members = spark.range(70_000).select(F.lit("s").alias("scope"), F.format_string("P%015d", "id").alias("member"))
+    sizes = spark.createDataFrame([("s", 70_000, 1)], "scope string, n_extended_hosts long, slices int")
+    rows = spark.range(90).select(F.format_string("N%d", "id").alias("descriptor_ui"), F.lit("s").alias("scope"))
+    before = {name: spark.conf.get(name, None) for name in scale.WIDE_ROWS}
+    try:
+        listed = versions.with_extended_hosts(rows, members, sizes)
+        listed.write.parquet(f"{tmp_path}/same")
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "same").glob("*.parquet")]
+    lists = [m.row_group(i).column(2).total_uncompressed_size for m in files for i in range(m.num_row_groups)]
+    want = "~".join(f"P{i:015d}" for i in range(70_000))
+    assert [r.n for r in listed.groupBy(F.col("extended_hosts") == want).agg(F.count("*").alias("n")).collect()] == [90]
+    assert sum(lists) < 10 * len(want)
