@@ -10,7 +10,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from labelloom.functions.numeric import at_threshold
+from labelloom.functions.numeric import at_threshold, made_once
 from labelloom.operators.sampling import class_balance
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
@@ -25,15 +25,17 @@ def pair_features(rows: DataFrame) -> DataFrame:
 
     Words shared by text and label name give one common token, so unseen labels profit too.
     """
-    text, name = _words(F.col("text")), _words(F.col("label_name"))
-    label = F.lower(F.col("label_name"))
+    crossed = F.concat(F.lit("x "), F.lower(F.col("label_name")), F.lit(" ")).alias("crossed")
+    words = F.struct(_words(F.col("text")).alias("text"), _words(F.col("label_name")).alias("name"), crossed)
+    text, name, crossed = (F.col(f"_words.{c}") for c in ("text", "name", "crossed"))
     tokens = F.concat(
         F.transform(text, lambda w: F.concat(F.lit("t "), w)),
-        F.transform(text, lambda w: F.concat(F.lit("x "), label, F.lit(" "), w)),
+        F.transform(text, lambda w: F.concat(crossed, w)),
         F.transform(name, lambda w: F.concat(F.lit("l "), w)),
         F.transform(F.array_intersect(text, name), lambda w: F.lit("shared")),
     )
-    return rows.withColumn("tokens", tokens)
+    # The words of a text are cut once, not once for each use of them.
+    return rows.withColumn("_words", made_once(words)).withColumn("tokens", tokens).drop("_words")
 
 
 def with_class_weight(rows: DataFrame, pos_weight: bool = True) -> DataFrame:

@@ -60,7 +60,8 @@ class Weights:
 def numbered_rows(rows: DataFrame) -> DataFrame:
     """Rows with ``numbers``, their hashed tokens and 0, in place of the text; no dictionary is built."""
     number = lambda t: (1 + F.pmod(F.xxhash64(t), F.lit(NUMBERS - 1))).cast("int")
-    numbers = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.transform("tokens", number))))
+    # sort_array compares numbers as such, array_sort would call a function for each pair.
+    numbers = F.sort_array(F.array_distinct(F.concat(F.array(F.lit(0)), F.transform("tokens", number))))
     return pair_features(rows).withColumn("numbers", numbers).drop("tokens", "text")
 
 

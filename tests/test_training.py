@@ -82,3 +82,11 @@ def test_empty_tables(rows):
     models, choices = training.fit_runs(rows.limit(0), ["one"], [1, 2])
     assert [tuple(r) for r in choices.collect()] == [("one", 1, 1)] and not models["one"]["best"].values.any()
     assert training.score_runs(rows.limit(0), {"one": models["one"]["best"]}).count() == 0
+
+
+def test_words_are_cut_once_for_all_tokens(spark):
+    frame = spark.createDataFrame([("Alpha", "beta ALPHA beta"), ("x", None), (None, "")], "label_name string, text string")
+    plan = training.numbered_rows(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(text") == 1 and plan.count("split(lower(label_name") == 1
+    # Rows stay, as their numbers do: null where the text or the name is null.
+    assert [r.numbers is None for r in training.numbered_rows(frame).collect()] == [False, True, True]
